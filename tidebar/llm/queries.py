@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import table
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
+from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = with_next(table(spark, sf_dir, "documents"))
+    n_chars = F.char_length("text")
+    half = F.floor(n_chars / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("next.text", F.lit(1), half))
+    out = with_fingerprint(out.withColumn("edited", edited), "edited", "edited_print")
+    # Own hash sets as columns, so that both likenesses use them.
+    out = out.select("doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest("fingerprint").alias("fingerprint"), digest("edited_print").alias("edited_fingerprint"), F.size("fingerprint").cast("long").alias("n_hashes"), hashes("fingerprint").alias("__own"), hashes("edited_print").alias("__edited"), hashes(F.col("next.fingerprint")).alias("__next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("__own"), F.col("__edited")).alias("near_edited"), likeness(F.col("__own"), F.col("__next")).alias("near_next"), "n_hashes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {
