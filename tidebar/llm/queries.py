@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import table
+from tidebar.llm.decontamination import find_leaks
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
+from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
 
 
@@ -18,6 +20,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.col("item_ids").alias("same_items"), "n_shingles", "n_found", "containment")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +48,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_simhash": op5_simhash,
     "op8_source_mixing": op8_source_mixing,
     "op10_winnowing": op10_winnowing,
 }
