@@ -122,8 +122,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
     keyed = hits.select("doc_id", "row", F.explode("shingles").alias("shingle"))
     keyed = keyed.join(F.broadcast(sketch), "shingle") if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keyed.join(sketch, "shingle")
     candidates = keyed.groupBy("doc_id", "row", "item_id").agg(F.count("*").alias("n_sketch"))
-    verified = candidates.drop("doc_id").join(hits, "row").join(items, "item_id")
-    n_found = F.size(F.array_intersect(hits["shingles"], items["shingles"]))
+    verified = candidates.drop("doc_id").join(hits, "row").join(items.withColumnRenamed("shingles", "wanted"), "item_id")
+    n_found = F.size(F.array_intersect("shingles", "wanted"))
     verified = verified.select("doc_id", "row", "item_id", "item_ids", F.col("n").cast("long").alias("n_shingles"), n_found.cast("long").alias("n_found"), (n_found / F.col("n")).alias("containment"))
     return verified.where(F.col("containment") >= containment - 1e-9)
 
