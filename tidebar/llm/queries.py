@@ -12,6 +12,7 @@ from tidebar.llm.decontamination import find_leaks
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
+from tidebar.llm.substring_dedup import find_repeats
 from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
 
 
@@ -35,6 +36,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_repeats(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda total, c: total + c["n_chars"])
+    return out.select(F.col("doc").alias("doc_id"), F.col("first_doc").alias("first_doc_id"), "start", "n_chars", "n_words", cut.alias("n_chars_dropped"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_next(table(spark, sf_dir, "documents"))
     n_chars = F.char_length("text")
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op8_source_mixing": op8_source_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_winnowing": op10_winnowing,
 }
 
