@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import table
 from tidebar.llm.decontamination import find_leaks
+from tidebar.llm.language_id import identify
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
@@ -31,6 +32,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_winnowing": op10_winnowing,
