@@ -14,6 +14,7 @@ from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.substring_dedup import find_repeats
+from tidebar.llm.token_counts import count_edits
 from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
 
 
@@ -32,6 +33,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: its first 20 characters inserted at a quarter, 16 replaced in the middle, 10 cut at three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.char_length("text")
+    edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), new.alias("new"))
+    quarter, middle, late = F.floor(n / 4), F.floor(n / 2), F.floor(n * 3 / 4)
+    edits = F.array(edit(quarter, quarter, F.substring("text", 1, 20)), edit(middle, middle + 16, F.lit(" edited here, twice ")), edit(late, late + 10, F.lit("")))
+    out = count_edits(docs.withColumn("edits", edits))
+    return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_encoded_again", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -63,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
