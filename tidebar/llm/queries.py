@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import table
+from tidebar.llm.common import fresh_path, table
 from tidebar.llm.decontamination import find_leaks
 from tidebar.llm.language_id import identify
 from tidebar.llm.line_dedup import dedup_lines
@@ -15,9 +15,16 @@ from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.substring_dedup import find_repeats
 from tidebar.llm.token_counts import count_edits
+from tidebar.llm.warc import read_warc, write_warc
 from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -72,6 +79,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
