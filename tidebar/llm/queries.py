@@ -11,6 +11,7 @@ from tidebar.llm.common import fresh_path, table
 from tidebar.llm.decontamination import find_leaks
 from tidebar.llm.language_id import identify
 from tidebar.llm.line_dedup import dedup_lines
+from tidebar.llm.lm_scoring import score
 from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.substring_dedup import find_repeats
@@ -25,6 +26,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -80,6 +85,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
