@@ -67,6 +67,17 @@ class Chain:
         self.steps.append(("scan", name, a, b))
         return name
 
+    def fold(self, inputs: list[str], states: list[str], first: Callable, step: Callable, first_sql: list[str], step_sql: list[str]) -> list[str]:
+        """State machines: the states after each row, from the state before it (in SQL r.<state>) and the row (t.<input>).
+
+        first and step are functions of the row's inputs, and of the states and the row's inputs, that return the states.
+        """
+        inputs = [self.col(x) for x in inputs]
+        names = [f"x{self.made + k}" for k in range(len(states))]
+        self.made += len(states)
+        self.steps.append(("fold", names, inputs, states, first, step, first_sql, step_sql))
+        return names
+
     # Spark
 
     def apply(self, bars: DataFrame) -> DataFrame:
@@ -79,6 +90,8 @@ class Chain:
                 df = df.withColumn(step[1], F.expr(step[2]))
             elif step[0] == "ema":
                 df = _ema(df, *step[1:])
+            elif step[0] == "fold":
+                df = _fold(df, *step[1:6])
             else:
                 df = _scan(df, *step[1:])
         return df.select(*(f"`{c}`" for c in keep), *(F.expr(e).alias(n) for n, e in self.out.items()))
@@ -99,6 +112,15 @@ class Chain:
                 parts.append(f"t{k} as materialized (select symbol, i, {x} as x, i - {first} - {max(seed, 1) - 1} as q, {start} as seed from {last})")
                 parts.append(f"r{k} as (select symbol, i, seed as y from t{k} where q = 0 union all select t.symbol, t.i, {num(a)} * t.x + {num(1 - a)} * r.y from r{k} r join t{k} t on t.symbol = r.symbol and t.i = r.i + 1)")
                 parts.append(f"s{k} as materialized (select p.*, r.y as {name} from {last} p left join r{k} r using (symbol, i))")
+            elif step[0] == "fold":
+                _, names, inputs, states, _, _, first_sql, step_sql = step
+                rows = ", ".join(f"{x} as in{j}" for j, x in enumerate(inputs))
+                starts = ", ".join(f"{e} as {n}" for e, n in zip(first_sql, states))
+                moves = ", ".join(step_sql)
+                parts.append(f"t{k} as materialized (select symbol, i, {rows} from {last})")
+                parts.append(f"r{k} as (select symbol, i, {starts} from t{k} t where i = 0 union all select t.symbol, t.i, {moves} from r{k} r join t{k} t on t.symbol = r.symbol and t.i = r.i + 1)")
+                values = ", ".join(f"r.{n} as {x}" for n, x in zip(states, names))
+                parts.append(f"s{k} as materialized (select p.*, {values} from {last} p left join r{k} r using (symbol, i))")
             else:
                 _, name, a, b = step
                 parts.append(f"t{k} as materialized (select symbol, i, {a} as a, {b} as b from {last})")
@@ -147,3 +169,16 @@ def _scan(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
     return df.groupBy("symbol").applyInPandas(each, schema)
 
 
+
+
+def _fold(df: DataFrame, names: list[str], inputs: list[str], states: list[str], first: Callable, step: Callable) -> DataFrame:
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{n} double" for n in names)])
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts", kind="stable")
+        out: list[tuple] = []
+        for row in zip(*(rows[x].astype(object).where(rows[x].notna(), None).tolist() for x in inputs)):
+            out.append(step(*out[-1], *row) if out else first(*row))
+        return rows.assign(**{n: pd.Series([x[j] for x in out], index=rows.index, dtype="float64") for j, n in enumerate(names)})
+
+    return df.groupBy("symbol").applyInPandas(each, schema)
