@@ -21,12 +21,14 @@ PLUGINS = "adr adr_percent adx alligator alma aroon atr awesome bb bb_bandwidth
 #: Constant lines that a plugin draws.
 LINES = {"bop": {"zero": 0}, "bull_bear_power": {"zero": 0}, "fisher": {"zero": 0}, "rsi": {"overbought": 70, "oversold": 30, "midline": 50}, "woodies_cci": {"plus100": 100, "minus100": -100, "zero": 0}}
 #: Outputs that aren't rounded.
-EXACT = {"over", "under", "either", "nvi", "pvi", "mcginley", "is_bullish", "is_strong_trend", "is_uptrend"}
+EXACT = {"nvi", "pvi", "mcginley"}
+#: Outputs that are true or false; before the indicator is ready false.
+TESTS = {"over", "under", "either", "is_bullish", "is_strong_trend", "is_uptrend"}
 
 
 def rounded(out: dict[str, str], digits: int = 6) -> dict[str, str]:
     """Some decimals, so that sums in another order compare equal; -0 as 0."""
-    return {k: e if k in EXACT else f"round({e}, {digits}) + 0e0" for k, e in out.items()}
+    return {k: f"coalesce({e}, false)" if k in TESTS else e if k in EXACT else f"round({e}, {digits}) + 0e0" for k, e in out.items()}
 
 
 def indicator(make: Callable[[Chain], dict[str, str]], digits: int = 6) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
