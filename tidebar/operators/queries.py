@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import tidebar.operators.state  # noqa: F401  (adds to TA)
-from tidebar.operators.ta import TA
+from tidebar.operators.patterns import GROUPS, SIGNALS, counts, group
+from tidebar.operators.ta import TA, cross
 from tidebar.operators.waiting import WAITING
 from tidebar.plans.chain import Chain
 from tidebar.sources.candles import hourly, wall
@@ -28,7 +29,7 @@ TESTS = {"over", "under", "either", "is_bullish", "is_strong_trend", "is_uptrend
 
 def rounded(out: dict[str, str], digits: int = 6) -> dict[str, str]:
     """Some decimals, so that sums in another order compare equal; -0 as 0."""
-    return {k: f"coalesce({e}, false)" if k in TESTS else e if k in EXACT else f"round({e}, {digits}) + 0e0" for k, e in out.items()}
+    return {k: e if e.startswith("coalesce(") and e.endswith(", false)") else f"coalesce({e}, false)" if k in TESTS else e if k in EXACT else f"round({e}, {digits}) + 0e0" for k, e in out.items()}
 
 
 def indicator(make: Callable[[Chain], dict[str, str]], digits: int = 6) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
@@ -52,5 +53,7 @@ DIGITS = {"envelope": 9, "covariance": 9}
 
 MADE = {f"ta_{name}": indicator(f, DIGITS.get(name, 6)) for name, f in TA.items()} | {name: indicator(_with_lines(name), DIGITS.get(name, 6)) for name in PLUGINS}
 MADE |= {f"s_{name}": indicator(f, DIGITS.get(name, 6)) for name, f in WAITING.items()}
+MADE |= {k: indicator(group(names)) for k, names in GROUPS.items()} | {"pt_detect": indicator(counts)}
+MADE |= {k: indicator(f) for k, f in SIGNALS.items()} | {"sg_cross": indicator(cross), "sg_buffer": indicator(lambda c: cross(c, 5, 10))}
 QUERIES = {k: q for k, (q, _) in MADE.items()}
 ORACLE_SQL = {k: s for k, (_, s) in MADE.items()}
