@@ -45,7 +45,14 @@ class Chain:
                 return step[1]
         name = f"x{self.made}"
         self.made += 1
-        self.steps.append(("cols", name, expr))
+        self.steps.append(("cols", name, expr, expr))
+        return name
+
+    def both(self, spark: str, other: str) -> str:
+        """A column whose expression differs between Spark SQL and the oracle's dialect (lists and lambdas)."""
+        name = f"x{self.made}"
+        self.made += 1
+        self.steps.append(("cols", name, spark, other))
         return name
 
     def ema(self, source: str, k: float, seed: int) -> str:
@@ -104,7 +111,7 @@ class Chain:
         last = "s0"
         for k, step in enumerate(self.steps, 1):
             if step[0] == "cols":
-                parts.append(f"s{k} as materialized (select *, {step[2]} as {step[1]} from {last})")
+                parts.append(f"s{k} as materialized (select *, {step[3]} as {step[1]} from {last})")
             elif step[0] == "ema":
                 _, name, x, a, seed = step
                 first = f"min(case when {x} is not null then i end) over (partition by symbol)"
