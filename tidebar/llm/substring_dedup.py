@@ -103,16 +103,41 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
+def holders(docs: DataFrame, digests: list[int]) -> DataFrame:
+    """(digest, first, last): the smallest and largest doc of each of these chunks; each task sends a row a chunk at most."""
+    wanted = docs.sparkSession.sparkContext.broadcast(sorted(digests))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = np.array(wanted.value, np.int64)
+        first, last = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        for b in batches:
+            digest, doc = b.column("digest").to_numpy(), b.column("doc").to_numpy()
+            at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+            hit = known[at] == digest
+            np.minimum.at(first, at[hit], doc[hit])
+            np.maximum.at(last, at[hit], doc[hit])
+        seen = first <= last
+        yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (known, first, last)], ["digest", "first", "last"])
+
+    found = chunks(docs).select("digest", "doc").mapInArrow(each, "digest long, first long, last long")
+    return found.groupBy("digest").agg(F.min("first").alias("hot_first"), F.max("last").alias("hot_last"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """The chunks that more than one document holds, with first (the smallest doc) and last (the largest)."""
     docs = docs.select("doc_id", "text")
     some = chunks(docs.where(F.pmod(row_hash(), F.lit(LOOK)) == 0)).groupBy("digest").agg(F.count("*").alias("n"))
     some = kept(some.where("n > 1"), "look")
     total = some.agg(F.sum("n")).first()[0] or 0
-    common = F.broadcast(some.where(F.col("n") > max(HOT_SHARE * total, 8)).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).select("digest"))
-    hot = chunks(docs).select("digest", "doc").join(common, "digest").groupBy("digest").agg(F.min("doc").alias("hot_first"), F.max("doc").alias("hot_last"))
-    hot = kept(hot, "common-chunks")
-    rows = chunks(docs).join(F.broadcast(hot), "digest", "left")
+    # Very common chunks, of which there can be 1 / HOT_SHARE at most, are looked up in each task; the rest meet by digest.
+    common = [r["digest"] for r in some.where(F.col("n") > max(HOT_SHARE * total, 8)).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
+    rows = chunks(docs)
+    if common:
+        rows = rows.join(F.broadcast(kept(holders(docs, common), "common-chunks")), "digest", "left")
+    else:
+        rows = rows.withColumns({x: F.lit(None).cast("long") for x in ("hot_first", "hot_last")})
     rows = rows.withColumn("salt", F.when(F.col("hot_first").isNotNull(), 1 + F.pmod(F.col("row"), F.lit(SALTS))).otherwise(0).cast("int"))
     of_chunk = W.partitionBy("digest", "salt")
     rows = rows.withColumn("first", F.coalesce("hot_first", F.min("doc").over(of_chunk))).withColumn("last", F.coalesce("hot_last", F.max("doc").over(of_chunk)))
