@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.functions import lit
 
 import corpus_pipeline
 from tests.llm.helpers import frame, odd_rows, sentence
@@ -45,3 +46,14 @@ def test_stages_on_nothing(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_columns_with_names_of_the_operators_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = {c: lit(f"mine {c}") for c in ("score", "lang_pred", "held_out", "keep", "kept_text", "n_lines", "n_dropped", "row", "fp", "root", "n")}
+    docs = docs.withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        columns = docs.columns
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+    assert all(r[c] == f"mine {c}" for r in docs.limit(50).collect() for c in clash)
