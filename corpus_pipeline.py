@@ -18,19 +18,27 @@ from tidebar.llm.simhash import dedup_near
 LEAST_SHARE = 0.4
 
 
+def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
+    """docs with the columns that an operator doesn't use under names that it can't replace, and how to select them back."""
+    names = {c: f"__in{k}" for k, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language that was learned, without letters or without a main language go."""
-    out = identify(docs)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    docs, columns = shielded(docs, ["doc_id", "text", "lang"])
+    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated lines, n_chars follows; documents of which nothing is left go."""
+    kind = docs.schema["n_chars"].dataType
+    docs, columns = shielded(docs, ["doc_id", "text", "n_chars"])
     out = dedup_lines(docs)
-    n_chars = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    n_chars = F.char_length("kept_text").cast(kind)
     changed = out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
     changed = changed.withColumn("n_chars", F.when(F.col("n_dropped") > 0, n_chars).otherwise(F.col("n_chars")))
-    return changed.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))).select(*docs.columns)
+    return changed.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))).select(*columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
