@@ -112,7 +112,7 @@ def optimal_f(bars: DataFrame) -> DataFrame:
 
 def exposures(orders: DataFrame, customers: DataFrame, nations: DataFrame) -> DataFrame:
     """Positions (an order of a customer) by sector (the customer's nation), with the share of all."""
-    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     sums = rows.groupBy(F.col("n_name").alias("sector")).agg(F.sum("o_totalprice").alias("notional"), F.count("*").alias("n"))
     return sums.withColumn("share", F.col("notional") / F.sum("notional").over(W.partitionBy()))
 
