@@ -69,7 +69,9 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     limit = max(total * HOT_SHARE, 1)
     hot = right.where(F.col(count) > limit).select(*keys, *(F.col(c).alias(f"__hot_{c}") for c in values), F.lit(True).alias("__hot"))
     cold = right.where(F.col(count) <= limit).select(*keys, *values, F.lit(0).alias("__salt"))
-    salt = F.when(F.col("__hot"), 1 + F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int")
+    # By the row's own values, so that a task that runs again after a loss deals its rows as before.
+    own = F.xxhash64(*(F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind))
+    salt = F.when(F.col("__hot"), 1 + F.pmod(own, F.lit(SALTS))).otherwise(0).cast("int")
     out = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).join(cold, [*keys, "__salt"], "left")
     merged = [F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]
     return out.select(*(F.col(f"`{c}`") for c in left.columns), *merged)
