@@ -350,6 +350,27 @@ def test_repeated_passages_with_a_common_chunk(spark):
     assert {x["doc"] for x in found} == set(range(400)) and {x["first_doc"] for x in found} == {0}
 
 
+def test_repeated_passages_of_just_the_least_length(spark):
+    rows = []
+    for i in range(120):
+        r = random.Random(i)
+        vocabulary = "abcdefghij" if i % 4 == 0 else [f"w{k}" for k in range(5000)]  # one-letter words: the fewest bytes
+        words = lambda n: " ".join(r.choices(vocabulary, k=n))  # noqa: E731, B023
+        passage = words(50 + i % 6 if i < 110 else 49)
+        for doc in (2 * i, 2 * i + 1):
+            rows.append((doc, f"{words(r.randrange(90))} {'(' * (i % 3 == 0)}L{doc} {passage} R{doc} {words(r.randrange(90))}"))
+    found = substring_dedup.find_repeats(frame(spark, rows)).collect()
+    assert {x["doc"] for x in found} == set(range(220))
+    assert all(x["n_words"] >= 50 for x in found) and all(x["n_words"] == 50 + x["doc"] // 2 % 6 for x in found)
+
+
+def test_passages_put_together_from_two_documents_stay(spark):
+    one, two = sentence(500, 26, 5000), sentence(501, 26, 5000)
+    rows = [(1, f"{sentence(1, 80, 5000)} {one} {sentence(2, 80, 5000)}"), (2, f"{sentence(3, 80, 5000)} {two} {sentence(4, 80, 5000)}"), (3, f"{sentence(5, 80, 5000)} {one} {two} {sentence(6, 80, 5000)}")]
+    assert not substring_dedup.find_repeats(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(frame(spark, rows)).collect()} == dict(rows)
+
+
 def test_chunks_cover_the_text_and_resist_shifts():
     text = sentence(3, 500).encode()
     ends = substring_dedup.chunk_ends(text)

@@ -1,13 +1,15 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the text's bytes; where its leading bits are zero a chunk ends, so chunk ends depend on the last 16
-bytes only and an insertion shifts no chunk but its own. Chunks are matched by a 64-bit digest across documents; runs of
-matched chunks are the repeated passages. The first holder (the smallest id) keeps a passage.
+A gear hash rolls over the text's bytes and is read at the ends of words; of every WINDOW words in a row the one of the
+smallest hash ends a chunk. So chunk ends depend on the bytes around them only, and two texts with a passage in common
+have its chunks in common but for some words at its edges. Chunks are matched by a 64-bit digest across documents; runs of
+matched chunks are where repeated passages may be. There every passage of `min_words` words is matched by its own digest,
+so what is reported is held in one piece by another document. The first holder (the smallest id) keeps a passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import HOT_SHARE, SALTS, kept
 
-#: Bytes: a chunk has at least LEAST, at most MOST, and 2**BITS more than LEAST on average.
-LEAST, MOST, BITS = 16, 128, 4
+#: Bytes that a chunk has at most, and words of which one ends a chunk.
+MOST, WINDOW = 128, 8
+#: Words before a passage's own that its hashes may depend on (16 bytes), and one at its end that punctuation may follow.
+BEFORE, AFTER = 8, 1
 MIN_WORDS = 50
 #: One in so many documents is looked at to find very common chunks, which are then counted in all.
 LOOK = 64
@@ -32,7 +36,16 @@ def _gear():
     return np.array([xxhash.xxh64_intdigest(bytes([i]), 7) & 0xFFFF for i in range(256)], np.uint16)
 
 
-def chunk_ends(data: bytes) -> list[int]:
+def words_of(raw):
+    """Where the words of UTF-8 bytes (an array) begin and end."""
+    import numpy as np
+
+    word = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def chunk_ends(data: bytes, window: int = WINDOW) -> list[int]:
     """Ends of the chunks of UTF-8 bytes, the last of which is the length; none inside a character."""
     import numpy as np
 
@@ -40,33 +53,30 @@ def chunk_ends(data: bytes) -> list[int]:
     h = _gear()[b]
     for by in (1, 2, 4, 8):  # sums over 2, 4, 8 and 16 bytes, older bytes shifted further
         h = np.concatenate([h[:by], h[by:] + (h[:-by] << by)]) if len(h) > by else h
+    at = words_of(b)[1]
+    # The hash, then the number upside down: the least is the smallest hash, and the rightmost of equals.
+    least = (h[at - 1].astype(np.int64) << 40) | ((1 << 40) - 1 - np.arange(len(at)))
+    have = 1
+    while have < window:
+        by = min(have, window - have)
+        least = np.minimum(least[:-by], least[by:])
+        have += by
+    cuts = at[np.unique((1 << 40) - 1 - (least & ((1 << 40) - 1)))].tolist()
     ends, last = [], 0
-    whole = (b[1:] & 0xC0) != 0x80
-    for end in (np.flatnonzero(((h[:-1] >> (16 - BITS)) == 0) & whole) + 1).tolist():
+    for end in [*cuts, len(data)]:
         while end - last > MOST:
             last += MOST
             while data[last] & 0xC0 == 0x80:
                 last -= 1
             ends.append(last)
-        if end - last >= LEAST:
+        if end > last:
             ends.append(end)
             last = end
-    while len(data) - last > MOST:
-        last += MOST
-        while data[last] & 0xC0 == 0x80:
-            last -= 1
-        ends.append(last)
-    if last < len(data):
-        ends.append(len(data))
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """documents -> (digest, doc, row, idx, start, n_chars, n_words, around) in order; start and n_chars in code points.
-
-    doc is the id (for a null id a hash of the row); around: the words of the chunks before and after, the former times
-    1000 plus the latter (a chunk has at most 64).
-    """
+def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, row, text) -> (digest, doc, row, idx, word, n_words) in order; word: the words that begin before the chunk."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -74,38 +84,72 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            parts: list[list] = [[] for _ in range(8)]
+            parts: list[list] = [[] for _ in range(6)]
             for doc, row, text in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
                 if not text:
                     continue
                 data = text.encode()
-                ends = chunk_ends(data)
+                ends = chunk_ends(data, window)
                 starts = [0, *ends[:-1]]
-                raw = np.frombuffer(data, np.uint8)
-                space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-                word = ~space
-                word[1:] &= space[:-1]
-                words = np.add.reduceat(word, starts, dtype=np.int32)
-                chars = np.add.reduceat((raw & 0xC0) != 0x80, starts, dtype=np.int32)
-                sides = np.concatenate([[0], words, [0]])
+                word = np.searchsorted(words_of(np.frombuffer(data, np.uint8))[0], [0, *ends]).astype(np.int32)
                 found = np.array([digest(data[i:j]) for i, j in zip(starts, ends)], np.uint64).view(np.int64)
                 n = len(ends)
-                for part, x in zip(parts, (found, np.full(n, doc), np.full(n, row), np.arange(n, dtype=np.int32), np.cumsum(chars, dtype=np.int32) - chars, chars, words, (sides[:-2] * 1000 + sides[2:]).astype(np.int32))):
+                for part, x in zip(parts, (found, np.full(n, doc), np.full(n, row), np.arange(n, dtype=np.int32), word[:-1], np.diff(word))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["digest", "doc", "row", "idx", "start", "n_chars", "n_words", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["digest", "doc", "row", "idx", "word", "n_words"])
+
+    return docs.select("doc", "row", "text").mapInArrow(each, "digest long, doc long, row long, idx int, word int, n_words int")
+
+
+def passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, row, text, spans) -> (digest, doc, row, word, start, stop) of every `min_words` words in a row inside the spans.
+
+    spans are arrays of (first word, word after the last). Punctuation before the first word and after the last is left
+    out; start and stop are in code points.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
 
-    row = row_hash()
-    return docs.select("text", row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), row).alias("doc")).mapInArrow(each, "digest long, doc long, row long, idx int, start int, n_chars int, n_words int, around int")
+        digest = xxhash.xxh64_intdigest
+        core = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+        for b in batches:
+            for doc, row, text, spans in zip(*(b.column(x).to_pylist() for x in ("doc", "row", "text", "spans"))):
+                data = text.encode()
+                raw = np.frombuffer(data, np.uint8)
+                begin, end = words_of(raw)
+                inner = np.flatnonzero(core[raw])
+                i, j = np.searchsorted(inner, begin), np.searchsorted(inner, end)
+                some = j > i
+                begin[some], end[some] = inner[i[some]], inner[j[some] - 1] + 1
+                wanted = np.zeros(len(begin) + 1, np.int32)
+                for x in spans:
+                    first, last = max(0, x["first"]), min(len(begin), x["last"]) - min_words + 1
+                    if first < last:
+                        wanted[first] += 1
+                        wanted[last] -= 1
+                word = np.flatnonzero(np.cumsum(wanted) > 0)
+                if not len(word):
+                    continue
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                starts, stops = begin[word], end[word + min_words - 1]
+                found = np.array([digest(data[x:y]) for x, y in zip(starts.tolist(), stops.tolist())], np.uint64).view(np.int64)
+                n = len(word)
+                columns = (found, np.full(n, doc), np.full(n, row), word.astype(np.int32), chars[starts].astype(np.int32), chars[stops].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["digest", "doc", "row", "word", "start", "stop"])
+
+    return docs.select("doc", "row", "text", "spans").mapInArrow(each, "digest long, doc long, row long, word int, start int, stop int")
 
 
 def row_hash() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def holders(docs: DataFrame, digests: list[int]) -> DataFrame:
-    """(digest, first, last): the smallest and largest doc of each of these chunks; each task sends a row a chunk at most."""
-    wanted = docs.sparkSession.sparkContext.broadcast(sorted(digests))
+def holders(rows: DataFrame, digests: list[int]) -> DataFrame:
+    """(digest, first, last): the smallest and largest doc of each of these digests; each task sends a row a digest at most."""
+    wanted = rows.sparkSession.sparkContext.broadcast(sorted(digests))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -121,47 +165,71 @@ def holders(docs: DataFrame, digests: list[int]) -> DataFrame:
         seen = first <= last
         yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (known, first, last)], ["digest", "first", "last"])
 
-    found = chunks(docs).select("digest", "doc").mapInArrow(each, "digest long, first long, last long")
+    found = rows.select("digest", "doc").mapInArrow(each, "digest long, first long, last long")
     return found.groupBy("digest").agg(F.min("first").alias("hot_first"), F.max("last").alias("hot_last"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks that more than one document holds, with first (the smallest doc) and last (the largest)."""
-    docs = docs.select("doc_id", "text")
-    some = chunks(docs.where(F.pmod(row_hash(), F.lit(LOOK)) == 0)).groupBy("digest").agg(F.count("*").alias("n"))
+def repeated(docs: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs whose digest more than one document holds, with first (the smallest doc)."""
+    some = rows_of(docs.where(F.pmod("row", F.lit(LOOK)) == 0)).groupBy("digest").agg(F.count("*").alias("n"))
     some = kept(some.where("n > 1"), "look")
     total = some.agg(F.sum("n")).first()[0] or 0
-    # Very common chunks, of which there can be 1 / HOT_SHARE at most, are looked up in each task; the rest meet by digest.
+    # Very common digests, of which there can be 1 / HOT_SHARE at most, are looked up in each task; the rest meet by digest.
     common = [r["digest"] for r in some.where(F.col("n") > max(HOT_SHARE * total, 8)).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
-    rows = chunks(docs)
+    rows = rows_of(docs)
     if common:
-        rows = rows.join(F.broadcast(kept(holders(docs, common), "common-chunks")), "digest", "left")
+        rows = rows.join(F.broadcast(kept(holders(rows, common), "common-chunks")), "digest", "left")
     else:
         rows = rows.withColumns({x: F.lit(None).cast("long") for x in ("hot_first", "hot_last")})
     rows = rows.withColumn("salt", F.when(F.col("hot_first").isNotNull(), 1 + F.pmod(F.col("row"), F.lit(SALTS))).otherwise(0).cast("int"))
     of_chunk = W.partitionBy("digest", "salt")
     rows = rows.withColumn("first", F.coalesce("hot_first", F.min("doc").over(of_chunk))).withColumn("last", F.coalesce("hot_last", F.max("doc").over(of_chunk)))
-    return rows.where("first != last").drop("salt", "hot_first", "hot_last", "digest")
+    return rows.where("first != last").drop("salt", "hot_first", "hot_last", "last", "digest")
+
+
+def candidates(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, row, text) -> doc, row, text, spans: the words around runs of repeated chunks that a passage may lie in.
+
+    Of a passage's words the chunk ends are sure where the hashes and all windows lie inside it, and one of every `window`
+    is an end. So its own chunks are a run of `least` words or more, with fewer than `beside` words of it on either side.
+    """
+    window = min(WINDOW, (min_words - BEFORE - AFTER - 1) // 5)
+    if window < 1:
+        raise ValueError(f"min_words must be {BEFORE + AFTER + 6} or more")
+    least, beside = min_words - 1 - AFTER - BEFORE - 4 * (window - 1), BEFORE + AFTER + 2 * window
+    rows = repeated(docs, lambda d: chunks(d, window)).repartition("row").dropDuplicates(["row", "idx"])
+    rows = rows.withColumn("run", F.col("idx") - F.row_number().over(W.partitionBy("row").orderBy("idx")))
+    runs = rows.groupBy("row", "run").agg(F.min("word").alias("first"), F.max(F.col("word") + F.col("n_words")).alias("last"))
+    runs = runs.where(F.col("last") - F.col("first") >= least)
+    span = F.struct((F.col("first") - beside).alias("first"), (F.col("last") + beside).alias("last"))
+    return docs.join(runs.groupBy("row").agg(F.collect_list(span).alias("spans")), "row").dropDuplicates(["row"])
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents -> (doc, row, start, n_chars, n_words, first_doc, cuts) for each passage that other documents hold too.
 
-    A passage is a run of repeated chunks; as its true ends lie inside the chunks beside it, their words count towards
-    `min_words` (so none of that length is lost, and one some words shorter may be found). first_doc is the smallest
-    holder of its chunks; cuts are the parts (start, n_chars in code points) that a smaller document holds. Null or empty
-    texts have no passages; rows that repeat id and text are one document; a null id is stood for by a hash.
+    Every `min_words` whole words in a row (less punctuation at either end) that another document holds too, white space
+    included, are found; those that overlap are one passage. first_doc is the smallest of their holders; cuts are the
+    parts (start, n_chars in code points) that a smaller document holds. Null or empty texts have no passages; rows that
+    repeat id and text are one document; a null id is stood for by a hash.
     """
-    rows = repeated_chunks(docs).dropDuplicates(["row", "idx"])
-    in_row = W.partitionBy("row").orderBy("idx")
-    rows = rows.withColumn("run", F.col("idx") - F.row_number().over(in_row))
-    cut = F.when(F.col("first") != F.col("doc"), F.struct("start", "n_chars"))
-    runs = rows.groupBy("row", "run").agg(
-        F.first("doc").alias("doc"), F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.sum("n_words").alias("n_words"),
-        F.min("first").alias("first_doc"), F.sort_array(F.collect_list(cut)).alias("cuts"),
-        (F.floor(F.min_by("around", "idx") / 1000) + F.max_by("around", "idx") % 1000).alias("beside"),
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), row_hash()).alias("doc"), row_hash().alias("row"), "text").where("text != ''")
+    found = kept(candidates(docs, min_words), "candidates")
+    rows = repeated(found, lambda d: passages(d, min_words))
+    in_row = W.partitionBy("row").orderBy("word")
+    sofar, before = in_row.rowsBetween(W.unboundedPreceding, 0), in_row.rowsBetween(W.unboundedPreceding, -1)
+    apart = lambda previous: F.when(F.col("word") - previous < min_words, 0).otherwise(1)
+    word_cut = F.when(F.col("first") != F.col("doc"), F.col("word"))
+    rows = rows.withColumn("word_cut", word_cut).withColumn("run", apart(F.lag("word").over(in_row)))
+    rows = rows.withColumn("cut", F.when(F.col("word_cut").isNotNull(), apart(F.last("word_cut", ignorenulls=True).over(before))).otherwise(0))
+    rows = rows.withColumn("run", F.sum("run").over(sofar)).withColumn("cut", F.when(F.col("word_cut").isNotNull(), F.sum("cut").over(sofar)))
+    pieces = rows.groupBy("row", "run", "cut").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("word").alias("last"), F.min("first").alias("first"))
+    cut = F.when(F.col("cut").isNotNull(), F.struct("start", (F.col("stop") - F.col("start")).cast("long").alias("n_chars")))
+    runs = pieces.groupBy("row", "run").agg(
+        F.first("doc").alias("doc"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).cast("long").alias("n_chars"),
+        (F.max("last") - F.min("word") + min_words).cast("long").alias("n_words"), F.min("first").alias("first_doc"), F.sort_array(F.collect_list(cut)).alias("cuts"),
     )
-    return runs.where(F.col("n_words") + F.col("beside") >= min_words).drop("run", "beside")
+    return runs.drop("run")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
