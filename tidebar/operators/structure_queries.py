@@ -35,8 +35,8 @@ def _entropies() -> Chain:
 
 
 def _regimes(b):
-    name, sure = s.regime(F.col("shannon"), F.lit(None).cast("double"), F.col("permutation"))
-    return _entropies().apply(b).select("symbol", TS(), name.alias("regime"), r(sure, "confidence"))
+    name, sure = s.regime(F.col("shannon"), F.col("complexity"), F.col("permutation"))
+    return _entropies().apply(b).join(s.lempel_ziv(b), ["symbol", "ts"]).select("symbol", TS(), name.alias("regime"), r(sure, "confidence"))
 
 
 add(
