@@ -1,4 +1,4 @@
-"""Regimes against loops in Python."""
+"""Regimes and trend lines against loops in Python."""
 
 import math
 import random
@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidebar.operators.structure_queries import _entropies, _regimes
+from tidebar.operators.waves import trendlines
 
 START = datetime(2024, 1, 1)
 
@@ -60,3 +61,34 @@ def test_regime_by_three_entropies(spark):
         name, sure = brute_regime(*entropies)
         assert got[at]["regime"] == name and got[at]["confidence"] == pytest.approx(sure, abs=1e-6)
     assert "random" in {x["regime"] for x in got.values()}
+
+
+def test_trendlines_use_all_swings(spark):
+    closes = [100 + (i % 6 - 3 if i % 6 < 3 else 3 - i % 6) * 0.5 + random.Random(i).random() for i in range(420)]
+    closes[40:340] = [c + 30 * math.sin(i) for i, c in enumerate(closes[40:340])]
+    highs, lows = [], []
+    for i in range(2, len(closes) - 2):
+        around = closes[i - 2 : i] + closes[i + 1 : i + 3]
+        if closes[i] >= max(around):
+            highs.append((i, closes[i] + 0.1))
+        if closes[i] <= min(around):
+            lows.append((i, closes[i] - 0.1))
+    assert min(len(highs), len(lows)) > 60
+    mean, lines = sum(closes) / len(closes), []
+    for kind, points in (("high", highs), ("low", lows)):
+        for i, (x, y) in enumerate(points):
+            for u, v in points[i + 1 :]:
+                slope = (v - y) / (u - x)
+                if slope < -0.01 if kind == "low" else slope > 0.01:
+                    continue
+                away = [0.0 if p in (x, u) else abs(q - y - slope * (p - x)) / mean for p, q in points]
+                away = [d for d in away if d < 0.01]
+                if len(away) >= 3:
+                    lines.append((-len(away) / (1 + 10 * sum(away)), kind, x, u, len(away)))
+    best = sorted(lines)[:6]
+    bars = frame(spark, closes)
+    for block in (256, 7):
+        hour = lambda t: round((t - START).total_seconds() / 3600)
+        got = sorted((-x["strength"], x["kind"], hour(x["start"]), hour(x["end"]), x["touches"]) for x in trendlines(bars, block=block).collect())
+        assert [x[1:] for x in got] == [x[1:] for x in best]
+        assert [x[0] for x in got] == pytest.approx([x[0] for x in best])

@@ -77,23 +77,24 @@ def targets(bars: DataFrame) -> DataFrame:
     return rows.select("symbol", *((F.col("p4") + k * (F.col("p1") - F.col("p0"))).alias(n) for n, k in (("near", 0.618), ("equal", 1.0), ("far", 1.618))))
 
 
-def trendlines(bars: DataFrame, latest: int = 40, tolerance: float = 0.01, least: int = 3, most: int = 6) -> DataFrame:
-    """Lines through two of a symbol's `latest` swings of a kind (rising or flat through lows, falling or flat through highs).
+def trendlines(bars: DataFrame, tolerance: float = 0.01, least: int = 3, most: int = 6, block: int = 256) -> DataFrame:
+    """Lines through two of a symbol's swings of a kind (rising or flat through lows, falling or flat through highs).
 
-    A line's touches are the swings near it; the strongest lines are returned. The number of swings looked at is the bound that keeps
-    pairs few; it is part of the definition, as a chart shows a bounded history.
+    A line's touches are the swings near it; the `most` strongest lines of a symbol are returned. Touches are counted by
+    blocks of swings and the counts added up, so no row holds more than a block.
     """
-    points = swings(bars, 2).withColumn("n", F.row_number().over(W.partitionBy("symbol", "kind").orderBy(F.desc("ts")))).where(F.col("n") <= latest)
-    points = points.join(bars.groupBy("symbol").agg(F.avg("c").alias("mean")), "symbol").withColumn("x", F.unix_seconds("ts") / 3600.0)
-    lists = points.groupBy("symbol", "kind", "mean").agg(F.sort_array(F.collect_list(F.struct("x", "price"))).alias("ps"))
-    a = lists.select("symbol", "kind", "mean", "ps", F.posexplode("ps").alias("i", "a"))
-    b = a.select("symbol", "kind", "mean", "ps", "a", F.explode(F.slice("ps", F.col("i") + 2, F.lit(latest))).alias("b"))
+    keys = ["symbol", "kind"]
+    points = swings(bars, 2).join(bars.groupBy("symbol").agg(F.avg("c").alias("mean")), "symbol").withColumn("x", F.unix_seconds("ts") / 3600.0)
+    a, b = (points.select(*keys, *more, F.struct("x", "price").alias(name)) for name, more in (("a", ["mean"]), ("b", [])))
     slope = (F.col("b.price") - F.col("a.price")) / (F.col("b.x") - F.col("a.x"))
-    lines = b.withColumn("slope", slope).where(F.when(F.col("kind") == "low", F.col("slope") >= -tolerance).otherwise(F.col("slope") <= tolerance))
+    lines = a.join(b, keys).where("a.x < b.x").withColumn("slope", slope)
+    lines = lines.where(F.when(F.col("kind") == "low", F.col("slope") >= -tolerance).otherwise(F.col("slope") <= tolerance))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("ts"))
+    blocks = points.withColumn("block", F.floor(number / block)).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("x", "price"))).alias("ps"))
     away = F.transform("ps", lambda p: F.when((p["x"] == F.col("a.x")) | (p["x"] == F.col("b.x")), 0.0).otherwise(F.abs(p["price"] - F.col("a.price") - F.col("slope") * (p["x"] - F.col("a.x"))) / F.col("mean")))
-    lines = lines.withColumn("near", F.filter(away, lambda d: d < tolerance)).withColumn("touches", F.size("near"))
-    strength = F.col("touches") / (1 + 10 * F.aggregate("near", F.lit(0.0), lambda s, d: s + d))
-    found = lines.where(F.col("touches") >= least).withColumn("strength", strength)
+    near = lines.join(blocks, keys).withColumn("near", F.filter(away, lambda d: d < tolerance)).where(F.size("near") > 0)
+    sums = near.groupBy(*keys, "a", "b", "slope").agg(F.sum(F.size("near")).alias("touches"), F.sum(F.aggregate("near", F.lit(0.0), lambda s, d: s + d)).alias("away"))
+    found = sums.where(F.col("touches") >= least).withColumn("strength", F.col("touches") / (1 + 10 * F.col("away")))
     order = W.partitionBy("symbol").orderBy(F.desc("strength"), "kind", "a.x", "b.x")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("symbol", "kind", F.timestamp_seconds(F.col("a.x") * 3600).alias("start"), F.timestamp_seconds(F.col("b.x") * 3600).alias("end"), "slope", "touches", "strength")
 
