@@ -289,6 +289,15 @@ def test_language_mixture_proportions(spark):
     assert model.languages[best[0]] == "en" and 0.55 < share[0] < 0.8 and share[1] > 0.95
 
 
+def test_languages_are_all_learned(spark):
+    words = lambda k: " ".join(f"{a}{b}{c}" for a, b, c in [[chr(0x4E00 + 3 * k + x) for x in t] for t in ((0, 1, 2), (1, 2, 0), (2, 0, 1))])
+    rows = [(1000 * (j + 1) + k, f"{words(k)} {words(k)}", f"l{k:03}") for k in range(230) for j in range(2 if k < 200 else 1)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 230
+    best, share = language_id.mixtures([words(k) for k in range(230)], model)
+    assert best.tolist() == list(range(230)) and share.min() > 0.9
+
+
 def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify(frame(spark, odd_rows())).collect()} == {"und"}
     assert language_id.identify(frame(spark, EMPTY)).count() == 0

@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import part
 
-#: Trigrams are hashed to so many bins; a language takes 4 bytes a bin when the model is sent to tasks.
+#: Trigrams are hashed to so many bins; the model that is sent to tasks holds the bins that a language has.
 BINS = 1 << 16
 #: About so many documents of each language are learned from, chosen by hash.
 LEARN_DOCS = 2000
-#: The commonest languages are learned, up to so many.
-MAX_LANGUAGES = 200
 ROUNDS = 15
-#: Languages that a selected set has at most.
-MAX_SET = 3
+#: Languages of the sets that are always tried; larger ones while they are better.
+TRIED_SET = 3
+#: Numbers of words times languages that are held at a time, but for a single text.
+AT_ONCE = 4_000_000
 UNDETERMINED = "und"
 
 
@@ -59,8 +59,24 @@ def trigrams(texts: list[str]) -> Trigrams:
 
 @dataclass
 class Model:
+    """Log-probabilities (float32) of trigrams: `rest` of each language for the bins that it hasn't, and bin by bin the others."""
+
     languages: list[str]
-    log_p: object = field(repr=False)  #: float32, BINS x languages
+    rest: object = field(repr=False)
+    begin: object = field(repr=False)  #: where each bin's entries begin, and the end
+    language: object = field(repr=False)
+    log_p: object = field(repr=False)
+
+    def of(self, bins):
+        """float32, bins x languages."""
+        import numpy as np
+
+        some, at = np.unique(bins, return_inverse=True)
+        table = np.tile(self.rest, (len(some), 1))
+        first, n = self.begin[some], self.begin[some + 1] - self.begin[some]
+        entry = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        table[np.repeat(np.arange(len(some)), n), self.language[entry]] = self.log_p[entry]
+        return table[at]
 
 
 def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
@@ -71,13 +87,13 @@ def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
     """
     import numpy as np
 
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in sizes.collect())
     if not languages:
-        return Model([], np.zeros((BINS, 0), np.float32))
-    rate = {r["lang"]: min(1.0, docs_per_language / r["n"]) for r in sizes}
-    limit = F.element_at(F.create_map(*(F.lit(x) for k, v in rate.items() for x in (k, int(v * (1 << 30))))), F.col("lang"))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select("lang", "text")
+        return Model([], np.zeros(0, np.float32), np.zeros(BINS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    limit = (F.least(F.lit(1.0), docs_per_language / F.col("n")) * (1 << 30)).cast("long")
+    some = labelled.join(F.broadcast(sizes.select("lang", limit.alias("__limit"))), "lang")
+    some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("__limit")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, object] = {}
@@ -92,9 +108,13 @@ def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins), pa.array(n[bins])], ["lang", "bin", "n"])
 
     rows = some.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BINS, len(languages)))
-    counts[rows["bin"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = rows["n"]
-    return Model(languages, np.log((counts + 0.1) / (counts + 0.1).sum(axis=0)).astype(np.float32))
+    bins, n = rows["bin"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+    language = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    order = np.lexsort((language, bins))
+    bins, n, language = bins[order], n[order], language[order]
+    total = np.bincount(language, n, len(languages)) + 0.1 * BINS
+    begin = np.searchsorted(bins, np.arange(BINS + 1))
+    return Model(languages, np.log(0.1 / total).astype(np.float32), begin, language.astype(np.int32), np.log((n + 0.1) / total[language]).astype(np.float32))
 
 
 def one_line(text: str | None) -> str:
@@ -103,14 +123,22 @@ def one_line(text: str | None) -> str:
 
 def mixtures(texts: list[str], model: Model):
     """-> for each text the index of its language (-1: no letter) and its proportion."""
+    return fitted_mixtures(texts, model)[:2]
+
+
+def fitted_mixtures(texts: list[str], model: Model):
+    """-> for each text the index of its language (-1: no letter), its proportion, and whether it fits the languages.
+
+    It fits if the selected set makes it likelier than trigrams of equal chances do.
+    """
     import numpy as np
 
     k, n = len(model.languages), len(texts)
-    best, share = np.full(n, -1, np.int64), np.zeros(n)
+    best, share, fits = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, bool)
     grams = trigrams([one_line(x) for x in texts])
     if not k or not len(grams.word_at):
-        return best, share
-    by_word = np.concatenate([np.add.reduceat(model.log_p[grams.bins[a:b]], grams.word_at[i:j] - a, axis=0) for i, j, a, b in _slices(grams)])
+        return best, share, fits
+    by_word = np.concatenate([np.add.reduceat(model.of(grams.bins[a:b]), grams.word_at[i:j] - a, axis=0) for i, j, a, b in _slices(grams, max(1, AT_ONCE // (8 * k)))])
     by_word = np.maximum(by_word, by_word.max(axis=1, keepdims=True) - 30)
     docs, at = np.unique(grams.doc_of, return_index=True)
     n_words = np.diff([*at, len(by_word)])
@@ -119,7 +147,7 @@ def mixtures(texts: list[str], model: Model):
     p = np.exp(by_word - top)
     shift = np.add.reduceat(top[:, 0], at)
 
-    def fit(allowed):
+    def fit(allowed, p, at, n_words, shift):
         pi = allowed / allowed.sum(axis=1, keepdims=True)
         for _ in range(ROUNDS):
             r = p * np.repeat(pi, n_words, axis=0)
@@ -128,21 +156,29 @@ def mixtures(texts: list[str], model: Model):
         mixed = (p * np.repeat(pi, n_words, axis=0)).sum(axis=1)
         return pi, np.add.reduceat(np.log(np.maximum(mixed, 1e-300)), at) + shift
 
-    pi, _ = fit(np.ones((len(docs), k), np.float32))
+    pi, _ = fit(np.ones((len(docs), k), np.float32), p, at, n_words, shift)
     order = np.argsort(-pi, axis=1, kind="stable")
     chosen, proportion = alone.argmax(axis=1), np.ones(len(docs))
     value = alone.max(axis=1)
-    for size in range(2, min(MAX_SET, k) + 1):
-        allowed = np.zeros_like(pi)
-        np.put_along_axis(allowed, order[:, :size], 1, axis=1)
-        found, likelihood = fit(allowed)
-        penalised = likelihood - 0.5 * (size - 1) * np.log(n_words + 1.0)
-        better = penalised > value
-        value = np.where(better, penalised, value)
-        chosen = np.where(better, found.argmax(axis=1), chosen)
-        proportion = np.where(better, found.max(axis=1), proportion)
-    best[docs], share[docs] = chosen, proportion
-    return best, share
+    likeliest = value.copy()
+    open_, size = np.arange(len(docs)), 2  # the texts whose set may grow
+    while len(open_) and size <= min(TRIED_SET, k):
+        allowed = np.zeros((len(open_), k), pi.dtype)
+        np.put_along_axis(allowed, order[open_, :size], 1, axis=1)
+        found, likelihood = fit(allowed, p, at, n_words[open_], shift[open_])
+        penalised = likelihood - 0.5 * (size - 1) * np.log(n_words[open_] + 1.0)
+        better = penalised > value[open_]
+        up = open_[better]
+        value[up], likeliest[up] = penalised[better], likelihood[better]
+        chosen[up], proportion[up] = found.argmax(axis=1)[better], found.max(axis=1)[better]
+        if size >= TRIED_SET:
+            p = p[np.repeat(better, n_words[open_])]
+            open_ = up
+            at = np.cumsum(n_words[open_]) - n_words[open_]
+        size += 1
+    n_grams = np.add.reduceat(np.diff([*grams.word_at, len(grams.bins)]), np.cumsum(n_words) - n_words)
+    best[docs], share[docs], fits[docs] = chosen, proportion, likeliest > -np.log(BINS) * n_grams
+    return best, share, fits
 
 
 def _slices(grams: Trigrams, words: int = 1 << 18):
@@ -153,28 +189,30 @@ def _slices(grams: Trigrams, words: int = 1 << 18):
 
 
 def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000) -> DataFrame:
-    """docs -> its columns and lang_pred, score; `und` and 0 if the text is null or has no letter. Only text is looked at."""
+    """docs -> its columns and lang_pred, score, fits; `und` and 0 if the text is null or has no letter. Only text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "fits")
+    batch_chars = min(batch_chars, 1 + 8 * AT_ONCE // max(1, len(model.languages)))
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            labels, scores, at = [], [], 0
+            labels, scores, fit, at = [], [], [], 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (upto == at or size < batch_chars):
                     size += len(texts[upto] or "")
                     upto += 1
-                best, share = mixtures(texts[at:upto], sent.value)
+                best, share, fits = fitted_mixtures(texts[at:upto], sent.value)
                 labels += [sent.value.languages[i] if i >= 0 else UNDETERMINED for i in best]
                 scores += [float(min(1.0, x)) for x in share]
+                fit += fits.tolist()
                 at = upto
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(fit, pa.bool_())], [*names, "lang_pred", "score", "fits"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(each, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.mapInArrow(each, ", ".join([*fields, "lang_pred string", "score double", "fits boolean"]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -182,7 +220,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """documents -> their columns and held_out, lang_pred, score; learned from the rows that aren't held out.
+    """documents -> their columns and held_out, lang_pred, score, fits; learned from the rows that aren't held out.
 
     A null doc_id counts as empty text (held out, as its crc32 is 0). Null lang or text isn't learned from. Without any
     row to learn from all texts are `und`. Repeated rows are predicted alike; an empty table gives no rows.
