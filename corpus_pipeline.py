@@ -14,9 +14,6 @@ from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import dedup_near
 
-#: A document goes if its largest language has less than this share of its words.
-LEAST_SHARE = 0.4
-
 
 def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
     """docs with the columns that an operator doesn't use under names that it can't replace, and how to select them back."""
@@ -25,9 +22,9 @@ def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language that was learned, without letters or without a main language go."""
+    """Texts in no language that was learned, or without letters, go; several languages may share a text."""
     docs, columns = shielded(docs, ["doc_id", "text", "lang"])
-    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*columns)
+    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & F.col("fits")).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import zlib
+
 import pytest
 from pyspark.sql.functions import lit
 
 import corpus_pipeline
 from tests.llm.helpers import frame, odd_rows, sentence
-from tests.llm.test_text_operators import WORDS, language_rows
+from tests.llm.test_text_operators import FIVE, WORDS, language_rows
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,10 @@ def test_columns_with_names_of_the_operators_stay(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == columns
     assert all(r[c] == f"mine {c}" for r in docs.limit(50).collect() for c in clash)
+
+
+def test_a_text_of_five_languages_stays(spark):
+    rows = [(i, FIVE[i % 5], f"l{i % 5}", "s") for i in range(40)] + [(100, " ".join(FIVE), "l0", "s"), (101, "\u4e00\u4e01\u4e02 \u4e03\u4e04\u4e05 " * 9, "l0", "s")]
+    rows = [r for r in rows if r[0] != 101] + [(next(i for i in range(101, 200) if zlib.crc32(str(i).encode()) % 5 == 0), *rows[-1][1:])]
+    out = {r["doc_id"] for r in corpus_pipeline.language_id(spark, frame(spark, rows), "").collect()}
+    assert out == set(range(40)) | {100}

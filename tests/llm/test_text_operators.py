@@ -298,6 +298,18 @@ def test_languages_are_all_learned(spark):
     assert best.tolist() == list(range(230)) and share.min() > 0.9
 
 
+FIVE = [" ".join("".join(chr(first + (3 * i + j * j) % 20) for j in range(6)) for i in range(30)) for first in (0x61, 0x3B1, 0x430, 0x561, 0x10D0)]
+
+
+def test_language_sets_of_five(spark):
+    model = language_id.learn(spark.createDataFrame([(i, x, f"l{i}") for i, x in enumerate(FIVE)], "doc_id long, text string, lang string"))
+    for n in (3, 4, 5):
+        _, share = language_id.mixtures([" ".join(FIVE[:n])], model)
+        assert abs(share[0] - 1 / n) < 0.02
+    best, share, fits = language_id.fitted_mixtures([" ".join(FIVE), "\u4e00\u4e01\u4e02 \u4e03\u4e04\u4e05 " * 9], model)
+    assert fits.tolist() == [True, False]
+
+
 def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify(frame(spark, odd_rows())).collect()} == {"und"}
     assert language_id.identify(frame(spark, EMPTY)).count() == 0

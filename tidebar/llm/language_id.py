@@ -162,7 +162,7 @@ def fitted_mixtures(texts: list[str], model: Model):
     value = alone.max(axis=1)
     likeliest = value.copy()
     open_, size = np.arange(len(docs)), 2  # the texts whose set may grow
-    while len(open_) and size <= min(TRIED_SET, k):
+    while len(open_) and size <= k:
         allowed = np.zeros((len(open_), k), pi.dtype)
         np.put_along_axis(allowed, order[open_, :size], 1, axis=1)
         found, likelihood = fit(allowed, p, at, n_words[open_], shift[open_])
