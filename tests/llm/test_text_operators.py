@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, frame, odd_rows, sentence
-from tidebar.llm import decontamination, language_id, lm_scoring, simhash, substring_dedup, token_counts, warc, winnowing
+from tidebar.llm import decontamination, language_id, lm_scoring, queries, simhash, substring_dedup, token_counts, warc, winnowing
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.mixing import mix
 
@@ -456,3 +456,18 @@ def test_winnowing_guarantee(spark):
     a, b = ({x["hash"] for x in r["f"]} for r in winnowing.with_fingerprint(frame(spark, rows), "text", "f").collect())
     assert a & b
     assert re.fullmatch("[0-9a-f]{32}", winnowing.with_fingerprint(frame(spark, rows), "text", "f").select(winnowing.digest("f").alias("d")).first()["d"])
+
+
+def test_winnowing_of_unspaced_and_short_texts(spark, tmp_path):
+    r = random.Random(6)
+    unspaced = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    short = "seven words are here and no more"
+    rows = [(1, unspaced(400)), (2, unspaced(300)), (3, short), (4, "others entirely stand in this line"), (5, "A" * 5000), (6, None), (7, ""), (8, "x"), (9, sentence(9, 60, 5000)), (10, sentence(10, 60, 5000))]
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {x["doc_id"]: x for x in queries.op10_winnowing(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    assert all(0.1 < out[i]["near_edited"] < 0.9 for i in (1, 2, 3, 4, 9, 10))
+    shared = unspaced(8)
+    rows = [(1, unspaced(200) + shared + unspaced(50)), (2, unspaced(33) + shared + unspaced(90))]
+    a, b = ({x["hash"] for x in y["f"]} for y in winnowing.with_marks(frame(spark, rows), "text", "f").collect())
+    assert a & b

@@ -17,7 +17,7 @@ from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.substring_dedup import find_repeats
 from tidebar.llm.token_counts import count_edits
 from tidebar.llm.warc import read_warc, write_warc
-from tidebar.llm.winnowing import digest, hashes, likeness, with_fingerprint, with_next
+from tidebar.llm.winnowing import digest, hashes, likeness, with_marks, with_next
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_chars = F.char_length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("next.text", F.lit(1), half))
-    out = with_fingerprint(out.withColumn("edited", edited), "edited", "edited_print")
+    out = with_marks(out.withColumn("edited", edited), "edited", "edited_print")
     # Own hash sets as columns, so that both likenesses use them.
     out = out.select("doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest("fingerprint").alias("fingerprint"), digest("edited_print").alias("edited_fingerprint"), F.size("fingerprint").cast("long").alias("n_hashes"), hashes("fingerprint").alias("__own"), hashes("edited_print").alias("__edited"), hashes(F.col("next.fingerprint")).alias("__next"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("__own"), F.col("__edited")).alias("near_edited"), likeness(F.col("__own"), F.col("__next")).alias("near_next"), "n_hashes")

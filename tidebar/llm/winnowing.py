@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import WORD, parallelism
 
 GRAM, WINDOW = 5, 4
+#: A character that isn't white space; and words of at most 16 of them, longer ones (unspaced text) character by character.
+CHARACTER = r"[^\x20\x09-\x0D]"
+TOKEN = rf"(?<!{CHARACTER}){CHARACTER}{{1,16}}(?!{CHARACTER})|{CHARACTER}"
+#: Texts of fewer tokens have the hashes of their characters as well.
+SHORT = 32
 #: Ranges of ids that next_text deals its rows to at most.
 MAX_RANGES = 4096
 FANOUT = 64
@@ -34,15 +39,15 @@ def _shifted(a: Column, b: Column, by: int, f) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, by + 1, n), f)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, window: int = WINDOW, word: str = WORD) -> DataFrame:
     """df with `name`: array<struct<hash long, position int>>, in order of position (in words, from 0).
 
-    Words are runs without white space, in lower case. Fewer than `gram` words are one gram, fewer grams than `window`
+    Words are what `word` matches (runs without white space), in lower case. Fewer than `gram` words are one gram, fewer grams than `window`
     one window; a null text or one without words has no hashes. Each step is a column of its own so that it is computed
     once.
     """
     c = lambda s: f"__{name}_{s}"
-    out = df.withColumn(c("words"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
+    out = df.withColumn(c("words"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0)))
     out = out.withColumn(c("1"), F.transform(c("words"), lambda w: F.xxhash64(w)))
     have, done = 1, [c("words"), c("1")]
     for bit in bin(gram)[3:]:  # from the second highest bit: double, and add one word where it is set
@@ -74,6 +79,20 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
     return out.drop(*done, c("p"))
 
 
+def with_marks(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`, the fingerprint over tokens and, of short texts, over characters too.
+
+    Any GRAM + WINDOW - 1 equal tokens in a row share a hash, in unspaced text so many characters, and in two short texts
+    so many characters other than white space. Positions of the latter hashes begin after the tokens.
+    """
+    n, short, extra = (f"__{name}_{x}" for x in ("n", "short", "extra"))
+    out = df.withColumn(n, F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN)))
+    out = with_fingerprint(out.withColumn(short, F.when(F.col(n) < SHORT, F.col(text))), text, name, word=TOKEN)
+    out = with_fingerprint(out, short, extra, word=CHARACTER)
+    later = F.transform(extra, lambda x: F.struct(x["hash"].alias("hash"), (x["position"] + F.col(n)).alias("position")))
+    return out.withColumn(name, F.concat(name, later)).drop(n, short, extra)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two hash arrays without repeats; of two empty ones 1."""
     both = F.size(F.array_intersect(a, b))
@@ -117,13 +136,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranges = min(4 * parallelism(docs), MAX_RANGES)
     docs = docs.withColumn("__range", _range_of(docs, ranges))
-    spread = with_fingerprint(docs.repartition(parallelism(docs), "__range"), "text", "fingerprint")
+    spread = with_marks(docs.repartition(parallelism(docs), "__range"), "text", "fingerprint")
     order = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "text")
     led = spread.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
     tops = docs.groupBy("__range").agg(F.max("doc_id").alias("__top"))
     by_range = W.orderBy(F.desc("__range"))
     after = tops.select("__range", F.coalesce(F.lead("__range").over(by_range), F.first("__range").over(by_range)).alias("__after"))
     heads = docs.join(F.broadcast(tops.withColumnRenamed("__range", "__after")), (F.col("__range") == F.col("__after")) & F.col("doc_id").eqNullSafe(F.col("__top")))
-    heads = with_fingerprint(heads.groupBy("__after").agg(F.min("text").alias("text")), "text", "fingerprint")
+    heads = with_marks(heads.groupBy("__after").agg(F.min("text").alias("text")), "text", "fingerprint")
     heads = after.join(heads.select("__after", F.struct("text", "fingerprint").alias("__head")), "__after").drop("__after")
     return led.join(heads, "__range", "left").select("doc_id", "text", "fingerprint", F.coalesce("next", "__head").alias("next"))
