@@ -1,9 +1,11 @@
 """A deterministic sharded WARC writer and the reader of its archives.
 
-Records are range-sorted by id. Each task writes gzip members one record each, starts a new file where the compressed size
-would pass a limit, makes headers and digests anew, writes under a temporary name and renames a finished file to its place.
-Names and bytes follow from the input alone, so a task that runs again after a loss puts the same files in place. The
-manifest, one row a file, is written last by Spark's committer; the reader takes only files that it names.
+Records are range-sorted by id and a hash of their payload. The bounds of the ranges are quantiles, by bytes, of records
+that a hash of their own chooses, so they follow from the table, not from how it is dealt. A range's records are gzip
+members one record each; a new file starts with each range and where the compressed size would pass a limit. Headers and
+digests are made anew; a file is written under a temporary name and renamed to its place. Names and bytes so follow from
+the input alone, whatever the cluster, and a task that runs again after a loss puts the same files in place. The manifest, one row
+a file, is written last by Spark's committer; the reader takes only files that it names.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,9 +25,13 @@ from tidebar.llm.common import join_skewed, kept, parallelism
 
 #: Compressed bytes of a file at most (one record may be larger).
 ROLL_BYTES = 256 << 20
+#: Bytes of payload of a range: four files' worth, of small tables less so that some tasks have work.
+RANGE_BYTES, LEAST_RANGE, SMALL_RANGES = 4 * ROLL_BYTES, 8 << 20, 64
+#: Records for each range that are looked at to find the bounds.
+LOOK = 16
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
-MANIFEST = "file string, part int, n_bytes long, n_records long, first_id long, last_id long, sha256 string"
+MANIFEST = "file string, part long, n_bytes long, n_records long, first_id long, last_id long, sha256 string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, file string"
 
 
@@ -63,32 +70,79 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return _member("revisit", fields, http)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def range_bounds(rows: DataFrame, range_bytes: int | None = None) -> list[tuple[bool, int, int]]:
+    """(page_id, mix, n_bytes) -> where each range but the first begins, as `place` gives it; ranges hold some `range_bytes`.
+
+    Records are chosen by a hash of id and mix, some LOOK for each range, so the driver holds no more, and the same ones
+    whatever the partitions.
+    """
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    ranges = -(-size // range_bytes) if range_bytes else max(-(-size // RANGE_BYTES), min(SMALL_RANGES, size // LEAST_RANGE))
+    if ranges < 2:
+        return []
+    one_in = max(1, n // (LOOK * ranges))
+    some = rows.where(F.pmod(F.xxhash64("page_id", "mix", F.lit("bounds")), F.lit(one_in)) == 0)
+    some = some.groupBy("page_id", "mix").agg(F.sum("n_bytes").alias("n_bytes")).collect()
+    weighed = sorted((place(r["page_id"], r["mix"]), r["n_bytes"]) for r in some)
+    each, upto, bounds = sum(x for _, x in weighed) / ranges, 0, []
+    for at, weight in weighed:
+        if upto >= each * (len(bounds) + 1):
+            bounds.append(at)
+        upto += weight
+    return bounds
+
+
+def place(page_id: int | None, mix: int) -> tuple[bool, int, int]:
+    """By which records are in order; null ids come first."""
+    return page_id is not None, page_id or 0, mix
+
+
+def with_range(rows: DataFrame, bounds: list[tuple[bool, int, int]]) -> DataFrame:
+    """(page_id, mix, ...) -> with `range`, the number of its range."""
+    if not bounds:
+        return rows.withColumn("range", F.lit(0).cast("long"))
+    sent = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("long")
+    def number(page_id: pa.Array, mix: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(sent.value, place(a, b)) for a, b in zip(page_id.to_pylist(), mix.to_pylist())], pa.int64())
+
+    return rows.withColumn("range", number("page_id", "mix"))
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int | None = None) -> DataFrame:
     """pages (page_id, url, html) -> archives under path; returns the manifest.
 
     Of records with equal payloads of at least `min_bytes` bytes the one of the largest page_id is the response, the
     others revisit it. A null html is an empty payload, a null page_id is smaller than all, repeated rows are records of
-    their own (of one id and payload all but one are revisits). An empty table gives an empty manifest.
+    their own (of one id and payload all but one are revisits; these ties are told apart by their number). A very long
+    payload is one record, alone in its file if it is larger than `roll_bytes`. An empty table gives an empty manifest.
+    Other columns are not written. `range_bytes`: payload of a range (by default RANGE_BYTES, less in small tables).
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    ids = kept(rows.where(F.octet_length("payload") >= min_bytes).select("page_id", F.sha1("payload").alias("digest")), "digests")
+    rows = rows.withColumn("mix", F.xxhash64("payload"))
+    ids = kept(rows.select("page_id", "mix", F.octet_length("payload").alias("n_bytes"), F.sha1("payload").alias("digest")), "digests")
+    bounds = range_bounds(ids, range_bytes)
+    ids = ids.where(F.col("n_bytes") >= min_bytes).drop("n_bytes")
     same = ids.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("stays")).where("n > 1").withColumn("repeats", F.lit(True))
-    marks = kept(join_skewed(ids, kept(same, "same"), ["digest"], "n", ids.count()).where("repeats").select("page_id", "digest", "stays").distinct(), "marks")
+    marks = kept(join_skewed(ids, kept(same, "same"), ["digest"], "n", ids.count()).where("repeats").select("page_id", "mix", "digest", "stays").distinct(), "marks")
     # A page's marks and its payload meet by the sort: one shuffle of payloads, no join.
-    both = marks.select("page_id", F.lit(0).alias("kind"), "digest", "stays", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    both = both.unionByName(rows.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("stays"), "url", "payload"))
-    dealt = both.repartitionByRange(parallelism(pages), F.col("page_id")).sortWithinPartitions("page_id", "kind", "digest", "url", "payload")
+    both = marks.select("page_id", "mix", F.lit(0).alias("kind"), "digest", "stays", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    both = both.unionByName(rows.select("page_id", "mix", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("stays"), "url", "payload"))
+    n = max(1, min(len(bounds) + 1, 4 * parallelism(pages)))
+    dealt = with_range(both, bounds).repartitionById(n, (F.col("range") % n).cast("int")).sortWithinPartitions("range", "page_id", "mix", "kind", "digest", "url")
+    dealt = dealt.select("range", "page_id", "mix", "kind", "digest", "stays", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         fs, root = filesystem(path)
-        part, done, out = task.partitionId(), [], None
-        names = {x.name: x.type for x in pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha256", pa.string())])}
+        done, out, part, files = [], None, None, 0
+        names = {x.name: x.type for x in pa.schema([("file", pa.string()), ("part", pa.int64()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha256", pa.string())])}
 
         def start():
-            name = f"part-{part:05d}-{len(done):05d}.warc.gz"
+            name = f"part-{part:06d}-{files:05d}.warc.gz"
             temporary = f"{root}/_temporary/{name}.{task.taskAttemptId()}"
             info = _member("warcinfo", [("WARC-Record-ID", record_id(None, name, 0)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             row = {"file": name, "part": part, "n_bytes": 0, "n_records": 0, "first_id": None, "last_id": None}
@@ -109,9 +163,13 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int
         fs.create_dir(f"{root}/data")
         page, marked, seen = object(), {}, {}
         for b in batches:
-            for key, kind, digest, stays, url, payload in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if key != page:
-                    page, marked, seen = key, {}, {}
+            for number, key, mix, kind, digest, stays, url, payload in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if number != part:
+                    if out:
+                        finish(out)
+                    out, part, files = None, number, 0
+                if (key, mix) != page:
+                    page, marked, seen = (key, mix), {}, {}
                 if kind == 0:
                     marked[digest] = stays
                     continue
@@ -123,7 +181,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int
                 member = page_record(key, url, payload, name, (stays,) if other else None, repeat)
                 if out and out[2]["n_records"] and out[2]["n_bytes"] + len(member) > roll_bytes:
                     finish(out)
-                    out = None
+                    out, files = None, files + 1
                 out = put(out or start(), member)
                 out[2]["n_records"] += 1
                 out[2]["first_id"] = key if out[2]["n_records"] == 1 else out[2]["first_id"]
