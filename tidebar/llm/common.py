@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key is hot if it holds more than this share of all rows; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.001
+#: A key is hot if it has more rows than a small part of what a task has: an eighth, or a thousandth of all rows if that is less.
+HOT_PART, HOT_KEYS = 8, 1000
 SALTS = 1024
 
 
+def hot_limit(df: DataFrame, total: int) -> float:
+    """Rows of a key that is still dealt out whole; so at most HOT_PART keys a shuffle partition, or HOT_KEYS, have more."""
+    return max(total / max(HOT_KEYS, HOT_PART * parallelism(df)), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one where it is unset in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
         given = spark.sparkContext.getCheckpointDir()
     if given is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = f"file://{tempfile.mkdtemp(prefix='tidebar-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)
@@ -62,11 +69,11 @@ def parallelism(df: DataFrame) -> int:
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Left join with right, which is unique on keys (not null) and has in `count` how many left rows a key has at most.
 
-    Keys with more than HOT_SHARE of `total` rows, at most 1 / HOT_SHARE of them whatever the size, are broadcast; their
-    left rows are spread over SALTS values in the shuffle join of the rest. `count` is not returned.
+    Keys with more rows than hot_limit, whose number is bounded by that of the partitions, are broadcast; their left rows
+    are spread over SALTS values in the shuffle join of the rest. `count` is not returned.
     """
     values = [c for c in right.columns if c not in [*keys, count]]
-    limit = max(total * HOT_SHARE, 1)
+    limit = hot_limit(left, total)
     hot = right.where(F.col(count) > limit).select(*keys, *(F.col(c).alias(f"__hot_{c}") for c in values), F.lit(True).alias("__hot"))
     cold = right.where(F.col(count) <= limit).select(*keys, *values, F.lit(0).alias("__salt"))
     # By the row's own values, so that a task that runs again after a loss deals its rows as before.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import HOT_SHARE, SALTS, kept
+from tidebar.llm.common import SALTS, hot_limit, kept
 
 #: Bytes that a chunk has at most, and words of which one ends a chunk.
 MOST, WINDOW = 128, 8
@@ -169,22 +169,31 @@ def holders(rows: DataFrame, digests: list[int]) -> DataFrame:
     return found.groupBy("digest").agg(F.min("first").alias("hot_first"), F.max("last").alias("hot_last"))
 
 
-def repeated(docs: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of docs whose digest more than one document holds, with first (the smallest doc)."""
-    some = rows_of(docs.where(F.pmod("row", F.lit(LOOK)) == 0)).groupBy("digest").agg(F.count("*").alias("n"))
+def repeated(docs: DataFrame, rows_of: Callable[[DataFrame], DataFrame], exact: bool) -> DataFrame:
+    """The rows of docs whose digest more than one document holds; if `exact`, with first, the smallest doc.
+
+    Rows meet by digest. Very common digests, found in one of LOOK documents, don't: those that two of these documents
+    hold are known to be repeated, which is enough unless `exact`; the others are looked up in each task.
+    """
+    rows = rows_of(docs)
+    check = [c for c in rows.columns if c == "check"]
+    some = rows_of(docs.where(F.pmod("row", F.lit(LOOK)) == 0)).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("hot_first"), F.max("doc").alias("hot_last"))
     some = kept(some.where("n > 1"), "look")
     total = some.agg(F.sum("n")).first()[0] or 0
-    # Very common digests, of which there can be 1 / HOT_SHARE at most, are looked up in each task; the rest meet by digest.
-    common = [r["digest"] for r in some.where(F.col("n") > max(HOT_SHARE * total, 8)).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
-    rows = rows_of(docs)
-    if common:
-        rows = rows.join(F.broadcast(kept(holders(rows, common), "common-chunks")), "digest", "left")
-    else:
+    common = some.where(F.col("n") > max(hot_limit(docs, total), 8))
+    known = common.where("hot_first != hot_last").drop("n") if not exact else None
+    open_ = [r["digest"] for r in (common if exact else common.where("hot_first = hot_last")).select("digest").collect()]
+    if open_:
+        found = holders(rows, open_)
+        known = found if exact else known.unionByName(found)
+    if known is None:
         rows = rows.withColumns({x: F.lit(None).cast("long") for x in ("hot_first", "hot_last")})
+    else:
+        rows = rows.join(F.broadcast(kept(known, "common")), "digest", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot_first").isNotNull(), 1 + F.pmod(F.col("row"), F.lit(SALTS))).otherwise(0).cast("int"))
-    of_chunk = W.partitionBy("digest", "salt")
+    of_chunk = W.partitionBy("digest", *check, "salt")
     rows = rows.withColumn("first", F.coalesce("hot_first", F.min("doc").over(of_chunk))).withColumn("last", F.coalesce("hot_last", F.max("doc").over(of_chunk)))
-    return rows.where("first != last").drop("salt", "hot_first", "hot_last", "last", "digest")
+    return rows.where("first != last").drop("salt", "hot_first", "hot_last", "last", "digest", "check")
 
 
 def candidates(docs: DataFrame, min_words: int) -> DataFrame:
@@ -197,7 +206,7 @@ def candidates(docs: DataFrame, min_words: int) -> DataFrame:
     if window < 1:
         raise ValueError(f"min_words must be {BEFORE + AFTER + 6} or more")
     least, beside = min_words - 1 - AFTER - BEFORE - 4 * (window - 1), BEFORE + AFTER + 2 * window
-    rows = repeated(docs, lambda d: chunks(d, window)).repartition("row").dropDuplicates(["row", "idx"])
+    rows = repeated(docs, lambda d: chunks(d, window), exact=False).drop("first").repartition("row").dropDuplicates(["row", "idx"])
     rows = rows.withColumn("run", F.col("idx") - F.row_number().over(W.partitionBy("row").orderBy("idx")))
     runs = rows.groupBy("row", "run").agg(F.min("word").alias("first"), F.max(F.col("word") + F.col("n_words")).alias("last"))
     runs = runs.where(F.col("last") - F.col("first") >= least)
@@ -215,7 +224,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), row_hash()).alias("doc"), row_hash().alias("row"), "text").where("text != ''")
     found = kept(candidates(docs, min_words), "candidates")
-    rows = repeated(found, lambda d: passages(d, min_words))
+    rows = repeated(found, lambda d: passages(d, min_words), exact=True)
     in_row = W.partitionBy("row").orderBy("word")
     sofar, before = in_row.rowsBetween(W.unboundedPreceding, 0), in_row.rowsBetween(W.unboundedPreceding, -1)
     apart = lambda previous: F.when(F.col("word") - previous < min_words, 0).otherwise(1)
