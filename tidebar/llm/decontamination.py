@@ -6,8 +6,11 @@ the document's size. Items are partitioned by size (powers of two); each partiti
 shingles that an item of that size may miss at the wanted containment, so an item that is contained always has a sketch
 value in the document. Candidates are verified by exact containment of the shingles' texts.
 
-A filter of fixed size over all items' shingles leaves few of a document's shingles to be shuffled. With many items it
-fills up and lets more pass; nothing is lost.
+The number of sketch values that a document has must be what the wanted containment leaves of them at least, so the
+estimate rejects most others before any text is compared, and never a contained item.
+
+A filter over all items' shingles leaves few of a document's shingles to be shuffled. It grows with the items up to a
+fixed size; with more items it fills up and lets more pass; nothing is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import kept
+from tidebar.llm.common import join_skewed, kept
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Bits of the filter; as bytes, a proven bound of what is sent to each task.
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each shingle, and of all of it at least and at most (16 MB): a bound of what is sent to each task.
+SHINGLE_BITS, LEAST_BITS, MOST_BITS = 256, 1 << 23, 1 << 27
+#: Up to so many sketch values are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,14 +64,15 @@ def item_shingles(items: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _filter_of(shingles: DataFrame) -> bytes:
-    """A bit for each shingle's hash; at most FILTER_BITS / 64 rows come to the driver."""
+    """A bit for each shingle's hash; a power of two of bits, at most MOST_BITS / 64 rows come to the driver."""
     import numpy as np
 
-    at = F.pmod(F.xxhash64("shingle"), F.lit(FILTER_BITS))
-    rows = shingles.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        words[r["word"]] = r["bits"]
+    n = shingles.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (SHINGLE_BITS * n).bit_length()))
+    bit = F.pmod(F.xxhash64("shingle"), F.lit(size))
+    rows = shingles.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle), {size}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return words.view(np.uint8).tobytes()
 
 
@@ -78,7 +84,8 @@ def found_shingles(docs: DataFrame, bits: bytes, widths: list[int]) -> DataFrame
         import numpy as np
         import xxhash
 
-        table, digest, mask = np.frombuffer(sent.value, np.uint8), xxhash.xxh64_intdigest, FILTER_BITS - 1
+        table, digest = np.frombuffer(sent.value, np.uint8), xxhash.xxh64_intdigest
+        mask = 8 * len(table) - 1
         for b in batches:
             ids, rows, found = [], [], []
             for key, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
@@ -105,34 +112,46 @@ def row_hash() -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, width: int = SHINGLE) -> DataFrame:
     """-> (doc_id, row, item_id, item_ids, n_shingles, n_found, containment) for each document and contained item.
 
-    Items with the same shingles are one: item_id is the smallest, item_ids has all. Null or empty texts contain nothing
-    and are contained nowhere. Rows that repeat an id are searched each; an empty table on either side gives no rows.
+    Items with the same shingles are one: item_id is the smallest (null if all are), item_ids has all that aren't null. An
+    item without an id is searched like others. Null or empty texts contain nothing and are contained nowhere. Rows that
+    repeat an id are searched each, rows that repeat all too; ties of the sketch's hashes are broken by the text. A very
+    long document is read whole, in pieces of shingles. An empty table on either side gives no rows; other columns are
+    not looked at.
     """
     items = item_shingles(items, width).groupBy("shingles", "width").agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    items = kept(items.withColumn("n", F.size("shingles")), "items")
+    # An item's key: 128 bits of its shingles.
+    items = kept(items.withColumn("n", F.size("shingles")).withColumn("item", F.md5(F.array_join("shingles", "\n").cast("binary"))), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
-    one = items.select("item_id", "width", F.explode("shingles").alias("shingle"))
+    one = items.select("item", F.explode("shingles").alias("shingle"))
     hits = kept(found_shingles(docs, _filter_of(one), widths), "hits")
 
-    # Sketches: in each size partition as many smallest hashes as can't all be missing.
+    # Sketches: in each size partition as many smallest hashes as can't all be missing; `least` of them are found.
     top = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1
     size_k = F.floor(top * (1 - containment) + 1e-9).cast("int") + 1
-    sketch = items.select("item_id", size_k.alias("k"), F.explode(F.slice(F.array_sort(F.transform("shingles", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("shingle")))), F.lit(1), F.least(size_k, "n"))).alias("s"))
-    sketch = sketch.select("item_id", "s.shingle")
+    least = F.least(size_k, "n") - F.floor(F.col("n") * (1 - containment) + 1e-9).cast("int")
+    in_order = F.array_sort(F.transform("shingles", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("shingle"))))
+    sketch = items.select("item", least.alias("least"), F.explode(F.slice(in_order, F.lit(1), F.least(size_k, "n"))).alias("s"))
+    sketch = kept(sketch.groupBy(F.col("s.shingle").alias("shingle")).agg(F.collect_list(F.struct("item", "least")).alias("of")), "sketch")
     keyed = hits.select("doc_id", "row", F.explode("shingles").alias("shingle"))
-    keyed = keyed.join(F.broadcast(sketch), "shingle") if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keyed.join(sketch, "shingle")
-    candidates = keyed.groupBy("doc_id", "row", "item_id").agg(F.count("*").alias("n_sketch"))
-    verified = candidates.drop("doc_id").join(hits, "row").join(items.withColumnRenamed("shingles", "wanted"), "item_id")
+    if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        keyed = keyed.join(F.broadcast(sketch), "shingle")
+    else:
+        uses = kept(keyed.groupBy("shingle").agg(F.count("*").alias("uses")).join(sketch, "shingle"), "uses")
+        keyed = join_skewed(keyed, uses, ["shingle"], "uses", hits.agg(F.sum(F.size("shingles"))).first()[0] or 0).where(F.col("of").isNotNull())
+    keyed = keyed.select("doc_id", "row", F.explode("of").alias("s")).select("doc_id", "row", "s.*")
+    found = keyed.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("its"), "item", "least").agg(F.count("*").alias("n_sketch"))
+    candidates = kept(found.where(F.col("n_sketch") >= F.col("least")).select("id", "its", "item"), "leak-candidates")
+    wanted = kept(candidates.groupBy("item").agg(F.count("*").alias("uses")).join(items.withColumnRenamed("shingles", "wanted"), "item"), "wanted")
+    # Items that very many documents may hold are broadcast, by join_skewed, so that none of them is one task's.
+    pairs = join_skewed(candidates, wanted, ["item"], "uses", candidates.count())
+    verified = pairs.join(hits, (F.col("row") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("id")))
     n_found = F.size(F.array_intersect("shingles", "wanted"))
     verified = verified.select("doc_id", "row", "item_id", "item_ids", F.col("n").cast("long").alias("n_shingles"), n_found.cast("long").alias("n_found"), (n_found / F.col("n")).alias("containment"))
     return verified.where(F.col("containment") >= containment - 1e-9)
 
 
-#: Up to so many sketch values are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """documents -> those without any contained item, columns as given."""
-    leaks = find_leaks(docs, items, containment).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_hash()).join(leaks, "__row", "left_anti").drop("__row")
+    """documents -> those without any contained item, columns as given; odd rows as for find_leaks, and null or empty texts stay."""
+    leaks = find_leaks(docs, items, containment).select(F.col("row").alias("__its"), F.col("doc_id").alias("__id")).distinct()
+    leaked = (F.col("__row") == F.col("__its")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.withColumn("__row", row_hash()).join(leaks, leaked, "left_anti").drop("__row")
