@@ -142,6 +142,7 @@ def hex_print(fp: Column) -> Column:
 def dedup_near(docs: DataFrame) -> DataFrame:
     """documents -> the rows that stay: of each component the one with the smallest id (null ids last, then by a hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stays = near_duplicates(docs).groupBy("root").agg(first["row"].alias("__row")).select("__row")
-    once = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(0)))
-    return docs.withColumn("__row", row_hash()).join(stays, "__row", "left_semi").withColumn("__n", once).where("__n = 1").drop("__row", "__n")
+    stays = near_duplicates(docs).groupBy("root").agg(first.alias("__s")).select(F.col("__s.row").alias("__its"), F.col("__s.doc_id").alias("__id"))
+    its_own = (F.col("__row") == F.col("__its")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = F.row_number().over(W.partitionBy("__row", "doc_id").orderBy(F.lit(0)))
+    return docs.withColumn("__row", row_hash()).join(stays, its_own, "left_semi").withColumn("__n", once).where("__n = 1").drop("__row", "__n")
