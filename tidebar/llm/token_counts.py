@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The split of the byte-level BPE vocabularies; a fixed value that must equal the one they were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,17 +170,32 @@ def apply(tree: Tree, text: str, start: int, end: int, new: str, with_: Counter)
     return edited, upto - resume
 
 
-def count_edits(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def again(tree: dict | None, text: str) -> Tree | None:
+    """The kept tree of a text; None if there is none or its characters aren't as many as the text's."""
+    if tree is None or tree["lengths"] is None or tree["counts"] is None or sum(tree["lengths"]) != len(text):
+        return None
+    return Tree(tree["lengths"], tree["counts"])
+
+
+def count_edits(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, tree: str | None = None) -> DataFrame:
     """docs with text and edits, array<struct<start int, end int, new string>>, applied in turn (code points of the text as
     the edits before left it; ends are cut to its length) -> their columns and
 
-    n_tokens, n_tokens_edited, n_encoded_again (characters of the edits and their context that were encoded once more),
-    edited (the text after all edits) and tree (lengths and token counts of the edited text's pre-tokens, for later edits).
+    n_tokens, n_tokens_edited, n_encoded (characters that were encoded to build the tree: all, or 0 where it was kept),
+    n_encoded_again (characters of the edits and their context that were encoded once more), edited (the text after all
+    edits) and tree (lengths and token counts of the edited text's pre-tokens, for later edits).
+
+    `tree` names the column of the trees that an earlier call returned for these texts: then only the edits are encoded.
+    A tree that is null or of another length than its text is built anew.
 
-    Null text, null edits and null parts of an edit count as empty (0 for places). The driver reads the vocabulary, whose
-    size is fixed, and sends it to the tasks. An empty table gives no rows.
+    Null text, null edits and null parts of an edit count as empty (0 for places); edits at one place apply in their
+    order. A very long text is held whole by its task, edits in it still encode their surroundings only. Repeated rows are
+    counted alike. The driver reads the vocabulary, whose size is fixed, and sends it to the tasks. An empty table gives no
+    rows. Columns of the names above are replaced, others stay.
     """
-    new = ["n_tokens", "n_tokens_edited", "n_encoded_again", "edited", "tree"]
+    new = ["n_tokens", "n_tokens_edited", "n_encoded", "n_encoded_again", "edited", "tree"]
+    if tree is not None:
+        docs = docs.withColumn("__tree", F.col(f"`{tree}`").cast("struct<lengths: array<int>, counts: array<int>>"))
     docs = docs.drop(*new)
     names = docs.columns
     with open(vocabulary, "rb") as f:
@@ -188,21 +204,24 @@ def count_edits(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = counter(sent.value, pattern)
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            rows: list[list] = [[], [], [], [], []]
-            for text, edits in zip(b.column("text").to_pylist(), b.column("edits").to_pylist()):
+            rows: list[list] = [[] for _ in new]
+            trees = b.column("__tree").to_pylist() if tree is not None else [None] * b.num_rows
+            for text, edits, old in zip(b.column("text").to_pylist(), b.column("edits").to_pylist(), trees):
                 text = text or ""
-                tree = build(text, with_)
-                before, again = tree.n_tokens, 0
+                known = again(old, text)
+                encoded = 0 if known else len(text)
+                now = known or build(text, with_)
+                before, more = now.n_tokens, 0
                 for e in edits or []:
                     if e is not None:
-                        text, n = apply(tree, text, e["start"] or 0, e["end"] or 0, e["new"] or "", with_)
-                        again += n
-                lengths, counts = tree.flat()
-                for row, x in zip(rows, (before, tree.n_tokens, again, text, {"lengths": lengths, "counts": counts})):
+                        text, n = apply(now, text, e["start"] or 0, e["end"] or 0, e["new"] or "", with_)
+                        more += n
+                lengths, counts = now.flat()
+                for row, x in zip(rows, (before, now.n_tokens, encoded, more, text, {"lengths": lengths, "counts": counts})):
                     row.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.struct([("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])]
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.struct([("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, k) for x, k in zip(rows, kinds))], [*names, *new])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    more = "n_tokens long, n_tokens_edited long, n_encoded_again long, edited string, tree struct<lengths: array<int>, counts: array<int>>"
-    return docs.mapInArrow(each, ", ".join([*fields, more]))
+    more = "n_tokens long, n_tokens_edited long, n_encoded long, n_encoded_again long, edited string, tree struct<lengths: array<int>, counts: array<int>>"
+    return docs.mapInArrow(each, ", ".join([*fields, more])).drop("__tree")
