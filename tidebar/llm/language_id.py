@@ -42,7 +42,7 @@ def trigrams(texts: list[str]) -> Trigrams:
     """Of texts without line feeds, which here end each text."""
     import numpy as np
 
-    joined = " \n ".join([*texts, ""]).lower()
+    joined = f" {' \n '.join([*texts, ''])}".lower()
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = np.bincount(points).astype(bool)
     for point in np.flatnonzero(table).tolist():
@@ -83,7 +83,7 @@ def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
     """(doc_id, text, lang) with no null lang -> the model, from about so many documents of each language.
 
     Which documents is settled by a hash against each language's rate, so no group is gathered or sorted. An empty table
-    gives a model without languages.
+    gives a model without languages. The driver gets a number a language and bin, as Arrow columns.
     """
     import numpy as np
 
@@ -91,6 +91,7 @@ def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
     languages = sorted(r["lang"] for r in sizes.collect())
     if not languages:
         return Model([], np.zeros(0, np.float32), np.zeros(BINS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    numbered = labelled.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, language int")
     limit = (F.least(F.lit(1.0), docs_per_language / F.col("n")) * (1 << 30)).cast("long")
     some = labelled.join(F.broadcast(sizes.select("lang", limit.alias("__limit"))), "lang")
     some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("__limit")).select("lang", "text")
@@ -107,9 +108,8 @@ def learn(labelled: DataFrame, docs_per_language: int = LEARN_DOCS) -> Model:
             bins = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins), pa.array(n[bins])], ["lang", "bin", "n"])
 
-    rows = some.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    bins, n = rows["bin"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-    language = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    rows = some.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).join(F.broadcast(numbered), "lang").select("bin", "n", "language").toArrow()
+    bins, n, language = (rows.column(x).to_numpy().astype(kind) for x, kind in (("bin", np.int64), ("n", np.float64), ("language", np.int64)))
     order = np.lexsort((language, bins))
     bins, n, language = bins[order], n[order], language[order]
     total = np.bincount(language, n, len(languages)) + 0.1 * BINS
@@ -223,7 +223,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """documents -> their columns and held_out, lang_pred, score, fits; learned from the rows that aren't held out.
 
     A null doc_id counts as empty text (held out, as its crc32 is 0). Null lang or text isn't learned from. Without any
-    row to learn from all texts are `und`. Repeated rows are predicted alike; an empty table gives no rows.
+    row to learn from all texts are `und`. A text without letters is `und`, fits nothing and has score 0. Of equal
+    proportions the language that sorts first is predicted. Very long texts are read whole, at one time. Repeated rows are
+    predicted alike; an empty table gives no rows. Columns of the names above are replaced, others stay.
     """
     model = learn(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"))
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
