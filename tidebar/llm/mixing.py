@@ -53,8 +53,9 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, __h, size) rows and (source, source_size, target) -> goals with `base` (whole copies) and `limit`.
 
     A document is taken once more than `base` if its hash is at most `limit` (-1: none). The document at the threshold
-    counts in if that brings the sum nearer to the target. Documents of one hash go together.
+    counts in if that brings the sum nearer to the target. Documents of one hash go together; those of size 0 don't count.
     """
+    docs = docs.where("size > 0")
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("base", base).withColumn("__budget", F.col("target") - F.col("base") * F.col("source_size"))
     key = F.col("source").eqNullSafe(F.col("__source"))
@@ -77,14 +78,16 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     inside = (F.col("__upto") <= F.col("__budget")) | (F.col("__upto") - F.col("__budget") < F.col("__budget") - F.col("__upto") + F.col("__size"))
     last = exact.where(inside).groupBy(F.col("source").alias("__source")).agg(F.max("__h").alias("__last"))
     found = budgets.join(last, key, "left").select(F.col("source").alias("__source"), F.greatest("limit", "__last").alias("__limit"))
-    return goals.join(found, key, "left").select("source", "source_size", "target", "base", F.coalesce("__limit", F.lit(-1)).alias("limit"))
+    limit = F.when(F.col("__budget") > 0, F.coalesce("__limit", F.lit(-1))).otherwise(F.lit(-1))
+    return goals.join(found, key, "left").select("source", "source_size", "target", "base", limit.alias("limit"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """documents -> all their columns and size, source_size, target, copies, taken (words taken, repeats counted).
 
-    A null text has size 0, a null source is a source of its own (the last), rows that repeat id and text are taken or
-    left together, an empty table gives no rows. Columns of these names in the input are replaced.
+    A null text has size 0 and gets its source's whole copies, a null source is a source of its own (the last), rows that
+    repeat id and text are taken or left together, as are ties of the hash; a text of any length has one size. No document
+    has more than `cap` copies. An empty table gives no rows. Columns of these names in the input are replaced, others stay.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     docs = docs.drop(*new)
