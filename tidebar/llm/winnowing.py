@@ -7,6 +7,9 @@ share w + k - 1 words in a row share a kept hash.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,9 +22,8 @@ CHARACTER = r"[^\x20\x09-\x0D]"
 TOKEN = rf"(?<!{CHARACTER}){CHARACTER}{{1,16}}(?!{CHARACTER})|{CHARACTER}"
 #: Texts of fewer tokens have the hashes of their characters as well.
 SHORT = 32
-#: Ranges of ids that next_text deals its rows to at most.
-MAX_RANGES = 4096
-FANOUT = 64
+#: Ranges of ids for each shuffle partition that next documents are looked up in.
+RANGES = 4
 LOW = 0x7FFFFFFF
 
 
@@ -43,8 +45,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
     """df with `name`: array<struct<hash long, position int>>, in order of position (in words, from 0).
 
     Words are what `word` matches (runs without white space), in lower case. Fewer than `gram` words are one gram, fewer grams than `window`
-    one window; a null text or one without words has no hashes. Each step is a column of its own so that it is computed
-    once.
+    one window; a null text or one without words has no hashes. Of equal hashes in a window the rightmost is kept. Texts of
+    any length are hashed whole; repeated rows alike. Columns of the name are replaced, others stay. Each step is a column
+    of its own so that it is computed once.
     """
     c = lambda s: f"__{name}_{s}"
     out = df.withColumn(c("words"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0)))
@@ -111,19 +114,32 @@ def digest(fingerprint: str) -> Column:
     return F.lower(F.concat(of("hash", 1), of("position", 2)))
 
 
-def _range_of(docs: DataFrame, ranges: int) -> Column:
-    """The number of the id's range, from quantiles of the ids; null ids are in range -1."""
-    points = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", points, 10 * MAX_RANGES)).first()[0] if points else None
-    bounds = sorted(set(found or []))
+def _text_order(text: str) -> Column:
+    """The first 7 bytes as a number, in the order of the texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(text).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def _upto(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are at most value: first among every root-th of them, then in that piece."""
     if not bounds:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    rows = [bounds[i : i + FANOUT] for i in range(0, len(bounds), FANOUT)]
-    literal = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
-    coarse = F.greatest(upto(literal([r[0] for r in rows])) - 1, F.lit(0))
-    fine = upto(F.element_at(F.array(*map(literal, rows)), coarse + 1))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * FANOUT + fine)
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    literal = lambda values, kind="array<bigint>": F.from_json(F.lit(json.dumps(values)), kind)
+    count = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    pieces = literal([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
+    coarse = F.greatest(count(literal(bounds[::step])) - 1, F.lit(0))
+    return coarse * step + count(F.element_at(pieces, coarse + 1))
+
+
+def _with_range(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """docs with __range, and how many ranges there are: ranges of ids cut at quantiles, and below these, of null ids, of texts."""
+    points = [i / ranges for i in range(1, ranges)]
+    null = F.col("doc_id").isNull()
+    cuts = lambda value: F.percentile_approx(value, points, 10 * ranges)
+    ids, texts = docs.agg(cuts(F.col("doc_id")), cuts(F.when(null, _text_order("text")))).first() if points else (None, None)
+    ids, texts = sorted(set(ids or [])), sorted(set(texts or []))
+    number = F.when(null, len(texts) - _upto(texts, _text_order("text"))).otherwise(len(texts) + 1 + _upto(ids, F.col("doc_id")))
+    return docs.withColumn("__range", number.cast("int")), len(texts) + len(ids) + 2
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -131,12 +147,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     The next document has the next smaller id (of equal ids the next larger text; null ids come last), after the last
     comes the first; a lone document follows itself. Ranges of ids, cut at quantiles, are sorted each by itself; the
-    first document of each range, one row a range, is handed to the range before it.
+    first document of each range, one row a range, is handed to the range before it. Rows that repeat all follow each
+    other; very long texts are whole; an empty table gives no rows; other columns are not returned.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(4 * parallelism(docs), MAX_RANGES)
-    docs = docs.withColumn("__range", _range_of(docs, ranges))
-    spread = with_marks(docs.repartition(parallelism(docs), "__range"), "text", "fingerprint")
+    docs, ranges = _with_range(docs, RANGES * parallelism(docs))
+    spread = with_marks(docs.repartitionById(ranges, "__range"), "text", "fingerprint")
     order = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "text")
     led = spread.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
     tops = docs.groupBy("__range").agg(F.max("doc_id").alias("__top"))
