@@ -51,6 +51,28 @@ def test_warc_files_roll_and_are_the_same_again(spark, tmp_path):
     assert gzip.decompress(data).count(b"WARC/1.1\r\n") == seen[0][0][2] + 1  # and the warcinfo record
 
 
+def test_warc_bytes_do_not_depend_on_partitions(spark, tmp_path):
+    rows = [(i if i % 9 else None, f"http://x/{i}", f"{i % 700} payload " * (i % 50), "", "") for i in range(4000)]
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for name, some, n in (("c", rows, 4), ("d", rows[::-1], 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        m = warc.write_warc(pages(spark, some).repartition(n), f"file://{tmp_path}/{name}", roll_bytes=50_000, range_bytes=40_000)
+        seen.append(sorted((r["file"], r["sha256"], r["n_records"]) for r in m.collect()))
+        assert sum(r["n_records"] for r in m.collect()) == 4000
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len({x[0][:11] for x in seen[0]}) > 20  # ranges
+    order = [r["page_id"] for r in warc.read_warc(spark, f"file://{tmp_path}/c").orderBy("file").collect() if r["page_id"] is not None]
+    assert order == sorted(order)
+
+
+def test_warc_very_long_payload(spark, tmp_path):
+    path = f"file://{tmp_path}/long"
+    text = "".join(random.Random(1).choices("abcdefgh", k=3_000_000))
+    warc.write_warc(pages(spark, [(1, "u", text, "", ""), (2, "u", "a", "", ""), (3, "u", text, "", "")]), path, roll_bytes=1000)
+    out = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warc(spark, path).collect()}
+    assert out == {1: ("revisit", 3_000_000, 3), 2: ("response", 1, None), 3: ("response", 3_000_000, None)}
+
+
 def test_warc_minimum_size_and_empty(spark, tmp_path):
     path = f"file://{tmp_path}/m"
     warc.write_warc(pages(spark, [(1, "u", "aa", "", ""), (2, "u", "aa", "", "")]), path, min_bytes=3)
@@ -96,14 +118,14 @@ def test_lm_empty(spark):
 def brute_lines(rows, least=40, docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     holders = {}
-    for at, (i, text) in enumerate(rows):
+    for i, text in rows:
         for line in set(map(key, (text or "").split("\n"))):
-            holders.setdefault(line, []).append((at, i))
+            holders.setdefault(line, set()).add(i)
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
         rank = lambda x: -1 if x is None else x
-        gone = [len(key(x)) >= least and len(holders[key(x)]) >= docs and i != max((j for _, j in holders[key(x)]), key=rank) for x in lines]
+        gone = [len(key(x)) >= least and len(holders[key(x)]) >= docs and i != max(holders[key(x)], key=rank) for x in lines]
         out.append((repr(i), len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
     return sorted(out)
 
@@ -120,6 +142,15 @@ def test_lines_against_brute_force(spark):
     assert sum(x["length"] for x in runs["keep"]) == runs["n_lines"] - runs["n_dropped"]
 
 
+def test_lines_count_ids_not_versions(spark):
+    line = "this is a line of more than forty characters, certainly"
+    rows = [(1, f"{line}\nversion {k}") for k in range(5)] + [(0, line)]
+    assert all(x["n_dropped"] == 0 for x in dedup_lines(frame(spark, rows)).collect())
+    rows += [(k, line) for k in (2, 3, None)] + [(None, f"{line}\nagain")]
+    out = sorted((repr(x["doc_id"]), x["n_lines"], x["n_dropped"], x["kept_text"]) for x in dedup_lines(frame(spark, rows)).collect())
+    assert out == brute_lines(rows) and sum(x[2] for x in out) == 9
+
+
 def test_lines_empty(spark):
     assert dedup_lines(frame(spark, EMPTY)).count() == 0
 
@@ -155,6 +186,19 @@ def test_leaks_against_brute_force(spark):
     assert sorted(map(repr, ((x["doc_id"], x["text"]) for x in kept.collect()))) == sorted(map(repr, (x for x in rows if x[0] not in leaked)))
 
 
+def test_leaks_of_items_without_ids_and_by_the_shuffle(spark, monkeypatch):
+    item, other = sentence(1, 30, 3000), sentence(2, 20, 3000)
+    items = spark.createDataFrame([(None, item), (4, other), (None, other), (5, "one two three four five six")], "item_id long, text string")
+    rows = [(k, f"{sentence(k, 50)} {item if k % 2 else other} {sentence(k + 9, 50)}") for k in range(10, 40)] + [(None, item), (None, other)]
+    seen = []
+    for most in (decontamination.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+        seen.append(sorted((repr(x["doc_id"]), repr(x["item_id"]), x["item_ids"], x["n_found"]) for x in decontamination.find_leaks(frame(spark, rows), items).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 32
+    assert {x[1] for x in seen[0]} == {"None", "4"}
+    assert decontamination.decontaminate(frame(spark, rows), items).count() == 0
+
+
 def test_leaks_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(frame(spark, odd_rows()), none).count() == 0
@@ -254,6 +298,18 @@ def test_edits_encode_only_their_surroundings(bpe):
     assert again < 60
 
 
+def test_kept_trees_encode_edits_only(spark, bpe):
+    text = sentence(1, 20000)
+    edits = "array(named_struct('start', {0}, 'end', {0} + 9, 'new', 'other words'))"
+    once = token_counts.count_edits(frame(spark, [(1, text), (2, None), (3, "")]).withColumn("edits", F.expr(edits.format(40_000)))).first()
+    docs = spark.createDataFrame([(1, once["edited"], once["tree"]), (2, "another text", once["tree"]), (3, "no tree", None)], "doc_id long, text string, kept struct<lengths: array<int>, counts: array<int>>")
+    again = token_counts.count_edits(docs.withColumn("edits", F.expr(edits.format(70_000))), tree="kept").collect()
+    assert [r["n_encoded"] for r in again] == [0, 12, 7] and again[0]["n_encoded_again"] < 100
+    for r in again:
+        assert r["n_tokens"] == len(bpe.encode(r["text"])) and r["n_tokens_edited"] == len(bpe.encode(r["edited"])) == sum(r["tree"]["counts"])
+        assert "kept" in r.asDict() and "__tree" not in r.asDict()
+
+
 def test_token_counts_frame(spark, bpe):
     docs = frame(spark, odd_rows()).withColumn("edits", F.expr("case when doc_id > 4 then array(named_struct('start', 1, 'end', 3, 'new', ' xyz '), cast(null as struct<start:int,end:int,new:string>), named_struct('start', 99999999, 'end', null, 'new', 'tail')) end"))
     for r in token_counts.count_edits(docs).collect():
@@ -282,6 +338,17 @@ def test_language_accuracy_and_undetermined(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_language_of_a_text_does_not_depend_on_its_place(spark):
+    model = language_id.learn(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
+    texts = ["maisons", "the", "durch", " ".join(WORDS["en"].split()[:3]), "", "then 1", "x"]
+    alone = [tuple(x[0] for x in language_id.fitted_mixtures([t], model)) for t in texts]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        together = dict(zip(order, zip(*language_id.fitted_mixtures(order, model))))
+        assert [together[t][0] for t in texts] == [a[0] for a in alone]
+        assert all(abs(together[t][1] - a[1]) < 1e-6 and together[t][2] == a[2] for t, a in zip(texts, alone))
+    assert [model.languages[a[0]] if a[0] >= 0 else "" for a in alone[:5]] == ["fr", "en", "de", "en", ""]
+
+
 def test_language_mixture_proportions(spark):
     model = language_id.learn(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
     half = " ".join(WORDS["en"].split() * 6 + WORDS["de"].split() * 3)
@@ -340,6 +407,12 @@ def test_mix_meets_targets(spark):
     assert sorted((x["doc_id"], x["taken"]) for x in again) == sorted((x["doc_id"], x["taken"]) for x in out)
 
 
+def test_mix_takes_no_document_more_than_twice(spark):
+    rows = [(1, "a b c", None, "s"), (2, "", None, "s"), (3, None, None, "s"), *((k, "x " * 50, None, "t") for k in range(10, 90))]
+    out = {x["doc_id"]: x for x in mix(frame(spark, rows)).collect()}
+    assert all(x["copies"] <= 2 for x in out.values()) and out[1]["taken"] == 6 and out[2]["taken"] == out[3]["taken"] == 0
+
+
 def test_mix_odd_rows_and_empty(spark):
     out = mix(frame(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
