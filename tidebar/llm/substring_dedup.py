@@ -103,9 +103,9 @@ def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def passages(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, row, text, spans) -> (digest, doc, row, word, start, stop) of every `min_words` words in a row inside the spans.
+    """(doc, row, text, spans) -> (digest, check, doc, row, word, start, stop) of every `min_words` words in a row inside the spans.
 
-    spans are arrays of (first word, word after the last). Punctuation before the first word and after the last is left
+    digest and check are the halves of a 128-bit hash. spans are arrays of (first word, word after the last). Punctuation before the first word and after the last is left
     out; start and stop are in code points.
     """
 
@@ -113,7 +113,7 @@ def passages(docs: DataFrame, min_words: int) -> DataFrame:
         import numpy as np
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         core = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
         for b in batches:
             for doc, row, text, spans in zip(*(b.column(x).to_pylist() for x in ("doc", "row", "text", "spans"))):
@@ -135,18 +135,23 @@ def passages(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 starts, stops = begin[word], end[word + min_words - 1]
-                found = np.array([digest(data[x:y]) for x, y in zip(starts.tolist(), stops.tolist())], np.uint64).view(np.int64)
+                found = np.frombuffer(b"".join([digest(data[x:y]) for x, y in zip(starts.tolist(), stops.tolist())]), np.int64).reshape(-1, 2)
                 n = len(word)
-                columns = (found, np.full(n, doc), np.full(n, row), word.astype(np.int32), chars[starts].astype(np.int32), chars[stops].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["digest", "doc", "row", "word", "start", "stop"])
+                columns = (found[:, 0].copy(), found[:, 1].copy(), np.full(n, doc), np.full(n, row), word.astype(np.int32), chars[starts].astype(np.int32), chars[stops].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["digest", "check", "doc", "row", "word", "start", "stop"])
 
-    return docs.select("doc", "row", "text", "spans").mapInArrow(each, "digest long, doc long, row long, word int, start int, stop int")
+    return docs.select("doc", "row", "text", "spans").mapInArrow(each, "digest long, check long, doc long, row long, word int, start int, stop int")
 
 
 def row_hash() -> Column:
+    """With doc_number, tells rows apart."""
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
+def doc_number() -> Column:
+    return F.coalesce(F.col("doc_id").try_cast("long"), row_hash())
+
+
 def holders(rows: DataFrame, digests: list[int]) -> DataFrame:
     """(digest, first, last): the smallest and largest doc of each of these digests; each task sends a row a digest at most."""
     wanted = rows.sparkSession.sparkContext.broadcast(sorted(digests))
@@ -206,12 +211,12 @@ def candidates(docs: DataFrame, min_words: int) -> DataFrame:
     if window < 1:
         raise ValueError(f"min_words must be {BEFORE + AFTER + 6} or more")
     least, beside = min_words - 1 - AFTER - BEFORE - 4 * (window - 1), BEFORE + AFTER + 2 * window
-    rows = repeated(docs, lambda d: chunks(d, window), exact=False).drop("first").repartition("row").dropDuplicates(["row", "idx"])
-    rows = rows.withColumn("run", F.col("idx") - F.row_number().over(W.partitionBy("row").orderBy("idx")))
-    runs = rows.groupBy("row", "run").agg(F.min("word").alias("first"), F.max(F.col("word") + F.col("n_words")).alias("last"))
+    rows = repeated(docs, lambda d: chunks(d, window), exact=False).drop("first").repartition("doc", "row").dropDuplicates(["doc", "row", "idx"])
+    rows = rows.withColumn("run", F.col("idx") - F.row_number().over(W.partitionBy("doc", "row").orderBy("idx")))
+    runs = rows.groupBy("doc", "row", "run").agg(F.min("word").alias("first"), F.max(F.col("word") + F.col("n_words")).alias("last"))
     runs = runs.where(F.col("last") - F.col("first") >= least)
     span = F.struct((F.col("first") - beside).alias("first"), (F.col("last") + beside).alias("last"))
-    return docs.join(runs.groupBy("row").agg(F.collect_list(span).alias("spans")), "row").dropDuplicates(["row"])
+    return docs.join(runs.groupBy("doc", "row").agg(F.collect_list(span).alias("spans")), ["doc", "row"]).dropDuplicates(["doc", "row"])
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -219,34 +224,38 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Every `min_words` whole words in a row (less punctuation at either end) that another document holds too, white space
     included, are found; those that overlap are one passage. first_doc is the smallest of their holders; cuts are the
-    parts (start, n_chars in code points) that a smaller document holds. Null or empty texts have no passages; rows that
-    repeat id and text are one document; a null id is stood for by a hash.
+    parts (start, n_chars in code points) that a smaller document holds. So each word of a cut part stands, with the
+    `min_words` words around it, in a smaller document, which may have lost it only to a smaller one still: the smallest
+    keeps it. Null or empty texts have no passages; rows that repeat id and text are one document, rows of one id but other
+    texts share it and don't repeat each other; a null id, or one that is no number, is stood for by a hash, which holds after
+    or before others by chance. Very long texts are read whole, each by one task. An empty table gives no rows; other
+    columns are not looked at.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), row_hash()).alias("doc"), row_hash().alias("row"), "text").where("text != ''")
+    docs = docs.select(doc_number().alias("doc"), row_hash().alias("row"), "text").where("text != ''")
     found = kept(candidates(docs, min_words), "candidates")
     rows = repeated(found, lambda d: passages(d, min_words), exact=True)
-    in_row = W.partitionBy("row").orderBy("word")
+    in_row = W.partitionBy("doc", "row").orderBy("word")
     sofar, before = in_row.rowsBetween(W.unboundedPreceding, 0), in_row.rowsBetween(W.unboundedPreceding, -1)
     apart = lambda previous: F.when(F.col("word") - previous < min_words, 0).otherwise(1)
     word_cut = F.when(F.col("first") != F.col("doc"), F.col("word"))
     rows = rows.withColumn("word_cut", word_cut).withColumn("run", apart(F.lag("word").over(in_row)))
     rows = rows.withColumn("cut", F.when(F.col("word_cut").isNotNull(), apart(F.last("word_cut", ignorenulls=True).over(before))).otherwise(0))
     rows = rows.withColumn("run", F.sum("run").over(sofar)).withColumn("cut", F.when(F.col("word_cut").isNotNull(), F.sum("cut").over(sofar)))
-    pieces = rows.groupBy("row", "run", "cut").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("word").alias("last"), F.min("first").alias("first"))
+    pieces = rows.groupBy("doc", "row", "run", "cut").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("word").alias("last"), F.min("first").alias("first"))
     cut = F.when(F.col("cut").isNotNull(), F.struct("start", (F.col("stop") - F.col("start")).cast("long").alias("n_chars")))
-    runs = pieces.groupBy("row", "run").agg(
-        F.first("doc").alias("doc"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).cast("long").alias("n_chars"),
+    runs = pieces.groupBy("doc", "row", "run").agg(
+        F.min("start").alias("start"), (F.max("stop") - F.min("start")).cast("long").alias("n_chars"),
         (F.max("last") - F.min("word") + min_words).cast("long").alias("n_words"), F.min("first").alias("first_doc"), F.sort_array(F.collect_list(cut)).alias("cuts"),
     )
     return runs.drop("run")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents -> their columns, with text less the passages that a document of smaller id holds."""
-    cuts = find_repeats(docs, min_words).groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("__cuts")).withColumnRenamed("row", "__row")
+    """documents -> their columns, with text less the passages that a document of smaller id holds; odd rows as for find_repeats."""
+    cuts = find_repeats(docs, min_words).groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("__cuts"))
     edges = lambda f: F.transform("__cuts", f)
     starts = F.concat(F.array(F.lit(0)), edges(lambda c: c["start"] + c["n_chars"]))
     ends = F.concat(edges(lambda c: c["start"]), F.array(F.char_length("text")))
     text = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring("text", a + 1, b - a)), "")
-    out = docs.withColumn("__row", row_hash()).join(cuts, "__row", "left")
-    return out.withColumn("text", F.when(F.size("__cuts") > 0, text).otherwise(F.col("text"))).drop("__row", "__cuts")
+    out = docs.withColumn("__row", row_hash()).withColumn("__doc", doc_number()).join(cuts, ["__doc", "__row"], "left")
+    return out.withColumn("text", F.when(F.size("__cuts") > 0, text).otherwise(F.col("text"))).drop("__doc", "__row", "__cuts")
