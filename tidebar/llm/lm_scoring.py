@@ -8,6 +8,10 @@ Counts are looked up by exchange. Documents are packed into blocks of some megab
 has once, with its own counts, to the n-gram's bucket; the bucket adds up and answers each block with the totals in the
 order of the request. So a frequent n-gram comes once a block, not once a token, no table of n-grams is ever sent to all
 tasks, and requests (sorted 64-bit hashes, as differences) take some 6 bytes an n-gram.
+
+A block has at most 2**FAN_BITS requests for each order. Where more buckets are needed than that (from some 32 GB), a
+bucket's requests are merged for so many blocks into one, which is then dealt to finer buckets as a block's would be, and
+its answer is handed down. So the number of requests is in proportion to the input, and what a task holds has a bound.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from tidebar.llm.common import kept, part
 
 #: Bytes of text in a block, and of all text for each bucket of n-grams.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Buckets that a block's n-grams are dealt to at most, as bits, and blocks whose requests are merged then.
+FAN_BITS = 11
 #: One of so many training documents is held out for the weights.
 HELD = 10
 ROUNDS = 50
 #: Roles of documents: counted, held out for the weights and then counted, only scored.
 COUNTED, WEIGHING, SCORED = 0, 1, 2
-#: Steps of likelihoods in the table that the weights are learned from: an eighth of a doubling, down to 2**-60.
-STEP, DEEPEST = 8, 60
+#: Steps of likelihoods in the table that the weights are learned from: a quarter of a doubling, down to 2**-48.
+STEP, DEEPEST = 4, 48
 END = b"\n"
 
 
@@ -142,20 +148,30 @@ def _numbers(data: bytes, n: int):
 REQUEST = "gram int, bucket int, block long, n int, keys binary, counted binary, weighing binary"
 
 
-def requests(blocks: DataFrame, bucket_bits: int) -> DataFrame:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+NAMES = [x.split()[0] for x in REQUEST.split(", ")]
+KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _dealt(order: int, block: int, keys, counts: list, bits: int, below: int) -> pa.RecordBatch:
+    """Sorted keys and their counts as requests, one for each value of the `bits` of the key that follow the first `below`."""
+    import numpy as np
+
+    shift = 64 - below - bits
+    part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+    finer, at = np.unique(part, return_index=True)
+    rows = [(order, int(i), block, int(v - u), _planes(np.diff(keys[u:v], prepend=np.uint64(0))), *(_planes(x[u:v]) for x in counts)) for i, u, v in zip(finer, at, [*at[1:], len(keys)])]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(KINDS), KINDS)], NAMES)
 
+
+def requests(blocks: DataFrame, bits: int) -> DataFrame:
+    """Those of each block, to 2**bits buckets: the first bits of the keys."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data")):
                 one = Block(data.as_buffer())
                 for order in (1, 2):
-                    keys, (counted, weighing) = one.keys[order], one.counts(order)
-                    edges = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else []
-                    edges = [0, *edges, len(keys)]
-                    rows = [(order, i, block, int(v - u), _planes(np.diff(keys[u:v], prepend=np.uint64(0))), _planes(counted[u:v]), _planes(weighing[u:v])) for i, (u, v) in enumerate(zip(edges, edges[1:])) if v > u]
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [x.split()[0] for x in REQUEST.split(", ")])
+                    yield _dealt(order, block, one.keys[order], one.counts(order), bits, 0)
 
     return blocks.select("block", "data").mapInArrow(each, REQUEST)
 
@@ -163,28 +179,69 @@ def requests(blocks: DataFrame, bucket_bits: int) -> DataFrame:
 ANSWER = "gram int, bucket int, block long, n int, counted binary, weighing binary, sizes array<long>"
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """The totals of each request's keys, in their order; block -1 has the bucket's sizes (see Sizes) of its n-grams."""
+class Merged:
+    """The requests of one bucket: their distinct keys, the sums of their counts, and where each request's keys are."""
 
-    def each(table: pa.Table) -> pa.Table:
+    def __init__(self, table: pa.Table):
         import numpy as np
 
-        ns = table.column("n").to_pylist()
-        keys = np.concatenate([np.cumsum(_numbers(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), ns)])
-        distinct, at = np.unique(keys, return_inverse=True)
-        totals = []
+        self.order, self.bucket = table.column("gram")[0].as_py(), table.column("bucket")[0].as_py()
+        self.blocks, self.ns = table.column("block").to_pylist(), table.column("n").to_pylist()
+        keys = np.concatenate([np.cumsum(_numbers(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), self.ns)])
+        self.keys, self.at = np.unique(keys, return_inverse=True)
+        self.sums = []
         for name in ("counted", "weighing"):
-            own = np.concatenate([_numbers(x.as_py(), n) for x, n in zip(table.column(name), ns)])
-            totals.append(np.bincount(at, weights=own, minlength=len(distinct)).astype(np.uint64))
-        edges = np.cumsum([0, *ns])
-        sizes = [int(totals[0].sum()), int((totals[0] > 0).sum()), int(totals[1].sum()), int((totals[0] + totals[1] > 0).sum())]
-        order, bucket = table.column("gram")[0].as_py(), table.column("bucket")[0].as_py()
-        out = [[*(_planes(t[at[u:v]]) for u, v in zip(edges, edges[1:])), b""] for t in totals]
-        n = len(ns) + 1
-        columns = [pa.array([order] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array([*table.column("block").to_pylist(), -1], pa.int64()), pa.array([*ns, 0], pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array([*([None] * (n - 1)), sizes], pa.list_(pa.int64()))]
+            own = np.concatenate([_numbers(x.as_py(), n) for x, n in zip(table.column(name), self.ns)])
+            self.sums.append(np.bincount(self.at, weights=own, minlength=len(self.keys)).astype(np.uint64))
+
+    def answers(self, totals: list, sizes: list[int] | None = None) -> pa.Table:
+        """totals (counted, weighing) of the distinct keys -> a row for each request; with sizes one more, of block -1."""
+        import numpy as np
+
+        edges = np.cumsum([0, *self.ns])
+        out = [[_planes(t[self.at[u:v]]) for u, v in zip(edges, edges[1:])] for t in totals]
+        n, more = len(self.ns), [] if sizes is None else [None]
+        columns = [pa.array([self.order] * (n + len(more)), pa.int32()), pa.array([self.bucket] * (n + len(more)), pa.int32()), pa.array([*self.blocks, *([-1] * len(more))], pa.int64()), pa.array([*self.ns, *([0] * len(more))], pa.int32())]
+        columns += [pa.array([*x, *([b""] * len(more))], pa.binary()) for x in out]
+        columns.append(pa.array([*([None] * n), *([sizes] * len(more))], pa.list_(pa.int64())))
         return pa.Table.from_arrays(columns, [x.split()[0] for x in ANSWER.split(", ")])
 
-    return kept(asked.groupBy("gram", "bucket").applyInArrow(each, ANSWER), "answers")
+
+def answers(asked: DataFrame, below: int, bits: int, groups: int) -> DataFrame:
+    """The totals of each request's keys, in their order; block -1 has the sizes of its bucket's n-grams.
+
+    Requests are for the first `below` bits of the keys; `bits` more are still needed, and `groups` is how many blocks, or
+    groups of them, ask.
+    """
+    if not bits:
+
+        def last(table: pa.Table) -> pa.Table:
+            some = Merged(table)
+            a, b = some.sums
+            return some.answers([a, b], [int(a.sum()), int((a > 0).sum()), int(b.sum()), int((a + b > 0).sum())])
+
+        return kept(asked.groupBy("gram", "bucket").applyInArrow(last, ANSWER), "answers")
+    fine, groups = min(bits, FAN_BITS), 1 + (groups - 1 >> FAN_BITS)
+    asked = kept(asked.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups))), "requests")
+
+    def merge(table: pa.Table) -> pa.Table:
+        some = Merged(table)
+        return pa.Table.from_batches([_dealt(some.order, table.column("part")[0].as_py(), some.keys, some.sums, fine, below)])
+
+    merged = asked.groupBy("gram", "bucket", "part").applyInArrow(merge, REQUEST)
+    found = answers(merged, below + fine, bits - fine, groups)
+
+    def hand_down(table: pa.Table, answer: pa.Table) -> pa.Table:
+        import numpy as np
+
+        some = Merged(table)
+        order = np.argsort(answer.column("bucket").to_numpy()).tolist()
+        ns = answer.column("n").to_pylist()
+        return some.answers([np.concatenate([_numbers(answer.column(x)[i].as_py(), ns[i]) for i in order]) for x in ("counted", "weighing")])
+
+    back = found.where("block != -1").drop("sizes").withColumn("coarse", F.shiftright("bucket", fine))
+    down = asked.groupBy("gram", "bucket", "part").cogroup(back.groupBy("gram", "coarse", "block")).applyInArrow(hand_down, ANSWER)
+    return kept(down.unionByName(found.where("block = -1")), "answers")
 
 
 class Likelihoods:
@@ -207,7 +264,7 @@ class Likelihoods:
         self.bucket = np.where(self.context > 0, np.floor(np.log2(np.maximum(self.context, 1))) + 1, 0).astype(np.int32)
 
 
-def weights(cells: list, floor: float):
+def weights(cells, floor: float):
     """EM over (bucket, n, p2, p1) cells: a row of mixture weights (bigram, unigram, uniform) for each bucket.
 
     One more event for each part keeps every weight above zero; the bucket of unseen contexts has no bigram part. A bucket
@@ -217,8 +274,9 @@ def weights(cells: list, floor: float):
 
     out = np.full((64, 3), 1 / 3)
     out[0] = (0, 0.5, 0.5)
-    for bucket in {int(c[0]) for c in cells}:
-        rows = np.array([c[1:] for c in cells if c[0] == bucket], np.float64)
+    cells = np.asarray(cells, np.float64).reshape(-1, 4)
+    for bucket in np.unique(cells[:, 0]).astype(int).tolist():
+        rows = cells[cells[:, 0] == bucket, 1:]
         n, p = rows[:, 0], np.column_stack([rows[:, 1], rows[:, 2], np.full(len(rows), floor)])
         w = out[bucket]
         for _ in range(ROUNDS):
@@ -238,15 +296,19 @@ def score(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from the documents whose crc32(doc_id as text) modulo 5 is not 1. A null text is empty (its one token is the
-    end), a null doc_id counts as empty text (crc32 0, learned from); repeated rows count as often as they are there; an
-    empty table gives no rows. With nothing to learn from only the floors are left.
+    end), a null doc_id counts as empty text (crc32 0, learned from); repeated rows count as often as they are there, and
+    score alike. A very long text is a block of its own, scored whole. Nothing is ranked, so there are no ties. An empty table gives
+    no rows; other columns are not looked at. With nothing to learn from only the floors are left.
     """
+    import numpy as np
+
     docs = docs.select("doc_id", role(F.col("doc_id")).alias("role"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = pack(docs)
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(0, int(size // BUCKET_BYTES)).bit_length()
-    answered = answers(requests(blocks, bits))
+    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    bits = int(size // BUCKET_BYTES).bit_length()
+    first = min(bits, FAN_BITS)
+    answered = answers(requests(blocks, first), first, bits - first, n_blocks)
     sizes = answered.where("block = -1 and gram = 1").agg(*(F.sum(F.col("sizes")[i]) for i in range(4))).first()
     counted, types, weighing, all_types = (int(x or 0) for x in sizes)
     answered = answered.where("block != -1")
@@ -263,8 +325,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     # The table of cells is bounded by the steps, whatever the input.
     found = _with_answers(blocks.where("weighing"), answered.where("block % 2 = 1"), cells, "cell long, n long, p2 double, p1 double")
-    rows = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()
-    mixed = weights([(r["cell"] >> 20, r["n"], r["p2"] / r["n"], r["p1"] / r["n"]) for r in rows], 1 / (types + 1))
+    rows = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").toArrow()
+    cell, n, p2, p1 = (rows.column(x).to_numpy() for x in ("cell", "n", "p2", "p1"))
+    mixed = weights(np.column_stack([cell >> 20, n, p2 / n, p1 / n]), 1 / (types + 1))
     total = counted + weighing
 
     def scores(pack_: pa.Table, answer: pa.Table) -> pa.Table:
