@@ -102,6 +102,65 @@ def test_lm_scores_against_brute_counts(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_scores_against_brute_interpolation(spark):
+    """The model again from its definition, token by token and without tables of steps."""
+    import math
+    from collections import Counter
+
+    rows = [(i, sentence(i % 90, 40 + i % 17, 60)) for i in range(400)] + odd_rows()
+    docs = frame(spark, rows)
+    roles = [r["role"] for r in docs.select(lm_scoring.role(F.col("doc_id")).alias("role"), "row").collect()]
+    got = lm_scoring.score(docs).collect()
+    tokens = [[*(x or "").encode().lower().split(), b"\n"] for _, x in rows]
+    pairs = [list(zip([b"\n", *t], t)) for t in tokens]
+    one, two = {}, {}
+    for kinds in ((0,), (0, 1)):
+        one[kinds] = Counter(t for ts, r in zip(tokens, roles) if r in kinds for t in ts)
+        two[kinds] = Counter(p for ps, r in zip(pairs, roles) if r in kinds for p in ps)
+    bucket = lambda n: int(math.log2(n)) + 1 if n else 0
+
+    def parts(pair, kinds):
+        c1, n = one[kinds], sum(one[kinds].values())
+        context = c1[pair[0]]
+        return bucket(context), two[kinds][pair] / context if context else 0.0, c1[pair[1]] / n, 1 / (len(c1) + 1)
+
+    seen = {}
+    for ps, r in zip(pairs, roles):
+        for pair in ps if r == 1 else []:
+            b, *p = parts(pair, (0,))
+            seen.setdefault(b, []).append(p)
+    mix = {}
+    for b, events in seen.items():
+        w = [1 / 3] * 3 if b else [0, 0.5, 0.5]
+        for _ in range(50):
+            total = [float(x > 0) for x in w]
+            for p in events:
+                s = sum(x * y for x, y in zip(p, w))
+                total = [t + x * y / s for t, x, y in zip(total, p, w)]
+            w = [t / sum(total) for t in total]
+        mix[b] = w
+    expected = []
+    for (i, _), ps in zip(rows, pairs):
+        logs = []
+        for pair in ps:
+            b, *p = parts(pair, (0, 1))
+            logs.append(math.log10(sum(x * y for x, y in zip(p, mix.get(b, [1 / 3] * 3 if b else [0, 0.5, 0.5])))))
+        expected.append((repr(i), len(ps), sum(logs)))
+    found = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    assert [x[:2] for x in found] == [x[:2] for x in sorted(expected)]
+    assert all(abs(a[2] - b[2]) < 0.003 * abs(b[2]) for a, b in zip(found, sorted(expected)))
+
+
+def test_lm_requests_over_several_levels(spark, monkeypatch):
+    docs = frame(spark, [(i, sentence(i % 70, 300, 900)) for i in range(300)])
+    rows = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scoring.score(docs).collect())
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
+    one = rows()
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 8_000)
+    monkeypatch.setattr(lm_scoring, "FAN_BITS", 2)
+    assert rows() == one
+
+
 def test_lm_weights_are_learned_and_bounded():
     w = lm_scoring.weights([(3, 1000, 0.5, 1e-4), (3, 10, 0.0, 1e-4), (1, 50, 0.0, 1e-3)], 1e-6)
     assert w[3][0] > 0.9 and w[1][0] < 0.1 and abs(w[3].sum() - 1) < 1e-9
