@@ -590,6 +590,14 @@ def test_winnowing_guarantee(spark):
     assert re.fullmatch("[0-9a-f]{32}", winnowing.with_fingerprint(frame(spark, rows), "text", "f").select(winnowing.digest("f").alias("d")).first()["d"])
 
 
+def test_one_deletion_in_an_unspaced_text(spark):
+    r = random.Random(16)
+    text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(2000))
+    rows = [(1, text), (2, text[:700] + text[701:])]
+    out = winnowing.with_marks(frame(spark, rows), "text", "f").agg(F.collect_list(winnowing.hashes("f")).alias("p"))
+    assert out.select(winnowing.likeness(F.col("p")[0], F.col("p")[1]).alias("near")).first()["near"] > 0.98
+
+
 def test_winnowing_of_unspaced_and_short_texts(spark, tmp_path):
     r = random.Random(6)
     unspaced = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
