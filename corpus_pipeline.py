@@ -22,13 +22,24 @@ def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language that was learned, or without letters, go; several languages may share a text."""
+    """Texts in no language that was learned, or without letters, go; several languages may share a text.
+
+    A null or empty text has no letters and goes; a null lang is not learned from, a null doc_id is held out; repeated
+    rows stay or go together; a very long text is judged whole; ties of languages don't matter here. Without any lang to
+    learn from, all go. An empty table gives no rows. All columns stay, also those with names that the operator uses.
+    """
     docs, columns = shielded(docs, ["doc_id", "text", "lang"])
     return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & F.col("fits")).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated lines, n_chars follows; documents of which nothing is left go."""
+    """Texts lose their repeated lines, n_chars follows; documents of which nothing is left go.
+
+    A null or empty text has one empty line and stays as it is, with the n_chars it came with. Rows of one doc_id are one
+    document when holders are counted, a null doc_id is the smallest one; of several holders the largest doc_id keeps a
+    line, in all its rows, so there are no ties. Very long texts lose lines like others. An empty table gives no rows.
+    All columns stay, also those with names that the operator uses.
+    """
     kind = docs.schema["n_chars"].dataType
     docs, columns = shielded(docs, ["doc_id", "text", "n_chars"])
     out = dedup_lines(docs)
@@ -39,17 +50,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays.
+
+    Null, empty and wordless texts are one group. Null ids stay only where a group has no others; of rows of one id the
+    one of the smaller hash stays, of repeated rows one. Very long texts have fingerprints like others. An empty table
+    gives no rows. All columns stay, also those with names that the operator uses.
+    """
     return dedup_near(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null or empty texts, and items without words, contain nothing and stay; an item without an id counts like others.
+    Repeated rows stay or go together; ties cannot be; very long texts are searched whole. An empty table on either side
+    takes nothing away. All columns stay, also those with names that the operator uses.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of copies, size, target and words taken."""
+    """The documents that the mix takes, with their number of copies, size, target and words taken.
+
+    A null source is a source of its own; a null or empty text has size 0 and stays only where its whole source is taken.
+    Ties of the hash and repeated rows are taken or left together; a very long text is taken whole. An empty table gives no
+    rows. Of clashing names (size, source_size, target, copies, taken) the stage's own columns are returned.
+    """
     return mix(docs).where(F.col("copies") > 0)
 
 
