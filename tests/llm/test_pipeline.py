@@ -35,6 +35,21 @@ def test_stages_take_effect(spark, sf):
     assert len(kept["language_id"]) > 230 and kept["source_mixing"]
 
 
+def test_odd_rows_in_each_stage(spark, sf):
+    """What each stage's docstring says of nulls, empties, repeats and long texts, each on the odd rows alone."""
+    docs = frame(spark, [(2000 + k, *r[1:]) if r[0] is not None else r for k, r in enumerate(odd_rows())]).select("doc_id", "text", "lang", "source", "n_chars")
+    twice = docs.unionByName(docs)
+    ids = lambda stage, some=twice: sorted(repr((r["doc_id"], r["text"])) for r in stage(spark, some, sf).collect())
+    every = sorted(repr((r["doc_id"], r["text"])) for r in twice.collect())
+    assert ids(corpus_pipeline.language_id) == []  # none has a lang
+    assert ids(corpus_pipeline.line_dedup) == every
+    kept = corpus_pipeline.simhash_dedup(spark, twice, sf).collect()
+    assert sorted(r["doc_id"] for r in kept if (r["text"] or "").strip() == "") == [2000] and len({r["text"] for r in kept}) == len(kept)
+    assert ids(corpus_pipeline.decontamination) == every
+    mixed = corpus_pipeline.source_mixing(spark, twice, sf).collect()
+    assert all(r["copies"] in (1, 2) for r in mixed) and abs(sum(r["taken"] for r in mixed) - 1.5 * 2 * sum(len((r["text"] or "").split()) for r in docs.collect())) <= 40_000
+
+
 def test_run_equals_the_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
