@@ -127,17 +127,24 @@ def _mcclellan(c: Chain) -> dict[str, str]:
     f = c.ema(x, 2 / 20, 19)
     s = c.ema(f"case when {f} is not null then {x} end", 2 / 40, 39)
     line = c.col(f"{f} - {s}")
-    return {"oscillator": line, "summation": f"case when {line} is not null then {cumulative(f'sum({line})')} end"}
+    ready = lambda x: f"case when {line} is not null then {x} end"
+    return {"oscillator": line, "summation": ready(cumulative(f"sum({line})")), "fast_ema": ready(f), "slow_ema": ready(s)}
 
 
-def _high_low(c: Chain) -> dict[str, str]:
+def _high_low(c: Chain, length: int = 10) -> dict[str, str]:
+    """Nothing before the mean is ready."""
     x = c.col("coalesce((nh - nl) / nullif(nh + nl, 0e0) * 100e0, 0e0)")
-    return {"hl_index": x, "net": "nh - nl", "index_ma": mean(x, 10)}
+    ma = c.col(mean(x, length))
+    ready = lambda e: f"case when {ma} is not null then {e} end"
+    return {"hl_index": ready(x), "net": ready("nh - nl"), "index_ma": ma}
 
 
-def _trin(c: Chain) -> dict[str, str]:
+def _trin(c: Chain, length: int = 10) -> dict[str, str]:
+    """The mean is that of the last values that there are; times without one, and those before it is ready, have nothing."""
     x = c.col("(adv * dec_v) / nullif(dec * adv_v, 0e0)")
-    return {"trin": x}
+    n = c.col(cumulative(f"count({x})"))
+    ma = c.col(f"case when {x} is not null and {n} >= {length} then avg({x}) over (partition by symbol order by {n} range between {length - 1} preceding and current row) end")
+    return {"trin": f"case when {ma} is not null then {x} end", "trin_ma": ma}
 
 
 def _beta(c: Chain) -> dict[str, str]:

@@ -78,6 +78,23 @@ def shannon(c: Chain, length: int = 20, bins: int = 10) -> Out:
     return {"entropy": f"case when i >= {length - 1} then case when {width} = 0 then 0e0 else {e} end end"}
 
 
+def lempel_ziv(c: Chain, length: int = 100) -> Out:
+    """Complexity of the changes of the last closes, as above or not above the closes' median, over its greatest value for that length.
+
+    The signs are parsed into words that were not there before. What is kept meanwhile is one text: the words between
+    commas, a bar, and the word that has begun.
+    """
+    w = rows(c, "c", length)
+    a, b = (length + 1) // 2, length // 2 + 1
+    middle = c.both(f"(element_at(array_sort({w}), {a}) + element_at(array_sort({w}), {b})) / 2e0", f"(list_sort({w})[{a}] + list_sort({w})[{b}]) / 2e0")
+    bits = c.both(f"transform(slice({w}, 2, {length - 1}), (x, k) -> case when x - {w}[k] > {middle} then '1' else '0' end)", f"list_transform(list_zip({w}[2:], {w}[:{length - 1}]), lambda x: case when x[1] - x[2] > {middle} then '1' else '0' end)")
+    words, begun = "split_part(s, '|', 1)", "split_part(s, '|', 2)"
+    step = f"case when contains({words}, concat(',', {begun}, x, ',')) then concat(s, x) else concat({words}, {begun}, x, ',|') end"
+    parsed = c.both(f"aggregate({bits}, ',|', (s, x) -> {step})", f"list_reduce({bits}, lambda s, x: {step}, ',|')")
+    n = c.col(f"length({parsed}) - length(replace({parsed}, ',', '')) - 1 + case when {parsed} like '%|' then 0 else 1 end")
+    return {"complexity": f"case when i >= {length - 1} then least(1e0, {n} / {num((length - 1) / math.log2(length - 1))}) end"}
+
+
 def permutation(c: Chain, length: int = 20) -> Out:
     """Ordinal patterns of three neighbours, coded by their comparisons."""
     a, b = c.col(lag("c", 2)), c.col(lag("c", 1))
@@ -96,17 +113,21 @@ def pivot_points(c: Chain) -> Out:
         out |= {f"fib_r{k}": f"{p} + {num(share)} * {span}", f"fib_s{k}": f"{p} - {num(share)} * {span}"}
     for k, part in enumerate((12, 6, 4), 1):
         out |= {f"cam_r{k}": f"c + {span} * 1.1e0 / {num(part)}", f"cam_s{k}": f"c - {span} * 1.1e0 / {num(part)}"}
+    step = lambda sign, names: "case " + " ".join(f"when c {sign} {out[n]} then {out[n]}" for n in names[:2]) + f" else {out[names[2]]} end"
+    out |= {"nearest_support": step(">=", ("s1", "s2", "s3")), "nearest_resistance": step("<=", ("r1", "r2", "r3")), "is_above_pivot": f"coalesce(c > {p}, false)", "is_below_pivot": f"coalesce(c < {p}, false)"}
     return out | {"woodie_p": w, "woodie_r1": f"2e0 * {w} - l", "woodie_s1": f"2e0 * {w} - h", "demark_r1": f"{x} / 2e0 - l", "demark_s1": f"{x} / 2e0 - h"}
 
 
-def fibonacci(c: Chain, length: int = 20) -> Out:
-    """Retracements down from the highest to the lowest of the last bars, and extensions above; and the level nearest to the close."""
+def fibonacci(c: Chain, length: int = 20, tolerance: float = 1.0) -> Out:
+    """Retracements down from the highest to the lowest of the last bars, and extensions above; the level nearest to the close, and
+    the same where it is within `tolerance` per cent."""
     hi, lo = c.col(highest("h", length)), c.col(lowest("l", length))
     down = {f"level_{k}": f"{hi} - ({hi} - {lo}) * {num(k / 1000)}" for k in (0, 236, 382, 500, 618, 786, 1000)}
     up = {f"extension_{k}": f"{hi} + ({hi} - {lo}) * {num(k / 1000 - 1)}" for k in (1618, 2618, 4236)}
     far = f"least({', '.join(f'abs(c - ({e}))' for e in down.values())})"
     nearest = "case " + " ".join(f"when abs(c - ({e})) = {far} then {e}" for e in down.values()) + " end"
-    return down | up | {"nearest": nearest}
+    near = c.col(nearest)
+    return down | up | {"nearest": near, "near_level": f"case when abs(c - {near}) / nullif({near}, 0e0) * 100e0 <= {num(tolerance)} then {near} end"}
 
 
 def premium(c: Chain, length: int = 50) -> Out:
@@ -152,4 +173,4 @@ def phase(c: Chain) -> Out:
     return {"phase": f"case when {a} is null or {b} is null then 0e0 when {m} > {a} and {b} > 1 then 1e0 when {m} < {a} and {b} > 1 then 2e0 when {b} < 0.8e0 and {m} < {a} * 1.02e0 then 3e0 when {b} < 0.8e0 and {m} > {a} * 0.98e0 then 4e0 else 0e0 end"}
 
 
-MORE |= {"sc_shannon": shannon, "sc_perm_entropy": permutation, "s_pivots": pivot_points, "s_fibonacci": fibonacci, "el_fib": fibonacci, "smc_premium": premium, "wy_spring": spring, "wy_upthrust": upthrust, "wy_climax": climax, "wy_sos_sow": strength, "wy_phase": phase}
+MORE |= {"sc_shannon": shannon, "sc_lempel_ziv": lempel_ziv, "sc_perm_entropy": permutation, "s_pivots": pivot_points, "s_fibonacci": fibonacci, "smc_premium": premium, "wy_spring": spring, "wy_upthrust": upthrust, "wy_climax": climax, "wy_sos_sow": strength, "wy_phase": phase}

@@ -81,37 +81,6 @@ def levels(bars: DataFrame, tolerance: float = 0.002, least: int = 2, most: int
     return rows.groupBy("symbol").applyInPandas(each, LEVEL)
 
 
-def lempel_ziv(bars: DataFrame, length: int = 100) -> DataFrame:
-    """Complexity of the signs of changes against the median of the last closes, over its greatest value for that length.
-
-    Each window is parsed into words that were not seen before: a loop over lists that Spark's windows collect.
-    """
-    most = (length - 1) / math.log2(length - 1)
-
-    @F.pandas_udf("double")
-    def complexity(windows: pd.Series) -> pd.Series:
-        def one(w) -> float | None:
-            if w is None or len(w) < length:
-                return None
-            middle = sorted(w)
-            middle = (middle[(length - 1) // 2] + middle[length // 2]) / 2
-            bits = "".join("1" if b - a > middle else "0" for a, b in zip(w, w[1:]))
-            words, at = set(), 0
-            n = 0
-            while at < len(bits):
-                end = at + 1
-                while end < len(bits) and bits[at:end] in words:
-                    end += 1
-                words.add(bits[at:end])
-                n, at = n + 1, end
-            return min(1.0, n / most)
-
-        return windows.map(one)
-
-    last = F.collect_list("c").over(by_time().rowsBetween(1 - length, 0))
-    return bars.select("symbol", "ts", last.alias("w")).select("symbol", "ts", complexity("w").alias("complexity"))
-
-
 def regime(shannon: Column, lempel: Column, permutation: Column) -> tuple[Column, Column]:
     """The market's regime by three entropies (null: a half), and how far they agree."""
     s, z, p = (F.coalesce(x, F.lit(0.5)) for x in (shannon, lempel, permutation))

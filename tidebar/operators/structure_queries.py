@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import structure as s
 from tidebar.operators.market_queries import QUERIES, TS, B, add, over_bars, over_ticks, r
-from tidebar.operators.order import permutation, shannon
+from tidebar.operators.order import lempel_ziv, permutation, shannon
 from tidebar.operators.queries import HOURLY_SQL
 from tidebar.operators.research import sma_cross_trades, trade_metrics
 from tidebar.operators.research_queries import _SW, _T
@@ -25,26 +25,25 @@ add(
 add("smc_liquidity", over_bars(lambda b: s.liquidity(b).select("symbol", "kind", TS(), "price", "touches", r("strength"))), f"{_SW} select a.symbol, a.kind, a.ts, a.price, count(*) + 1 as touches, round(least(100, (count(*) + 1) * 20.0)::double, 6) as strength from s a join s d on a.symbol = d.symbol and a.kind = d.kind and d.ts > a.ts and abs(d.price - a.price) / a.price < 0.001::double group by 1, 2, 3, 4")
 add("smc_bos", over_bars(lambda b: s.breaks(b).select("symbol", TS(), "kind", "price", "is_choch")), f"{_SW}, {_LAST}, n as (select *, row_number() over (partition by symbol order by ts desc, kind desc) as n from s), k as (select n.symbol, ts, kind, price from n join z using (symbol) where n <= 5 and ((kind = 'high' and last_h > price) or (kind = 'low' and last_l < price))) select *, coalesce(lag(kind) over (partition by symbol order by ts, kind) <> kind, false) as is_choch from k")
 QUERIES["ch_sr_levels"] = over_bars(lambda b: s.levels(b).select("symbol", r("price"), "touches", wall("first_touch").alias("first_touch"), wall("last_touch").alias("last_touch"), "kind", r("strength")))
-QUERIES["sc_lempel_ziv"] = over_bars(lambda b: s.lempel_ziv(b).select("symbol", TS(), r("complexity")))
 
 
 def _entropies() -> Chain:
     c = Chain()
-    c.out = {"shannon": shannon(c)["entropy"], "permutation": permutation(c)["entropy"]}
+    c.out = {"shannon": shannon(c)["entropy"], "complexity": lempel_ziv(c)["complexity"], "permutation": permutation(c)["entropy"]}
     return c
 
 
 def _regimes(b):
     name, sure = s.regime(F.col("shannon"), F.col("complexity"), F.col("permutation"))
-    return _entropies().apply(b).join(s.lempel_ziv(b), ["symbol", "ts"]).select("symbol", TS(), name.alias("regime"), r(sure, "confidence"))
+    return _entropies().apply(b).select("symbol", TS(), name.alias("regime"), r(sure, "confidence"))
 
 
 add(
     "sc_regime",
     over_bars(_regimes),
-    f"""select symbol, ts, case when shannon is null and permutation is null then 'transitioning' when s < 0.4::double and p < 0.4::double and 0.5 < 0.4 then 'structured' when p < 0.5::double and s > 0.4::double and s < 0.8::double then 'trending' else 'transitioning' end as regime,
-    case when shannon is null and permutation is null then 0 else round(greatest(0, 1 - 4 * ((s - m) * (s - m) + (0.5::double - m) * (0.5::double - m) + (p - m) * (p - m)) / 3), 6) end as confidence
-    from (select *, coalesce(shannon, 0.5::double) as s, coalesce(permutation, 0.5::double) as p, (s + 0.5::double + p) / 3 as m from ({_entropies().sql(HOURLY_SQL)}))""",
+    f"""select symbol, ts, case when shannon is null and complexity is null and permutation is null then 'transitioning' when s < 0.4::double and z < 0.4::double and p < 0.4::double then 'structured' when s > 0.7::double and z > 0.7::double and p > 0.7::double then 'random' when p < 0.5::double and s > 0.4::double and s < 0.8::double then 'trending' when s > 0.6::double and z < 0.5::double then 'ranging' else 'transitioning' end as regime,
+    case when shannon is null and complexity is null and permutation is null then 0 else round(greatest(0, 1 - 4 * ((s - m) * (s - m) + (z - m) * (z - m) + (p - m) * (p - m)) / 3), 6) end as confidence
+    from (select *, coalesce(shannon, 0.5::double) as s, coalesce(complexity, 0.5::double) as z, coalesce(permutation, 0.5::double) as p, (s + z + p) / 3 as m from ({_entropies().sql(HOURLY_SQL)}))""",
 )
 add(
     "rk_kill_switch",

@@ -1,7 +1,7 @@
 """The batch indicators: functions of a chain and parameters that return named output expressions.
 
 Rows are null until an indicator is ready. A later stage sees such a row as 0 (`zero`), which is this family's rule; the
-streaming family (operators/streaming_ta.py) waits instead.
+streaming family (operators/waiting.py) waits instead.
 """
 
 from __future__ import annotations

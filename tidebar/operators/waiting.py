@@ -10,10 +10,12 @@ import math
 from collections.abc import Callable
 
 from tidebar.functions.windows import cumulative, frame, highest, hl2, hlc3, lag, lowest, mean, num, pstdev, total, true_range
-from tidebar.operators.ta import Out, _atr, _ema, _rma, _wma, alma, bull_bear_power, donchian, ema, obv, sma, vwma
+from tidebar.operators.ta import Out, _atr, _ema, _rma, _wma, alma, bull_bear_power, sma, vwma
+from tidebar.operators.ta import donchian as channel
+from tidebar.operators.ta import obv as on_balance
 from tidebar.plans.chain import W_SQL, Chain
 
-WAITING: dict[str, Callable[..., Out]] = {"sma": sma, "ema": ema, "donchian": donchian, "obv": obv, "vwma": vwma, "alma": alma}
+WAITING: dict[str, Callable[..., Out]] = {"sma": sma, "vwma": vwma, "alma": alma}
 
 
 def waiting(f: Callable[..., Out]) -> Callable[..., Out]:
@@ -21,6 +23,33 @@ def waiting(f: Callable[..., Out]) -> Callable[..., Out]:
     return f
 
 
+def test(condition: str) -> str:
+    """A condition on a bar's outputs; false before they are ready."""
+    return f"coalesce({condition}, false)"
+
+
+@waiting
+def ema(c: Chain, source: str = "c", length: int = 21, multiplier: float | None = None) -> Out:
+    """By default with the usual multiplier, 2 / (length + 1)."""
+    k = 2 / (length + 1) if multiplier is None else multiplier
+    return {"ema": c.ema(source, k, length)}
+
+
+@waiting
+def donchian(c: Chain, length: int = 20) -> Out:
+    out = channel(c, length)
+    up, lo = c.col(out["upper"]), c.col(out["lower"])
+    return out | {"width": f"{up} - {lo}", "is_at_upper": test(f"c = {up}"), "is_at_lower": test(f"c = {lo}")}
+
+
+@waiting
+def obv(c: Chain, bars: int = 3) -> Out:
+    """Rising or falling: at each of the last bars."""
+    line = c.col(on_balance(c)["obv"])
+    steps = lambda sign: test(" and ".join(f"{line if j == 0 else lag(line, j)} {sign} {lag(line, j + 1)}" for j in range(bars - 1)))
+    return {"obv": line, "is_rising": steps(">"), "is_falling": steps("<")}
+
+
 @waiting
 def dema(c: Chain, length: int = 21) -> Out:
     a = _ema(c, "c", length)
@@ -34,7 +63,7 @@ def macd(c: Chain, fast: int = 12, slow: int = 26, signal: int = 9) -> Out:
     line = c.col(f"{_ema(c, 'c', fast)} - {_ema(c, 'c', slow)}")
     s = _ema(c, line, signal)
     ready = lambda x: f"case when {s} is not null then {x} end"
-    return {"macd": ready(line), "signal": s, "histogram": f"{line} - {s}", "is_bullish": f"{line} > {s}"}
+    return {"macd": ready(line), "signal": s, "histogram": f"{line} - {s}", "is_bullish": test(f"{line} > {s}"), "is_bearish": test(f"{line} < {s}")}
 
 
 @waiting
@@ -47,7 +76,7 @@ def adx(c: Chain, length: int = 14) -> Out:
     p, m = di(plus), di(minus)
     x = _rma(c, f"case when {p} is not null then coalesce(100e0 * abs({p} - {m}) / nullif({p} + {m}, 0e0), 0e0) end", length)
     ready = lambda e: f"case when {x} is not null then {e} end"
-    return {"adx": x, "plus_di": ready(p), "minus_di": ready(m), "is_strong_trend": f"{x} > 25", "is_bullish": ready(f"{p} > {m}")}
+    return {"adx": x, "plus_di": ready(p), "minus_di": ready(m), "is_strong_trend": test(f"{x} > 25"), "is_bullish": test(ready(f"{p} > {m}")), "is_bearish": test(ready(f"{m} > {p}"))}
 
 
 @waiting
@@ -61,20 +90,29 @@ def aroon(c: Chain, length: int = 25) -> Out:
         return c.col(f"({num(length)} - {since}) / {num(length)} * 100e0")
 
     up, down = share("h", "max"), share("l", "min")
-    return {"up": up, "down": down, "osc": f"{up} - {down}"}
+    strong = lambda a, b: test(f"{a} > 70 and {b} < 30")
+    return {"up": up, "down": down, "osc": f"{up} - {down}", "is_bullish": test(f"{up} > {down}"), "is_bearish": test(f"{down} > {up}"), "is_strong_uptrend": strong(up, down), "is_strong_downtrend": strong(down, up)}
 
 
 @waiting
 def keltner(c: Chain, length: int = 20, mult: float = 2.0) -> Out:
     m, a = _ema(c, "c", length), _atr(c, length)
-    return {"upper": f"{m} + {num(mult)} * {a}", "middle": m, "lower": f"{m} - {num(mult)} * {a}"}
+    up, lo = c.col(f"{m} + {num(mult)} * {a}"), c.col(f"{m} - {num(mult)} * {a}")
+    share = f"case when {up} > {lo} then (c - {lo}) / nullif({up} - {lo}, 0e0) when {up} is not null then 0.5e0 end"
+    return {"upper": up, "middle": m, "lower": lo, "percent_b": share, "is_above_upper": test(f"c > {up}"), "is_below_lower": test(f"c < {lo}")}
 
 
 @waiting
 def ichimoku(c: Chain, tenkan: int = 9, kijun: int = 26, senkou_b: int = 52) -> Out:
     mid = lambda n: c.col(f"case when i >= {senkou_b - 1} then ({highest('h', n)} + {lowest('l', n)}) / 2e0 end")
     a, b, s = mid(tenkan), mid(kijun), mid(senkou_b)
-    return {"tenkan": a, "kijun": b, "senkou_a": f"({a} + {b}) / 2e0", "senkou_b": s, "chikou": f"case when i >= {senkou_b - 1} then {lag('c', kijun - 1)} end"}
+    lead = c.col(f"({a} + {b}) / 2e0")
+    top, bottom = f"greatest({lead}, {s})", f"least({lead}, {s})"
+    ready = f"{s} is not null"
+    return {
+        "tenkan": a, "kijun": b, "senkou_a": lead, "senkou_b": s, "chikou": f"case when i >= {senkou_b - 1} then {lag('c', kijun - 1)} end", "cloud_thickness": f"abs({lead} - {s})",
+        "is_bullish": test(f"{ready} and c > {top}"), "is_bearish": test(f"{ready} and c < {bottom}"), "is_in_cloud": test(f"{ready} and c between {bottom} and {top}"), "is_tenkan_above_kijun": test(f"{a} > {b}"), "is_cloud_bullish": test(f"{lead} > {s}"),
+    }
 
 
 @waiting
@@ -94,7 +132,8 @@ def zlema(c: Chain, length: int = 21) -> Out:
 def rsi(c: Chain, length: int = 14) -> Out:
     gain = _rma(c, f"case when i > 0 then greatest(c - {lag('c')}, 0e0) end", length)
     loss = _rma(c, f"case when i > 0 then greatest({lag('c')} - c, 0e0) end", length)
-    return {"rsi": f"case when {loss} < 2.3e-16 then 100e0 when {gain} < 2.3e-16 then 0e0 else 100e0 - 100e0 / (1e0 + {gain} / nullif({loss}, 0e0)) end"}
+    value = c.col(f"case when {loss} < 2.3e-16 then 100e0 when {gain} < 2.3e-16 then 0e0 else 100e0 - 100e0 / (1e0 + {gain} / nullif({loss}, 0e0)) end")
+    return {"rsi": value, "is_overbought": test(f"{value} > 70"), "is_oversold": test(f"{value} < 30"), "is_neutral": test(f"{value} >= 30 and {value} <= 70")}
 
 
 @waiting
@@ -103,7 +142,9 @@ def stochastic(c: Chain, k_period: int = 14, slow: int = 3, d_period: int = 3) -
     raw = c.col(f"case when i >= {k_period - 1} then coalesce((c - {lo}) / nullif({hi} - {lo}, 0e0) * 100e0, 50e0) end")
     k = c.col(mean(raw, slow))
     d = c.col(mean(k, d_period))
-    return {"k": f"case when {d} is not null then {k} end", "d": d}
+    k = c.col(f"case when {d} is not null then {k} end")
+    crossed = lambda before, after: test(f"{lag(k)} {before} {lag(d)} and {k} {after} {d}")
+    return {"k": k, "d": d, "is_overbought": test(f"{k} > 80"), "is_oversold": test(f"{k} < 20"), "is_bullish_crossover": crossed("<=", ">"), "is_bearish_crossover": crossed(">=", "<")}
 
 
 @waiting
@@ -130,7 +171,9 @@ def dpo(c: Chain, length: int = 20) -> Out:
 @waiting
 def elder_ray(c: Chain, length: int = 13) -> Out:
     out = bull_bear_power(c, length)
-    return {"bull": out["bull"], "bear": out["bear"]}
+    bull, bear = c.col(out["bull"]), c.col(out["bear"])
+    both = lambda sign, a="0e0", b="0e0": test(f"{bull} {sign} {a} and {bear} {sign} {b}")
+    return {"bull": bull, "bear": bear, "ema": _ema(c, "c", length), "is_bullish": both(">"), "is_bearish": both("<"), "is_strong_bullish": both(">", lag(bull), lag(bear)), "is_strong_bearish": both("<", lag(bull), lag(bear))}
 
 
 @waiting
@@ -144,7 +187,8 @@ def fisher(c: Chain, length: int = 10) -> Out:
     root = math.sqrt(1 / 64 + 1 / 4)
     one = c.scan(num(1 / 8 + root), f"0.5e0 * {raw}")
     two = c.scan(num(1 / 8 - root), one)
-    return {"fisher": two, "signal": f"case when i > 0 then coalesce({lag(two)}, 0e0) end"}
+    signal = c.col(f"case when i > 0 then coalesce({lag(two)}, 0e0) end")
+    return {"fisher": two, "signal": signal, "is_bullish_cross": test(f"{two} > {signal} and {two} > 0"), "is_bearish_cross": test(f"{two} < {signal} and {two} < 0")}
 
 
 @waiting
@@ -155,7 +199,7 @@ def kst(c: Chain, roc: tuple = (10, 15, 20, 30), smooth: tuple = (10, 10, 10, 15
         parts.append(mean(change, m))
     line = c.col(" + ".join(f"{num(k)} * {p}" for k, p in enumerate(parts, 1)))
     s = c.col(mean(line, signal))
-    return {"kst": f"case when {s} is not null then {line} end", "signal": s}
+    return {"kst": f"case when {s} is not null then {line} end", "signal": s, "is_bullish": test(f"{line} > {s}")}
 
 
 @waiting
@@ -164,7 +208,8 @@ def mfi(c: Chain, length: int = 14) -> Out:
     plus = c.col(f"case when i > 0 then case when {tp} > {lag(tp)} then {tp} * v else 0e0 end end")
     minus = c.col(f"case when i > 0 then case when {tp} < {lag(tp)} then {tp} * v else 0e0 end end")
     a, b = c.col(total(plus, length)), c.col(total(minus, length))
-    return {"mfi": f"case when {b} < 2.3e-16 then 100e0 else 100e0 - 100e0 / (1e0 + {a} / nullif({b}, 0e0)) end"}
+    value = c.col(f"case when {b} < 2.3e-16 then 100e0 else 100e0 - 100e0 / (1e0 + {a} / nullif({b}, 0e0)) end")
+    return {"mfi": value, "is_overbought": test(f"{value} > 80"), "is_oversold": test(f"{value} < 20")}
 
 
 @waiting
@@ -205,14 +250,15 @@ def awesome(c: Chain, fast: int = 5, slow: int = 34) -> Out:
 
 @waiting
 def atr(c: Chain, length: int = 14) -> Out:
-    return {"atr": _atr(c, length)}
+    return {"atr": _atr(c, length), "true_range": c.col(true_range)}
 
 
 @waiting
-def bollinger(c: Chain, length: int = 20, mult: float = 2.0) -> Out:
+def bollinger(c: Chain, length: int = 20, mult: float = 2.0, squeeze: float = 0.5) -> Out:
     m, s = c.col(mean("c", length)), c.col(pstdev("c", length))
     up, lo = c.col(f"{m} + {num(mult)} * {s}"), c.col(f"{m} - {num(mult)} * {s}")
-    return {"upper": up, "middle": m, "lower": lo, "bandwidth": f"({up} - {lo}) / nullif({m}, 0e0)", "percent_b": f"(c - {lo}) / nullif({up} - {lo}, 0e0)"}
+    width = c.col(f"({up} - {lo}) / nullif({m}, 0e0)")
+    return {"upper": up, "middle": m, "lower": lo, "bandwidth": width, "percent_b": f"(c - {lo}) / nullif({up} - {lo}, 0e0)", "is_above_upper": test(f"c > {up}"), "is_below_lower": test(f"c < {lo}"), "is_squeeze": test(f"{width} < {num(squeeze)}")}
 
 
 @waiting
@@ -256,7 +302,8 @@ def eom(c: Chain, length: int = 14, scale: float = 1e6) -> Out:
 
 @waiting
 def force_index(c: Chain, length: int = 13) -> Out:
-    return {"fi": _ema(c, f"(c - {lag('c')}) * v", length)}
+    raw = c.col(f"(c - {lag('c')}) * v")
+    return {"fi": _ema(c, raw, length), "raw": raw}
 
 
 @waiting
@@ -281,7 +328,9 @@ def volume_osc(c: Chain, short: int = 5, long: int = 10) -> Out:
 
 @waiting
 def vwap(c: Chain) -> Out:
-    return {"vwap": f"{cumulative(f'sum({c.col(hlc3)} * v)')} / nullif({cumulative('sum(v)')}, 0e0)"}
+    volume = c.col(cumulative("sum(v)"))
+    line = c.col(f"{cumulative(f'sum({c.col(hlc3)} * v)')} / nullif({volume}, 0e0)")
+    return {"vwap": line, "cumulative_volume": volume, "periods": "i + 1", "is_above": test(f"c > {line}"), "is_below": test(f"c < {line}")}
 
 
 @waiting
@@ -305,7 +354,7 @@ def supertrend(c: Chain, length: int = 10, mult: float = 3.0) -> Out:
     way = f"case when t.in0 is null then null when r.way is null then case when t.in2 <= t.in1 then -1e0 else 1e0 end when r.way > 0 then case when t.in2 <= {fl} then -1e0 else 1e0 end else case when t.in2 >= {fu} then 1e0 else -1e0 end end"
     first = lambda u, l, close, last: step(None, None, None, u, l, close, last)  # noqa: E731, E741
     u, l, w = c.fold([up, low, "c", back], ["fu", "fl", "way"], first, step, ["t.in0", "t.in1", "null::double"], [fu, fl, way])  # noqa: E741
-    return {"supertrend": f"case when {w} > 0 then {l} else {u} end", "trend": w, "upper": u, "lower": l}
+    return {"supertrend": f"case when {w} > 0 then {l} else {u} end", "trend": w, "upper": u, "lower": l, "is_uptrend": test(f"{w} > 0"), "is_downtrend": test(f"{w} < 0")}
 
 
 @waiting
@@ -341,4 +390,4 @@ def psar(c: Chain, start: float = 0.02, increment: float = 0.02, maximum: float
     ]
     none = ["null::double"] * 4
     out = c.fold(["h", "l", "c", low1, high1], ["sar", "ep", "af", "up"], lambda *_: (None, None, None, None), step, none, sql)
-    return {"sar": out[0], "is_uptrend": f"{out[3]} = 1"}
+    return {"sar": out[0], "is_uptrend": test(f"{out[3]} = 1")}
