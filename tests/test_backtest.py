@@ -3,10 +3,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
-from tidebar.operators import backtest
-from tidebar.operators.research import sma_cross_trades, trade_metrics
+from tidebar.operators import backtest, reports
+from tidebar.operators.research import sma_cross_trades
 
 
 @pytest.fixture(scope="module")
@@ -20,14 +19,72 @@ def bars(spark):
     return spark.createDataFrame(rows, "symbol string, ts timestamp, o double, h double, l double, c double, v double")
 
 
-def test_the_walk_makes_the_trades_of_the_windows(spark, bars):
-    walked = backtest.walk(bars, backtest.crossing(5, 12)).collect()
-    entries = sorted((r["symbol"], r["ts"], r["price"]) for r in walked if r["quantity"] > 0)
+def loop(bars, fast, slow, capital=10_000.0):
+    """The run as a loop over bars: decide at a close, hand the order on at the next bar, fill at the open after that."""
+    closes, trades, curve, held, ordered, filling, before = [], [], [], None, [], [], None
+    realised = 0.0
+    for i, x in enumerate(bars):
+        for side in filling:
+            if side > 0 and held is None:
+                held = (x["ts"], x["o"])
+            elif side < 0 and held is not None:
+                trades.append((*held, x["ts"], x["o"], x["o"] - held[1]))
+                realised += trades[-1][-1]
+                held = None
+        filling, ordered = ordered, []
+        closes.append(x["c"])
+        side = None
+        if len(closes) >= slow:
+            side = sum(closes[-fast:]) / fast - sum(closes[-slow:]) / slow
+            if before is not None and side > 0 >= before:
+                ordered.append(1)
+            elif before is not None and side < 0 <= before:
+                ordered.append(-1)
+            before = side
+        curve.append((x["ts"], capital + realised + (x["c"] - held[1] if held else 0.0)))
+    if held:
+        trades.append((*held, bars[-1]["ts"], bars[-1]["c"], bars[-1]["c"] - held[1]))
+    return trades, curve
+
+
+def test_run_and_metrics_against_a_loop(spark, bars):
     trades = sma_cross_trades(bars, 5, 12)
-    assert entries == sorted((r["symbol"], r["entry_at"], r["entry"]) for r in trades.collect()) and len(entries) > 5
-    closed = trades.where("not is_open").agg(F.sum("pnl")).first()[0]
-    assert math.isclose(sum(r["realised"] for r in walked), closed, rel_tol=1e-9)
-    assert "trades" in backtest.report(trade_metrics(trades))
+    curve = reports.equity_curve(bars, trades)
+    found = {r["symbol"]: r for r in reports.performance(curve, trades, rate=0.0, commission=0.001).collect()}
+    for s in "ab":
+        rows = bars.where(f"symbol = '{s}'").orderBy("ts").collect()
+        expected, equity = loop(rows, 5, 12)
+        got = [(r["entry_at"], r["entry"], r["exit_at"], r["exit"]) for r in trades.where(f"symbol = '{s}'").orderBy("entry_at").collect()]
+        assert got == [x[:4] for x in expected] and len(got) > 5
+        line = [r["equity"] for r in curve.where(f"symbol = '{s}'").orderBy("ts").collect()]
+        assert line == pytest.approx([x for _, x in equity])
+        m, pnl = found[s], [x[4] for x in expected]
+        peak, worst, start, longest = 10_000.0, (0.0, 0.0), None, 0
+        for ts, x in equity:
+            if x > peak:
+                peak, start, longest = x, None, max(longest, (ts - start).total_seconds() if start else 0)
+            else:
+                worst = max(worst, (peak - x, (peak - x) / peak * 100), key=lambda w: w[0])
+                start = start or ts
+        assert (m["max_drawdown"], m["max_drawdown_pct"], m["max_drawdown_s"]) == (pytest.approx(worst[0]), pytest.approx(worst[1]), longest)
+        rets = [b / a - 1 for a, b in zip(line, line[1:])]
+        mean = sum(rets) / len(rets)
+        assert m["volatility"] == pytest.approx(math.sqrt(sum((r - mean) ** 2 for r in rets) / len(rets) * 252))
+        down = [r * r for r in rets if r < 0]
+        yearly = (line[-1] / 10_000) ** (365 / (299 / 24)) - 1
+        assert m["annual_pct"] == pytest.approx(yearly * 100) and m["sharpe"] == pytest.approx(yearly / m["volatility"])
+        assert m["sortino"] == pytest.approx(yearly / math.sqrt(sum(down) / len(down) * 252)) and m["calmar"] == pytest.approx(yearly * 100 / worst[1])
+        assert (m["n_trades"], m["n_won"], m["n_lost"]) == (len(pnl), sum(x > 0 for x in pnl), sum(x < 0 for x in pnl))
+        assert m["profit_factor"] == pytest.approx(sum(x for x in pnl if x > 0) / -sum(x for x in pnl if x < 0))
+        assert m["time_in_market_pct"] == pytest.approx(sum((x[2] - x[0]).total_seconds() for x in expected) / (299 * 3600) * 100)
+        runs = "".join("w" if x > 0 else "l" for x in pnl)
+        assert m["longest_wins"] == max(map(len, runs.split("l"))) and m["longest_losses"] == max(map(len, runs.split("w")))
+
+
+def test_metrics_without_trades(spark, bars):
+    none = sma_cross_trades(bars, 5, 12).where("false")
+    rows = reports.performance(reports.equity_curve(bars, none), none).collect()
+    assert len(rows) == 2 and all(r["n_trades"] == 0 and r["max_drawdown"] == 0 and r["sharpe"] == 0 and r["final_equity"] == 10_000 for r in rows)
 
 
 def test_fill_models(spark, bars):
@@ -47,11 +104,3 @@ def test_fill_models(spark, bars):
             elif model == "realistic":
                 assert r["filled"] == 5.0 and r["commission"] > 0
     assert backtest.fills(orders, bars, "next_open").count() == 40
-
-
-def test_book_is_signed():
-    book = backtest.Book(0.0)
-    assert book.fill(2, 10.0) == 0 and book.fill(2, 20.0) == 0 and book.entry == 15.0
-    assert book.fill(-1, 25.0) == 10.0 and book.position == 3
-    assert book.fill(-5, 5.0) == -30.0 and book.position == -2 and book.entry == 5.0
-    assert book.fill(2, 4.0) == 2.0 and book.position == 0 and book.cash == -18.0

@@ -1,15 +1,13 @@
-"""Fills of orders as expressions, and a walk over bars for strategies whose orders depend on their own fills.
+"""Fills of orders as expressions.
 
-An order that is decided at a bar meets the market at the next one. Where orders don't depend on fills (crosses, rules), fills are
-a window over the bars and nothing needs to walk; see `research.sma_cross_trades`.
+An order that is decided at a bar meets the market at the next one. Orders don't depend on fills (crosses, rules), so fills are a
+window over the bars; see `research.sma_cross_trades`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,81 +60,3 @@ def fills(orders: DataFrame, bars: DataFrame, model: str = "next_open", costs: C
         commission = filled * costs.per_unit + filled * price * costs.commission
     out = rows.select(*orders.columns, at.alias("filled_at"), price.alias("price"), filled.alias("filled"), commission.alias("commission"))
     return out.where("price is not null and filled > 0")
-
-
-@dataclass
-class Book:
-    """What a strategy sees: its position (signed), cash and last fill, and a place for its own notes."""
-
-    cash: float
-    position: float = 0.0
-    entry: float = 0.0
-    notes: dict = field(default_factory=dict)
-
-    def fill(self, quantity: float, price: float) -> float:
-        """Takes a signed quantity; -> the profit that it realises."""
-        closing = min(abs(quantity), abs(self.position)) if quantity * self.position < 0 else 0.0
-        gained = closing * (price - self.entry) * (1 if self.position > 0 else -1)
-        after = self.position + quantity
-        if self.position * after <= 0:
-            self.entry = price if after else 0.0
-        elif abs(after) > abs(self.position):
-            self.entry = (self.entry * self.position + price * quantity) / after
-        self.position = after
-        self.cash += gained
-        return gained
-
-
-WALKED = "symbol string, ts timestamp, price double, quantity double, realised double, position double, equity double"
-
-
-def walk(bars: DataFrame, decide: Callable[[Book, tuple], float], capital: float = 10_000.0, short: bool = False) -> DataFrame:
-    """decide(book, bar) -> a signed quantity to trade at the open of the bar after the next; one row a fill, with the equity then.
-
-    A symbol's bars are walked in one task, since each decision may depend on all fills before. A sale without a position is
-    refused unless `short`. Rows without orders cost nothing downstream.
-    """
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        bar_rows = list(rows[["ts", "o", "h", "l", "c", "v"]].itertuples(index=False, name=None))
-        book, pending, out = Book(capital), 0.0, []
-        for i, bar in enumerate(bar_rows):
-            if pending and i + 1 < len(bar_rows) and (short or pending > 0 or book.position > 0):
-                gained = book.fill(pending, bar_rows[i + 1][1])
-                out.append((rows["symbol"].iloc[0], bar_rows[i + 1][0], bar_rows[i + 1][1], pending, gained, book.position, book.cash + book.position * (bar[4] - book.entry)))
-            pending = decide(book, bar)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in WALKED.split(", ")])
-
-    return bars.select("symbol", "ts", *"ohlcv").groupBy("symbol").applyInPandas(each, WALKED)
-
-
-def crossing(fast: int = 9, slow: int = 21) -> Callable[[Book, tuple], float]:
-    """The long-only cross of two means as a strategy of one unit."""
-
-    def decide(book: Book, bar: tuple) -> float:
-        closes = book.notes.setdefault("closes", [])
-        closes.append(bar[4])
-        del closes[:-slow]
-        if len(closes) < slow:
-            return 0.0
-        side = sum(closes[-fast:]) / fast - sum(closes) / slow
-        before, book.notes["side"] = book.notes.get("side"), side
-        held = book.notes.get("long", False)
-        if before is not None and before <= 0 < side and not held:
-            book.notes["long"] = True
-            return 1.0
-        if before is not None and side < 0 <= before and held:
-            book.notes["long"] = False
-            return -1.0
-        return 0.0
-
-    return decide
-
-
-def report(metrics: DataFrame) -> str:
-    """A few lines a symbol of trade metrics; the table has one row a symbol and a few are shown."""
-    lines = [f"{'symbol':<12}{'trades':>8}{'pnl':>14}{'wins':>8}{'factor':>8}"]
-    for r in metrics.orderBy("symbol").limit(50).collect():
-        lines.append(f"{r['symbol']:<12}{r['n_trades']:>8}{r['pnl']:>14.2f}{r['win_rate']:>8.1%}{r['profit_factor']:>8.2f}")
-    return "\n".join(lines)

@@ -87,7 +87,6 @@ _T = f"{B}, {_trades(9, 21)}"
 _METRICS = "select symbol, count(*) as n_trades, round(sum(pnl), 6) as pnl, round(avg(case when pnl > 0 then 1.0::double else 0 end), 6) as win_rate, round(coalesce(sum(case when pnl > 0 then pnl else 0 end) / nullif(sum(case when pnl < 0 then -pnl else 0 end), 0), 0), 6) as profit_factor, round(max(pnl), 6) as largest_win, round(min(pnl), 6) as largest_loss, round(avg(ret), 6) as avg_return"
 _M = ["n_trades", *rr("pnl", "win_rate", "profit_factor", "largest_win", "largest_loss", "avg_return")]
 over("bt_sma_cross", s.sma_cross_trades, ["symbol", lambda: wall("entry_at").alias("entry_at"), "entry", lambda: wall("exit_at").alias("exit_at"), "exit", "is_open", *rr("pnl", "ret")], f"{_T} select symbol, entry_at, entry, exit_at, exit, is_open, round(pnl, 6) + 0 as pnl, round(ret, 6) + 0 as ret from trades")
-over("bt_metrics", lambda b: s.trade_metrics(s.sma_cross_trades(b)), ["symbol", *_M], f"{_T} {_METRICS} from trades group by symbol")
 over("bt_streaks", lambda b: s.streaks(s.sma_cross_trades(b)), ["symbol", lambda: F.col("longest_wins").cast("long").alias("longest_wins"), lambda: F.col("longest_losses").cast("long").alias("longest_losses")], f"{_T}, n as (select symbol, pnl > 0 as win, row_number() over (partition by symbol order by entry_at) - row_number() over (partition by symbol, pnl > 0 order by entry_at) as run from trades), u as (select symbol, win, run, count(*) as n from n group by 1, 2, 3) select symbol, coalesce(max(n) filter (win), 0) as longest_wins, coalesce(max(n) filter (not win), 0) as longest_losses from u group by symbol")
 over("bt_equity", lambda b: s.equity(s.sma_cross_trades(b)), ["symbol", lambda: wall("exit_at").alias("exit_at"), *rr("equity", "peak", "drawdown")], f"{_T}, e1 as (select symbol, exit_at, 10000.0::double + sum(pnl) over (partition by symbol order by exit_at) as equity from trades), e2 as (select *, greatest(10000.0::double, max(equity) over (partition by symbol order by exit_at)) as peak from e1) select symbol, exit_at, round(equity, 6) as equity, round(peak, 6) as peak, round((peak - equity) / peak, 6) + 0 as drawdown from e2")
 _SWEEP = " union all ".join(f"select *, {a}::int as fast, {z}::int as slow from ({B}, {_trades(a, z)} {_METRICS} from trades group by symbol)" for a, z in ((5, 20), (9, 21), (12, 26)))

@@ -10,8 +10,8 @@ from tidebar.functions.windows import frame, highest, lag, lowest, num, true_ran
 from tidebar.operators import queries as indicators
 from tidebar.operators.market import SESSIONS, WEEKDAYS, bucket_start
 from tidebar.operators.market_queries import TS, B, add, over_bars, over_ticks, r
-from tidebar.operators.research import sma_cross_trades, trade_metrics
-from tidebar.operators.research_queries import _METRICS, _T
+from tidebar.operators.research import sma_cross_trades
+from tidebar.operators.research_queries import _T
 from tidebar.operators.ta import Out
 from tidebar.plans.chain import Chain
 from tidebar.sources import files
@@ -80,18 +80,6 @@ def _positions(b: DataFrame) -> DataFrame:
 
 add("rk_position_pnl", over_bars(_positions), f"{_T} select symbol, entry_at, round(pnl, 6) + 0 as pnl, round(pnl / nullif(entry * 0.05::double, 0), 6) + 0 as r_multiple, exit <= entry * 0.95::double as stopped, exit >= entry * 1.1::double as at_target from trades")
 add("x_rk_position", over_bars(lambda b: sma_cross_trades(b).where("is_open").select("symbol", r(F.col("exit") * 10, "notional"), r(F.col("entry") * 0.05 * 10, "planned_risk"))), f"{_T} select symbol, round(exit * 10, 6) as notional, round(entry * 0.05::double * 10, 6) as planned_risk from trades where is_open")
-add("bt_run", over_bars(lambda b: trade_metrics(sma_cross_trades(b)).select("symbol", "n_trades", *(r(x) for x in ("pnl", "win_rate", "profit_factor", "largest_win", "largest_loss", "avg_return")))), f"{_T} {_METRICS} from trades group by symbol")
-
-
-def _fills(b: DataFrame) -> DataFrame:
-    """Prices at which an order of a bar fills by model: at once, at the next open, at the close, at the typical price, and with costs."""
-    w, c = W.partitionBy("symbol").orderBy("ts"), F.col
-    return b.select("symbol", TS(), c("c").alias("instant"), F.lead("o").over(w).alias("next_open"), c("c").alias("at_close"), r((c("h") + c("l") + c("c")) / 3, "typical"), r(c("c") * 1.0001, "realistic"), r(c("c") * 1.0001 * 0.001, "commission"), r(c("v") * 0.1, "most_quantity"))
-
-
-add("bt_fill", over_bars(_fills), f"{B} select symbol, ts, c as instant, lead(o) over (partition by symbol order by ts) as next_open, c as at_close, round((h + l + c) / 3, 6) as typical, round(c * 1.0001::double, 6) as realistic, round(c * 1.0001::double * 0.001::double, 6) as commission, round(v * 0.1::double, 6) as most_quantity from b")
-add("x_bt_fill", over_bars(lambda b: b.select("symbol", TS(), r(F.col("c") * 10 + 1, "cost"))), f"{B} select symbol, ts, round(c * 10 + 1, 6) as cost from b")
-
 # Session states with holidays and early closes, a small table joined by day
 
 HOLIDAYS = [("2024-01-01", None), ("2024-01-15", None), ("2024-01-24", 64800)]
@@ -124,4 +112,3 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("src_csv", _csv, f"{B} select symbol, ts, o, h, l, c from b where symbol = 'click'")
 add("sink_csv", _csv, f"{B} select symbol, ts, o, h, l, c from b where symbol = 'click'")
-add("sink_report_json", over_bars(lambda b: trade_metrics(sma_cross_trades(b)).select("symbol", F.to_json(F.struct("n_trades", F.round("win_rate", 4).alias("win_rate"))).alias("report"))), f"{_T} select symbol, '{{\"n_trades\":' || count(*) || ',\"win_rate\":' || round(avg(case when pnl > 0 then 1.0::double else 0 end), 4) || '}}' as report from trades group by symbol")

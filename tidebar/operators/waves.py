@@ -1,4 +1,4 @@
-"""Elliott counts over the larger swings, and trend lines through a bounded number of the latest ones. Both look ahead by the swings' reach."""
+"""Elliott counts over the larger swings, and trend lines through swings. Both look ahead by the swings' reach."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def wave_swings() -> Chain:
 def _waves(bars: DataFrame, n: int) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("ts")
     rows = wave_swings().apply(bars).where("kept = 1")
-    return rows.select("symbol", "ts", F.col("price").alias("p0"), *(F.lead("price", k).over(w).alias(f"p{k}") for k in range(1, n)), F.lead("ts", n - 1).over(w).alias("end_at")).where("end_at is not null")
+    return rows.select("symbol", "ts", F.col("price").alias("p0"), *(F.lead("price", k).over(w).alias(f"p{k}") for k in range(1, n)), F.lead("ts", 1).over(w).alias("ts1"), F.lead("ts", n - 1).over(w).alias("end_at")).where("end_at is not null")
 
 
 def _first(rows: DataFrame, *columns: str) -> DataFrame:
@@ -71,10 +71,46 @@ def corrections(bars: DataFrame) -> DataFrame:
     return _first(_waves(bars, 4).where(F.expr(ABC)).withColumn("trend_up", F.expr("p1 <= p0")), "p0", "p1", "p2", "p3", "trend_up", "end_at")
 
 
+#: The ratios that waves are compared with, and those of wave 3's targets.
+RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786, 0.886, 1.0, 1.272, 1.618, 2.0, 2.618, 3.618, 4.236)
+THIRD = (1.0, 1.272, 1.618, 2.0, 2.618)
+
+
+def near_ratio(value: str, tolerance: float) -> str:
+    """The first of the ratios that the value is nearer to than the tolerance."""
+    return "case " + " ".join(f"when abs({value} - {num(x)}) < {num(tolerance)} then {num(x)}" for x in RATIOS) + " end"
+
+
+def fib_ratios(bars: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Each wave's size over that of the wave before (0 without size), and the ratio that it is near to."""
+    rows = _waves(bars, 3).withColumn("ratio", F.coalesce(F.expr(f"{_length(1)} / nullif({_length(0)}, 0e0)"), F.lit(0.0)))
+    return rows.select("symbol", F.col("ts1").alias("ts"), "ratio", F.expr(near_ratio("ratio", tolerance)).alias("fib"))
+
+
+def wave_shapes(bars: DataFrame) -> DataFrame:
+    """Each wave's size, direction and hours, and the share of the wave before that it takes back."""
+    rows = _waves(bars, 3)
+    hours = (F.unix_seconds("end_at") - F.unix_seconds("ts1")) / 3600.0
+    share = F.coalesce(F.expr(f"{_length(1)} / nullif({_length(0)}, 0e0)"), F.lit(0.0))
+    return rows.select("symbol", F.col("ts1").alias("ts"), "end_at", F.expr(_length(1)).alias("size"), F.expr("p2 > p1").alias("is_up"), hours.alias("hours"), share.alias("retracement"))
+
+
+def counts(bars: DataFrame) -> DataFrame:
+    """A symbol's count: its first impulse, or else its first correction; nothing with under 20 bars or 5 swings."""
+    enough = bars.groupBy("symbol").agg(F.count("*").alias("n")).where("n >= 20").join(wave_swings().apply(bars).where("kept = 1").groupBy("symbol").agg(F.count("*").alias("k")).where("k >= 5"), "symbol")
+    five = impulses(bars).select("symbol", F.col("p5").alias("end"), F.col("pattern").alias("kind"), "is_up")
+    three = corrections(bars).select("symbol", F.col("p3").alias("end"), F.lit("correction").alias("kind"), F.col("trend_up").alias("is_up"))
+    both = enough.select("symbol").join(five.select("symbol", F.struct("kind", "end", "is_up").alias("a")), "symbol", "left").join(three.select("symbol", F.struct("kind", "end", "is_up").alias("b")), "symbol", "left")
+    return both.select("symbol", F.coalesce("a", "b").alias("x")).where("x is not null").select("symbol", "x.*")
+
+
 def targets(bars: DataFrame) -> DataFrame:
-    """Where wave 5 of the count may end: wave 4's end and 0.618, 1 and 1.618 of wave 1 in its direction."""
-    rows = impulses(bars)
-    return rows.select("symbol", *((F.col("p4") + k * (F.col("p1") - F.col("p0"))).alias(n) for n, k in (("near", 0.618), ("equal", 1.0), ("far", 1.618))))
+    """Where the count's next wave may end: wave 3 after the first two waves, wave 5 after the first four; a row each."""
+    way = "case when p1 > p0 then 1e0 else -1e0 end"
+    fifth = impulses(bars)
+    price = [(f"W3 {100 * k:.1f}%", f"p2 + {num(k)} * abs(p1 - p0) * {way}") for k in THIRD]
+    price += [("W5 = W1", f"p4 + abs(p1 - p0) * {way}"), ("W5 61.8%", f"p4 + abs(p3 - p0) * 0.618e0 * {way}")]
+    return fifth.select("symbol", F.explode(F.array(*(F.struct(F.lit(n).alias("target"), F.expr(e).alias("price")) for n, e in price))).alias("x")).select("symbol", "x.*")
 
 
 def trendlines(bars: DataFrame, tolerance: float = 0.01, least: int = 3, most: int = 6, block: int = 256) -> DataFrame:
@@ -103,18 +139,32 @@ _S = f"with s as (select * from ({wave_swings().sql(HOURLY_SQL)}) where kept = 1
 
 
 def _leads(n: int) -> str:
-    return f"{_S}, w as (select symbol, ts, price as p0, {', '.join(f'lead(price, {k}) over w as p{k}' for k in range(1, n))}, lead(ts, {n - 1}) over w as end_at from s window w as (partition by symbol order by ts))"
+    return f"{_S}, w as (select symbol, ts, price as p0, {', '.join(f'lead(price, {k}) over w as p{k}' for k in range(1, n))}, lead(ts, 1) over w as ts1, lead(ts, {n - 1}) over w as end_at from s window w as (partition by symbol order by ts))"
 
 
 add("el_swings", over_bars(lambda b: wave_swings().apply(b).where("kept = 1").select("symbol", TS(), "price", "is_high")), f"{_S} select symbol, ts, price, is_high from s")
 add("el_impulse", over_bars(lambda b: impulses(b).select("symbol", TS(), *(f"p{k}" for k in range(6)), "pattern", "is_up", wall("end_at").alias("end_at"))), f"{_leads(6)}, v as (select * from w where end_at is not null and {IMPULSE} qualify row_number() over (partition by symbol order by ts) = 1) select symbol, ts, p0, p1, p2, p3, p4, p5, {PATTERN} as pattern, p1 > p0 as is_up, end_at from v")
 add("el_abc", over_bars(lambda b: corrections(b).select("symbol", TS(), "p0", "p1", "p2", "p3", "trend_up", wall("end_at").alias("end_at"))), f"{_leads(4)} select symbol, ts, p0, p1, p2, p3, p1 <= p0 as trend_up, end_at from w where end_at is not null and {ABC} qualify row_number() over (partition by symbol order by ts) = 1")
-add("el_targets", over_bars(lambda b: targets(b).select("symbol", r("near"), r("equal"), r("far"))), f"{_leads(6)}, v as (select * from w where end_at is not null and {IMPULSE} qualify row_number() over (partition by symbol order by ts) = 1) select symbol, round(p4 + 0.618::double * (p1 - p0), 6) as near, round(p4 + (p1 - p0), 6) as equal, round(p4 + 1.618::double * (p1 - p0), 6) as far from v")
+_FIRST = f"{_leads(6)}, v as (select * from w where end_at is not null and {IMPULSE} qualify row_number() over (partition by symbol order by ts) = 1)"
+_WAY = "abs(p1 - p0) * (case when p1 > p0 then 1 else -1 end)"
+add("el_targets", over_bars(lambda b: targets(b).select("symbol", "target", r("price"))), f"{_FIRST} " + " union all ".join([f"select symbol, 'W3 {k * 100:.1f}%' as target, round(p2 + {k}::double * {_WAY}, 6) as price from v" for k in THIRD] + [f"select symbol, 'W5 = W1', round(p4 + {_WAY}, 6) from v", "select symbol, 'W5 61.8%', round(p4 + 0.618::double * abs(p3 - p0) * (case when p1 > p0 then 1 else -1 end), 6) from v"]))
+_RATIO = "coalesce(abs(p2 - p1) / nullif(abs(p1 - p0), 0), 0)"
+add("el_fib", over_bars(lambda b: fib_ratios(b).select("symbol", TS(), r("ratio"), "fib")), f"{_leads(3)}, q as (select symbol, ts1 as ts, {_RATIO} as ratio from w where end_at is not null), f as (select unnest([{', '.join(map(repr, RATIOS))}])::double as fib) select symbol, ts, round(ratio, 6) as ratio, (select min(fib) from f where abs(ratio - fib) < 0.05::double) as fib from q")
+add("x_el_wave", over_bars(lambda b: wave_shapes(b).select("symbol", TS(), wall("end_at").alias("end_at"), r("size"), "is_up", r("hours"), r("retracement"))), f"{_leads(3)} select symbol, ts1 as ts, end_at, round(abs(p2 - p1), 6) as size, p2 > p1 as is_up, round(epoch(end_at - ts1) / 3600.0::double, 6) as hours, round({_RATIO}, 6) as retracement from w where end_at is not null")
+_THREE = _leads(4).replace(f"{_S}, w as", "w4 as")
+add(
+    "el_count",
+    over_bars(lambda b: counts(b).select("symbol", "kind", "end", "is_up")),
+    f"""{_FIRST}, {_THREE}, y as (select * from w4 where end_at is not null and {ABC} qualify row_number() over (partition by symbol order by ts) = 1),
+    a as (select symbol, {PATTERN} as kind, p5 as last, p1 > p0 as up from v), z as (select symbol, 'correction' as kind, p3 as last, p1 <= p0 as up from y),
+    k as (select symbol from s group by symbol having count(*) >= 5)
+    select symbol, kind, last as "end", up as is_up from (select * from a union all select * from z where symbol not in (select symbol from a)) where symbol in (select symbol from k)""",
+)
 _SW2 = _SW.replace("5 preceding", "2 preceding").replace("5 following", "2 following").replace("i > 5 and i <= z - 5", "i > 2 and i <= z - 2")
 add(
     "ch_trendlines",
     over_bars(lambda b: trendlines(b).select("symbol", "kind", wall("start").alias("start"), wall("end").alias("end"), r("slope"), F.col("touches").cast("long").alias("touches"), r("strength"))),
-    f"""{_SW2}, m as (select symbol, avg(c) as mean from b group by symbol), p as (select *, epoch(ts) / 3600.0::double as x from s qualify row_number() over (partition by symbol, kind order by ts desc) <= 40),
+    f"""{_SW2}, m as (select symbol, avg(c) as mean from b group by symbol), p as (select *, epoch(ts) / 3600.0::double as x from s),
     q as (select a.symbol, a.kind, mean, a.x as ax, d.x as bx, a.price as ap, (d.price - a.price) / (d.x - a.x) as slope from p a join p d on a.symbol = d.symbol and a.kind = d.kind and a.x < d.x join m on m.symbol = a.symbol),
     t as (select q.symbol, q.kind, ax, bx, slope, case when p.x = ax or p.x = bx then 0::double else abs(p.price - ap - slope * (p.x - ax)) / mean end as away from q join p on p.symbol = q.symbol and p.kind = q.kind where case when q.kind = 'low' then slope >= -0.01::double else slope <= 0.01::double end),
     g as (select symbol, kind, ax, bx, slope, count(*) as touches, count(*) / (1 + 10 * sum(away)) as strength from t where away < 0.01::double group by 1, 2, 3, 4, 5 having count(*) >= 3)
