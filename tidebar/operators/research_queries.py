@@ -63,7 +63,6 @@ def _exposed(spark, sf_dir):
 
 
 add("rk_exposure", lambda spark, d: _exposed(spark, d).select("sector", r("notional", digits=2), "n", r("share")), f"{_EXP} select sector, round(notional, 2) as notional, n, round(share, 6) as share from x")
-add("rk_limits", lambda spark, d: s.limit_breaches(_exposed(spark, d), 0.05, 600).select("sector", "breach"), f"{_EXP} select sector, case when share > 0.05 then 'sector' when n > 600 then 'count' else 'none' end as breach from x")
 
 _SW = f"{B}, w as (select *, max(h) over (p rows between 5 preceding and 1 preceding) as hb, max(h) over (p rows between 1 following and 5 following) as ha, min(l) over (p rows between 5 preceding and 1 preceding) as lb, min(l) over (p rows between 1 following and 5 following) as la, row_number() over p as i, count(*) over (partition by symbol) as z from b window p as (partition by symbol order by ts)), s as (select symbol, ts, 'high' as kind, h as price from w where i > 5 and i <= z - 5 and h > greatest(hb, ha) union all select symbol, ts, 'low', l from w where i > 5 and i <= z - 5 and l < least(lb, la))"
 over("smc_swings", s.swings, ["symbol", TS, "kind", "price"], f"{_SW} select symbol, ts, kind, price from s")

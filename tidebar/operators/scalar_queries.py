@@ -10,8 +10,6 @@ from tidebar.functions.windows import frame, highest, lag, lowest, num, true_ran
 from tidebar.operators import queries as indicators
 from tidebar.operators.market import SESSIONS, WEEKDAYS, bucket_start
 from tidebar.operators.market_queries import TS, B, add, over_bars, over_ticks, r
-from tidebar.operators.research import sma_cross_trades
-from tidebar.operators.research_queries import _T
 from tidebar.operators.ta import Out
 from tidebar.plans.chain import Chain
 from tidebar.sources import files
@@ -70,16 +68,6 @@ add("x_extremes", over_bars(lambda b: b.groupBy("symbol").agg(F.max("c").alias("
 add("x_tb_bucket", over_ticks(lambda t: t.select("id", *(wall(F.timestamp_seconds(F.unix_seconds(bucket_start(F.col("ts"), 3600)) + d)).alias(n) for n, d in (("before", -3600), ("start", 0), ("next", 3600))))), "select event_id as id, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') - interval 1 hour as before, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as start, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') + interval 1 hour as next from events")
 add("x_ta_optional", over_bars(lambda b: b.select("symbol", F.lag("c", 5).over(W.partitionBy("symbol").orderBy("ts")).alias("x")).where("x is not null").groupBy("symbol").agg(F.count("*").alias("n"))), f"{B} select symbol, count(*) - 5 as n from b group by symbol")
 
-# Positions: each trade of the crossing backtest with a stop of 5 % and a target of 10 %
-
-
-def _positions(b: DataFrame) -> DataFrame:
-    t, c = sma_cross_trades(b), F.col
-    return t.select("symbol", wall("entry_at").alias("entry_at"), r("pnl"), r(c("pnl") / F.nullif(c("entry") * 0.05, F.lit(0.0)), "r_multiple"), (c("exit") <= c("entry") * 0.95).alias("stopped"), (c("exit") >= c("entry") * 1.1).alias("at_target"))
-
-
-add("rk_position_pnl", over_bars(_positions), f"{_T} select symbol, entry_at, round(pnl, 6) + 0 as pnl, round(pnl / nullif(entry * 0.05::double, 0), 6) + 0 as r_multiple, exit <= entry * 0.95::double as stopped, exit >= entry * 1.1::double as at_target from trades")
-add("x_rk_position", over_bars(lambda b: sma_cross_trades(b).where("is_open").select("symbol", r(F.col("exit") * 10, "notional"), r(F.col("entry") * 0.05 * 10, "planned_risk"))), f"{_T} select symbol, round(exit * 10, 6) as notional, round(entry * 0.05::double * 10, 6) as planned_risk from trades where is_open")
 # Session states with holidays and early closes, a small table joined by day
 
 HOLIDAYS = [("2024-01-01", None), ("2024-01-15", None), ("2024-01-24", 64800)]

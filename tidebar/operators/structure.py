@@ -91,20 +91,6 @@ def regime(shannon: Column, lempel: Column, permutation: Column) -> tuple[Column
     return name, F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 4 * spread))
 
 
-def kill_switch(trades: DataFrame, balance: float = 100.0, daily_loss: float = 0.5, fall: float = 0.8, losses: int = 5, most: int = 3) -> DataFrame:
-    """symbol, exit_at, pnl -> after each trade the first limit in order that is reached, from running sums and islands."""
-    upto = W.partitionBy("symbol").orderBy("exit_at", "entry_at").rowsBetween(W.unboundedPreceding, 0)
-    day = W.partitionBy("symbol", "day").orderBy("exit_at", "entry_at").rowsBetween(W.unboundedPreceding, 0)
-    c = F.col
-    rows = trades.withColumn("day", F.date_trunc("day", "exit_at")).withColumn("balance", balance + F.sum("pnl").over(upto))
-    rows = rows.withColumn("peak", F.greatest(F.lit(balance), F.max("balance").over(upto))).withColumn("today", F.sum("pnl").over(day)).withColumn("n_today", F.count("*").over(day))
-    rows = rows.withColumn("wins", F.sum(F.when(c("pnl") > 0, 1).otherwise(0)).over(upto))
-    rows = rows.withColumn("in_a_row", F.sum(F.when(c("pnl") < 0, 1).otherwise(0)).over(W.partitionBy("symbol", "wins").orderBy("exit_at", "entry_at").rowsBetween(W.unboundedPreceding, 0)))
-    start = c("balance") - c("today")
-    reason = F.when(-c("today") / F.nullif(start, F.lit(0.0)) >= daily_loss, "daily_loss").when((c("peak") - c("balance")) / c("peak") >= fall, "drawdown").when(c("in_a_row") >= losses, "losses").when(c("n_today") >= most, "trades").otherwise("none")
-    return rows.select("symbol", "entry_at", "exit_at", "balance", "peak", c("in_a_row").cast("long").alias("in_a_row"), c("n_today").alias("n_today"), reason.alias("reason"))
-
-
 def correlated_exposure(bars: DataFrame, threshold: float = 0.05) -> DataFrame:
     """The sum over pairs of symbols of the smaller notional (the last close) times the correlation's size, where it is great enough."""
     last = _last(bars).select("symbol", "last_c")
