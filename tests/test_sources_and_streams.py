@@ -1,11 +1,12 @@
 import math
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidebar.operators.ta import TA
 from tidebar.plans.chain import Chain
-from tidebar.sources import candles, files
+from tidebar.sources import candles, exchange, files, tables
 from tidebar.streaming import bars as streaming
 
 
@@ -79,7 +80,42 @@ def test_streamed_gaps_and_upsert(spark, tmp_path):
     assert {r["symbol"] for r in spark.table("gaps").collect()} == {"a", "b"}
     q.stop()
     store = str(tmp_path / "store")
-    files.write_bars(b, store)
-    streaming.upsert_sink(store)(b.where("symbol = 'a'").withColumn("c", F.lit(-1.0)), 0)
-    assert spark.read.parquet(store).where("c = -1").count() == b.where("symbol = 'a'").count()
-    assert spark.read.parquet(store).count() == b.count()
+    tables.append(b, store, 0)
+    batch = b.where("symbol = 'a'").withColumn("c", F.lit(-1.0))
+    for _ in range(2):  # a batch that runs again changes nothing
+        streaming.upsert_sink(store)(batch, 1)
+    now = tables.current(spark, store)
+    assert now.where("c = -1").count() == batch.count() and now.count() == b.count() and sorted(now.columns) == sorted(b.columns)
+    day = lambda d: F.lit(d).cast("timestamp")
+    some = tables.scan(spark, store, "a", day("2024-01-02"), day("2024-01-02 05:00:00"))
+    assert {r["c"] for r in some.collect()} == {-1.0} and some.count() == b.where("symbol = 'a' and ts between '2024-01-02' and '2024-01-02 05:00:00'").count()
+    assert "PartitionFilters: [isnotnull(symbol" in some._jdf.queryExecution().toString()
+    tables.compacted(spark, store, str(tmp_path / "small"))
+    assert tables.current(spark, str(tmp_path / "small")).count() == b.count()
+
+
+def test_messages_that_do_not_parse_go(spark):
+    good = '{"epic": "A", "snapshotTime": "2024-01-01T00:01:00", "openPrice": {"bid": 1, "ask": 3}, "highPrice": {"bid": 3, "ask": 5}, "lowPrice": {"bid": 0, "ask": 2}, "closePrice": {"bid": 2, "ask": 4}}'
+    bad = ["nonsense", "", None, '{"ping": 1}', good[:50], good.replace("2024-01-01T00:01:00", "yesterday"), good.replace('"ask": 3', '"asked": 3'), good.replace("epic", "epoch")]
+    rows = exchange.running_candles(spark.createDataFrame([(k, x) for k, x in enumerate([*bad, good])], "k int, value string")).collect()
+    assert [(r["k"], r["symbol"], r["o"], r["h"], r["l"], r["c"], r["v"], r["is_final"]) for r in rows] == [(8, "A", 2.0, 4.0, 1.0, 3.0, 0.0, False)]
+
+
+def test_exchange_answers(spark):
+    text = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    listed = text('{"symbols": [{"symbol": "A", "status": "TRADING"}, {"symbol": "B", "status": "BREAK"}, {"symbol": "C", "status": "TRADING", "more": 1}]}', "no json", None)
+    assert sorted(r["symbol"] for r in exchange.trading_symbols(listed).collect()) == ["A", "C"]
+    found = exchange.tickers(text('{"symbol": "A", "priceChange": "-1.5", "lastPrice": "x", "volume": "7"}', "no json")).collect()
+    assert len(found) == 1 and found[0]["price_change"] == -1.5 and found[0]["last_price"] is None and found[0]["volume"] == 7.0
+
+
+def test_csv_without_rows_and_with_another_symbol(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("date,open,high,low,close\nbad,1,2,3,4\n1,2,3\n")
+    assert files.read_csv(spark, str(tmp_path / "e.csv"), "S").count() == 0
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "e.csv"), "S", required=True)
+    (tmp_path / "g.csv").write_text("".join(f"{1704067200 + 60 * i},1,2,0.5,1.5,1\n" for i in range(5)))
+    assert files.csv_bars(spark, str(tmp_path / "g.csv"), "S", "1m", "S", "1m").count() == 5
+    for asked in (("T", "1m"), ("S", "5m")):
+        with pytest.raises(ValueError):
+            files.csv_bars(spark, str(tmp_path / "g.csv"), "S", "1m", *asked)

@@ -140,18 +140,104 @@ def merge_backfill(stored: DataFrame, fetched: DataFrame) -> DataFrame:
 
 # Sessions (fixed UTC hours, no daylight saving)
 
-#: Start and end in seconds of the day; London and New York by their standard time.
-SESSIONS = {"tokyo": (0, 21600), "london": (28800, 59400), "new_york": (52200, 75600)}
+DAY = 86400
+#: Start and end in seconds of the day, by standard time; after-hours end past midnight and are not wrapped.
+SESSIONS = {"always": (0, 86400), "tokyo": (0, 21600), "london": (28800, 59400), "new_york": (52200, 75600), "pre_market": (32400, 52200), "after_hours": (75600, 90000)}
+#: Sunday is 0.
 WEEKDAYS = (1, 2, 3, 4, 5)
 
 
-def session_facts(ticks: DataFrame, name: str) -> DataFrame:
-    """is_open on weekdays in [start, end), over midnight where start >= end; seconds to the next opening and closing of a day."""
+def is_open(ts: Column, name: str) -> Column:
+    """On weekdays (24/7: on all days) in [start, end), over midnight where start >= end."""
     start, end = SESSIONS[name]
-    seconds = F.unix_seconds("ts")
-    day, of_day = F.pmod(F.floor(seconds / 86400) + 4, F.lit(7)), F.pmod(seconds, F.lit(86400))
+    seconds = F.unix_seconds(ts)
+    of_day = F.pmod(seconds, F.lit(DAY))
     inside = (of_day >= start) & (of_day < end) if start < end else (of_day >= start) | (of_day < end)
-    return ticks.select("symbol", "id", (day.isin(*WEEKDAYS) & inside).alias("is_open"), F.pmod(F.lit(start) - of_day, F.lit(86400)).alias("to_open"), F.pmod(F.lit(end) - of_day, F.lit(86400)).alias("to_close"))
+    return inside if name == "always" else inside & F.pmod(F.floor(seconds / DAY) + 4, F.lit(7)).isin(*WEEKDAYS)
+
+
+def seconds_to(ts: Column, name: str) -> tuple[Column, Column]:
+    """Until it opens (0 if it is open; closed days aren't skipped) and until it closes (0 if it isn't)."""
+    (start, end), now = SESSIONS[name], is_open(ts, name)
+    of_day = F.pmod(F.unix_seconds(ts), F.lit(DAY))
+    until = F.when(now, 0).when(of_day < start, start - of_day).otherwise(DAY - of_day + start)
+    left = end - of_day if start < end else F.when(of_day >= start, DAY - of_day + end).otherwise(end - of_day)
+    return until.cast("long"), F.when(now, left).otherwise(0).cast("long")
+
+
+def session_state(ticks: DataFrame, days: DataFrame, name: str = "new_york") -> DataFrame:
+    """ticks with `state`: open, before, after or closed, by a small table (day, closes) of holidays (null) and early closes.
+
+    After an early close the regular hours that are left are closed; what follows them is as on other days.
+    """
+    special = days.select(F.col("day").alias("__day"), F.col("closes").alias("__closes"), F.lit(True).alias("__special"))
+    rows = ticks.join(F.broadcast(special), F.to_date("ts") == F.col("__day"), "left")
+    ts, of_day = F.col("ts"), F.pmod(F.unix_seconds("ts"), F.lit(DAY))
+    holiday = F.coalesce("__special", F.lit(False)) & F.col("__closes").isNull()
+    regular = F.when(F.col("__closes").isNotNull() & (of_day >= F.col("__closes")), "closed").otherwise("open")
+    state = F.when(holiday, "closed").when(is_open(ts, name), regular).when(is_open(ts, "pre_market"), "before").when(is_open(ts, "after_hours"), "after").otherwise("closed")
+    return rows.select(*ticks.columns, state.alias("state"))
+
+
+# Timeframes and ranges
+
+#: The next larger timeframe.
+LARGER = {"1s": "5s", "5s": "15s", "15s": "30s", "30s": "1m", "1m": "5m", "3m": "5m", "5m": "15m", "15m": "30m", "30m": "1h", "1h": "4h", "2h": "4h", "4h": "1d", "6h": "12h", "8h": "1d", "12h": "1d", "1d": "1w", "3d": "1w", "1w": "1mo", "1mo": None}
+
+
+def timeframe_names() -> dict[str, str]:
+    """Lower-case spellings -> timeframe: 5m, m5, 5min, and a few others. A month can only be spelt out."""
+    out = {}
+    for name in TIMEFRAMES:
+        n, unit = name.rstrip("smhdwo"), name.lstrip("0123456789")
+        if unit != "mo":
+            out |= {name: name, unit + n: name} | ({f"{n}min": name} if unit == "m" else {})
+    return out | {"60m": "1h", "60min": "1h", "120m": "2h", "240m": "4h", "d": "1d", "daily": "1d", "w": "1w", "weekly": "1w", "monthly": "1mo"}
+
+
+def parse_timeframe(text: Column) -> Column:
+    """The timeframe that a text names, without regard to case and white space around it (monthly: lower case only); else null."""
+    names = F.create_map(*(F.lit(x) for pair in timeframe_names().items() for x in pair))
+    plain = F.btrim(text)
+    return F.when((F.lower(plain) != "monthly") | (plain == "monthly"), F.element_at(names, F.lower(plain)))
+
+
+def bars_between(seconds: Column, start: Column, end: Column) -> Column:
+    return F.floor((F.unix_seconds(end) - F.unix_seconds(start)) / seconds).cast("long")
+
+
+#: Ranges that end now: what they are named and where they start.
+RANGES = ("last_6_hours", "last_3_days", "today", "this_week", "this_month", "this_year")
+
+
+def range_start(name: str, now: Column) -> Column:
+    """A week has 7 days, a month 30, a year 365."""
+    if name == "today":
+        return F.date_trunc("day", now)
+    days = {"this_week": 7, "this_month": 30, "this_year": 365}
+    if name in days:
+        return F.timestamp_seconds(F.unix_seconds(now) - days[name] * DAY)
+    _, n, unit = name.split("_")
+    return F.timestamp_seconds(F.unix_seconds(now) - int(n) * {"hours": 3600, "days": DAY}[unit])
+
+
+def missing(bars: DataFrame, wanted: DataFrame, now: Column, seconds: int, least: int = 300, otherwise: int = 4 * 3600) -> DataFrame:
+    """wanted (symbol) -> (symbol, ts): the buckets to fetch, those not stored since the last bar if that is over `least` seconds ago.
+
+    A symbol without bars gets the last `otherwise` seconds.
+    """
+    last = wanted.join(latest(bars).select("symbol", F.col("ts").alias("__last")), "symbol", "left")
+    since = F.coalesce("__last", F.timestamp_seconds(F.unix_seconds(now) - otherwise))
+    last = last.withColumn("__from", since).where(F.unix_seconds(now) - F.unix_seconds("__from") > least)
+    first = bucket_start(F.col("__from"), seconds)
+    starts = last.select("symbol", F.explode(F.sequence(first, bucket_start(now, seconds), F.expr(f"interval {seconds} seconds"))).alias("ts"))
+    return starts.join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+
+
+# Symbols
+
+#: Classes of assets, and whether they are leveraged, crypto, or traded round the clock.
+CLASSES = {"crypto": (False, True, True), "crypto_perpetual": (True, True, True), "crypto_futures": (True, True, True), "forex": (False, False, True), "stock": (False, False, False), "cfd": (True, False, False), "futures": (True, False, False), "option": (True, False, False), "index": (False, False, False), "commodity": (False, False, False), "bond": (False, False, False)}
 
 
 def breadth(bars: DataFrame) -> DataFrame:

@@ -70,10 +70,8 @@ add("tb_list_candles", over_bars(lambda b: m.last_bars(b, "click").select("symbo
 add("tb_list_since", over_bars(lambda b: m.since(b, "view", at(AT)).select("symbol", TS(), "c")), f"{B} select symbol, ts, c from b where symbol = 'view' and ts > timestamp '{AT}' order by ts limit 2000")
 _HALF = "((epoch(ts)::bigint // 3600) % 2 = 0)"
 add("tb_dedupe", over_bars(lambda b: m.merge_backfill(b.where("pmod(floor(unix_seconds(ts) / 3600), 2) = 0"), b.withColumn("c", F.col("c") + 1)).select("symbol", TS(), r("c"))), f"{B} select symbol, ts, round(case when {_HALF} then c else c + 1 end, 6) as c from b")
-add("sink_upsert", over_bars(lambda b: m.upsert(b.withColumn("version", F.lit(1)), b.where("symbol = 'click'").withColumn("c", F.col("c") * 2).withColumn("version", F.lit(2)), ["symbol", "ts"], "version").select("symbol", TS(), r("c"))), f"{B} select symbol, ts, round(case when symbol = 'click' then 2 * c else c end, 6) as c from b")
 add("tb_stream_merge", over_ticks(lambda t: t.groupBy("symbol", m.bucket_start(F.col("ts"), 3600).alias("b")).agg(F.min_by("price", F.struct("ts", "id")).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", F.struct("ts", "id")).alias("c"), F.max_by("price", F.struct("ts", "id")).alias("v")).select("symbol", wall("b").alias("ts"), "o", "h", "l", "c", "v")), f"{B} select symbol, ts, o, h, l, c, c as v from b")
 add("src_infer_tf", over_bars(m.infer_timeframe), f"{B}, g as (select symbol, epoch(ts)::bigint - epoch(lag(ts) over (partition by symbol order by ts))::bigint as gap from b), a as (select symbol, (sum(gap) // count(gap))::bigint as mean_gap from g group by symbol) select symbol, mean_gap, case when mean_gap <= 60 then '1m' when mean_gap <= 300 then '5m' when mean_gap <= 900 then '15m' when mean_gap <= 1800 then '30m' when mean_gap <= 3600 then '1h' when mean_gap <= 14400 then '4h' when mean_gap <= 86400 then '1d' else '1w' end as timeframe from a")
-add("src_rest_backfill", over_bars(lambda b: m.latest(b).select("symbol", wall("ts").alias("missing_from"), (F.lit(1706745600) - F.unix_seconds("ts")).alias("seconds")).where("seconds > 300")), f"{B} select symbol, max(ts) as missing_from, 1706745600 - epoch(max(ts))::bigint as seconds from b group by symbol having seconds > 300")
 
 add("cdl_true_range", over_bars(lambda b: b.select("symbol", TS(), r(F.coalesce(F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.lag("c").over(m.by_time())), F.abs(F.col("l") - F.lag("c").over(m.by_time()))), F.col("h") - F.col("l")), "tr"))), f"{B} select symbol, ts, round(greatest(h - l, abs(h - coalesce(lag(c) over w, h)), abs(l - coalesce(lag(c) over w, l))), 6) as tr from b window w as (partition by symbol order by ts)")
 add("cdl_prices", over_bars(lambda b: m.prices(b).select("symbol", TS(), r("hl2"), r("hlc3"), r("hlcc4"))), f"{B} select symbol, ts, round((h + l) / 2, 6) as hl2, round((h + l + c) / 3, 6) as hlc3, round((h + l + c + c) / 4, 6) as hlcc4 from b")
@@ -94,7 +92,7 @@ def _as_quotes(t):
 _Q = f"(select symbol, ts, id, price - price / 1000 as bid, price + price / 1000 as ask, (id % 7)::double as bid_size, (id % 5)::double as ask_size from ({T}))"
 add("evt_quote", over_ticks(lambda t: m.quotes(_as_quotes(t)).select("symbol", TS(), r("mid", digits=4), r("spread"), r("spread_bps"), r("imbalance"))), f"select symbol, ts, round((bid + ask) / 2, 4) as mid, round(ask - bid, 6) as spread, round((ask - bid) / ((bid + ask) / 2) * 10000, 6) as spread_bps, round(case when bid_size + ask_size > 0 then (bid_size - ask_size) / (bid_size + ask_size) else 0 end, 6) as imbalance from {_Q}")
 add("src_mid_price", over_ticks(lambda t: _as_quotes(t).select("symbol", "id", r((F.col("bid") + F.col("ask")) / 2, "mid", 4), F.lit(0.0).alias("v"), F.lit(True).alias("is_final"))), f"select symbol, id, round((bid + ask) / 2, 4) as mid, 0::double as v, true as is_final from {_Q}")
-add("evt_dispatch", over_ticks(lambda t: t.select("id", F.when(F.col("symbol") == "error", "error").when(F.col("symbol") == "purchase", "trade").otherwise("quote").alias("kind"), F.when(F.col("symbol") != "error", F.col("price")).alias("price"))), f"select id, case symbol when 'error' then 'error' when 'purchase' then 'trade' else 'quote' end as kind, case when symbol <> 'error' then price end as price from ({T})")
+add("evt_dispatch", over_ticks(lambda t: t.select("id", TS(), F.when(F.col("symbol") == "error", "error").when(F.col("symbol") == "purchase", "trade").otherwise("quote").alias("kind"), F.when(F.col("symbol") != "error", F.col("price")).alias("price"))), f"select id, ts, case symbol when 'error' then 'error' when 'purchase' then 'trade' else 'quote' end as kind, case when symbol <> 'error' then price end as price from ({T})")
 add("sym_round", over_ticks(lambda t: t.select("id", r(m.round_price(F.col("price"), 0.25), "price"), r(m.floor_quantity(F.col("price"), 0.1), "quantity"))), f"select id, round(round(price / 0.25::double) * 0.25, 6) as price, round(floor(price / 0.1::double) * 0.1::double, 6) as quantity from ({T})")
 add("sym_notional", over_ticks(lambda t: t.select("id", r(F.col("price") * 10 * 2.5, "notional"), r(F.lit(0.25 * 0.1 * 2.5), "tick_value"))), f"select id, round(price * 10 * 2.5::double, 6) as notional, 0.0625::double as tick_value from ({T})")
 add("flt_time_range", over_bars(lambda b: m.in_range(b, at("2024-01-10"), at("2024-01-12"), 30).select("symbol", TS(), "c")), f"{B} select symbol, ts, c from b where ts between timestamp '2024-01-10' and timestamp '2024-01-12' qualify row_number() over (partition by symbol order by ts desc) <= 30")
@@ -102,14 +100,6 @@ add("flt_visible", over_bars(lambda b: m.in_range(b, at("2024-01-10"), at("2024-
 add("flt_nearest", over_bars(lambda b: m.nearest(b, at(AT)).select("symbol", TS(), "c")), f"{B} select symbol, arg_min(ts, (abs(epoch(ts) - epoch(timestamp '{AT}')), ts)) as ts, arg_min(c, (abs(epoch(ts) - epoch(timestamp '{AT}')), ts)) as c from b group by symbol")
 add("flt_visible_extrema", over_bars(lambda b: m.in_range(b, at("2024-01-10"), at("2024-01-12")).groupBy("symbol").agg(F.max("h").alias("high"), F.min("l").alias("low"), r(F.max("v") * 1.1, "volume_top", 4))), f"{B} select symbol, max(h) as high, min(l) as low, round(max(v) * 1.1::double, 4) as volume_top from b where ts between timestamp '2024-01-10' and timestamp '2024-01-12' group by symbol")
 add("flt_as_of", lambda spark, sf_dir: m.as_of(ticks(spark, sf_dir), bars(ticks(spark, sf_dir), 14400).withColumnRenamed("c", "last_close"), "last_close").select("symbol", TS(), "last_close"), "with b as (select event_type as symbol, time_bucket(interval 4 hour, ts, timestamp '1970-01-01') as ts, arg_max(value, (ts, event_id)) as last_close from events group by 1, 2) select e.event_type as symbol, e.ts, b.last_close from events e asof left join b on e.event_type = b.symbol and e.ts >= b.ts")
-for _name, (_start, _end) in m.SESSIONS.items():
-    _day = "floor(epoch(ts))::bigint"
-    add(f"ses_{_name}", over_ticks(lambda t, name=_name: m.session_facts(t, name).select("id", "is_open", "to_open", "to_close")), f"select event_id as id, ({_day} // 86400 + 4) % 7 in (1, 2, 3, 4, 5) and {_day} % 86400 >= {_start} and {_day} % 86400 < {_end} as is_open, ({_start} - {_day} % 86400 + 86400) % 86400 as to_open, ({_end} - {_day} % 86400 + 86400) % 86400 as to_close from events")
-QUERIES["ses_is_open"], ORACLE_SQL["ses_is_open"] = QUERIES["ses_new_york"], ORACLE_SQL["ses_new_york"]
-QUERIES["ses_until"], ORACLE_SQL["ses_until"] = QUERIES["ses_london"], ORACLE_SQL["ses_london"]
-add("x_ses_presets", lambda spark, sf_dir: spark.createDataFrame([(k, a, b) for k, (a, b) in m.SESSIONS.items()], "name string, start_s int, end_s int"), "select * from (values ('tokyo', 0, 21600), ('london', 28800, 59400), ('new_york', 52200, 75600)) t(name, start_s, end_s)")
-add("tb_bars_between", lambda spark, sf_dir: spark.createDataFrame(list(m.TIMEFRAMES.items()), "timeframe string, seconds int").selectExpr("timeframe", "seconds", "cast(86400 div seconds as bigint) as per_day", "86400 % seconds = 0 as divides_day"), "select timeframe, seconds, (86400 // seconds)::bigint as per_day, 86400 % seconds = 0 as divides_day from (values " + ", ".join(f"('{k}', {v})" for k, v in m.TIMEFRAMES.items()) + ") t(timeframe, seconds)")
-
 # Indicators over the breadth of all symbols, and over pairs of symbols
 
 _BREADTH = f"with b as ({HOURLY_SQL}), d as (select *, c - lag(c) over w as d, max(h) over (w rows 19 preceding) as top, min(l) over (w rows 19 preceding) as bottom from b window w as (partition by symbol order by ts)) select 'all' as symbol, ts, sum(case when d > 0 then 1e0 else 0e0 end) as adv, sum(case when d < 0 then 1e0 else 0e0 end) as dec, sum(case when d > 0 then v else 0e0 end) as adv_v, sum(case when d < 0 then v else 0e0 end) as dec_v, sum(case when h = top then 1e0 else 0e0 end) as nh, sum(case when l = bottom then 1e0 else 0e0 end) as nl from d group by ts"

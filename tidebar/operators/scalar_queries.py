@@ -1,19 +1,18 @@
-"""Registered queries of the small building blocks: means of a whole series, directional moves, neighbours of buckets, positions, sessions."""
+"""Registered queries of the small building blocks: means of a whole series, directional moves, neighbours of buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.windows import frame, highest, lag, lowest, num, true_range
 from tidebar.operators import queries as indicators
-from tidebar.operators.market import SESSIONS, WEEKDAYS, bucket_start
+from tidebar.operators.market import bucket_start
 from tidebar.operators.market_queries import TS, B, add, over_bars, over_ticks, r
 from tidebar.operators.ta import Out
 from tidebar.plans.chain import Chain
-from tidebar.sources import files
-from tidebar.sources.candles import hourly, ticks, wall
+from tidebar.sources.candles import wall
 
 #: Other names of batch indicators.
 ALSO = {"ta_bull_bear": "ta_bull_bear_power", "ta_bollinger": "ta_bb", "ta_volume_osc": "ta_vol_osc", "ta_highest": "ta_extremes", "ta_highest_bars": "ta_extreme_bars", "ta_sum": "ta_rolling_sum", "ta_bars_since": "ta_bars_since_cross"}
@@ -66,37 +65,3 @@ def _ranked(b: DataFrame) -> DataFrame:
 add("im_wma", over_bars(lambda b: _ranked(b).groupBy("symbol").agg(r(F.sum(F.col("c") * F.col("k")) / F.sum("k"), "wma"))), f"{B}, k as (select *, row_number() over (partition by symbol order by ts) as k from b) select symbol, round(sum(c * k) / sum(k), 6) as wma from k group by symbol")
 add("x_extremes", over_bars(lambda b: b.groupBy("symbol").agg(F.max("c").alias("high"), wall(F.max_by("ts", F.struct("c", -F.unix_seconds("ts")))).alias("high_at"), F.min("c").alias("low"), wall(F.min_by("ts", F.struct("c", F.unix_seconds("ts")))).alias("low_at"))), f"{B} select symbol, max(c) as high, arg_max(ts, (c, -epoch(ts))) as high_at, min(c) as low, arg_min(ts, (c, epoch(ts))) as low_at from b group by symbol")
 add("x_tb_bucket", over_ticks(lambda t: t.select("id", *(wall(F.timestamp_seconds(F.unix_seconds(bucket_start(F.col("ts"), 3600)) + d)).alias(n) for n, d in (("before", -3600), ("start", 0), ("next", 3600))))), "select event_id as id, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') - interval 1 hour as before, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as start, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') + interval 1 hour as next from events")
-add("x_ta_optional", over_bars(lambda b: b.select("symbol", F.lag("c", 5).over(W.partitionBy("symbol").orderBy("ts")).alias("x")).where("x is not null").groupBy("symbol").agg(F.count("*").alias("n"))), f"{B} select symbol, count(*) - 5 as n from b group by symbol")
-
-# Session states with holidays and early closes, a small table joined by day
-
-HOLIDAYS = [("2024-01-01", None), ("2024-01-15", None), ("2024-01-24", 64800)]
-
-
-def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New York: open, before (five hours), after (four hours) or closed; a holiday is closed, an early close ends the day."""
-    days = spark.createDataFrame(HOLIDAYS, "day string, closes int").withColumn("day", F.col("day").cast("date"))
-    start, end = SESSIONS["new_york"]
-    t = ticks(spark, sf_dir).withColumn("day", F.to_date("ts")).join(F.broadcast(days.withColumn("special", F.lit(True))), "day", "left")
-    s = F.pmod(F.unix_seconds("ts"), F.lit(86400))
-    last = F.coalesce("closes", F.lit(end))
-    shut = (F.coalesce("special", F.lit(False)) & F.col("closes").isNull()) | ~F.pmod(F.floor(F.unix_seconds("ts") / 86400) + 4, F.lit(7)).isin(*WEEKDAYS)
-    state = F.when(shut, "closed").when((s >= start) & (s < last), "open").when((s >= start - 18000) & (s < start), "before").when((s >= last) & (s < last + 14400), "after").otherwise("closed")
-    return t.select("id", state.alias("state"))
-
-
-add("ses_state", session_state, f"with d(day, closes) as (values (date '2024-01-01', null), (date '2024-01-15', null), (date '2024-01-24', 64800)), t as (select event_id as id, floor(epoch(ts))::bigint % 86400 as s, (floor(epoch(ts))::bigint // 86400 + 4) % 7 as wd, d.day is not null and closes is null as holiday, coalesce(closes, {SESSIONS['new_york'][1]}) as last from events left join d on d.day = ts::date) select id, case when holiday or wd not in (1, 2, 3, 4, 5) then 'closed' when s >= {SESSIONS['new_york'][0]} and s < last then 'open' when s >= {SESSIONS['new_york'][0] - 18000} and s < {SESSIONS['new_york'][0]} then 'before' when s >= last and s < last + 14400 then 'after' else 'closed' end as state from t")
-
-# File formats, by a round trip through the session's warehouse
-
-
-def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/csv-{uuid.uuid4().hex}"
-    files.write_csv(hourly(spark, sf_dir).where("symbol = 'click'"), path)
-    return files.read_csv(spark, path, "click").select("symbol", TS(), "o", "h", "l", "c")
-
-
-add("src_csv", _csv, f"{B} select symbol, ts, o, h, l, c from b where symbol = 'click'")
-add("sink_csv", _csv, f"{B} select symbol, ts, o, h, l, c from b where symbol = 'click'")

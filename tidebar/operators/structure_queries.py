@@ -21,7 +21,6 @@ add(
     k as (select *, c < o as up, 30 + case when ratio > 0.7::double then 30 when ratio > 0.5::double then 20 else 0 end + coalesce(least(abs(c3 - c) / c * 1000, 40), 0) as strength from q where (c < o and c1 >= o1 and c2 >= o2 and c2 > h) or (c >= o and c1 < o1 and c2 < o2 and c2 < l))
     select k.symbol, ts, h as top, l as bottom, up as is_bullish, round(least(strength, 100)::double, 6) as strength, case when up then last_l < l else last_h > h end as mitigated from k join z using (symbol)""",
 )
-add("smc_liquidity", over_bars(lambda b: s.liquidity(b).select("symbol", "kind", TS(), "price", "touches", r("strength"))), f"{_SW} select a.symbol, a.kind, a.ts, a.price, count(*) + 1 as touches, round(least(100, (count(*) + 1) * 20.0)::double, 6) as strength from s a join s d on a.symbol = d.symbol and a.kind = d.kind and d.ts > a.ts and abs(d.price - a.price) / a.price < 0.001::double group by 1, 2, 3, 4")
 add("smc_bos", over_bars(lambda b: s.breaks(b).select("symbol", TS(), "kind", "price", "is_choch")), f"{_SW}, {_LAST}, n as (select *, row_number() over (partition by symbol order by ts desc, kind desc) as n from s), k as (select n.symbol, ts, kind, price from n join z using (symbol) where n <= 5 and ((kind = 'high' and last_h > price) or (kind = 'low' and last_l < price))) select *, coalesce(lag(kind) over (partition by symbol order by ts, kind) <> kind, false) as is_choch from k")
 QUERIES["ch_sr_levels"] = over_bars(lambda b: s.levels(b).select("symbol", r("price"), "touches", wall("first_touch").alias("first_touch"), wall("last_touch").alias("last_touch"), "kind", r("strength")))
 
@@ -50,7 +49,6 @@ add(
     f"{B}, {_LAST}, r as (select symbol, ts, (c - lag(c) over w) / nullif(lag(c) over w, 0) as r from b window w as (partition by symbol order by ts)), k as (select x.symbol as a, y.symbol as b, corr(x.r, y.r) as p from r x join r y on x.ts = y.ts and x.symbol < y.symbol where x.r is not null and y.r is not null group by 1, 2) select round(coalesce(sum(least(u.last_c, w.last_c) * abs(p)), 0), 6) as exposure, count(*) as n_pairs from k join z u on u.symbol = k.a join z w on w.symbol = k.b where abs(p) >= 0.05::double",
 )
 add("tb_defs_latest", lambda spark, d: s.latest_versions(table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("version"))), "select p_brand as name, max(p_partkey) as version from part group by 1")
-add("tb_instances", lambda spark, d: s.with_definitions(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("definition_id")), table(spark, d, "part").select(F.col("p_partkey").alias("definition_id"), F.col("p_name").alias("name"))).groupBy("name").agg(F.count("*").alias("n")), "select p_name as name, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1")
 add("tb_list_values", over_bars(lambda b: b.where("symbol = 'click'").orderBy(F.desc("ts")).limit(100).orderBy("ts").select(TS(), F.col("c").alias("value"))), f"{B} select ts, value from (select ts, c as value from b where symbol = 'click' order by ts desc limit 100) order by ts")
 add("src_csv_ts", over_ticks(lambda t: t.select("id", wall(files.moment(F.when(F.col("id") % 3 == 0, F.unix_millis("ts").cast("string")).when(F.col("id") % 3 == 1, F.unix_seconds("ts").cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))).alias("ts"))), "select event_id as id, case when event_id % 3 = 0 then date_trunc('millisecond', ts) else date_trunc('second', ts) end as ts from events")
 add("src_kline_json", over_bars(lambda b: files.parse_klines(b.select("symbol", F.to_json(F.array(F.array(F.unix_millis("ts").cast("string"), *(F.col(x).cast("string") for x in "ohlcv")))).alias("value")), F.col("symbol")).select("symbol", TS(), "o", "h", "l", "c")), f"{B} select symbol, ts, o, h, l, c from b")

@@ -18,15 +18,28 @@ def moment(text: Column) -> Column:
     return F.coalesce(F.when(number.isNotNull(), from_number), zoned, *(F.try_to_timestamp(text, F.lit(f)) for f in FORMATS))
 
 
-def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, symbol: str, required: bool = False) -> DataFrame:
     """timestamp, o, h, l, c and, where given, volume by place; lines that don't parse are left out, and a header is one of them.
 
-    Nothing is inferred, so one pass over the file is enough; order is up to those who need it.
+    Nothing is inferred, so one pass over the file is enough; order is up to those who need it. With `required` a file
+    without any good line is an error.
     """
     raw = spark.read.schema("t string, o string, h string, l string, c string, v string").option("mode", "PERMISSIVE").csv(path)
     number = lambda x: F.col(x).try_cast("double")
     rows = raw.select(F.lit(symbol).alias("symbol"), moment(F.trim("t")).alias("ts"), *(number(x).alias(x) for x in "ohlc"), F.coalesce(number("v"), F.lit(0.0)).alias("v"))
-    return rows.where(" and ".join(f"{x} is not null" for x in ("ts", *"ohlc")))
+    rows = rows.where(" and ".join(f"{x} is not null" for x in ("ts", *"ohlc")))
+    if required and rows.isEmpty():
+        raise ValueError(f"{path} has no bars")
+    return rows
+
+
+def csv_bars(spark: SparkSession, path: str, symbol: str, timeframe: str, asked_symbol: str, asked_timeframe: str) -> DataFrame:
+    """The file's bars for a request; one for another symbol or timeframe than the file's is an error (nothing is converted)."""
+    if asked_symbol != symbol:
+        raise ValueError(f"no symbol {asked_symbol} in {path}")
+    if asked_timeframe != timeframe:
+        raise ValueError(f"no timeframe {asked_timeframe} in {path}")
+    return read_csv(spark, path, symbol, required=True)
 
 
 def write_csv(bars: DataFrame, path: str) -> None:
@@ -39,11 +52,6 @@ def parse_klines(lines: DataFrame, symbol: Column) -> DataFrame:
     return rows.select("symbol", F.timestamp_millis(F.col("k")[0].cast("long")).alias("ts"), *(F.col("k")[i].try_cast("double").alias(x) for i, x in enumerate("ohlcv", 1)))
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Partitioned by symbol, overwriting only the partitions that the rows touch."""
-    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
-
-
 def synthetic(spark: SparkSession, n: int, kind: str = "trending", seconds: int = 60) -> DataFrame:
     """A deterministic series of n bars (trending, ranging or volatile) without a random generator: closed forms of the row."""
     i = F.col("id").cast("double")

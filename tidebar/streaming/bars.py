@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidebar.operators.market import upsert
-from tidebar.sources.files import write_bars
-
-BAR = "symbol string, ts timestamp, o double, h double, l double, c double, v double, n long"
-
+from tidebar.sources.tables import append
 
 def stream_bars(trades: DataFrame, seconds: int = 3600, late: str | None = "10 minutes") -> DataFrame:
     """A stream of symbol, ts, id, price, size -> bars; in append mode each once when it is final, in update mode as it grows.
@@ -28,6 +24,15 @@ def stream_bars(trades: DataFrame, seconds: int = 3600, late: str | None = "10 m
     return out.select("symbol", F.col("w.start").alias("ts"), "o", "h", "l", "c", "v", "n")
 
 
+def stream_candles(candles: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of running candles (symbol, ts, id, o, h, l, c, v) -> the last message of each candle, in update mode.
+
+    State is one row a symbol and candle until the watermark passes it.
+    """
+    last = F.max_by(F.struct("o", "h", "l", "c", "v"), "id")
+    return candles.withWatermark("ts", late).groupBy("symbol", "ts").agg(last.alias("x")).select("symbol", "ts", "x.*")
+
+
 def unique(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Trades without repeats of an id within the watermark."""
     return trades.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "id"])
@@ -68,17 +73,12 @@ def stream_gaps(bars: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def upsert_sink(path: str):
-    """For foreachBatch: each batch's bars replace those of the same symbol and ts, in the partitions that it touches."""
+    """For foreachBatch: a batch's rows (symbol, ts, ...) become a version of the table; sources.tables.current reads it.
+
+    Only what arrived is written. A batch that runs again appends the same rows under the same version.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("__new", F.lit(1)).persist()
-        try:
-            symbols = new.select("symbol").distinct()
-            old = spark.read.schema(BAR).parquet(path).join(symbols, "symbol", "left_semi").withColumn("__new", F.lit(0))
-            merged = upsert(old, new.select(old.columns), ["symbol", "ts"], "__new").drop("__new").checkpoint()
-            write_bars(merged, path)
-        finally:
-            new.unpersist()
+        append(batch, path, epoch)
 
     return write

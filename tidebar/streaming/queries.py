@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.sources.candles import instant, table, wall
-from tidebar.streaming.bars import stream_bars
+from tidebar.sources.exchange import running_candles
+from tidebar.sources.tables import current, shared_folder
+from tidebar.streaming.bars import stream_bars, stream_candles, upsert_sink
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,19 +20,36 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), instant("ts").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's rows when it has read all there is, written by the executors of its batches."""
+def drained(stream: DataFrame) -> DataFrame:
+    """The rows (symbol, ts, ...) of a stream in update mode when it has read all there is, upserted batch by batch."""
     spark = stream.sparkSession
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
-    write = lambda batch, epoch: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(upsert_sink(path)).start().awaitTermination()
+    return current(spark, path).select(*stream.columns)
 
 
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drained(stream_bars(_trades(spark, sf_dir)), "complete")
+    out = drained(stream_bars(_trades(spark, sf_dir)))
     return out.select("symbol", wall("ts").alias("ts"), "o", "h", "l", "c", "v", "n")
 
 
-QUERIES = {"src_ws": streamed_bars}
-ORACLE_SQL = {"src_ws": "select event_type as symbol, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as ts, arg_min(value, (ts, event_id)) as o, max(value) as h, min(value) as l, arg_max(value, (ts, event_id)) as c, count(*)::double as v, count(*) as n from events group by 1, 2"}
+def _messages(trades: DataFrame) -> DataFrame:
+    """Each trade as a message about its minute's candle; every seventh is cut short and every eleventh lacks its low."""
+    c, minute = F.col, F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    price = lambda k, name: F.struct((c("price") + k - 0.5).alias("bid"), (c("price") + k + 0.5).alias("ask")).alias(name)
+    fields = [c("symbol").alias("epic"), minute.alias("snapshotTime"), c("id").cast("double").alias("lastTradedVolume"), price(0, "openPrice"), price(2, "highPrice"), price(1, "closePrice")]
+    whole, lacking = F.to_json(F.struct(*fields, price(-2, "lowPrice"))), F.to_json(F.struct(*fields))
+    return trades.select("id", F.when(c("id") % 7 == 0, F.substring(whole, 1, 40)).when(c("id") % 11 == 0, lacking).otherwise(whole).alias("value"))
+
+
+def streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candles = running_candles(_messages(_trades(spark, sf_dir)))
+    out = drained(stream_candles(candles))
+    return out.select("symbol", wall("ts").alias("ts"), "o", "h", "l", "c", "v", F.lit(False).alias("is_final"))
+
+
+QUERIES = {"src_ws": streamed_messages, "st_bars": streamed_bars}
+ORACLE_SQL = {
+    "st_bars": "select event_type as symbol, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as ts, arg_min(value, (ts, event_id)) as o, max(value) as h, min(value) as l, arg_max(value, (ts, event_id)) as c, count(*)::double as v, count(*) as n from events group by 1, 2",
+    "src_ws": "select event_type as symbol, date_trunc('minute', ts) as ts, arg_max(value, event_id) as o, arg_max(value, event_id) + 2 as h, arg_max(value, event_id) - 2 as l, arg_max(value, event_id) + 1 as c, max(event_id)::double as v, false as is_final from events where event_id % 7 <> 0 and event_id % 11 <> 0 group by 1, 2",
+}
