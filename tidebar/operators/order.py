@@ -173,4 +173,15 @@ def phase(c: Chain) -> Out:
     return {"phase": f"case when {a} is null or {b} is null then 0e0 when {m} > {a} and {b} > 1 then 1e0 when {m} < {a} and {b} > 1 then 2e0 when {b} < 0.8e0 and {m} < {a} * 1.02e0 then 3e0 when {b} < 0.8e0 and {m} > {a} * 0.98e0 then 4e0 else 0e0 end"}
 
 
-MORE |= {"sc_shannon": shannon, "sc_lempel_ziv": lempel_ziv, "sc_perm_entropy": permutation, "s_pivots": pivot_points, "s_fibonacci": fibonacci, "smc_premium": premium, "wy_spring": spring, "wy_upthrust": upthrust, "wy_climax": climax, "wy_sos_sow": strength, "wy_phase": phase}
+def event_sides(c: Chain) -> Out:
+    """Means of the last bars that the events are measured by, and which events of either side a bar shows.
+
+    Climaxes are of neither side.
+    """
+    s = strength(c)
+    true = c.col(f"case when i = 0 then h - l else greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')})) end")
+    side = f"case when {spring(c)['is_spring']} or {s['sos']} then 1e0 when {upthrust(c)['is_upthrust']} or {s['sow']} then -1e0 else 0e0 end"
+    return {"volume": frame("avg(v)", VOLUME), "range": frame("avg(h - l)", VOLUME), "close": frame("avg(c)", LOOK), "atr": frame(f"avg({true})", 14), "event_side": side}
+
+
+MORE |= {"x_wy_avg": event_sides, "sc_shannon": shannon, "sc_lempel_ziv": lempel_ziv, "sc_perm_entropy": permutation, "s_pivots": pivot_points, "s_fibonacci": fibonacci, "smc_premium": premium, "wy_spring": spring, "wy_upthrust": upthrust, "wy_climax": climax, "wy_sos_sow": strength, "wy_phase": phase}

@@ -226,4 +226,23 @@ def signal_strength(c: Chain) -> Out:
     return {"confluences": n, "strength": f"case when {n} >= 6 then 4e0 when {n} >= 4 then 3e0 when {n} >= 2 then 2e0 else 1e0 end", "risk_reward": f"3e0 * ({frame('avg(h - l)', 14)}) / nullif({risk}, 0e0)"}
 
 
-SIGNALS = {"sg_above": above, "sg_slope": slope, "sg_divergence": divergence, "sg_hidden_div": hidden_divergence, "sg_condition": conditions, "sg_ruleset": ruleset, "sg_presets": preset_sides, "sg_signal": signal_strength}
+def divergence_kinds(c: Chain) -> Out:
+    """1 and -1 for a regular one of either side, 2 and -2 for a hidden one, 0 for none; and what the kind is."""
+    plain, hidden = divergence(c), hidden_divergence(c)
+    kind = c.col(f"case when {plain['bullish']} then 1e0 when {plain['bearish']} then -1e0 when {hidden['bullish']} then 2e0 when {hidden['bearish']} then -2e0 else 0e0 end")
+    return {"kind": kind, "is_bullish": f"coalesce({kind} > 0, false)", "is_bearish": f"coalesce({kind} < 0, false)", "is_hidden": f"coalesce(abs({kind}) = 2, false)"}
+
+
+def signal_types(c: Chain) -> Out:
+    """What the rules' vote asks for: an entry on either side (1, -1), the exit that the other side's vote means, or nothing.
+
+    `unanimous` needs every rule to vote for the same side.
+    """
+    rules = list(presets(c).values())
+    side, every = c.col(vote(c, rules)["side"]), c.col(vote(c, rules[:2], every=True)["side"])
+    held = c.col(f"coalesce({lag(side)}, 0e0)")
+    leaves = f"{held} <> 0 and {side} = -{held}"
+    return {"side": side, "is_entry": f"coalesce({side} <> 0, false)", "is_exit": f"coalesce({leaves}, false)", "is_none": f"coalesce({side} = 0, false)", "unanimous": every}
+
+
+SIGNALS = {"x_div_type": divergence_kinds, "x_signal_type": signal_types, "sg_above": above, "sg_slope": slope, "sg_divergence": divergence, "sg_hidden_div": hidden_divergence, "sg_condition": conditions, "sg_ruleset": ruleset, "sg_presets": preset_sides, "sg_signal": signal_strength}

@@ -55,7 +55,7 @@ DIGITS = {"envelope": 9, "covariance": 9}
 MADE = {f"ta_{name}": indicator(f, DIGITS.get(name, 6)) for name, f in TA.items()} | {name: indicator(_with_lines(name), DIGITS.get(name, 6)) for name in PLUGINS}
 MADE |= {f"s_{name}": indicator(f, DIGITS.get(name, 6)) for name, f in WAITING.items()}
 MADE |= {k: indicator(group(names)) for k, names in GROUPS.items()} | {"pt_detect": indicator(counts)}
-MADE |= {k: indicator(f, 9 if k == "s_fibonacci" else 6) for k, f in MORE.items()}
+MADE |= {k: indicator(f, 9 if k in ("s_fibonacci", "x_wy_avg") else 6) for k, f in MORE.items()}
 MADE |= {k: indicator(f) for k, f in SIGNALS.items()} | {"sg_cross": indicator(cross), "sg_buffer": indicator(lambda c: cross(c, 5, 10))}
 QUERIES = {k: q for k, (q, _) in MADE.items()}
 ORACLE_SQL = {k: s for k, (_, s) in MADE.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.functions.windows import frame, highest, lag, lowest, num, true_range
+from tidebar.functions.windows import frame, highest, lag, lowest, num
 from tidebar.operators import queries as indicators
 from tidebar.operators.market import bucket_start
 from tidebar.operators.market_queries import TS, B, add, over_bars, over_ticks, r
@@ -52,7 +52,6 @@ chained("ta_dm", directional)
 chained("im_ema_step", step(2 / 22))
 chained("im_smma_step", step(1 / 14))
 chained("im_dema_step", dema_step)
-chained("x_wy_avg", lambda c: {"volume": frame("avg(v)", 20), "range": frame("avg(h - l)", 20), "close": frame("avg(c)", 50), "atr": frame(f"avg({c.col(true_range)})", 14)})
 chained("x_var_mean", lambda c: {"variance": f"{frame('avg(c * c)', 20)} - {frame('avg(c)', 20)} * {frame('avg(c)', 20)}"})
 add("im_sma", over_bars(lambda b: b.groupBy("symbol").agg(r(F.avg("c"), "mean"))), f"{B} select symbol, round(avg(c), 6) as mean from b group by symbol")
 add("im_vwap", over_bars(lambda b: b.groupBy("symbol").agg(r(F.coalesce(F.sum((F.col("h") + F.col("l") + F.col("c")) / 3 * F.col("v")) / F.nullif(F.sum("v"), F.lit(0.0)), F.lit(0.0)), "vwap"))), f"{B} select symbol, round(coalesce(sum((h + l + c) / 3 * v) / nullif(sum(v), 0), 0), 6) as vwap from b group by symbol")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.operators.research import by_time, correlations, swings
+from tidebar.functions.windows import num
+from tidebar.operators.research import by_time, correlations, fair_value_gaps, swings
+from tidebar.plans.chain import Chain
 
 
 def _last(bars: DataFrame) -> DataFrame:
@@ -45,6 +47,40 @@ def liquidity(bars: DataFrame, tolerance: float = 0.001, reach: int = 5) -> Data
     return touched.withColumn("strength", F.least(F.lit(100.0), F.col("touches") * 20.0))
 
 
+def zones(bars: DataFrame, tolerance: float = 0.001, reach: int = 5) -> DataFrame:
+    """liquidity's levels in order of price, those within twice the tolerance of a zone's first one in that zone.
+
+    Which zone a level is in depends on where the one before began: one state a symbol and kind, carried over its levels.
+    """
+    ranked = liquidity(bars, tolerance, reach).withColumn("k", F.row_number().over(W.partitionBy("symbol", "kind").orderBy("price", "ts")))
+    rows = ranked.select(F.concat("symbol", F.lit("|"), "kind").alias("symbol"), F.timestamp_seconds(F.col("k")).alias("ts"), "price", "touches", "strength", F.col("symbol").alias("of"), "kind")
+    chain = merged(tolerance)
+    out = chain.apply(rows)
+    return out.groupBy("of", "kind", "level").agg(F.max("touches").alias("touches"), F.max("strength").alias("strength"), F.count("*").alias("n_levels")).withColumnRenamed("of", "symbol")
+
+
+def merged(tolerance: float) -> Chain:
+    c = Chain()
+    step = lambda anchor, price: (anchor if (price - anchor) / anchor < 2 * tolerance else price,)
+    level = c.fold(["price"], ["anchor"], lambda price: (price,), step, ["t.in0"], [f"case when (t.in0 - r.anchor) / r.anchor < {num(2 * tolerance)} then r.anchor else t.in0 end"])[0]
+    c.out = {"level": level}
+    return c
+
+
+def block_geometry(bars: DataFrame) -> DataFrame:
+    """Order blocks: their height, whether the symbol's last close lies in them, and how far it is from them (below 0: beyond)."""
+    c = F.col
+    rows = order_blocks(bars).join(_last(bars).select("symbol", c("last_c").alias("price")), "symbol")
+    return rows.select("symbol", "ts", "is_bullish", (c("top") - c("bottom")).alias("height"), c("price").between(c("bottom"), c("top")).alias("contains"), F.when(c("is_bullish"), c("price") - c("top")).otherwise(c("bottom") - c("price")).alias("distance"))
+
+
+def gap_geometry(bars: DataFrame) -> DataFrame:
+    """Fair-value gaps: their size, middle, and whether the symbol's last close lies in them."""
+    c = F.col
+    rows = fair_value_gaps(bars).join(_last(bars).select("symbol", c("last_c").alias("price")), "symbol")
+    return rows.select("symbol", "ts", "kind", (c("top") - c("bottom")).alias("size"), ((c("top") + c("bottom")) / 2).alias("middle"), c("price").between(c("bottom"), c("top")).alias("contains"))
+
+
 def breaks(bars: DataFrame, reach: int = 5) -> DataFrame:
     """Of each symbol's last five swings those that the last bar went beyond; a change of character breaks against the break before it."""
     order = W.partitionBy("symbol").orderBy("ts", "kind")

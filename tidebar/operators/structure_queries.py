@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.operators import structure as s
-from tidebar.operators.market_queries import QUERIES, TS, B, add, over_bars, over_ticks, r
+from tidebar.operators.market_queries import ORACLE_SQL, QUERIES, TS, B, add, over_bars, over_ticks, r
 from tidebar.operators.order import lempel_ziv, permutation, shannon
 from tidebar.operators.queries import HOURLY_SQL
 from tidebar.operators.research_queries import _SW
@@ -21,6 +21,11 @@ add(
     k as (select *, c < o as up, 30 + case when ratio > 0.7::double then 30 when ratio > 0.5::double then 20 else 0 end + coalesce(least(abs(c3 - c) / c * 1000, 40), 0) as strength from q where (c < o and c1 >= o1 and c2 >= o2 and c2 > h) or (c >= o and c1 < o1 and c2 < o2 and c2 < l))
     select k.symbol, ts, h as top, l as bottom, up as is_bullish, round(least(strength, 100)::double, 6) as strength, case when up then last_l < l else last_h > h end as mitigated from k join z using (symbol)""",
 )
+_LEVELS = f"{_SW}, lv as (select a.symbol, a.kind, a.ts, a.price, count(*) + 1 as touches, least(100, (count(*) + 1) * 20.0)::double as strength from s a join s d on a.symbol = d.symbol and a.kind = d.kind and d.ts > a.ts and abs(d.price - a.price) / a.price < 0.001::double group by 1, 2, 3, 4)"
+_MERGED = s.merged(0.001).sql(f"{_LEVELS} select symbol || '|' || kind as symbol, make_timestamp(1000000 * row_number() over (partition by symbol, kind order by price, ts)) as ts, price from lv")
+add("smc_liquidity", over_bars(lambda b: s.zones(b).select("symbol", "kind", "level", "touches", r("strength"), "n_levels")), f"with z as ({_MERGED}), y as (select lv.*, row_number() over (partition by symbol, kind order by price, ts) as k from ({_LEVELS} select * from lv) lv) select y.symbol, y.kind, z.level, max(touches) as touches, round(max(strength), 6) as strength, count(*) as n_levels from y join z on z.symbol = y.symbol || '|' || y.kind and z.ts = make_timestamp(1000000 * y.k) group by 1, 2, 3")
+add("x_smc_geom", over_bars(lambda b: s.block_geometry(b).select("symbol", TS(), "is_bullish", r("height"), "contains", r("distance"))), ORACLE_SQL["smc_order_blocks"].replace("select k.symbol, ts, h as top, l as bottom, up as is_bullish, round(least(strength, 100)::double, 6) as strength, case when up then last_l < l else last_h > h end as mitigated from", "select k.symbol, ts, up as is_bullish, round(h - l, 6) as height, last_c between l and h as contains, round(case when up then last_c - h else l - last_c end, 6) as distance from"))
+add("x_smc_gap", over_bars(lambda b: s.gap_geometry(b).select("symbol", TS(), "kind", r("size"), r("middle"), "contains")), f"with g as ({ORACLE_SQL['smc_fvg']}), {_LAST.replace('from b ', f'from ({HOURLY_SQL}) ')} select symbol, ts, kind, round(top - bottom, 6) as size, round((top + bottom) / 2, 6) as middle, last_c between bottom and top as contains from g join z using (symbol)")
 add("smc_bos", over_bars(lambda b: s.breaks(b).select("symbol", TS(), "kind", "price", "is_choch")), f"{_SW}, {_LAST}, n as (select *, row_number() over (partition by symbol order by ts desc, kind desc) as n from s), k as (select n.symbol, ts, kind, price from n join z using (symbol) where n <= 5 and ((kind = 'high' and last_h > price) or (kind = 'low' and last_l < price))) select *, coalesce(lag(kind) over (partition by symbol order by ts, kind) <> kind, false) as is_choch from k")
 QUERIES["ch_sr_levels"] = over_bars(lambda b: s.levels(b).select("symbol", r("price"), "touches", wall("first_touch").alias("first_touch"), wall("last_touch").alias("last_touch"), "kind", r("strength")))
 

@@ -3,7 +3,9 @@
 A step is a set of SQL expressions over the columns so far, or a recurrence. Spark runs expressions as windows over one
 ordering, so that a chain costs one exchange by symbol. A recurrence y = a*y + x with constant a is no loop: rows are cut
 into blocks, within a block it is a running sum scaled by powers of a, and of the blocks before only the last one still
-weighs anything. So it needs windows alone, and no Python. Where a varies, a small grouped-map loop does it.
+weighs anything. So it needs windows alone, and no Python. Where a varies, or the next state depends on the one before in
+another way, a symbol's rows pass through a task in order, batch by batch, with the state carried on: no symbol is ever held
+whole.
 
 The same chain can be written out as SQL with recursive queries (row by row), which is how results are checked.
 """
@@ -11,10 +13,10 @@ The same chain can be written out as SQL with recursive queries (row by row), wh
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,11 +69,15 @@ class Chain:
         return name
 
     def scan(self, a: str, b: str) -> str:
-        """y = a*y + b, where the y before the first is 0; null where b is null, which leaves y as it was."""
+        """y = a*y + b, where the y before the first is 0; null where b is null, which leaves y as it was.
+
+        a is an expression or a number; with a number no Python is needed.
+        """
+        constant = _number(a)
         a, b = self.col(a), self.col(b)
         name = f"x{self.made}"
         self.made += 1
-        self.steps.append(("scan", name, a, b))
+        self.steps.append(("scan", name, a, b, constant))
         return name
 
     def fold(self, inputs: list[str], states: list[str], first: Callable, step: Callable, first_sql: list[str], step_sql: list[str]) -> list[str]:
@@ -99,8 +105,10 @@ class Chain:
                 df = _ema(df, *step[1:])
             elif step[0] == "fold":
                 df = _fold(df, *step[1:6])
+            elif step[4] is not None:
+                df = _decay(df, step[1], step[3], step[4])
             else:
-                df = _scan(df, *step[1:])
+                df = _scan(df, *step[1:4])
         return df.select(*(f"`{c}`" for c in keep), *(F.expr(e).alias(n) for n, e in self.out.items()))
 
     # SQL
@@ -129,7 +137,7 @@ class Chain:
                 values = ", ".join(f"r.{n} as {x}" for n, x in zip(states, names))
                 parts.append(f"s{k} as materialized (select p.*, {values} from {last} p left join r{k} r using (symbol, i))")
             else:
-                _, name, a, b = step
+                _, name, a, b, _ = step
                 parts.append(f"t{k} as materialized (select symbol, i, {a} as a, {b} as b from {last})")
                 parts.append(f"r{k} as (select symbol, i, b as y from t{k} where i = 0 union all select t.symbol, t.i, case when t.b is null then r.y else coalesce(t.a * r.y, 0) + t.b end from r{k} r join t{k} t on t.symbol = r.symbol and t.i = r.i + 1)")
                 parts.append(f"s{k} as materialized (select p.*, case when p.{b} is not null then r.y end as {name} from {last} p left join r{k} r using (symbol, i))")
@@ -138,17 +146,38 @@ class Chain:
         return f"with recursive {', '.join(parts)} select symbol, ts, {out} from {last}"
 
 
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def _ema(df: DataFrame, name: str, x: str, k: float, seed: int) -> DataFrame:
-    a = 1 - k
     lead = max(seed, 1) - 1
-    whole, order = W.partitionBy("symbol"), W.partitionBy("symbol").orderBy("ts")
-    first = F.min(F.when(F.col(x).isNotNull(), F.col("i"))).over(whole)
+    order = W.partitionBy("symbol").orderBy("ts")
+    # A running minimum, so that rows stream through: it is known from the first value on, and rows before have no y.
+    first = F.min(F.when(F.col(x).isNotNull(), F.col("i"))).over(order.rowsBetween(W.unboundedPreceding, 0))
     start = F.avg(x).over(order.rowsBetween(-lead, 0)) if seed else k * F.col(x)
     df = df.withColumn("__q", F.col("i") - first - lead)
     df = df.withColumn("__e", F.when(F.col("__q") == 0, start).when(F.col("__q") > 0, k * F.col(x)))
-    if a <= 0:
-        return df.withColumn(name, F.col("__e")).drop("__q", "__e")
-    size = max(1, int(DIGITS / -math.log10(a))) if a < 1 else 1 << 30
+    return _summed(df, name, 1 - k)
+
+
+def _decay(df: DataFrame, name: str, b: str, a: float) -> DataFrame:
+    """y = a*y + b over the rows with b."""
+    order = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    count = F.count(b).over(order)
+    df = df.withColumn("__q", F.when(F.col(b).isNotNull(), count - 1)).withColumn("__e", F.col(b))
+    return _summed(df, name, a)
+
+
+def _summed(df: DataFrame, name: str, a: float) -> DataFrame:
+    """y = a*y + __e over the rows with __q, their number from 0 on (others, and those below 0, have no y)."""
+    if a <= 0 and a > -(10.0**-DIGITS):
+        return df.withColumn(name, F.when(F.col("__q") >= 0, F.col("__e"))).drop("__q", "__e")
+    order = W.partitionBy("symbol").orderBy("ts")
+    size = max(1, int(DIGITS / -math.log10(abs(a)))) if abs(a) < 1 else 1 << 30
     df = df.withColumn("__block", F.floor(F.col("__q") / size)).withColumn("__r", F.pmod("__q", F.lit(size)))
     block = W.partitionBy("symbol", "__block").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("__sum", F.sum(F.col("__e") * F.pow(F.lit(a), -F.col("__r"))).over(block))
@@ -159,33 +188,41 @@ def _ema(df: DataFrame, name: str, x: str, k: float, seed: int) -> DataFrame:
     return df.withColumn(name, F.when(F.col("__q") >= 0, y)).drop("__q", "__e", "__block", "__r", "__sum", "__last", "__before")
 
 
-def _scan(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{name} double"])
+def _carried(df: DataFrame, names: list[str], inputs: list[str], step: Callable[[tuple | None, tuple], tuple]) -> DataFrame:
+    """df with the states as columns: step(the states before or None, the row's inputs) -> the states and what is written."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{n} double" for n in names)])
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        y, out = 0.0, []
-        for p, q in zip(rows[a].tolist(), rows[b].tolist()):
-            if q is None or q != q:
-                out.append(None)
-                continue
-            y = (0.0 if p is None or p != p else p * y) + q
-            out.append(y)
-        return rows.assign(**{name: pd.Series(out, index=rows.index, dtype="float64")})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for b in batches:
+            times = b.column("ts").cast(pa.int64()).to_pylist()
+            if any(x > y for x, y in zip([*times[:1], *times] if last is None else [last, *times], times)):
+                raise ValueError("rows of a symbol came out of order")
+            last = times[-1] if times else last
+            out: list[tuple] = []
+            for row in zip(*(b.column(x).to_pylist() for x in inputs)):
+                state, written = step(state, row)
+                out.append(written)
+            new = [pa.array([x[j] for x in out], pa.float64()) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-    return df.groupBy("symbol").applyInPandas(each, schema)
+    return df.sortWithinPartitions("symbol", "ts").groupBy("symbol").applyInArrow(each, schema)
 
 
+def _scan(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    def step(y: float | None, row: tuple) -> tuple:
+        p, q = row
+        if q is None or q != q:
+            return y, (None,)
+        y = (0.0 if p is None or p != p else p * (y or 0.0)) + q
+        return y, (y,)
 
+    return _carried(df, [name], [a, b], step)
 
-def _fold(df: DataFrame, names: list[str], inputs: list[str], states: list[str], first: Callable, step: Callable) -> DataFrame:
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{n} double" for n in names)])
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        out: list[tuple] = []
-        for row in zip(*(rows[x].astype(object).where(rows[x].notna(), None).tolist() for x in inputs)):
-            out.append(step(*out[-1], *row) if out else first(*row))
-        return rows.assign(**{n: pd.Series([x[j] for x in out], index=rows.index, dtype="float64") for j, n in enumerate(names)})
+def _fold(df: DataFrame, names: list[str], inputs: list[str], states: list[str], first: Callable, step: Callable) -> DataFrame:
+    def move(before: tuple | None, row: tuple) -> tuple:
+        after = first(*row) if before is None else step(*before, *row)
+        return after, after
 
-    return df.groupBy("symbol").applyInPandas(each, schema)
+    return _carried(df, names, inputs, move)
