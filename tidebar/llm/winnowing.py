@@ -147,18 +147,19 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     The next document has the next smaller id (of equal ids the next larger text; null ids come last), after the last
     comes the first; a lone document follows itself. Ranges of ids, cut at quantiles, are sorted each by itself; the
-    first document of each range, one row a range, is handed to the range before it. Rows that repeat all follow each
+    first document of each range, one row a range, is handed to the range before it, and there to the last document. Rows that repeat all follow each
     other; very long texts are whole; an empty table gives no rows; other columns are not returned.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs, ranges = _with_range(docs, RANGES * parallelism(docs))
-    spread = with_marks(docs.repartitionById(ranges, "__range"), "text", "fingerprint")
-    order = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "text")
-    led = spread.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
     tops = docs.groupBy("__range").agg(F.max("doc_id").alias("__top"))
     by_range = W.orderBy(F.desc("__range"))
     after = tops.select("__range", F.coalesce(F.lead("__range").over(by_range), F.first("__range").over(by_range)).alias("__after"))
-    heads = docs.join(F.broadcast(tops.withColumnRenamed("__range", "__after")), (F.col("__range") == F.col("__after")) & F.col("doc_id").eqNullSafe(F.col("__top")))
-    heads = with_marks(heads.groupBy("__after").agg(F.min("text").alias("text")), "text", "fingerprint")
-    heads = after.join(heads.select("__after", F.struct("text", "fingerprint").alias("__head")), "__after").drop("__after")
-    return led.join(heads, "__range", "left").select("doc_id", "text", "fingerprint", F.coalesce("next", "__head").alias("next"))
+    firsts = docs.join(F.broadcast(tops.withColumnRenamed("__range", "__after")), (F.col("__range") == F.col("__after")) & F.col("doc_id").eqNullSafe(F.col("__top")))
+    # The first document of the range that follows goes to the end of each range, so that one window sees all neighbours.
+    tails = firsts.groupBy("__after").agg(F.min("text").alias("text")).join(F.broadcast(after), "__after")
+    rows = docs.withColumn("__tail", F.lit(0)).unionByName(tails.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "__range", F.lit(1).alias("__tail")))
+    spread = with_marks(rows.repartitionById(ranges, "__range"), "text", "fingerprint")
+    order = W.partitionBy("__range").orderBy("__tail", F.desc_nulls_last("doc_id"), "text")
+    led = spread.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
+    return led.where("__tail = 0").select("doc_id", "text", "fingerprint", "next")
