@@ -314,6 +314,35 @@ def test_batch_family(bars, name):
 
 
 
+@pytest.mark.parametrize("name", ["sma", "macd", "adx", "ichimoku", "bb", "keltner", "aroon", "stoch", "cci", "tsi"])
+def test_parts_of_a_symbol_give_the_same(bars, name):
+    chain = Chain()
+    chain.out = TA[name](chain)
+    whole = sorted(chain.apply(bars).collect(), key=lambda r: r["ts"])
+    assert chain.reach() is not None
+    for rows, span in ((max(chain.reach()), 20_000), (N, 86400)):
+        parts = sorted(chain.apply_in_parts(bars, rows, span).collect(), key=lambda r: r["ts"])
+        assert len(parts) == N and parts[0].asDict().keys() == whole[0].asDict().keys()
+        assert all(close(a[n], b[n]) for a, b in zip(parts, whole) for n in chain.out)
+
+
+def test_parts_with_long_series(spark):
+    rows = [("a", datetime(2024, 1, 1) + timedelta(minutes=i), 0.0, 0.0, 0.0, 100 + math.sin(i / 9) * 5 + i % 7, 1.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, o double, h double, l double, c double, v double")
+    chain = Chain()
+    chain.out = TA["ema"](chain, length=9)
+    assert max(chain.reach()) < 300
+    whole, parts = ({r["ts"]: r["ema"] for r in f.collect()} for f in (chain.apply(df), chain.apply_in_parts(df, 700, 50_000)))
+    assert whole.keys() == parts.keys() and all(close(whole[k], parts[k]) for k in whole)
+
+
+def test_reach():
+    of = lambda f, **k: (lambda c: (c.out.update(f(c, **k)), c.reach())[1])(Chain())
+    assert of(TA["sma"], length=20) == (19, 0) and of(TA["momentum"], length=10) == (10, 0)
+    assert of(TA["ichimoku"])[1] == 25 and of(TA["hma"], length=20)[0] == 22
+    assert all(of(TA[n]) is None for n in ("obv", "psar", "supertrend", "vwap", "nvi", "kama"))
+
+
 def test_divergences(bars):
     r = got(bars, TA["rsi"])["rsi"]
     plain, hidden = got(bars, SIGNALS["sg_divergence"]), got(bars, SIGNALS["sg_hidden_div"])

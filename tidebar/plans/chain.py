@@ -13,6 +13,7 @@ The same chain can be written out as SQL with recursive queries (row by row), wh
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -95,9 +96,12 @@ class Chain:
 
     def apply(self, bars: DataFrame) -> DataFrame:
         """bars with the outputs as columns."""
-        keep = bars.columns
         order = W.partitionBy("symbol").orderBy("ts")
-        df = bars.withColumn("i", F.row_number().over(order) - 1)
+        out = self._steps(bars.withColumn("i", F.row_number().over(order) - 1))
+        return out.select(*(f"`{c}`" for c in bars.columns), *(F.col(f"__out_{n}").alias(n) for n in self.out))
+
+    def _steps(self, df: DataFrame) -> DataFrame:
+        """df with each row's number as i -> with the outputs as columns __out_<name>."""
         for step in self.steps:
             if step[0] == "cols":
                 df = df.withColumn(step[1], F.expr(step[2]))
@@ -109,7 +113,60 @@ class Chain:
                 df = _decay(df, step[1], step[3], step[4])
             else:
                 df = _scan(df, *step[1:4])
-        return df.select(*(f"`{c}`" for c in keep), *(F.expr(e).alias(n) for n, e in self.out.items()))
+        return df.select("*", *(F.expr(e).alias(f"__out_{n}") for n, e in self.out.items()))
+
+    def reach(self) -> tuple[int, int] | None:
+        """How many rows before and after a row its outputs depend on, if that is bounded.
+
+        A recurrence with constant factor counts as bounded: after so many rows the rest weighs less than a double's last bit.
+        """
+        known: dict[str, tuple[int, int]] = {}
+
+        def of(text: str) -> tuple[int, int] | None:
+            if "unbounded" in text or re.search(r"over \(partition by symbol(, \w+)?\)", text):
+                return None
+            numbers = lambda pattern: [int(x) for x in re.findall(pattern, text)]
+            back = max([*numbers(r"(\d+) preceding"), *numbers(r"lag\([^()]*, (\d+)\)"), "lag(" in text], default=0)
+            ahead = max([*numbers(r"(\d+) following"), *numbers(r"lead\([^()]*, (\d+)\)"), "lead(" in text], default=0)
+            used = [known[x] for x in set(re.findall(r"\bx\d+\b", text)) if x in known]
+            return None if None in used else (back + max((u[0] for u in used), default=0), ahead + max((u[1] for u in used), default=0))
+
+        for step in self.steps:
+            if step[0] == "cols":
+                known[step[1]] = of(step[2])
+            elif step[0] == "ema" and known.get(step[2], (0, 0)) is not None:
+                back, ahead = known.get(step[2], (0, 0))
+                fading = math.ceil(math.log(1e-18) / math.log(1 - step[3])) if 0 < step[3] < 1 else 1
+                known[step[1]] = (back + step[4] + fading, ahead)
+            else:
+                for name in step[1] if isinstance(step[1], list) else [step[1]]:
+                    known[name] = None
+        ends = [of(e) for e in self.out.values()]
+        return None if None in ends else (max((x[0] for x in ends), default=0), max((x[1] for x in ends), default=0))
+
+    def apply_in_parts(self, bars: DataFrame, rows: int = 1 << 20, span: int = 7 * 86400) -> DataFrame:
+        """As apply, with each symbol's bars cut into parts of so many rows, so that one long symbol keeps all tasks busy.
+
+        Each part also gets the rows around it that its outputs depend on (see reach); where that isn't bounded, a symbol is
+        one part. Rows are numbered by counts of spans of so many seconds, of which a symbol has few, and places in them.
+        """
+        reach = self.reach()
+        if reach is None or max(reach) > rows:
+            return self.apply(bars)
+        span_of = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span).alias("__span")
+        counts = bars.groupBy("symbol", span_of).agg(F.count("*").alias("__n"))
+        before = F.sum("__n").over(W.partitionBy("symbol").orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
+        starts = counts.select("symbol", "__span", F.coalesce(before, F.lit(0)).alias("__start"))
+        placed = bars.withColumn("__span", span_of).join(starts, ["symbol", "__span"])
+        number = F.col("__start") + F.row_number().over(W.partitionBy("symbol", "__span").orderBy("ts")) - 1
+        placed = placed.withColumn("i", number).withColumn("__own", F.floor(F.col("i") / rows)).drop("__span", "__start")
+        at = F.pmod("i", F.lit(rows))
+        also = [F.when(at >= rows - reach[0], F.col("__own") + 1), F.when(at < reach[1], F.col("__own") - 1)]
+        placed = placed.withColumn("__part", F.explode(F.array_compact(F.array(F.col("__own"), *also))))
+        keyed = placed.withColumnRenamed("symbol", "__symbol").withColumn("symbol", F.struct("__symbol", "__part"))
+        out = self._steps(keyed)
+        names = [F.col("__symbol").alias(c) if c == "symbol" else F.col(f"`{c}`") for c in bars.columns]
+        return out.where("__part = __own").select(*names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
 
     # SQL
 
