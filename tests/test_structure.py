@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidebar.operators.structure import levels, liquidity, zones
 from tidebar.operators.structure_queries import _entropies, _regimes
 from tidebar.operators.waves import trendlines
 
@@ -63,6 +64,46 @@ def test_regime_by_three_entropies(spark):
     assert "random" in {x["regime"] for x in got.values()}
 
 
+def test_levels_against_a_loop(spark):
+    r = random.Random(3)
+    closes = [100 + 3 * math.sin(i / 7) + r.uniform(-1, 1) for i in range(700)]
+    mean, found = sum(closes) / len(closes), []
+    for i in range(2, len(closes) - 2):
+        around = closes[i - 2 : i] + closes[i + 1 : i + 3]
+        for kind, hit, price in (("resistance", closes[i] > max(around), closes[i] + 0.1), ("support", closes[i] < min(around), closes[i] - 0.1)):
+            if hit:
+                for level in found:
+                    if (away := abs(price - level[0]) / mean) < 0.002:
+                        level[1] += 1
+                        level[3] = i
+                        level[5] += 1 / (1 + 100 * away)
+                        break
+                else:
+                    found.append([price, 1, i, i, kind, 1.0])
+    best = sorted((x for x in found if x[1] >= 2), key=lambda x: -x[5])[:10]
+    hour = lambda t: round((t - START).total_seconds() / 3600)
+    got = sorted(((x["price"], x["touches"], hour(x["first_touch"]), hour(x["last_touch"]), x["kind"], x["strength"]) for x in levels(frame(spark, closes)).collect()), key=lambda x: -x[5])
+    assert len(got) == 10 and [x[1:5] for x in got] == [tuple(x[1:5]) for x in best]
+    assert [x[5] for x in got] == pytest.approx([x[5] for x in best]) and [x[0] for x in got] == pytest.approx([x[0] for x in best])
+    assert levels(frame(spark, closes[:9])).count() == 0
+
+
+def test_zones_against_a_loop(spark):
+    r = random.Random(5)
+    closes = [100 + r.choice([0, 1, 2]) * 0.05 + 2 * math.sin(i / 5) for i in range(500)]
+    bars = frame(spark, closes)
+    single = sorted(((x["kind"], x["price"], x["ts"], x["touches"], x["strength"]) for x in liquidity(bars, reach=2).collect()))
+    expected = []
+    for kind, price, _, touches, strength in single:
+        if expected and expected[-1][0] == kind and (price - expected[-1][1]) / expected[-1][1] < 0.002:
+            last = expected[-1]
+            last[2:] = [max(last[2], touches), max(last[3], strength), last[4] + 1]
+        else:
+            expected.append([kind, price, touches, strength, 1])
+    got = sorted([x["kind"], x["level"], x["touches"], x["strength"], x["n_levels"]] for x in zones(bars, reach=2).collect())
+    assert got == expected and any(x[4] > 1 for x in got)
+
+
 def test_trendlines_use_all_swings(spark):
     closes = [100 + (i % 6 - 3 if i % 6 < 3 else 3 - i % 6) * 0.5 + random.Random(i).random() for i in range(420)]
     closes[40:340] = [c + 30 * math.sin(i) for i, c in enumerate(closes[40:340])]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,32 +91,42 @@ def breaks(bars: DataFrame, reach: int = 5) -> DataFrame:
     return broken.select("symbol", "ts", "kind", "price", F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(False)).alias("is_choch"))
 
 
+LEVELS = pa.schema([("symbol", pa.string()), ("price", pa.float64()), ("touches", pa.int64()), ("first_touch", pa.timestamp("us", "UTC")), ("last_touch", pa.timestamp("us", "UTC")), ("kind", pa.string()), ("strength", pa.float64())])
 LEVEL = "symbol string, price double, touches long, first_touch timestamp, last_touch timestamp, kind string, strength double"
 
 
 def levels(bars: DataFrame, tolerance: float = 0.002, least: int = 2, most: int = 10) -> DataFrame:
     """Support and resistance: swings of two bars join the first level within the tolerance (of the mean close) in order of time.
 
-    Which level a swing joins depends on those before, so a symbol's swings, a small part of its bars, go through one loop. The
-    strongest are returned.
+    Which level a swing joins depends on those before, so a symbol's swings, a small part of its bars, pass through one task in
+    order; what it holds are the levels, which lie a tolerance apart. The strongest are returned; symbols of under 10 bars
+    have none.
     """
-    rows = swings(bars, 2).join(bars.groupBy("symbol").agg(F.avg("c").alias("mean")), "symbol")
-
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for s in part.sort_values(["ts", "kind"]).itertuples():
-            for level in found:
-                if (away := abs(s.price - level[1]) / s.mean) < tolerance:
-                    level[2] += 1
-                    level[4] = s.ts
-                    level[6] += 1 / (1 + away * 100)
-                    break
-            else:
-                found.append([s.symbol, s.price, 1, s.ts, s.ts, "resistance" if s.kind == "high" else "support", 1.0])
-        kept = sorted((x for x in found if x[2] >= least), key=lambda x: -x[6])[:most]
-        return pd.DataFrame(kept, columns=[x.split()[0] for x in LEVEL.split(", ")])
-
-    return rows.groupBy("symbol").applyInPandas(each, LEVEL)
+    means = bars.groupBy("symbol").agg(F.avg("c").alias("mean"), F.count("*").alias("n")).where("n >= 10").drop("n")
+    rows = swings(bars, 2).join(means, "symbol").select("symbol", "ts", F.when(F.col("kind") == "high", "resistance").otherwise("support").alias("kind"), "price", "mean")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
+        order: list[tuple[float, int]] = []  # the levels' prices and numbers, by price
+        symbol, last = None, None
+        for b in batches:
+            for symbol, ts, kind, price, mean in zip(*(b.column(x).to_pylist() for x in ("symbol", "ts", "kind", "price", "mean"))):
+                if last is not None and ts < last:
+                    raise ValueError("swings of a symbol came out of order")
+                last, at = ts, bisect_left(order, (price, -1))
+                near = [k for p, k in order[max(0, at - 1) : at + 1] if abs(price - p) / mean < tolerance]
+                if near:
+                    level = found[min(near)]
+                    level["touches"] += 1
+                    level["last_touch"] = ts
+                    level["strength"] += 1 / (1 + abs(price - level["price"]) / mean * 100)
+                else:
+                    order.insert(at, (price, len(found)))
+                    found.append({"symbol": symbol, "price": price, "touches": 1, "first_touch": ts, "last_touch": ts, "kind": kind, "strength": 1.0})
+        kept = sorted((x for x in found if x["touches"] >= least), key=lambda x: -x["strength"])[:most]
+        yield pa.RecordBatch.from_pylist(kept, LEVELS)
+
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "ts", "kind").groupBy("symbol").applyInArrow(each, LEVEL)
 
 
 def regime(shannon: Column, lempel: Column, permutation: Column) -> tuple[Column, Column]:
