@@ -57,4 +57,14 @@ add("tb_defs_latest", lambda spark, d: s.latest_versions(table(spark, d, "part")
 add("tb_list_values", over_bars(lambda b: b.where("symbol = 'click'").orderBy(F.desc("ts")).limit(100).orderBy("ts").select(TS(), F.col("c").alias("value"))), f"{B} select ts, value from (select ts, c as value from b where symbol = 'click' order by ts desc limit 100) order by ts")
 add("src_csv_ts", over_ticks(lambda t: t.select("id", wall(files.moment(F.when(F.col("id") % 3 == 0, F.unix_millis("ts").cast("string")).when(F.col("id") % 3 == 1, F.unix_seconds("ts").cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))).alias("ts"))), "select event_id as id, case when event_id % 3 = 0 then date_trunc('millisecond', ts) else date_trunc('second', ts) end as ts from events")
 add("src_kline_json", over_bars(lambda b: files.parse_klines(b.select("symbol", F.to_json(F.array(F.array(F.unix_millis("ts").cast("string"), *(F.col(x).cast("string") for x in "ohlcv")))).alias("value")), F.col("symbol")).select("symbol", TS(), "o", "h", "l", "c")), f"{B} select symbol, ts, o, h, l, c from b")
-add("src_mock", lambda spark, d: files.synthetic(spark, 500).select("symbol", TS(), r("o"), r("h"), r("l"), r("c"), r("v")), "select 'MOCK' as symbol, make_timestamp(i * 60000000) as ts, round(o, 6) as o, round(greatest(o, c) + 0.5::double, 6) as h, round(least(o, c) - 0.5::double, 6) as l, round(c, 6) as c, round(1000 + abs(sin(i * 0.1::double)) * 500, 6) as v from (select i, 100 + i * 0.1::double as o, 100 + i * 0.1::double + 0.5::double * (sin(i * 0.5::double) + cos(i * 1.3::double)) as c from range(500) t(i))")
+
+
+def _mock(spark, sf_dir):
+    """The three kinds of series, one after the other."""
+    parts = [files.synthetic(spark, 500, kind).withColumn("kind", F.lit(kind)) for kind in ("trending", "ranging", "volatile")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("kind", "symbol", TS(), r("o"), r("h"), r("l"), r("c"), r("v"))
+
+
+_DRIFTS = {"trending": ("i * 0.1::double", 0.5), "ranging": ("5 * sin(i * 0.05::double)", 0.5), "volatile": ("sin(i * 0.01::double) * 10", 4.0)}
+_SERIES = " union all ".join(f"select '{k}' as kind, i, 100 + {d} as o, 100 + {d} + {n}::double * (sin(i * 0.5::double) + cos(i * 1.3::double)) as c from range(500) t(i)" for k, (d, n) in _DRIFTS.items())
+add("src_mock", _mock, f"select kind, 'MOCK' as symbol, make_timestamp(i * 60000000) as ts, round(o, 6) as o, round(greatest(o, c) + 0.5::double, 6) as h, round(least(o, c) - 0.5::double, 6) as l, round(c, 6) as c, round(1000 + abs(sin(i * 0.1::double)) * 500, 6) as v from ({_SERIES})")
