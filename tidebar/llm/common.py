@@ -41,14 +41,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: What `kept` has written and `release` hasn't deleted.
+KEPT: list[str] = []
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once to the shared folder and read back: later uses neither recompute it nor depend on an executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all that `kept` has written. For when results that read it are written themselves."""
+    while KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
