@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,19 @@ from tidebar.llm.mixing import mix
 EMPTY = []
 
 
+def test_kept_tables_are_released(spark):
+    from tidebar.llm import common
+
+    df = common.kept(spark.range(5).toDF("x"), "some")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert df.count() == 5 and os.path.isdir(path)
+    before = list(common.KEPT)
+    common.KEPT[:] = before[-1:]
+    common.release(spark)
+    assert not os.path.isdir(path) and not common.KEPT
+    common.KEPT[:] = before[:-1]
+
+
 # WARC
 
 
