@@ -22,8 +22,6 @@ CHARACTER = r"[^\x20\x09-\x0D]"
 TOKEN = rf"(?<!{CHARACTER}){CHARACTER}{{1,16}}(?!{CHARACTER})|{CHARACTER}"
 #: Texts of fewer tokens have the hashes of their characters as well.
 SHORT = 32
-#: Ranges of ids for each shuffle partition that next documents are looked up in.
-RANGES = 4
 LOW = 0x7FFFFFFF
 
 
@@ -151,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     other; very long texts are whole; an empty table gives no rows; other columns are not returned.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs, ranges = _with_range(docs, RANGES * parallelism(docs))
+    docs, ranges = _with_range(docs, parallelism(docs))
     tops = docs.groupBy("__range").agg(F.max("doc_id").alias("__top"))
     by_range = W.orderBy(F.desc("__range"))
     after = tops.select("__range", F.coalesce(F.lead("__range").over(by_range), F.first("__range").over(by_range)).alias("__after"))
