@@ -142,7 +142,9 @@ def hex_print(fp: Column) -> Column:
 def dedup_near(docs: DataFrame) -> DataFrame:
     """documents -> the rows that stay: of each component the one with the smallest id (null ids last, then by a hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stays = near_duplicates(docs).groupBy("root").agg(first.alias("__s")).select(F.col("__s.row").alias("__its"), F.col("__s.doc_id").alias("__id"))
-    its_own = (F.col("__row") == F.col("__its")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = F.row_number().over(W.partitionBy("__row", "doc_id").orderBy(F.lit(0)))
-    return docs.withColumn("__row", row_hash()).join(stays, its_own, "left_semi").withColumn("__n", once).where("__n = 1").drop("__row", "__n")
+    key = ["__row", "__null", "__id"]
+    # Null-safe keys as columns, so that the window needs no other shuffle than the join.
+    keyed = lambda df, row: df.withColumns({"__row": row, "__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))})
+    stays = near_duplicates(docs).groupBy("root").agg(first.alias("__s")).select("__s.row", "__s.doc_id")
+    once = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    return keyed(docs, row_hash()).join(keyed(stays, F.col("row")).select(*key), key, "left_semi").withColumn("__n", once).where("__n = 1").drop("__n", *key)
