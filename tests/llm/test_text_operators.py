@@ -517,6 +517,23 @@ def test_repeated_passages_with_a_common_chunk(spark):
     assert {x["doc"] for x in found} == set(range(400)) and {x["first_doc"] for x in found} == {0}
 
 
+def test_common_passages_are_found_alike_whether_salted_or_not(spark, monkeypatch):
+    passage, twice = sentence(5, 80, 5000), "one and the same words " * 30
+    rows = [(i, f"{sentence(i, 20, 5000)} {passage} {twice}") for i in range(90, 40, -1)] + [(200 + i, sentence(i + 300, 90, 5000)) for i in range(20)] + [(None, passage), (300, "x " * 400), (301, "x " * 300)]
+    seen = []
+    for look in (1, 1 << 40):  # all documents are looked at, or next to none
+        monkeypatch.setattr(substring_dedup, "LOOK", look)
+        seen.append(sorted(map(repr, substring_dedup.find_repeats(frame(spark, rows)).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) >= 52
+    found = [r for r in substring_dedup.find_repeats(frame(spark, rows)).collect() if r["doc"] in range(41, 91)]
+    assert {r["first_doc"] for r in found} <= {41, substring_dedup_doc(spark, passage)} and not [r for r in found if r["doc"] == 41 and r["cuts"] and r["first_doc"] == 41]
+
+
+def substring_dedup_doc(spark, text):
+    """What stands for the id of a text without one."""
+    return frame(spark, [(None, text)]).select(substring_dedup.doc_number().alias("d")).first()["d"]
+
+
 def test_repeated_passages_of_just_the_least_length(spark):
     rows = []
     for i in range(120):
