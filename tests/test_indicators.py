@@ -95,8 +95,8 @@ def test_bands_hold_and_flat_series_have_no_width(spark):
 
 def test_supertrend_and_psar_stay_on_their_side(spark):
     live = run(spark, WAITING["supertrend"], DATA)["a"]
-    assert all(t is None or t in (1.0, -1.0) for _, t, _, _ in live) and {t for _, t, _, _ in live} >= {1.0, -1.0}
-    assert all(t is None or math.isclose(s, low if t > 0 else up) for s, t, up, low in live)
+    assert all(t is None or t in (1.0, -1.0) for _, t, *_ in live) and {t for _, t, *_ in live} >= {1.0, -1.0}
+    assert all(t is None or math.isclose(s, low if t > 0 else up) for s, t, up, low, *_ in live)
 
 
 def test_every_indicator_survives_short_flat_and_empty_series(spark):
