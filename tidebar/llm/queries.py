@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import fresh_path, table
 from tidebar.llm.decontamination import find_leaks
+from tidebar.llm.divergence import divergence
 from tidebar.llm.language_id import identify
 from tidebar.llm.line_dedup import dedup_lines
 from tidebar.llm.lm_scoring import score
@@ -83,6 +84,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("__own"), F.col("__edited")).alias("near_edited"), likeness(F.col("__own"), F.col("__next")).alias("near_next"), "n_hashes")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lm_scoring": op2_lm_scoring,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_winnowing": op10_winnowing,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +135,21 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, d.size, t.source_size, t.target,
                (d.size * (base + (d.h <= coalesce(m.last, -1))::bigint))::bigint as taken
         from d join t on d.source is not distinct from t.source left join m on d.source is not distinct from m.source""",
+    "op11_divergence": r"""
+        with d as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r from documents),
+        w as (select lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        k as (select lang, term, count(*) as total from w group by all having count(distinct r) >= 3),
+        v as (select lang, count(*) as v, sum(total) as n from k group by lang),
+        c as (select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by all),
+        s as (select distinct lang, source from d),
+        g as (select s.lang, s.source, coalesce(sum(c.n), 0) as n from s left join c using (lang, source) group by all),
+        p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.n + v.v))::hugeint as p,
+                     (1 + 1000000000::hugeint * (k.total + 1) // (v.n + v.v))::hugeint as q
+              from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        a as (select x.lang, x.source, 'pair' as part, y.source as item,
+                     coalesce((select sum((f.p - t.p) * (f.p - t.p) // t.p) from p f join p t using (lang, term) where f.lang = x.lang and f.source = x.source and t.source = y.source), 0)::bigint as value
+              from s x join s y on x.lang = y.lang and x.source <> y.source),
+        b as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from a union all select * from b))
+        select * from r where part = 'pair' or rank <= 200""",
 }
