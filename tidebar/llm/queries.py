@@ -18,6 +18,7 @@ from tidebar.llm.mixing import mix
 from tidebar.llm.simhash import hex_print, near_duplicates
 from tidebar.llm.substring_dedup import find_repeats
 from tidebar.llm.token_counts import count_edits
+from tidebar.llm.toxicity import toxicity
 from tidebar.llm.warc import read_warc, write_warc
 from tidebar.llm.winnowing import digest, hashes, likeness, with_marks, with_next
 
@@ -93,6 +94,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lm_scoring": op2_lm_scoring,
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_winnowing": op10_winnowing,
     "op11_divergence": op11_divergence,
     "op12_alignment": op12_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
