@@ -32,12 +32,19 @@ LENGTH, REACH, WINDOW = 4, 6, 8
 BITS = 5
 #: Decay of a skipped letter, white space, and other character.
 LETTER, SPACE, SIGN = 0.5, 0.7, 0.9
-#: What ends a sentence: nothing goes on over it.
+#: What ends a sentence: no sequence goes on over it.
 CUT = -60.0
+#: Between texts: a line's end and as many letters of no class as a window has, so that no window sees two texts.
+BREAK = "\n" + WINDOW * "\ud800"
 #: Labelled documents to learn from at most (by a hash of their id; toxic, clean), the longest of them, and characters in all.
-LEARN_TOXIC, LEARN_CLEAN, LEARN_LONGEST, LEARN_CHARS = 1500, 3000, 16_000, 9_000_000
+LEARN_TOXIC, LEARN_CLEAN, LEARN_LONGEST, LEARN_CHARS = 1000, 2000, 8_000, 4_000_000
 #: Landmarks: fragments typical of toxic documents, and others.
 TYPICAL, OTHERS = 160, 64
+SLACK = 1.0
+#: A window's kernel value with a fragment that counts as found at first; all of a fragment gives 1.
+FOUND = 0.9
+#: Part of its score that an insult keeps with a sign put in; with other letters put in it is some half.
+APART = 0.8
 ROUNDS = 5
 #: Windows of a clean document that come in as examples a round.
 HARD = 3
@@ -73,12 +80,12 @@ class Letters:
     @classmethod
     def of(cls, texts: list[str]) -> Letters:
         kinds, decays = _tables()
-        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(BREAK.join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(codes < 1 << 16, codes, 0xFFFF)  # beyond: signs
         kind, decay = kinds[codes], decays[codes]
         ends = (codes == 46) | (codes == 33) | (codes == 63)
         decay[:-1][ends[:-1] & (decay[1:] == np.float32(np.log(SPACE))) & (kind[1:] == 0)] = CUT
-        letter = kind > 0
+        letter = (kind > 0) | (codes == ord(BREAK[-1]))
         # A space between two letters that stand alone is a sign like others: an insult written letter by letter.
         alone = letter.copy()
         alone[1:] &= ~letter[:-1]
@@ -87,7 +94,7 @@ class Letters:
         decay[1:-1][between & alone[:-2] & alone[2:]] = np.log(SIGN)
         # Summed up in double: differences of neighbours are what matters.
         gone = np.cumsum(np.where(letter, 0, decay), dtype=np.float64)[letter]
-        begin = np.r_[0, np.cumsum([len(t) + 1 for t in texts[:-1]])].astype(np.int64)
+        begin = np.r_[0, np.cumsum([len(t) + len(BREAK) for t in texts[:-1]])].astype(np.int64)
         return cls(kind[letter].astype(np.int32), gone, np.r_[0, np.cumsum(letter)][begin])
 
     def sequences(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -171,9 +178,13 @@ class Machine:
 
 
 def _fragments(letters: Letters, toxic: np.ndarray, n: int) -> list[tuple[int, ...]]:
-    """Runs of 4 to 6 letters that toxic texts share and clean ones hardly have, such that most toxic texts have several."""
+    """Runs of 4 to 6 letters that are in more toxic texts than chance explains, such that most toxic texts have several.
+
+    Of all runs tried (those of two toxic texts or more) about e**SLACK at most should get through by chance: the Chernoff
+    bound of a run's share of toxic texts against theirs among all.
+    """
     text_of = np.repeat(np.arange(len(toxic)), np.diff(np.r_[letters.starts, len(letters.kind)]))
-    n_toxic, n_clean = toxic.sum(), (~toxic).sum()
+    n_toxic, n_clean, common = toxic.sum(), (~toxic).sum(), toxic.mean()
     held: list[np.ndarray] = []
     names: list[tuple[int, ...]] = []
     rank: list[float] = []
@@ -192,7 +203,11 @@ def _fragments(letters: Letters, toxic: np.ndarray, n: int) -> list[tuple[int, .
         b = np.diff(np.r_[first, len(number)]) - a
         ratio = ((a + 0.5) / (n_toxic + 1)) / ((b + 0.5) / (n_clean + 1))
         value = a * np.log(ratio)
-        good = np.flatnonzero((a >= 2) & (ratio > 4))
+        mine = a / np.maximum(a + b, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.nan_to_num(mine * np.log(mine / common)) + np.nan_to_num((1 - mine) * np.log((1 - mine) / (1 - common)))
+        tried = max(1, int((a >= 2).sum()))
+        good = np.flatnonzero((a >= 2) & (mine > common) & ((a + b) * gap > np.log(tried) - SLACK))
         for g in good[np.argsort(-value[good], kind="stable")[: 8 * n]]:
             upto = first[g + 1] if g + 1 < len(first) else len(number)
             mine = text[first[g] : upto]
@@ -224,9 +239,10 @@ def _weights(fragment: tuple[int, ...]) -> dict[int, float]:
 
 
 def _machine(z: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps."""
+    """A linear machine with squared hinge loss, both classes weighing as much as the smaller has examples, by Newton steps."""
     z = np.c_[z, np.ones(len(z))]
-    cost = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum())) * c
+    n = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+    cost = c * n.min() / n
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(z.shape[1])
@@ -255,9 +271,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def _originals(texts: list[str]) -> list[int]:
+    """Places of texts without those that share half of their stretches with texts before: copies are no further evidence."""
+    letters = Letters.of(texts)
+    ends = np.r_[letters.starts[1:], len(letters.kind)]
+    number = np.zeros(max(0, len(letters.kind) - 11), np.int64)
+    for j in range(12):
+        number = (number << BITS) | letters.kind[j : len(number) + j]
+    number *= np.int64(0x5851F42D4C957F2D)
+    seen: set[int] = set()
+    out = []
+    for k, (i, j) in enumerate(zip(letters.starts, ends)):
+        mine = number[i : max(i, j - 11)]
+        mine = set(mine[(mine >> 60) & 7 == 0].tolist())
+        if 2 * len(mine & seen) <= len(mine):
+            out.append(k)
+        seen |= mine
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> Machine:
     """The machine for these texts and labels (1: toxic). Without both labels every text gets the share of toxic ones."""
-    toxic = np.array(labels, dtype=bool)
+    places = _originals(texts) if texts else []
+    texts, toxic = [texts[k] for k in places], np.array([labels[k] for k in places], dtype=bool)
     table = np.zeros(1 << (LENGTH * BITS), np.float32)
     letters = Letters.of(texts) if texts else None
     fragments = _fragments(letters, toxic, TYPICAL) if letters is not None and toxic.any() and not toxic.all() else []
@@ -281,66 +317,95 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
     where, which, weight = [], [], []
     for far, number, w in letters.sequences():
         hit = np.flatnonzero((place[number] >= 0) & (w > 1e-4))
-        where.append(hit + far), which.append(place[number[hit]]), weight.append(w[hit])
+        where.append((hit + far).astype(np.int32)), which.append(place[number[hit]]), weight.append(w[hit])
     order = np.argsort(np.concatenate(where), kind="stable")
     where, which, weight = (np.concatenate(x)[order] for x in (where, which, weight))
     last = np.r_[letters.starts[1:], len(letters.kind)]
 
     def mapped(at: np.ndarray) -> np.ndarray:
-        """The windows that end at these letters, as the machine sees them."""
-        begin, end = np.searchsorted(where, at - WINDOW + 1), np.searchsorted(where, at, "right")
-        out = np.zeros((len(at), len(features)), np.float32)
-        row = np.repeat(np.arange(len(at)), end - begin)
-        item = np.arange(len(row)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
-        np.add.at(out, (row, which[item]), weight[item])
-        return out @ project
+        """The windows that end at these letters, as the machine sees them; a thousand at a time, for bounded memory."""
+        out = np.zeros((len(at), project.shape[1]))
+        for i in range(0, len(at), 1000):
+            some = at[i : i + 1000]
+            begin, end = np.searchsorted(where, some - WINDOW + 1), np.searchsorted(where, some, "right")
+            row = np.repeat(np.arange(len(some)), end - begin)
+            item = np.arange(len(row)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
+            flat = np.bincount(row * len(features) + which[item], weight[item], len(some) * len(features))
+            out[i : i + 1000] = flat.reshape(len(some), -1) @ project
+        return out
 
     # A fifth, by place, is kept for the chances.
     learns = np.arange(len(texts)) % 5 != 0
     if not (learns & toxic).any() or not (learns & ~toxic).any():
         learns[:] = True
     table[features] = phi[: len(fragments)].sum(axis=0)
-    examples = np.zeros(0, np.int64)
+    examples, shift = np.zeros(0, np.int64), -FOUND
+    explained = np.zeros(len(texts), bool)
     for _ in range(ROUNDS):
         scores = window_scores(letters, table)
+        # Toxic texts in which nothing is found yet teach nothing; labels may be wrong, too.
+        explained |= best_windows(scores, letters.starts) + shift > 0
         positive, hard = [], []
         for k in np.flatnonzero(learns & (last > letters.starts)):
             mine = scores[letters.starts[k] : last[k]]
+            if toxic[k] and not explained[k]:
+                continue
             if toxic[k]:
                 positive.append(letters.starts[k] + int(mine.argmax()))
             else:
                 top = np.argpartition(-mine, min(HARD, len(mine)) - 1)[:HARD]
                 hard.append(letters.starts[k] + top)
         examples = np.union1d(examples, np.concatenate(hard)) if hard else examples
+        if not positive or not len(examples):
+            break
         at = np.r_[np.array(positive, np.int64), examples]
         y = np.r_[np.ones(len(positive)), -np.ones(len(examples))]
-        w, _ = _machine(mapped(at), y)
+        w, shift = _machine(mapped(at), y)
         table[features] = project @ w
     best = best_windows(window_scores(letters, table), letters.starts)
     judged = ~learns if (~learns & toxic).sum() >= 8 and (~learns & ~toxic).sum() >= 8 else np.ones(len(texts), bool)
-    return Machine(table, *_logistic(best[judged].astype(np.float64), toxic[judged].astype(np.float64)))
+    # Each toxic text counts a second time as if its insult were pulled apart, which leaves it so much of its score.
+    x = np.r_[best[judged], APART * best[judged & toxic]].astype(np.float64)
+    return Machine(table, *_logistic(x, np.r_[toxic[judged], np.ones((judged & toxic).sum())].astype(np.float64)))
 
 
 def held_out(doc_id: Column) -> Column:
     return part(doc_id, 4) == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """The bounded sample to learn from: of each label the documents whose ids hash lowest, in this order."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic, order: the bounded sample to learn from, of each label the documents whose ids hash lowest."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__order", F.xxhash64("doc_id"))
-    some = lambda label, n: known.where(F.col("__toxic") == label).orderBy("__order", "doc_id").limit(n)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
+    some = lambda label, n: known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(n)
     chosen = some(1, LEARN_TOXIC).unionByName(some(0, LEARN_CLEAN))
     # At most LEARN_TOXIC + LEARN_CLEAN rows, so the broadcast has a bound.
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= LEARN_LONGEST).join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id", "__toxic", "__order").agg(F.min("text").alias("text")).orderBy("__order", "doc_id").collect()
-    out, size = [], 0
-    for r in rows:
-        size += len(r["text"])
-        if size > LEARN_CHARS:
-            break
-        out.append((r["text"], r["__toxic"]))
-    return [t for t, _ in out], [int(x) for _, x in out]
+    return texts.groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text")).select("text", "toxic", "order", "doc_id")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Machine:
+    """The machine of the sample, fitted in one task: the driver sees its table of weights only."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, size = [], [], 0
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                size += len(text)
+                if size <= LEARN_CHARS:
+                    texts.append(text)
+                    toxic.append(label)
+        machine = fit(texts, toxic)
+        used = np.flatnonzero(machine.table)
+        one = lambda x, t: pa.array([x], pa.list_(t))
+        yield pa.RecordBatch.from_arrays([one(used, pa.int32()), one(machine.table[used], pa.float32()), pa.array([machine.slope]), pa.array([machine.shift])], ["used", "weights", "slope", "shift"])
+
+    rows = sample(docs, labels).repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(each, "used array<int>, weights array<float>, slope double, shift double").collect()
+    if not rows:
+        return fit([], [])
+    table = np.zeros(1 << (LENGTH * BITS), np.float32)
+    table[rows[0]["used"]] = rows[0]["weights"]
+    return Machine(table, rows[0]["slope"], rows[0]["shift"])
 
 
 def predict(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -368,5 +433,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored whole. Without labels of both kinds all texts get the same score. An empty table gives no rows. Columns of the
     names above are replaced, others stay.
     """
-    out = predict(docs.drop("held_out", "predicted"), fit(*sample(docs, labels)))
+    out = predict(docs.drop("held_out", "predicted"), learn(docs, labels))
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
