@@ -41,8 +41,21 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
 
 
+def numbered(groups: DataFrame) -> tuple[DataFrame, Column]:
+    """lang, source -> these and group, a number of their own; and the number as a column of documents.
+
+    A hash is the number; should two groups share one, another hash is taken.
+    """
+    for seed in range(100):
+        number = F.xxhash64(F.lit(seed), "lang", "source")
+        out = kept(groups.withColumn("group", number), "groups")
+        if out.groupBy("group").count().where("count > 1").isEmpty():
+            return out, number
+    raise ValueError("groups can't be told apart by their hashes")
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(text, lang, source) -> lang, source, term, count, holders (documents that have the term).
+    """(text, group) -> group, term, count, holders (documents that have the term).
 
     Each document's terms are sorted and come once with the length of their run, so one aggregation, which begins before
     the shuffle, gives both numbers. Texts are taken whole.
@@ -50,42 +63,45 @@ def term_counts(docs: DataFrame) -> DataFrame:
     # Texts of ASCII only are lowered whole, of others term by term.
     ascii_text = F.octet_length("text") == F.char_length("text")
     words = F.when(ascii_text, F.split(F.lower("text"), BETWEEN)).otherwise(F.transform(F.split("text", BETWEEN), lowered))
-    out = docs.select("lang", "source", F.sort_array(words).alias("words"))
+    out = docs.select("group", F.sort_array(words).alias("words"))
     at = lambda i: F.get("words", i)
     out = out.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
     run = lambda i, k: F.struct(at(i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - i).alias("times"))
-    rows = out.select("lang", "source", F.explode(F.transform("starts", run)).alias("x")).where("x.term <> ''")
-    return rows.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.times").alias("count"), F.count("*").alias("holders"))
+    rows = out.select("group", F.explode(F.transform("starts", run)).alias("x")).where("x.term <> ''")
+    return rows.groupBy("group", F.col("x.term").alias("term")).agg(F.sum("x.times").alias("count"), F.count("*").alias("holders"))
 
 
 def kept_vectors(counts: DataFrame) -> DataFrame:
-    """lang, term, total and cells (source, count) of the terms that a language keeps. A vector has no more cells than the language has sources."""
-    cell = F.struct("source", "count")
+    """(lang, group, term, count, holders) -> lang, term, total, cells (group, count): the terms that a language keeps.
+
+    A vector has no more cells than the language has sources.
+    """
+    cell = F.struct("group", "count")
     by_term = counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.sum("count").alias("total"), F.sum("holders").alias("holders"))
     return by_term.where(F.col("holders") >= HOLDERS).drop("holders")
 
 
 def joint_histogram(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, a, b (sources, a < b), m, n (counts of a term in each), cells (terms with these counts): all terms of each pair.
+    """lang, a, b (groups, a < b), m, n (counts of a term in each), cells (terms with these counts): all terms of each pair.
 
     Equal vectors are tallied first, so rare terms, which share theirs, give their pairs once. Cells in which both counts
-    are above zero are listed; those with a zero are what is left of each source's histogram, those with two what is left
+    are above zero are listed; those with a zero are what is left of each group's histogram, those with two what is left
     of the language's terms.
     """
     same = vectors.groupBy("lang", "cells").agg(F.count("*").alias("times"))
     first = same.select("lang", "times", F.posexplode("cells").alias("at", "x"), "cells")
     # One row a cell with the cells after it, then one row a pair: no row holds more than a vector.
     pairs = first.select("lang", "times", "x", F.explode(F.slice("cells", F.col("at") + 2, F.size("cells"))).alias("y"))
-    both = pairs.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.count").alias("m"), F.col("y.count").alias("n")).agg(F.sum("times").alias("cells"))
+    both = pairs.groupBy("lang", F.col("x.group").alias("a"), F.col("y.group").alias("b"), F.col("x.count").alias("m"), F.col("y.count").alias("n")).agg(F.sum("times").alias("cells"))
     both = kept(both, "joint")
-    alone = kept(same.select("lang", "times", F.explode("cells").alias("x")).groupBy("lang", F.col("x.source").alias("source"), F.col("x.count").alias("count")).agg(F.sum("times").alias("times")), "alone")
-    named = lambda c: groups.select("lang", F.col("source").alias(c), "terms")
+    alone = kept(same.select("lang", "times", F.explode("cells").alias("x")).groupBy("lang", F.col("x.group").alias("group"), F.col("x.count").alias("count")).agg(F.sum("times").alias("times")), "alone")
+    named = lambda c: groups.select("lang", F.col("group").alias(c), "terms")
     every = named("a").join(named("b").drop("terms"), "lang").where("a < b")
     zero = F.lit(0).cast("long")
     # What each known count adds to its own cell it takes from the cell where it is taken for zero.
     of = lambda df, m, n, times: df.select("lang", "a", "b", m.alias("m"), n.alias("n"), times.alias("cells"))
     m, n, c, t = F.col("m"), F.col("n"), F.col("cells"), F.col("times")
-    left, right = every.join(alone.withColumnRenamed("source", "a"), ["lang", "a"]), every.join(alone.withColumnRenamed("source", "b"), ["lang", "b"])
+    left, right = every.join(alone.withColumnRenamed("group", "a"), ["lang", "a"]), every.join(alone.withColumnRenamed("group", "b"), ["lang", "b"])
     parts = [of(both, m, n, c), of(both, m, zero, -c), of(both, zero, n, -c), of(both, zero, zero, c)]
     parts += [of(left, F.col("count"), zero, t), of(left, zero, zero, -t), of(right, zero, F.col("count"), t), of(right, zero, zero, -t), of(every, zero, zero, F.col("terms"))]
     out = parts[0]
@@ -104,30 +120,31 @@ def divergence(docs: DataFrame) -> DataFrame:
     """
     c = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
     docs = docs.select(c("text"), c("lang"), c("source"))
-    counts = kept(term_counts(docs), "terms")
+    names, number = numbered(docs.select("lang", "source").distinct())
+    counts = kept(term_counts(docs.select("text", number.alias("group"))).join(names.select("group", "lang"), "group"), "terms")
     vectors = kept(kept_vectors(counts), "vectors")
-    cells = vectors.select("lang", "term", "total", F.explode("cells").alias("x")).select("lang", "term", "total", "x.*")
+    cells = vectors.select("term", "total", F.explode("cells").alias("x")).select("term", "total", "x.*")
     langs = vectors.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.count("*").alias("terms"))
-    totals = cells.groupBy("lang", "source").agg(F.sum("count").alias("source_total"))
+    totals = cells.groupBy("group").agg(F.sum("count").alias("group_total"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = kept(groups.select("lang", "source", zero("source_total"), zero("terms"), zero("lang_total")), "groups")
+    groups = names.join(totals, "group", "left").join(langs, "lang", "left")
+    groups = kept(groups.select("lang", "source", "group", zero("group_total"), zero("terms"), zero("lang_total")), "totals")
 
-    side = lambda c, total: groups.select("lang", F.col("source").alias(c), F.col("source_total").alias(total))
-    tally = joint_histogram(vectors, groups).join(side("a", "a_total"), ["lang", "a"]).join(side("b", "b_total"), ["lang", "b"])
-    tally = tally.join(groups.select("lang", "terms").distinct(), "lang")
+    side = lambda c, total: groups.select(F.col("group").alias(c), F.col("group_total").alias(total))
+    tally = joint_histogram(vectors, groups).join(groups.select(F.col("group").alias("a"), F.col("group_total").alias("a_total"), "terms"), "a").join(side("b", "b_total"), "b")
     tally = tally.withColumn("p", share(F.col("m"), F.col("a_total"), F.col("terms"))).withColumn("q", share(F.col("n"), F.col("b_total"), F.col("terms")))
     weighed = lambda p, q: F.sum(chi(p, q).cast("decimal(19,0)") * F.col("cells").cast("decimal(18,0)"))
-    summed = tally.groupBy("lang", "a", "b").agg(weighed("p", "q").alias("ab"), weighed("q", "p").alias("ba"))
-    way = lambda source, item, value: F.struct(F.col(source).alias("source"), F.col(item).alias("item"), F.col(value).cast("long").alias("value"))
-    found = summed.select("lang", F.explode(F.array(way("a", "b", "ab"), way("b", "a", "ba"))).alias("x")).select("lang", "x.*")
+    summed = tally.groupBy("a", "b").agg(weighed("p", "q").alias("ab"), weighed("q", "p").alias("ba"))
+    way = lambda group, other, value: F.struct(F.col(group).alias("group"), F.col(other).alias("other"), F.col(value).cast("long").alias("value"))
+    found = summed.select(F.explode(F.array(way("a", "b", "ab"), way("b", "a", "ba"))).alias("x")).select("x.*")
+    found = found.join(names, "group").join(names.select(F.col("group").alias("other"), F.col("source").alias("item")), "other").select("lang", "source", "item", "value")
     # Of a language without terms no cell is left; its pairs are there all the same.
     bare = groups.where("terms = 0").select("lang", "source")
     bare = bare.join(bare.select("lang", F.col("source").alias("item")), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
     pairs = found.unionByName(bare).withColumn("part", F.lit("pair"))
 
-    own = cells.join(groups, ["lang", "source"])
-    own = own.withColumn("p", share(F.col("count"), F.col("source_total"), F.col("terms"))).withColumn("q", share(F.col("total"), F.col("lang_total"), F.col("terms")))
+    own = cells.join(groups, "group")
+    own = own.withColumn("p", share(F.col("count"), F.col("group_total"), F.col("terms"))).withColumn("q", share(F.col("total"), F.col("lang_total"), F.col("terms")))
     own = own.where("p > q").select("lang", "source", F.col("term").alias("item"), chi("p", "q").alias("value"))
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))

@@ -3,7 +3,7 @@
 The kernel of two strings is the sum, over all sequences of four letters, of the product of their weights in both. A sequence's weight
 in a string is the sum over the places where its letters occur in that order within a few letters, times a decay for every
 character skipped: letters in between count a lot, signs and spaces little. So `id-io.t` and `idxiot` keep most of what
-they share with `idiot`. Strings here are windows of some letters within a sentence.
+they share with `idiot`. Strings here are windows of some letters; sequences end with the sentence.
 
 Nyström: the machine works on the kernel values with a few landmarks, whitened by the landmarks' own kernel matrix. Its
 decision for a window is then a weighted sum of kernel values with landmarks, which is a weighted sum over the window's own
