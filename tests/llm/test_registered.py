@@ -15,6 +15,7 @@ from tests.llm.helpers import frame, odd_rows, sentence
 from tests.llm.test_text_operators import WORDS, brute_components, language_rows
 from tidebar.llm import language_id, token_counts
 from tidebar.llm.queries import QUERIES
+from tidebar.llm.winnowing import START
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -196,32 +197,30 @@ def split_keep(text):
     return [w for w in text.translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w]
 
 
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+
 def brute_marks(text):
-    """The hashes that stay, of tokens and in short texts of characters too."""
-    space = r"[^\x20\x09-\x0D]"
+    """The hashes that stay, of the grams that end at each token."""
+    letter = rf"[^\x20\x09-\x0D{UNSPACED}]"
     lower = (text or "").replace("İ", "i̇").lower()
     mask = (1 << 64) - 1
     turn = lambda x, b: (x << b | x >> 64 - b) & mask if b else x
+    tokens = re.findall(rf"(?<!{letter}){letter}{{1,16}}(?!{letter})|[^\x20\x09-\x0D]", lower)
+    hashes = [START] * 4 + [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    grams = [turn(a, 4) ^ turn(b, 3) ^ turn(c, 2) ^ turn(d, 1) ^ e for a, b, c, d, e in zip(*(hashes[j:] for j in range(5)))]
+    windows = [range(i, i + 4) for i in range(len(grams) - 3)] or [range(len(grams))]
+    return {grams[min(w, key=lambda p: (grams[p] >> 33, -p))] for w in windows if len(w)}
 
-    def kept(tokens):
-        if len(tokens) < 5:
-            h = 42
-            for t in tokens:
-                h = xxhash.xxh64_intdigest(t.encode(), h)
-            grams = [h] if tokens else []
-        else:
-            hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
-            grams = [turn(a, 4) ^ turn(b, 3) ^ turn(c, 2) ^ turn(d, 1) ^ e for a, b, c, d, e in zip(*(hashes[j:] for j in range(5)))]
-        windows = [range(i, i + 4) for i in range(len(grams) - 3)] or [range(len(grams))]
-        return {grams[min(w, key=lambda p: (grams[p] >> 33, -p))] for w in windows if len(w)}
 
-    tokens = re.findall(rf"(?<!{space}){space}{{1,16}}(?!{space})|{space}", lower)
-    return kept(tokens) | (kept(re.findall(space, lower)) if len(tokens) < 32 else set())
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def test_op10(spark, sf, rows):
     got = QUERIES["op10_winnowing"](spark, sf[0]).collect()
-    order = sorted(((i, x or "") for i, x, _ in rows if i is not None), key=lambda r: (-r[0], r[1])) + sorted((i, x or "") for i, x, _ in rows if i is None)
+    order = sorted(((i, x or "") for i, x, _ in rows if i is not None), key=lambda r: (-r[0], r[1])) + sorted(((i, x or "") for i, x, _ in rows if i is None), key=lambda r: (signed_hash(r[1]), r[1]))
     expected = []
     for k, (i, x) in enumerate(order):
         following = order[(k + 1) % len(order)][1]

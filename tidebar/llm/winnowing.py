@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import WORD, parallelism
 
 GRAM, WINDOW = 5, 4
-#: A character that isn't white space; and words of at most 16 of them, longer ones (unspaced text) character by character.
-CHARACTER = r"[^\x20\x09-\x0D]"
-TOKEN = rf"(?<!{CHARACTER}){CHARACTER}{{1,16}}(?!{CHARACTER})|{CHARACTER}"
-#: Texts of fewer tokens have the hashes of their characters as well.
-SHORT = 32
+#: Characters of scripts that are written without spaces (South East Asian, kana, Han): ranges of Unicode blocks.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: A token is a word of up to 16 letters of other scripts; a longer run, and unspaced scripts, go character by character.
+LETTER = rf"[^\x20\x09-\x0D{UNSPACED}]"
+TOKEN = rf"(?<!{LETTER}){LETTER}{{1,16}}(?!{LETTER})|[^\x20\x09-\x0D]"
+#: Stands before a text GRAM - 1 times.
+START = 0x1D8E4E27C47D124F
 LOW = 0x7FFFFFFF
 
 
@@ -40,16 +42,18 @@ def _shifted(a: Column, b: Column, by: int, f) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, window: int = WINDOW, word: str = WORD) -> DataFrame:
-    """df with `name`: array<struct<hash long, position int>>, in order of position (in words, from 0).
+    """df with `name`: array<struct<hash long, position int>>, in order of position (of a gram's last word, from 0).
 
-    Words are what `word` matches (runs without white space), in lower case. Fewer than `gram` words are one gram, fewer grams than `window`
-    one window; a null text or one without words has no hashes. Of equal hashes in a window the rightmost is kept. Texts of
+    Words are what `word` matches (runs without white space), in lower case. Every text has a mark before it gram - 1 times,
+    so a gram ends at each word and texts of any length are treated alike: a short text and the same with a word more share
+    all grams but one. Fewer grams than `window` are one window; a null text or one without words has no hashes. Of equal hashes in a window the rightmost is kept. Texts of
     any length are hashed whole; repeated rows alike. Columns of the name are replaced, others stay. Each step is a column
     of its own so that it is computed once.
     """
     c = lambda s: f"__{name}_{s}"
     out = df.withColumn(c("words"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0)))
-    out = out.withColumn(c("1"), F.transform(c("words"), lambda w: F.xxhash64(w)))
+    marks = F.array_repeat(F.lit(START), gram - 1)
+    out = out.withColumn(c("1"), F.concat(marks, F.transform(c("words"), lambda w: F.xxhash64(w))))
     have, done = 1, [c("words"), c("1")]
     for bit in bin(gram)[3:]:  # from the second highest bit: double, and add one word where it is set
         col = c(f"g{2 * have}")
@@ -61,8 +65,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
             out = out.withColumn(col, _shifted(F.col(done[-1]), F.col(c("1")), have, _join(1)))
             done.append(col)
             have += 1
-    short = F.size(c("words")).between(1, gram - 1)
-    out = out.withColumn(c("h"), F.when(short, F.array(F.xxhash64(c("words")))).otherwise(F.col(done[-1])))
+    out = out.withColumnRenamed(done.pop(), c("h"))
     # The hash's upper 31 bits, then the position upside down: the least is the smallest hash, and the rightmost of equals.
     out = out.withColumn(c("k1"), F.transform(c("h"), lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR(F.lit(LOW).cast("long") - i)))
     done += [c("h"), c("k1")]
@@ -81,17 +84,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
 
 
 def with_marks(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`, the fingerprint over tokens and, of short texts, over characters too.
-
-    Any GRAM + WINDOW - 1 equal tokens in a row share a hash, in unspaced text so many characters, and in two short texts
-    so many characters other than white space. Positions of the latter hashes begin after the tokens.
-    """
-    n, short, extra = (f"__{name}_{x}" for x in ("n", "short", "extra"))
-    out = df.withColumn(n, F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN)))
-    out = with_fingerprint(out.withColumn(short, F.when(F.col(n) < SHORT, F.col(text))), text, name, word=TOKEN)
-    out = with_fingerprint(out, short, extra, word=CHARACTER)
-    later = F.transform(extra, lambda x: F.struct(x["hash"].alias("hash"), (x["position"] + F.col(n)).alias("position")))
-    return out.withColumn(name, F.concat(name, later)).drop(n, short, extra)
+    """df with `name`, the fingerprint over tokens: any GRAM + WINDOW - 1 equal tokens in a row share a hash."""
+    return with_fingerprint(df, text, name, word=TOKEN)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,9 +106,9 @@ def digest(fingerprint: str) -> Column:
     return F.lower(F.concat(of("hash", 1), of("position", 2)))
 
 
-def _text_order(text: str) -> Column:
-    """The first 7 bytes as a number, in the order of the texts."""
-    return F.conv(F.rpad(F.hex(F.substring(F.col(text).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def _text_order() -> Column:
+    """Where rows without id stand among each other: by a hash of the text, so that texts that begin alike are dealt evenly."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
 
 
 def _upto(bounds: list[int], value: Column) -> Column:
@@ -130,20 +124,20 @@ def _upto(bounds: list[int], value: Column) -> Column:
 
 
 def _with_range(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
-    """docs with __range, and how many ranges there are: ranges of ids cut at quantiles, and below these, of null ids, of texts."""
+    """docs with __range, and how many ranges there are: ranges of ids cut at quantiles, and below these, of null ids, of texts' hashes."""
     points = [i / ranges for i in range(1, ranges)]
     null = F.col("doc_id").isNull()
     cuts = lambda value: F.percentile_approx(value, points, 10 * ranges)
-    ids, texts = docs.agg(cuts(F.col("doc_id")), cuts(F.when(null, _text_order("text")))).first() if points else (None, None)
+    ids, texts = docs.agg(cuts(F.col("doc_id")), cuts(F.when(null, _text_order()))).first() if points else (None, None)
     ids, texts = sorted(set(ids or [])), sorted(set(texts or []))
-    number = F.when(null, len(texts) - _upto(texts, _text_order("text"))).otherwise(len(texts) + 1 + _upto(ids, F.col("doc_id")))
+    number = F.when(null, len(texts) - _upto(texts, _text_order())).otherwise(len(texts) + 1 + _upto(ids, F.col("doc_id")))
     return docs.withColumn("__range", number.cast("int")), len(texts) + len(ids) + 2
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, text (null: empty), fingerprint, next (struct of text and fingerprint of the next document).
 
-    The next document has the next smaller id (of equal ids the next larger text; null ids come last), after the last
+    The next document has the next smaller id (of equal ids the next larger text; null ids come last, by a hash of their texts), after the last
     comes the first; a lone document follows itself. Ranges of ids, cut at quantiles, are sorted each by itself; the
     first document of each range, one row a range, is handed to the range before it, and there to the last document. Rows that repeat all follow each
     other; very long texts are whole; an empty table gives no rows; other columns are not returned.
@@ -155,9 +149,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = tops.select("__range", F.coalesce(F.lead("__range").over(by_range), F.first("__range").over(by_range)).alias("__after"))
     firsts = docs.join(F.broadcast(tops.withColumnRenamed("__range", "__after")), (F.col("__range") == F.col("__after")) & F.col("doc_id").eqNullSafe(F.col("__top")))
     # The first document of the range that follows goes to the end of each range, so that one window sees all neighbours.
-    tails = firsts.groupBy("__after").agg(F.min("text").alias("text")).join(F.broadcast(after), "__after")
+    tails = firsts.groupBy("__after").agg(F.min_by("text", F.struct(_text_order(), "text")).alias("text")).join(F.broadcast(after), "__after")
     rows = docs.withColumn("__tail", F.lit(0)).unionByName(tails.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "__range", F.lit(1).alias("__tail")))
     spread = with_marks(rows.repartitionById(ranges, "__range"), "text", "fingerprint")
-    order = W.partitionBy("__range").orderBy("__tail", F.desc_nulls_last("doc_id"), "text")
+    order = W.partitionBy("__range").orderBy("__tail", F.desc_nulls_last("doc_id"), _text_order(), "text")
     led = spread.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
     return led.where("__tail = 0").select("doc_id", "text", "fingerprint", "next")
