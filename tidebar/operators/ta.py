@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from tidebar.functions.windows import bars_since, cumulative, div, filled, frame, highest, hl2, hlc3, lag, lagged_sum, lead, lowest, mean, num, pstdev, rolling, since_true, total, true_range, zero
+from tidebar.functions.windows import bars_since, div, filled, frame, highest, hl2, hlc3, lag, lagged_sum, lead, lowest, mean, num, pstdev, rolling, total, true_range, zero
 from tidebar.plans.chain import Chain
 
 Out = dict[str, str]
@@ -523,7 +523,7 @@ def _direction(c: Chain) -> str:
 
 @ta
 def obv(c: Chain) -> Out:
-    return {"obv": cumulative(f"sum({c.col(f'{_direction(c)} * v')})")}
+    return {"obv": c.cum("sum", c.col(f"{_direction(c)} * v"))}
 
 
 def _flow(c: Chain) -> str:
@@ -532,7 +532,7 @@ def _flow(c: Chain) -> str:
 
 @ta
 def ad_line(c: Chain) -> Out:
-    return {"ad": cumulative(f"sum({_flow(c)})")}
+    return {"ad": c.cum("sum", _flow(c))}
 
 
 @ta
@@ -542,7 +542,7 @@ def cmf(c: Chain, length: int = 20) -> Out:
 
 @ta
 def chaikin_osc(c: Chain, fast: int = 3, slow: int = 10) -> Out:
-    line = c.col(cumulative(f"sum({_flow(c)})"))
+    line = c.cum("sum", _flow(c))
     return {"co": f"{_ema(c, line, fast)} - {_ema(c, line, slow)}"}
 
 
@@ -558,7 +558,7 @@ def mfi(c: Chain, length: int = 14) -> Out:
 @ta
 def pvt(c: Chain) -> Out:
     x = c.col(f"coalesce((c - {lag('c')}) / nullif({lag('c')}, 0e0) * v, 0e0)")
-    return {"pvt": cumulative(f"sum({x})")}
+    return {"pvt": c.cum("sum", x)}
 
 
 @ta
@@ -586,7 +586,7 @@ def volume_delta(c: Chain) -> Out:
 
 @ta
 def cvd(c: Chain) -> Out:
-    return {"cvd": cumulative(f"sum({c.col(volume_delta(c)['delta'])})")}
+    return {"cvd": c.cum("sum", c.col(volume_delta(c)["delta"]))}
 
 
 @ta
@@ -618,7 +618,7 @@ def nvi(c: Chain) -> Out:
 @ta
 def vwap(c: Chain) -> Out:
     tp = c.col(hlc3)
-    return {"vwap": f"coalesce({cumulative(f'sum({tp} * v)')} / nullif({cumulative('sum(v)')}, 0e0), {tp})"}
+    return {"vwap": f"coalesce({c.cum('sum', f'{tp} * v')} / nullif({c.cum('sum', 'v')}, 0e0), {tp})"}
 
 
 # Statistics
@@ -672,4 +672,4 @@ def cross(c: Chain, fast: int = 9, slow: int = 21) -> Out:
 @ta
 def bars_since_cross(c: Chain, fast: int = 9, slow: int = 21) -> Out:
     up = c.col(cross(c, fast, slow)["over"])
-    return {"bars_since": since_true(up)}
+    return {"bars_since": f"i - {c.cum('max', f'case when {up} then i end')}"}

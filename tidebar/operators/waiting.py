@@ -279,12 +279,12 @@ def _flow(c: Chain) -> str:
 
 @waiting
 def ad_line(c: Chain) -> Out:
-    return {"ad": cumulative(f"sum({_flow(c)})")}
+    return {"ad": c.cum("sum", _flow(c))}
 
 
 @waiting
 def chaikin_osc(c: Chain, fast: int = 3, slow: int = 10) -> Out:
-    line = c.col(cumulative(f"sum({_flow(c)})"))
+    line = c.cum("sum", _flow(c))
     return {"co": f"{_ema(c, line, fast)} - {_ema(c, line, slow)}"}
 
 
@@ -328,8 +328,8 @@ def volume_osc(c: Chain, short: int = 5, long: int = 10) -> Out:
 
 @waiting
 def vwap(c: Chain) -> Out:
-    volume = c.col(cumulative("sum(v)"))
-    line = c.col(f"{cumulative(f'sum({c.col(hlc3)} * v)')} / nullif({volume}, 0e0)")
+    volume = c.cum("sum", "v")
+    line = c.col(f"{c.cum('sum', f'{c.col(hlc3)} * v')} / nullif({volume}, 0e0)")
     return {"vwap": line, "cumulative_volume": volume, "periods": "i + 1", "is_above": test(f"c > {line}"), "is_below": test(f"c < {line}")}
 
 

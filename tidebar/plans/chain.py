@@ -7,6 +7,9 @@ weighs anything. So it needs windows alone, and no Python. Where a varies, or th
 another way, a symbol's rows pass through a task in order, batch by batch, with the state carried on: no symbol is ever held
 whole.
 
+A chain can also go on where it stopped: `resume` takes the last rows of a run, with all their columns, and newer bars, and each
+step starts from what it had reached.
+
 The same chain can be written out as SQL with recursive queries (row by row), which is how results are checked.
 """
 
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 W_SQL = "partition by symbol order by ts"
 #: A block ends where its powers would pass 10**DIGITS; what lies two blocks back weighs less than 10**-DIGITS.
 DIGITS = 80
+CUMULATIVE = ("sum", "count", "max")
+UPTO = f"over ({W_SQL} rows between unbounded preceding and current row)"
 
 
 def num(x: float) -> str:
@@ -69,6 +74,20 @@ class Chain:
         self.steps.append(("ema", name, x, k, seed))
         return name
 
+    def cum(self, agg: str, x: str) -> str:
+        """sum, count or max of x over all rows so far; null (count: 0) before the first value."""
+        if agg not in CUMULATIVE:
+            raise ValueError(agg)
+        if " over (" in x:
+            x = self.col(x)
+        for step in self.steps:
+            if step[0] == "cum" and step[2:] == (agg, x):
+                return step[1]
+        name = f"x{self.made}"
+        self.made += 1
+        self.steps.append(("cum", name, agg, x))
+        return name
+
     def scan(self, a: str, b: str) -> str:
         """y = a*y + b, where the y before the first is 0; null where b is null, which leaves y as it was.
 
@@ -105,6 +124,8 @@ class Chain:
         for step in self.steps:
             if step[0] == "cols":
                 df = df.withColumn(step[1], F.expr(step[2]))
+            elif step[0] == "cum":
+                df = df.withColumn(step[1], F.expr(f"{step[2]}({step[3]}) {UPTO}"))
             elif step[0] == "ema":
                 df = _ema(df, *step[1:])
             elif step[0] == "fold":
@@ -126,14 +147,16 @@ class Chain:
             if "unbounded" in text or re.search(r"over \(partition by symbol(, \w+)?\)", text):
                 return None
             numbers = lambda pattern: [int(x) for x in re.findall(pattern, text)]
-            back = max([*numbers(r"(\d+) preceding"), *numbers(r"lag\([^()]*, (\d+)\)"), "lag(" in text], default=0)
-            ahead = max([*numbers(r"(\d+) following"), *numbers(r"lead\([^()]*, (\d+)\)"), "lead(" in text], default=0)
+            back = max([*numbers(r"(\d+) preceding"), *distances("lag", text)], default=0)
+            ahead = max([*numbers(r"(\d+) following"), *distances("lead", text)], default=0)
             used = [known[x] for x in set(re.findall(r"\bx\d+\b", text)) if x in known]
             return None if None in used else (back + max((u[0] for u in used), default=0), ahead + max((u[1] for u in used), default=0))
 
         for step in self.steps:
             if step[0] == "cols":
                 known[step[1]] = of(step[2])
+            elif step[0] == "cum":
+                known[step[1]] = None
             elif step[0] == "ema" and known.get(step[2], (0, 0)) is not None:
                 back, ahead = known.get(step[2], (0, 0))
                 fading = math.ceil(math.log(1e-18) / math.log(1 - step[3])) if 0 < step[3] < 1 else 1
@@ -168,6 +191,70 @@ class Chain:
         names = [F.col("__symbol").alias(c) if c == "symbol" else F.col(f"`{c}`") for c in bars.columns]
         return out.where("__part = __own").select(*names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
 
+    # Going on
+
+    def names(self) -> list[str]:
+        """The columns that a later run needs of the last rows, besides those of the bars and `i`."""
+        found = [x for step in self.steps for x in (step[1] if isinstance(step[1], list) else [step[1]])]
+        return found + [f"{step[1]}_held" for step in self.steps if step[0] == "scan"]
+
+    def tail(self) -> int:
+        """How many of the last rows a later run needs: the widest frame of any step; frames over all rows begin where they stopped."""
+        widest = 1
+        for text in [*(step[2] for step in self.steps if step[0] == "cols"), *self.out.values()]:
+            if "unbounded" in text or " following" in text or "lead(" in text or re.search(r"over \(partition by symbol(, \w+)?\)", text) or " range between" in text:
+                raise ValueError(f"a frame that doesn't end at its row or has no bound can't go on: {text}")
+            widest = max([widest, *(int(x) for x in re.findall(r"(\d+) preceding", text)), *distances("lag", text)])
+        return max([widest, *(step[4] for step in self.steps if step[0] == "ema")])
+
+    def resume(self, last: DataFrame | None, bars: DataFrame) -> DataFrame:
+        """Newer bars of each symbol -> their rows with `i`, names() and the outputs; equal to a run over all bars from the first.
+
+        last: the last tail() rows of each symbol as this method returned them (fewer where there are no more; none or None: from
+        the first bar). Nothing else of earlier bars is read.
+        """
+        self.tail()  # refuses chains that can't go on
+        names, columns = self.names(), bars.columns
+        new = bars.withColumn("__old", F.lit(False))
+        if last is None:
+            carried = {x for step in self.steps if step[0] == "fold" for x in step[1]}
+            df = new.withColumns({c: F.lit(None).cast("long" if c == "i" else "double") if c == "i" or c in carried else F.lit(None) for c in ["i", *names]})
+        else:
+            df = last.select(*columns, "i", *names).withColumn("__old", F.lit(True)).unionByName(new, allowMissingColumns=True)
+        order = W.partitionBy("symbol").orderBy("ts")
+        number = F.row_number().over(order)
+        # The first row's own number, or 0 if it is new, counts on.
+        start = F.first(F.coalesce("i", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0))
+        df = df.withColumn("i", (start + number - 1).cast("long")).withColumnsRenamed({x: f"__had_{x}" for x in names})
+        df = df.withColumn("__stop", F.col("__old") & ~F.coalesce(F.lead("__old").over(order), F.lit(False)))
+        old, at_end = F.col("__old"), F.col("__stop")
+        upto = order.rowsBetween(W.unboundedPreceding, 0)
+        for step in self.steps:
+            if step[0] == "cols":
+                df = df.withColumn(step[1], F.expr(step[2]))
+            elif step[0] == "cum":
+                _, name, agg, x = step
+                value = F.expr(f"cast(({x}) is not null as long)" if agg == "count" else x)
+                df = df.withColumn("__x", F.when(at_end, F.col(f"__had_{name}")).when(~old, value))
+                total = F.max("__x").over(upto) if agg == "max" else F.sum("__x").over(upto)
+                df = df.withColumn(name, total).drop("__x")
+            elif step[0] == "ema":
+                df = _ema_on(df, *step[1:])
+            elif step[0] == "fold":
+                df = _fold(df, *step[1:6], resumed=True)
+            else:
+                _, name, a, b, constant = step
+                # Where it stopped comes in as the last old row's value, which nothing before adds to.
+                df = df.withColumn("__b", F.when(at_end, F.col(f"__had_{name}_held")).when(~old, F.col(b)))
+                df = _decay(df, name, "__b", constant) if constant is not None else _scan(df.withColumn("__a", F.when(~old, F.col(a))), name, "__a", "__b").drop("__a")
+                df = df.withColumn(f"{name}_held", F.last(name, ignorenulls=True).over(upto)).drop("__b")
+                df = df.withColumn(f"{name}_held", F.when(old, F.col(f"__had_{name}_held")).otherwise(F.col(f"{name}_held")))
+            made = step[1] if isinstance(step[1], list) else [step[1]]
+            # Rows that were there keep what they had.
+            df = df.withColumns({x: F.when(old, F.col(f"__had_{x}")).otherwise(F.col(x)) for x in made})
+        done = df.select("*", *(F.expr(e).alias(f"__out_{n}") for n, e in self.out.items())).where(~old)
+        return done.select(*columns, "i", *names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
+
     # SQL
 
     def sql(self, bars: str) -> str:
@@ -177,6 +264,8 @@ class Chain:
         for k, step in enumerate(self.steps, 1):
             if step[0] == "cols":
                 parts.append(f"s{k} as materialized (select *, {step[3]} as {step[1]} from {last})")
+            elif step[0] == "cum":
+                parts.append(f"s{k} as materialized (select *, {step[2]}({step[3]}) {UPTO} as {step[1]} from {last})")
             elif step[0] == "ema":
                 _, name, x, a, seed = step
                 first = f"min(case when {x} is not null then i end) over (partition by symbol)"
@@ -203,6 +292,19 @@ class Chain:
         return f"with recursive {', '.join(parts)} select symbol, ts, {out} from {last}"
 
 
+def distances(name: str, text: str) -> list[int]:
+    """How far each lag or lead of a text looks: the number after its expression, 1 if there is none."""
+    out = []
+    for found in re.finditer(rf"\b{name}\(", text):
+        depth, at = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[at], 0)
+            at += 1
+        far = re.search(r",\s*(\d+)$", text[found.end() : at - 1])
+        out.append(int(far.group(1)) if far else 1)
+    return out
+
+
 def _number(text: str) -> float | None:
     try:
         return float(text)
@@ -221,6 +323,21 @@ def _ema(df: DataFrame, name: str, x: str, k: float, seed: int) -> DataFrame:
     return _summed(df, name, 1 - k)
 
 
+def _ema_on(df: DataFrame, name: str, x: str, k: float, seed: int) -> DataFrame:
+    """As _ema, from the last old row on where it had a value; else from the rows before, which are all that had an x."""
+    lead = max(seed, 1) - 1
+    order = W.partitionBy("symbol").orderBy("ts")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    had, at_end, new = F.col(f"__had_{name}"), F.col("__stop"), ~F.col("__old")
+    first = F.min(F.when(F.col(x).isNotNull(), F.col("i"))).over(upto)
+    start = F.avg(x).over(order.rowsBetween(-lead, 0)) if seed else k * F.col(x)
+    df = df.withColumn("__from", F.max(F.when(at_end & had.isNotNull(), F.col("i"))).over(upto))
+    df = df.withColumn("__q", F.when(F.col("__from").isNotNull(), F.col("i") - F.col("__from")).otherwise(F.col("i") - first - lead))
+    on = F.when(new & (F.col("__from").isNotNull() | (F.col("__q") > 0)), k * F.col(x)).when(new & (F.col("__q") == 0), start)
+    df = df.withColumn("__e", F.when(at_end, had).otherwise(on))
+    return _summed(df.drop("__from"), name, 1 - k)
+
+
 def _decay(df: DataFrame, name: str, b: str, a: float) -> DataFrame:
     """y = a*y + b over the rows with b."""
     order = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
@@ -277,9 +394,13 @@ def _scan(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
     return _carried(df, [name], [a, b], step)
 
 
-def _fold(df: DataFrame, names: list[str], inputs: list[str], states: list[str], first: Callable, step: Callable) -> DataFrame:
+def _fold(df: DataFrame, names: list[str], inputs: list[str], states: list[str], first: Callable, step: Callable, resumed: bool = False) -> DataFrame:
+    n = len(inputs)
+
     def move(before: tuple | None, row: tuple) -> tuple:
-        after = first(*row) if before is None else step(*before, *row)
+        if resumed and row[n]:
+            return row[n + 1 :], row[n + 1 :]
+        after = first(*row[:n]) if before is None else step(*before, *row[:n])
         return after, after
 
-    return _carried(df, names, inputs, move)
+    return _carried(df, names, [*inputs, "__old", *(f"__had_{x}" for x in names)] if resumed else inputs, move)

@@ -1,7 +1,9 @@
 """Stored tables that only grow by appended versions, of which a reader takes the latest row of each key.
 
-An upsert appends its rows, partitioned by symbol and day, under a version; nothing that is there is rewritten, so a batch
-that runs again, or fails half-way, does no harm. `compacted` writes the latest rows to another folder when reading gets slow.
+An upsert appends its rows under a version (a folder of its own, by day inside, sorted by symbol); nothing that is there is
+rewritten, so a batch that runs again, or fails half-way, does no harm. Readers of changes keep the number of the version they
+have seen and read later folders only. `compact` writes the latest rows up to a version into one base, with the version that each
+came from, so feeds stay whole across it; older folders can then be deleted by `vacuum`.
 """
 
 from __future__ import annotations
@@ -19,23 +21,106 @@ def shared_folder(spark: SparkSession) -> str:
     return (given or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def _folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The committed versions and bases of a table that have any rows."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"version": [], "base": []}
+    for status in system.listStatus(root) if system.exists(root) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind not in found:
+            continue
+        names = [x.getPath().getName() for x in system.listStatus(status.getPath())]
+        if "_SUCCESS" in names and any(x[0] not in "_." for x in names):
+            found[kind].append(int(number))
+    return found
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The largest version, None of an empty table."""
+    found = _folders(spark, path)
+    return max([*found["version"], *found["base"]], default=None)
+
+
+def _written(rows: DataFrame, path: str) -> None:
+    """By day and symbol: as many files as tasks and days, each of few symbols, so that filters on both skip files or row groups."""
+    dealt = rows.withColumn("day", F.to_date("ts")).repartitionByRange("day", "symbol").sortWithinPartitions("day", "symbol", "ts")
+    dealt.write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def append(rows: DataFrame, path: str, version: int) -> None:
-    """rows (symbol, ts, ...) as a version of the table; larger versions win."""
-    rows.withColumn("version", F.lit(version).cast("long")).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("symbol", "day").parquet(path)
+    """rows (symbol, ts, ...) as a version of the table; larger versions win. A version written again replaces itself."""
+    _written(rows, f"{path}/version={version}")
+
+
+def _rows(spark: SparkSession, path: str, since: int | None = None, upto: int | None = None) -> DataFrame:
+    """All rows of versions after since (None: all) up to upto: of the newest base that helps, and of folders after it.
 
+    Which folders are read is settled here, by their names; of a base, row groups of old versions are skipped by their statistics.
+    """
+    found = _folders(spark, path)
+    base = max((b for b in found["base"] if upto is None or b <= upto), default=None)
+    if base is not None and since is not None and since >= base:
+        base = None
+    after = max(x for x in (base, since, -(1 << 62)) if x is not None)
+    some = [v for v in found["version"] if v > after and (upto is None or v <= upto)]
+    versions = lambda some: spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in some)).withColumn("version", F.col("version").cast("long"))
+    parts = ([spark.read.parquet(f"{path}/base={base}")] if base is not None else []) + ([versions(sorted(some))] if some else [])
+    if not parts:
+        if not found["version"] and not found["base"]:
+            raise ValueError(f"no table at {path}")
+        return (versions(found["version"][:1]) if found["version"] else spark.read.parquet(f"{path}/base={found['base'][0]}")).limit(0)
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True) if len(parts) > 1 else parts[0]
+    return out if since is None else out.where(F.col("version") > since)
 
-def current(spark: SparkSession, path: str, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
-    """The latest row of each key. Filters on symbol, day and the key reach the files."""
-    rows = spark.read.parquet(path)
+
+def _latest(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     order = W.partitionBy(*key).orderBy(F.desc("version"))
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "version", "day")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def current(spark: SparkSession, path: str, key: tuple[str, ...] = ("symbol", "ts"), upto: int | None = None) -> DataFrame:
+    """The latest row of each key, as of a version if one is given. Filters on day and the key reach the files."""
+    return _latest(_rows(spark, path, upto=upto), key).drop("version", "day")
+
+
+def changes(spark: SparkSession, path: str, since: int, upto: int | None = None, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """What a reader who has seen version `since` lacks: the latest row of each key that later versions wrote, with its version."""
+    return _latest(_rows(spark, path, since, upto), key).drop("day")
+
+
+def merged(had: DataFrame, feed: DataFrame, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """A snapshot with a feed of changes: the feed's rows replace those of the same key."""
+    return had.join(feed.select(*key), list(key), "left_anti").unionByName(feed.select(*had.columns))
 
 
 def scan(spark: SparkSession, path: str, symbol: str, start: Column, end: Column) -> DataFrame:
-    """A symbol's rows of a closed range of time: only its partitions of those days are read."""
-    rows = spark.read.parquet(path).where((F.col("symbol") == symbol) & F.col("day").between(F.to_date(start), F.to_date(end)) & F.col("ts").between(start, end))
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy("symbol", "ts").orderBy(F.desc("version")))).where("__n = 1").drop("__n", "version", "day")
+    """A symbol's rows of a closed range of time: only folders of those days and row groups of the symbol are read."""
+    rows = _rows(spark, path).where((F.col("symbol") == symbol) & F.col("day").between(F.to_date(start), F.to_date(end)) & F.col("ts").between(start, end))
+    return _latest(rows, ("symbol", "ts")).drop("version", "day")
+
+
+def compact(spark: SparkSession, path: str, key: tuple[str, ...] = ("symbol", "ts")) -> int:
+    """The latest row of each key as a base at the largest version, which it returns; readers use it from then on."""
+    version = latest_version(spark, path)
+    if version is None:
+        raise ValueError(f"no table at {path}")
+    if version not in _folders(spark, path)["base"]:
+        _written(_latest(_rows(spark, path, upto=version), key).drop("day"), f"{path}/base={version}")
+    return version
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Deletes folders that the newest base stands for; run it when no reader has begun before that base."""
+    found = _folders(spark, path)
+    base = max(found["base"], default=None)
+    gone = [] if base is None else [f"base={b}" for b in found["base"] if b < base] + [f"version={v}" for v in found["version"] if v <= base]
+    for name in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
 
 
 def compacted(spark: SparkSession, path: str, to: str, key: tuple[str, ...] = ("symbol", "ts")) -> None:
+    """The latest rows as version 0 of another table."""
     append(current(spark, path, key), to, 0)

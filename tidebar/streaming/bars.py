@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebar.sources.tables import append
 
+
 def stream_bars(trades: DataFrame, seconds: int = 3600, late: str | None = "10 minutes") -> DataFrame:
     """A stream of symbol, ts, id, price, size -> bars; in append mode each once when it is final, in update mode as it grows.
 
@@ -24,6 +25,31 @@ def stream_bars(trades: DataFrame, seconds: int = 3600, late: str | None = "10 m
     return out.select("symbol", F.col("w.start").alias("ts"), "o", "h", "l", "c", "v", "n")
 
 
+def _windowed(trades: DataFrame, window: Column, late: str | None) -> DataFrame:
+    at = F.struct("ts", "id")
+    out = (trades.withWatermark("ts", late) if late else trades).groupBy("symbol", window.alias("w")).agg(
+        F.min_by("price", at).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", at).alias("c"), F.sum("size").alias("v"), F.count("*").alias("n")
+    )
+    return out.select("symbol", F.col("w.start").alias("ts"), F.col("w.end").alias("until"), "o", "h", "l", "c", "v", "n")
+
+
+def sliding_bars(trades: DataFrame, size: str = "1 hour", slide: str = "15 minutes", late: str | None = None) -> DataFrame:
+    """Bars of overlapping windows (ts to until) that begin every `slide`; of a batch, or with `late` of a stream.
+
+    A trade is in size / slide windows; partial bars are merged before the shuffle. State of a stream: a row a symbol and open window.
+    """
+    return _windowed(trades, F.window("ts", size, slide), late)
+
+
+def session_bars(trades: DataFrame, gap: str = "20 minutes", late: str | None = None) -> DataFrame:
+    """Bars of bursts: a symbol's trades with less than `gap` between neighbours, until the last one and `gap`.
+
+    Of a batch, or with `late` of a stream in append mode (an open session can still merge with its neighbour, so it is not
+    shown before it is final). State of a stream: a row a symbol and open session.
+    """
+    return _windowed(trades, F.session_window("ts", gap), late)
+
+
 def stream_candles(candles: DataFrame, late: str = "10 minutes") -> DataFrame:
     """A stream of running candles (symbol, ts, id, o, h, l, c, v) -> the last message of each candle, in update mode.
 
