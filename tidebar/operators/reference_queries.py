@@ -108,22 +108,24 @@ def _path(spark: SparkSession, name: str) -> str:
 
 def _csv(spark: SparkSession, sf_dir: str) -> str:
     path = _path(spark, "csv")
-    files.write_csv(hourly(spark, sf_dir).where("symbol = 'click'"), path)
+    files.write_csvs(hourly(spark, sf_dir), path)
     return path
 
 
-def _read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_csv(spark, _csv(spark, sf_dir), "click", required=True).select("symbol", TS(), "o", "h", "l", "c", r("v"))
+def _written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files as any reader of CSV with a header and folders of symbols sees them."""
+    return spark.read.csv(_csv(spark, sf_dir), header=True).select("symbol", *(F.col(x).cast("double").alias(x) for x in ("timestamp", "open", "high", "low", "close")), F.round(F.col("volume").cast("double"), 6).alias("volume"))
 
 
-def _written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files as any reader of CSV with a header sees them."""
-    return spark.read.csv(_csv(spark, sf_dir), header=True).select(*(F.col(x).cast("double").alias(x) for x in ("timestamp", "open", "high", "low", "close")), F.round(F.col("volume").cast("double"), 6).alias("volume"))
+def _requested_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the symbols that begin with p or later letters, asked for at the files' timeframe."""
+    asked = hourly(spark, sf_dir).select("symbol").distinct().where("symbol >= 'p'").withColumn("timeframe", F.lit("1h"))
+    return files.requested(spark, _csv(spark, sf_dir), "1h", asked).select("symbol", TS(), "c")
 
 
-add("src_csv", _read_csv, f"{B} select symbol, ts, o, h, l, c, round(v, 6) as v from b where symbol = 'click'")
-add("sink_csv", _written_csv, f"{B} select epoch_ms(ts)::double as timestamp, o as open, h as high, l as low, c as close, round(v, 6) as volume from b where symbol = 'click'")
-add("x_csv_provider", lambda spark, d: files.csv_bars(spark, _csv(spark, d), "click", "1h", "click", "1h").select("symbol", TS(), "c"), f"{B} select symbol, ts, c from b where symbol = 'click'")
+add("src_csv", lambda spark, d: files.read_csvs(spark, _csv(spark, d)).select("symbol", TS(), "o", "h", "l", "c", r("v")), f"{B} select symbol, ts, o, h, l, c, round(v, 6) as v from b")
+add("sink_csv", _written_csv, f"{B} select symbol, epoch_ms(ts)::double as timestamp, o as open, h as high, l as low, c as close, round(v, 6) as volume from b")
+add("x_csv_provider", _requested_csv, f"{B} select symbol, ts, c from b where symbol >= 'p'")
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:

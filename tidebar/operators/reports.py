@@ -17,6 +17,7 @@ from tidebar.operators.market_queries import TS, B, add, over_bars, r
 from tidebar.operators.research import by_time, sma_cross_trades, streaks
 from tidebar.operators.research_queries import _T
 from tidebar.sources.candles import hourly, wall
+from tidebar.sources.tables import shared_folder
 
 CAPITAL = 10_000.0
 
@@ -99,11 +100,18 @@ def text_report(found: DataFrame, trades: DataFrame, last: int = 10) -> DataFram
 
 def round_trip(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """rows written as CSV with a header by the executors, and what a reader that knows the columns finds."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.csv(path, header=True)
     return spark.read.schema(rows.schema).csv(path, header=True, enforceSchema=False)
 
 
+def json_round_trip(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """rows written as lines of JSON by the executors, and what a reader that knows the columns finds."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.json(path, ignoreNullFields=False)
+    return spark.read.schema(rows.schema).json(path)
+
+
 def trade_log(trades: DataFrame) -> DataFrame:
     c, ms = F.col, lambda x: F.unix_millis(x).alias(x.replace("_at", "_time"))
     return trades.select("symbol", F.lit("long").alias("side"), F.lit(1.0).alias("quantity"), c("entry").alias("entry_price"), c("exit").alias("exit_price"), ms("entry_at"), ms("exit_at"), "pnl", (c("ret") * 100).alias("return_pct"), F.lit(0.0).alias("commission"), F.lit(0.0).alias("slippage"))
@@ -168,14 +176,22 @@ def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("sink_report_csv", _logged, f"{_T} select symbol, 'long' as side, 1.0::double as quantity, entry as entry_price, exit as exit_price, epoch_ms(entry_at) as entry_time, epoch_ms(exit_at) as exit_time, round(pnl, 6) + 0 as pnl, round(ret * 100, 6) + 0 as return_pct, 0.0::double as commission, 0.0::double as slippage from trades")
 _JSON = ["n_trades", "win_rate_pct", "total_return", "annual_pct", "sharpe", "sortino", "calmar", "max_drawdown_pct", "profit_factor"]
-add(
-    "sink_report_json",
-    over_bars(lambda b: metrics(b).select("symbol", F.to_json(F.struct(*(F.col(n) if n in COUNTS else F.round(F.col(n) * 1000).cast("long").alias(n) for n in _JSON))).alias("report"))),
-    f"{_PERFORMANCE} select symbol, to_json(struct_pack({', '.join(f'{n} := {n}' if n in COUNTS else f'{n} := round({n} * 1000)::bigint' for n in _JSON)}))::varchar as report from perf",
-)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's report as a line of JSON, written and read again."""
+    out = json_round_trip(spark, metrics(hourly(spark, sf_dir)).select("symbol", *_JSON), "reports")
+    return out.select("symbol", *(F.col(n) if n in COUNTS else r(n) for n in _JSON))
+
+
+add("sink_report_json", _written, f"{_PERFORMANCE} select symbol, {', '.join(_JSON)} from perf")
 add(
     "bt_report",
-    over_bars(lambda b: text_report(metrics(b), sma_cross_trades(b), 3).select("symbol", "line_no", F.when(F.col("line_no") < 6, F.regexp_extract("line", "^[A-Za-z ]+", 0)).otherwise(F.col("line")).alias("line"))),
-    f"""{_PERFORMANCE} select symbol, k::int as line_no, ['Total return', 'Annual return', 'Final equity', 'Sharpe', 'Max drawdown', 'Trades'][k + 1] as line from perf, range(6) t(k)
+    over_bars(lambda b: text_report(metrics(b), sma_cross_trades(b), 3)),
+    f"""{_PERFORMANCE}, heads as (select symbol, unnest([
+        printf('Total return: %.2f (%.2f%%)', total_return, total_return_pct), printf('Annual return: %.2f%%', annual_pct), printf('Final equity: %.2f', final_equity),
+        printf('Sharpe: %.2f  Sortino: %.2f  Calmar: %.2f', sharpe, sortino, calmar), printf('Max drawdown: %.2f (%.2f%%)', max_drawdown, max_drawdown_pct),
+        printf('Trades: %d  Win rate: %.1f%%  Profit factor: %.2f', n_trades, win_rate_pct, profit_factor)]) as line, unnest(range(6)) as k from perf)
+    select symbol, k::int as line_no, line from heads
     union all select symbol, (9 - k)::int, strftime(entry_at, '%Y-%m-%d %H:%M') || '  ' || printf('%.4f', entry) || ' -> ' || printf('%.4f', exit) || '  ' || printf('%.4f', pnl) from (select *, row_number() over (partition by symbol order by entry_at desc) as k from trades) where k <= 3""",
 )

@@ -58,6 +58,9 @@ def _length(a: int) -> str:
 IMPULSE = f"{_length(1)} < {_length(0)} and not ({_length(2)} < {_length(0)} and {_length(2)} < {_length(4)}) and case when p5 > p0 then least(p3, p4) >= p1 else greatest(p3, p4) <= p1 end"
 PATTERN = f"case when {_length(2)} > {_length(0)} * 1.618e0 and {_length(2)} > {_length(4)} * 1.618e0 then 'extended 3' when {_length(4)} > {_length(0)} * 1.618e0 and {_length(4)} > {_length(2)} then 'extended 5' else 'standard' end"
 ABC = f"{_length(1)} < {_length(0)}"
+#: What is known of these rules at wave 2, and at wave 4.
+TWO = f"{_length(1)} < {_length(0)}"
+FOUR = f"{TWO} and case when p1 > p0 then least(p3, p4) >= p1 else greatest(p3, p4) <= p1 end"
 
 
 def impulses(bars: DataFrame) -> DataFrame:
@@ -105,12 +108,19 @@ def counts(bars: DataFrame) -> DataFrame:
 
 
 def targets(bars: DataFrame) -> DataFrame:
-    """Where the count's next wave may end: wave 3 after the first two waves, wave 5 after the first four; a row each."""
+    """Where the next wave may end: wave 3 after a symbol's first two waves that keep the rules, wave 5 after its first four.
+
+    Later waves need not be there: a count that stands at wave 2 has targets for wave 3.
+    """
     way = "case when p1 > p0 then 1e0 else -1e0 end"
-    fifth = impulses(bars)
-    price = [(f"W3 {100 * k:.1f}%", f"p2 + {num(k)} * abs(p1 - p0) * {way}") for k in THIRD]
-    price += [("W5 = W1", f"p4 + abs(p1 - p0) * {way}"), ("W5 61.8%", f"p4 + abs(p3 - p0) * 0.618e0 * {way}")]
-    return fifth.select("symbol", F.explode(F.array(*(F.struct(F.lit(n).alias("target"), F.expr(e).alias("price")) for n, e in price))).alias("x")).select("symbol", "x.*")
+    third = [(f"W3 {100 * k:.1f}%", f"p2 + {num(k)} * abs(p1 - p0) * {way}") for k in THIRD]
+    fifth = [("W5 = W1", f"p4 + abs(p1 - p0) * {way}"), ("W5 61.8%", f"p4 + abs(p3 - p0) * 0.618e0 * {way}")]
+    out = None
+    for n, rule, prices in ((3, TWO, third), (5, FOUR, fifth)):
+        first = _first(_waves(bars, n).where(F.expr(rule)), *(f"p{k}" for k in range(n)))
+        part = first.select("symbol", F.explode(F.array(*(F.struct(F.lit(name).alias("target"), F.expr(e).alias("price")) for name, e in prices))).alias("x")).select("symbol", "x.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def trendlines(bars: DataFrame, tolerance: float = 0.01, least: int = 3, most: int = 6, block: int = 256) -> DataFrame:
@@ -147,7 +157,8 @@ add("el_impulse", over_bars(lambda b: impulses(b).select("symbol", TS(), *(f"p{k
 add("el_abc", over_bars(lambda b: corrections(b).select("symbol", TS(), "p0", "p1", "p2", "p3", "trend_up", wall("end_at").alias("end_at"))), f"{_leads(4)} select symbol, ts, p0, p1, p2, p3, p1 <= p0 as trend_up, end_at from w where end_at is not null and {ABC} qualify row_number() over (partition by symbol order by ts) = 1")
 _FIRST = f"{_leads(6)}, v as (select * from w where end_at is not null and {IMPULSE} qualify row_number() over (partition by symbol order by ts) = 1)"
 _WAY = "abs(p1 - p0) * (case when p1 > p0 then 1 else -1 end)"
-add("el_targets", over_bars(lambda b: targets(b).select("symbol", "target", r("price"))), f"{_FIRST} " + " union all ".join([f"select symbol, 'W3 {k * 100:.1f}%' as target, round(p2 + {k}::double * {_WAY}, 6) as price from v" for k in THIRD] + [f"select symbol, 'W5 = W1', round(p4 + {_WAY}, 6) from v", "select symbol, 'W5 61.8%', round(p4 + 0.618::double * abs(p3 - p0) * (case when p1 > p0 then 1 else -1 end), 6) from v"]))
+_AT = lambda n, rule: f"w{n} as (select symbol, ts, price as p0, {', '.join(f'lead(price, {k}) over w as p{k}' for k in range(1, n))} from s window w as (partition by symbol order by ts)), v{n} as (select * from w{n} where p{n - 1} is not null and {rule} qualify row_number() over (partition by symbol order by ts) = 1)"
+add("el_targets", over_bars(lambda b: targets(b).select("symbol", "target", r("price"))), f"{_S}, {_AT(3, TWO)}, {_AT(5, FOUR)} " + " union all ".join([f"select symbol, 'W3 {k * 100:.1f}%' as target, round(p2 + {k}::double * {_WAY}, 6) as price from v3" for k in THIRD] + [f"select symbol, 'W5 = W1', round(p4 + {_WAY}, 6) from v5", "select symbol, 'W5 61.8%', round(p4 + 0.618::double * abs(p3 - p0) * (case when p1 > p0 then 1 else -1 end), 6) from v5"]))
 _RATIO = "coalesce(abs(p2 - p1) / nullif(abs(p1 - p0), 0), 0)"
 add("el_fib", over_bars(lambda b: fib_ratios(b).select("symbol", TS(), r("ratio"), "fib")), f"{_leads(3)}, q as (select symbol, ts1 as ts, {_RATIO} as ratio from w where end_at is not null), f as (select unnest([{', '.join(map(repr, RATIOS))}])::double as fib) select symbol, ts, round(ratio, 6) as ratio, (select min(fib) from f where abs(ratio - fib) < 0.05::double) as fib from q")
 add("x_el_wave", over_bars(lambda b: wave_shapes(b).select("symbol", TS(), wall("end_at").alias("end_at"), r("size"), "is_up", r("hours"), r("retracement"))), f"{_leads(3)} select symbol, ts1 as ts, end_at, round(abs(p2 - p1), 6) as size, p2 > p1 as is_up, round(epoch(end_at - ts1) / 3600.0::double, 6) as hours, round({_RATIO}, 6) as retracement from w where end_at is not null")

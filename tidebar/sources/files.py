@@ -46,6 +46,32 @@ def write_csv(bars: DataFrame, path: str) -> None:
     bars.select(F.unix_millis("ts").alias("timestamp"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume")).write.csv(path, header=True)
 
 
+def write_csvs(bars: DataFrame, path: str) -> None:
+    """All symbols' bars: a folder of CSV files for each, `symbol=...`."""
+    columns = {"timestamp": F.unix_millis("ts"), "open": F.col("o"), "high": F.col("h"), "low": F.col("l"), "close": F.col("c"), "volume": F.col("v")}
+    bars.select("symbol", *(x.alias(n) for n, x in columns.items())).write.partitionBy("symbol").csv(path, header=True)
+
+
+def read_csvs(spark: SparkSession, path: str) -> DataFrame:
+    """The bars of a folder of `write_csvs`, by the rules of read_csv; filters on symbol choose folders."""
+    raw = spark.read.schema("t string, o string, h string, l string, c string, v string, symbol string").option("mode", "PERMISSIVE").csv(path)
+    number = lambda x: F.col(x).try_cast("double")
+    rows = raw.select("symbol", moment(F.trim("t")).alias("ts"), *(number(x).alias(x) for x in "ohlc"), F.coalesce(number("v"), F.lit(0.0)).alias("v"))
+    return rows.where(" and ".join(f"{x} is not null" for x in ("ts", *"ohlc")))
+
+
+def requested(spark: SparkSession, path: str, timeframe: str, requests: DataFrame) -> DataFrame:
+    """The bars that requests (symbol, timeframe) ask of such a folder, whose bars are of one timeframe.
+
+    A request for another timeframe, or for a symbol without bars, is an error (nothing is converted).
+    """
+    rows = read_csvs(spark, path)
+    wrong = requests.where(F.col("timeframe") != timeframe).select("symbol", "timeframe").unionByName(requests.select("symbol", "timeframe").join(rows.select("symbol").distinct(), "symbol", "left_anti")).first()
+    if wrong is not None:
+        raise ValueError(f"no bars of {wrong['symbol']} at {wrong['timeframe']} in {path}")
+    return rows.join(requests.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def parse_klines(lines: DataFrame, symbol: Column) -> DataFrame:
     """value (a JSON array of arrays: open time, o, h, l, c, v as text, ...) -> bars; rows of fewer than six fields go."""
     rows = lines.select(symbol.alias("symbol"), F.explode(F.from_json("value", KLINES)).alias("k")).where(F.size("k") >= 6)
