@@ -39,7 +39,7 @@ def indicator(make: Callable[[Chain], dict[str, str]], digits: int = 6) -> tuple
     chain.out = rounded(make(chain), digits)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = chain.apply(hourly(spark, sf_dir))
+        out = chain.apply_in_parts(hourly(spark, sf_dir))
         return out.select("symbol", wall("ts").alias("ts"), *chain.out)
 
     return query, chain.sql(HOURLY_SQL)

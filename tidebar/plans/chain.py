@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -167,29 +168,35 @@ class Chain:
         ends = [of(e) for e in self.out.values()]
         return None if None in ends else (max((x[0] for x in ends), default=0), max((x[1] for x in ends), default=0))
 
-    def apply_in_parts(self, bars: DataFrame, rows: int = 1 << 20, span: int = 7 * 86400) -> DataFrame:
-        """As apply, with each symbol's bars cut into parts of so many rows, so that one long symbol keeps all tasks busy.
+    def apply_in_parts(self, bars: DataFrame, rows: int = 1 << 20, span: int = 86400) -> DataFrame:
+        """As apply, with each symbol's bars cut into parts of some `rows` rows, so that one long symbol keeps all tasks busy.
 
-        Each part also gets the rows around it that its outputs depend on (see reach); where that isn't bounded, a symbol is
-        one part. Rows are numbered by counts of spans of so many seconds, of which a symbol has few, and places in them.
+        A part is some whole spans of so many seconds, and also gets the spans around it that its outputs depend on (see reach);
+        where that isn't bounded, or no symbol has more than `rows` rows, a symbol is one part. Where spans begin and which
+        parts need them follows from counts by symbol and span, a small table that is written once; bars are joined with it
+        (broadcast where it is small enough), numbered and computed after one exchange by part.
         """
         reach = self.reach()
         if reach is None or max(reach) > rows:
             return self.apply(bars)
-        span_of = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span).alias("__span")
-        counts = bars.groupBy("symbol", span_of).agg(F.count("*").alias("__n"))
+        back, ahead = reach
+        span_of = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span)
+        counts = bars.groupBy("symbol", span_of.alias("__span")).agg(F.count("*").alias("__n"))
         before = F.sum("__n").over(W.partitionBy("symbol").orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
-        starts = counts.select("symbol", "__span", F.coalesce(before, F.lit(0)).alias("__start"))
-        placed = bars.withColumn("__span", span_of).join(starts, ["symbol", "__span"])
-        number = F.col("__start") + F.row_number().over(W.partitionBy("symbol", "__span").orderBy("ts")) - 1
-        placed = placed.withColumn("i", number).withColumn("__own", F.floor(F.col("i") / rows)).drop("__span", "__start")
-        at = F.pmod("i", F.lit(rows))
-        also = [F.when(at >= rows - reach[0], F.col("__own") + 1), F.when(at < reach[1], F.col("__own") - 1)]
-        placed = placed.withColumn("__part", F.explode(F.array_compact(F.array(F.col("__own"), *also))))
-        keyed = placed.withColumnRenamed("symbol", "__symbol").withColumn("symbol", F.struct("__symbol", "__part"))
-        out = self._steps(keyed)
+        spans = counts.withColumn("__start", F.coalesce(before, F.lit(0))).withColumn("__own", F.floor(F.col("__start") / rows))
+        spans = written_once(spans, "spans")
+        if (spans.agg(F.max("__own")).first()[0] or 0) == 0:
+            return self.apply(bars)
+        parts = spans.groupBy("symbol", F.col("__own").alias("__part")).agg(F.min("__start").alias("__low"), F.max(F.col("__start") + F.col("__n")).alias("__high"))
+        needed = (F.col("__start") + F.col("__n") > F.col("__low") - back) & (F.col("__start") < F.col("__high") + ahead)
+        placed = spans.join(parts, "symbol").where(needed)
+        placed = placed.withColumn("__first", F.min("__start").over(W.partitionBy("symbol", "__part")))
+        placed = written_once(placed.select("symbol", "__span", (F.col("__part") == F.col("__own")).alias("__mine"), F.concat_ws(":", "__part", "symbol").alias("__key"), "__first"), "parts")
+        keyed = bars.withColumn("__span", span_of).join(placed, ["symbol", "__span"]).withColumnsRenamed({"symbol": "__symbol", "__key": "symbol"}).drop("__span")
+        number = F.col("__first") + F.row_number().over(W.partitionBy("symbol").orderBy("ts")) - 1
+        out = self._steps(keyed.withColumn("i", number).drop("__first"))
         names = [F.col("__symbol").alias(c) if c == "symbol" else F.col(f"`{c}`") for c in bars.columns]
-        return out.where("__part = __own").select(*names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
+        return out.where("__mine").select(*names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
 
     # Going on
 
@@ -292,6 +299,15 @@ class Chain:
         return f"with recursive {', '.join(parts)} select symbol, ts, {out} from {last}"
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its size is known to the optimizer then, and no executor has to keep it."""
+    from tidebar.sources.tables import shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def distances(name: str, text: str) -> list[int]:
     """How far each lag or lead of a text looks: the number after its expression, 1 if there is none."""
     out = []
