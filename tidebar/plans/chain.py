@@ -120,11 +120,16 @@ class Chain:
         out = self._steps(bars.withColumn("i", F.row_number().over(order) - 1))
         return out.select(*(f"`{c}`" for c in bars.columns), *(F.col(f"__out_{n}").alias(n) for n in self.out))
 
-    def _steps(self, df: DataFrame) -> DataFrame:
-        """df with each row's number as i -> with the outputs as columns __out_<name>."""
+    def _steps(self, df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """df with each row's number as i -> with the outputs as columns __out_<name>.
+
+        before: of rows in parts, the span that each part's own rows begin with; then sums over all rows go on from the spans before.
+        """
         for step in self.steps:
             if step[0] == "cols":
                 df = df.withColumn(step[1], F.expr(step[2]))
+            elif step[0] == "cum" and before is not None:
+                df = _cum_in_parts(df, before, *step[1:])
             elif step[0] == "cum":
                 df = df.withColumn(step[1], F.expr(f"{step[2]}({step[3]}) {UPTO}"))
             elif step[0] == "ema":
@@ -143,6 +148,7 @@ class Chain:
         A recurrence with constant factor counts as bounded: after so many rows the rest weighs less than a double's last bit.
         """
         known: dict[str, tuple[int, int]] = {}
+        own_only: set[str] = set()
 
         def of(text: str) -> tuple[int, int] | None:
             if "unbounded" in text or re.search(r"over \(partition by symbol(, \w+)?\)", text):
@@ -150,15 +156,21 @@ class Chain:
             numbers = lambda pattern: [int(x) for x in re.findall(pattern, text)]
             back = max([*numbers(r"(\d+) preceding"), *distances("lag", text)], default=0)
             ahead = max([*numbers(r"(\d+) following"), *distances("lead", text)], default=0)
-            used = [known[x] for x in set(re.findall(r"\bx\d+\b", text)) if x in known]
+            names = set(re.findall(r"\bx\d+\b", text))
+            if names & own_only and " over (" in text:
+                return None
+            used = [known[x] for x in names if x in known]
             return None if None in used else (back + max((u[0] for u in used), default=0), ahead + max((u[1] for u in used), default=0))
 
         for step in self.steps:
             if step[0] == "cols":
                 known[step[1]] = of(step[2])
             elif step[0] == "cum":
-                known[step[1]] = None
-            elif step[0] == "ema" and known.get(step[2], (0, 0)) is not None:
+                # The rows before are summed up by span; a maximum is right on a part's own rows only, so no window may follow.
+                known[step[1]] = of(step[3])
+                if step[2] == "max":
+                    own_only.add(step[1])
+            elif step[0] == "ema" and step[2] not in own_only and known.get(step[2], (0, 0)) is not None:
                 back, ahead = known.get(step[2], (0, 0))
                 fading = math.ceil(math.log(1e-18) / math.log(1 - step[3])) if 0 < step[3] < 1 else 1
                 known[step[1]] = (back + step[4] + fading, ahead)
@@ -191,10 +203,11 @@ class Chain:
         needed = (F.col("__start") + F.col("__n") > F.col("__low") - back) & (F.col("__start") < F.col("__high") + ahead)
         placed = spans.join(parts, "symbol").where(needed)
         placed = placed.withColumn("__first", F.min("__start").over(W.partitionBy("symbol", "__part")))
-        placed = written_once(placed.select("symbol", "__span", (F.col("__part") == F.col("__own")).alias("__mine"), F.concat_ws(":", "__part", "symbol").alias("__key"), "__first"), "parts")
-        keyed = bars.withColumn("__span", span_of).join(placed, ["symbol", "__span"]).withColumnsRenamed({"symbol": "__symbol", "__key": "symbol"}).drop("__span")
+        placed = written_once(placed.select("symbol", "__span", (F.col("__part") == F.col("__own")).alias("__mine"), (F.col("__start") < F.col("__low")).alias("__pre"), F.concat_ws(":", "__part", "symbol").alias("__key"), "__first"), "parts")
+        keyed = bars.withColumn("__span", span_of).join(placed, ["symbol", "__span"]).withColumnsRenamed({"symbol": "__symbol", "__key": "symbol"})
         number = F.col("__first") + F.row_number().over(W.partitionBy("symbol").orderBy("ts")) - 1
-        out = self._steps(keyed.withColumn("i", number).drop("__first"))
+        begins = placed.where("__mine").groupBy(F.col("symbol").alias("__symbol"), F.col("__key").alias("symbol")).agg(F.min("__span").alias("__span"))
+        out = self._steps(keyed.withColumn("i", number).drop("__first"), begins)
         names = [F.col("__symbol").alias(c) if c == "symbol" else F.col(f"`{c}`") for c in bars.columns]
         return out.where("__mine").select(*names, *(F.col(f"__out_{n}").alias(n) for n in self.out))
 
@@ -299,6 +312,27 @@ class Chain:
         return f"with recursive {', '.join(parts)} select symbol, ts, {out} from {last}"
 
 
+def _cum_in_parts(df: DataFrame, begins: DataFrame, name: str, agg: str, x: str) -> DataFrame:
+    """sum, count or max over all rows so far, of rows in parts: totals by span first, added up to each part's first own span.
+
+    Rows before the own ones get what is left when the sum between is taken away again.
+    """
+    value = F.expr(f"cast(({x}) is not null as long)" if agg == "count" else x)
+    total = F.max if agg == "max" else F.sum
+    spans = written_once(df.withColumn("__x", value).where("__mine").groupBy("__symbol", "__span").agg(total("__x").alias("__x")), "totals")
+    earlier = W.partitionBy("__symbol").orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    sums = spans.withColumn("__base", total("__x").over(earlier)).drop("__x")
+    base = written_once(begins.join(sums, ["__symbol", "__span"]).select("symbol", "__base"), "sums")
+    df = df.withColumn("__x", value).join(base, "symbol", "left")
+    by, upto = W.partitionBy("symbol"), W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    if agg == "max":
+        return df.withColumn(name, F.greatest("__base", F.max(F.when(~F.col("__pre"), F.col("__x"))).over(upto))).drop("__x", "__base")
+    here, pre = F.sum("__x").over(upto), F.sum(F.when(F.col("__pre"), F.col("__x"))).over(by)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = F.when(F.col("__base").isNotNull() | here.isNotNull(), zero(F.col("__base")) + zero(here) - zero(pre))
+    return df.withColumn(name, out).drop("__x", "__base")
+
+
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its size is known to the optimizer then, and no executor has to keep it."""
     from tidebar.sources.tables import shared_folder
