@@ -117,11 +117,6 @@ def exposures(orders: DataFrame, customers: DataFrame, nations: DataFrame) -> Da
     return sums.withColumn("share", F.col("notional") / F.sum("notional").over(W.partitionBy()))
 
 
-def limit_breaches(sectors: DataFrame, sector_share: float, most: int) -> DataFrame:
-    """The first limit in order that a sector breaks."""
-    return sectors.withColumn("breach", F.when(F.col("share") > sector_share, "sector").when(F.col("n") > most, "count").otherwise("none"))
-
-
 # Structure
 
 

@@ -79,8 +79,8 @@ def kill_switch(trades: DataFrame, balance: float = 100.0, limits: Switch = Swit
     """symbol, entry_at, exit_at, pnl -> after each trade the account, the limit that it reaches, and whether the switch is on.
 
     The limits are tried in order: loss of the day, fall from the peak, losses in a row, trades of the day. The switch stays on
-    until the next day, after a fall from the peak for good, and if it may be overridden until the cooldown is over. All from
-    running sums, islands and the last event: no loop.
+    until the next day, after a fall from the peak until another limit is reached (whose rule then holds), and if it may be overridden
+    until the cooldown is over. All from running sums, islands and the last event: no loop.
     """
     c = F.col
     order = ("exit_at", "entry_at")
