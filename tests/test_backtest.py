@@ -104,3 +104,37 @@ def test_fill_models(spark, bars):
             elif model == "realistic":
                 assert r["filled"] == 5.0 and r["commission"] > 0
     assert backtest.fills(orders, bars, "next_open").count() == 40
+
+
+def test_targets_against_a_walk_over_bars(spark):
+    """Long, short, doubled and flat positions, costs, targets at the last bars and for bars that aren't there."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tidebar.operators.reports import target_curve
+
+    r = random.Random(21)
+    start = datetime(2024, 1, 1)
+    bars, wanted, expected = [], [], {}
+    for symbol, n in (("A", 60), ("B", 3), ("C", 1)):
+        rows = [(symbol, start + timedelta(hours=k), 50 + 10 * r.random(), 50 + 10 * r.random()) for k in range(n)]
+        targets = {k: r.choice([2.0, -1.0, 0.0, 5.0, None]) for k in range(n) if r.random() < 0.4}
+        bars += rows
+        wanted += [(symbol, rows[k][1], t) for k, t in targets.items()] + [(symbol, start - timedelta(days=1), 9.0)]
+        position, cash, queue = 0.0, 10_000.0, []
+        want = 0.0
+        for k, (_, ts, o, c) in enumerate(rows):
+            now = queue[k - 2] if k >= 2 else 0.0
+            traded = now - position
+            cash -= traded * o + 0.01 * abs(traded) * o
+            position = now
+            want = want if targets.get(k) is None else targets[k]
+            queue.append(want)
+            expected[symbol, ts] = (position, traded, cash, cash + position * c)
+    df = spark.createDataFrame(bars, "symbol string, ts timestamp, o double, c double")
+    got = target_curve(df, spark.createDataFrame(wanted, "symbol string, ts timestamp, target double"), commission=0.01)
+    found = {(x["symbol"], x["ts"]): (x["position"], x["traded"], x["cash"], x["equity"]) for x in got.collect()}
+    assert found.keys() == expected.keys() and all(abs(a - b) < 1e-8 for k in found for a, b in zip(found[k], expected[k]))
+    assert got.where(F.col("position") < 0).count() and got.where(F.col("position") == 5).count()

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from tidebar.operators.backtest import KINDS, MODELS, Costs, fills
 from tidebar.operators.market_queries import TS, B, add, over_bars, r
+from tidebar.operators.queries import HOURLY_SQL
 from tidebar.operators.research import by_time, sma_cross_trades, streaks
 from tidebar.operators.research_queries import _T
+from tidebar.operators.ta import TA
+from tidebar.plans.chain import Chain
 from tidebar.sources.candles import hourly, wall
 from tidebar.sources.tables import shared_folder
 
@@ -24,14 +27,33 @@ CAPITAL = 10_000.0
 
 def equity_curve(bars: DataFrame, trades: DataFrame, capital: float = CAPITAL) -> DataFrame:
     """At each bar: position (0 or 1), what closed trades gained, what the open one is worth, and the equity at the close."""
-    upto = by_time().rowsBetween(W.unboundedPreceding, 0)
-    entries = trades.select("symbol", F.col("entry_at").alias("ts"), F.col("entry").alias("__in"))
-    exits = trades.where("not is_open").select("symbol", F.col("exit_at").alias("ts"), F.col("pnl").alias("__out"))
-    rows = bars.select("symbol", "ts", "c").join(entries, ["symbol", "ts"], "left").join(exits, ["symbol", "ts"], "left")
+    # Bars and trades in one order, a trade before the bar of its time: one exchange by symbol, no join.
+    row = lambda df, c, entry, pnl, bar: df.select("symbol", F.col(bar[0]).alias("ts"), c.alias("c"), entry.alias("__in"), pnl.alias("__out"), F.lit(bar[1]).alias("__bar"))
+    none = F.lit(None).cast("double")
+    rows = row(bars, F.col("c"), none, none, ("ts", True)).unionByName(row(trades, none, F.col("entry"), none, ("entry_at", False)))
+    rows = rows.unionByName(row(trades.where("not is_open"), none, none, F.col("pnl"), ("exit_at", False)))
+    upto = W.partitionBy("symbol").orderBy("ts", "__bar").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("position", (F.count("__in").over(upto) - F.count("__out").over(upto)).cast("long"))
     rows = rows.withColumn("realised", F.coalesce(F.sum("__out").over(upto), F.lit(0.0)))
     rows = rows.withColumn("unrealised", F.when(F.col("position") > 0, F.col("c") - F.last("__in", ignorenulls=True).over(upto)).otherwise(0.0))
-    return rows.select("symbol", "ts", "position", "realised", "unrealised", (capital + F.col("realised") + F.col("unrealised")).alias("equity"))
+    return rows.where("__bar").select("symbol", "ts", "position", "realised", "unrealised", (capital + F.col("realised") + F.col("unrealised")).alias("equity"))
+
+
+def target_curve(bars: DataFrame, targets: DataFrame, capital: float = CAPITAL, commission: float = 0.0) -> DataFrame:
+    """Any strategy, long or short, as a table of wanted positions: symbol, ts, target (signed units; null or no row: as before).
+
+    A bar's target is traded at the open of the bar after next, as crossing signals are; at a symbol's last two bars it is not.
+    Returns each bar's position, what was traded at its open (signed), the cash after it and the equity at the close. One
+    order of rows a symbol: no loop over bars.
+    """
+    c, w = F.col, by_time()
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = bars.select("symbol", "ts", "o", "c").join(targets.select("symbol", "ts", c("target").cast("double")), ["symbol", "ts"], "left")
+    rows = rows.withColumn("__want", F.coalesce(F.last("target", ignorenulls=True).over(upto), F.lit(0.0)))
+    rows = rows.withColumn("position", F.lag("__want", 2, 0.0).over(w))
+    rows = rows.withColumn("traded", c("position") - F.lag("position", 1, 0.0).over(w))
+    rows = rows.withColumn("cash", capital - F.sum(c("traded") * c("o") + commission * F.abs(c("traded")) * c("o")).over(upto))
+    return rows.select("symbol", "ts", "position", "traded", "cash", (c("cash") + c("position") * c("c")).alias("equity"))
 
 
 def performance(curve: DataFrame, trades: DataFrame, capital: float = CAPITAL, rate: float = 0.02, commission: float = 0.0) -> DataFrame:
@@ -157,6 +179,29 @@ _PERFORMANCE = f"""{_CURVE}, p1 as (select *, equity / lag(equity) over w - 1 as
 _ROUNDED = ["symbol", *(lambda n=n: r(n) for n in RATIOS), *(lambda n=n: F.col(n).cast("long").alias(n) for n in COUNTS)]
 add("bt_metrics", over_bars(lambda b: metrics(b).select(*(x() if callable(x) else x for x in _ROUNDED))), f"{_PERFORMANCE} select * from perf")
 
+#: A strategy that trades both ways: two units long when oversold, one short when overbought, none in the middle.
+_RSI = "case when rsi < 35 then 2e0 when rsi > 65 then -1e0 when rsi between 45 and 55 then 0e0 end"
+
+
+def _by_rsi(bars: DataFrame) -> DataFrame:
+    chain = Chain()
+    chain.out = TA["rsi"](chain)
+    return target_curve(bars, chain.apply_in_parts(bars).select("symbol", "ts", F.expr(_RSI).alias("target")), commission=0.001)
+
+
+_CHAIN = Chain()
+_CHAIN.out = TA["rsi"](_CHAIN)
+add(
+    "bt_targets",
+    over_bars(lambda b: _by_rsi(b).select("symbol", TS(), "position", "traded", r("cash"), r("equity"))),
+    f"""{B}, s as ({_CHAIN.sql(HOURLY_SQL)}), j as (select b.symbol, b.ts, b.o, b.c, {_RSI} as target from b left join s using (symbol, ts)),
+    k as (select *, coalesce(last_value(target ignore nulls) over w, 0e0) as want from j window w as (partition by symbol order by ts)),
+    p as (select *, lag(want, 2, 0e0) over w as position from k window w as (partition by symbol order by ts)),
+    q as (select *, position - lag(position, 1, 0e0) over w as traded from p window w as (partition by symbol order by ts)),
+    m as (select *, 10000e0 - sum(traded * o + 0.001e0 * abs(traded) * o) over (partition by symbol order by ts) as cash from q)
+    select symbol, ts, position, traded, round(cash, 6) as cash, round(cash + position * c, 6) as equity from m""",
+)
+
 _N = "floor(epoch(ts))::bigint // 3600"
 _FILLS = f"""{B}, od as (select symbol, ts, {_N} % 2 = 0 as buy, ['{"', '".join(KINDS)}'][{_N} % {len(KINDS)} + 1] as kind, c * (1 - 0.1::double * case when {_N} % 2 = 0 then 1 else -1 end) as lim, c * (1 + 0.1::double * case when {_N} % 2 = 0 then 1 else -1 end) as stp,
         lead(h) over w as h1, lead(l) over w as l1, lead(c) over w as c1, lead(v) over w as v1, lead(ts) over w as ts1, lead(o, 2) over w as o2, lead(ts, 2) over w as ts2 from b window w as (partition by symbol order by ts)),
