@@ -278,7 +278,68 @@ def nvi(sign):
     return out
 
 
+# Averages of averages and averages whose speed depends on the data, value by value.
+
+
+def batch_t3(n=5, v=0.7):
+    """Tillson: the filter (1 + v) * E - v * E * E, applied three times to E = EMA, multiplied out by the binomials."""
+    e, levels = C, []
+    for _ in range(6):
+        e = ema(e if e is C else zeros(e), n)
+        levels.append(e)
+    # (1 + v)**3 E^3 - 3 (1 + v)**2 v E^4 + 3 (1 + v) v**2 E^5 - v**3 E^6
+    weights = [(1 + v) ** 3, -3 * (1 + v) ** 2 * v, 3 * (1 + v) * v * v, -(v**3)]
+    return [None if None in (row := [x[i] for x in levels[2:]]) else sum(w * y for w, y in zip(weights, row)) for i in range(N)]
+
+
+def batch_alma(n=9, offset=0.85, sigma=6.0):
+    gauss = [math.exp(-((k - offset * (n - 1)) ** 2) / (2 * (n / sigma) ** 2)) for k in range(n)]
+    return over(lambda w: sum(g * x for g, x in zip(gauss, w)) / sum(gauss), C, n)
+
+
+def batch_vidya(n=14, m=9):
+    """Chande: an exponential average whose factor is scaled by the momentum of the last m changes."""
+    out, y = [None] * N, None
+    for i in range(m, N):
+        changes = [C[j] - C[j - 1] for j in range(i - m + 1, i + 1)]
+        up, down = sum(x for x in changes if x > 0), -sum(x for x in changes if x < 0)
+        k = 2 / (n + 1) * (abs(up - down) / (up + down) if up + down else 0)
+        y = C[i] if i == m else k * C[i] + (1 - k) * y
+        out[i] = y
+    return out
+
+
+def batch_frama(n=16):
+    """Ehlers: the factor follows the fractal dimension of the two halves of a window against the whole."""
+    out, y, half = [None] * N, None, n // 2
+    for i in range(n - 1, N):
+        older, newer = range(i - n + 1, i - half + 1), range(i - half + 1, i + 1)
+        slope = lambda r, k: (max(H[j] for j in r) - min(L[j] for j in r)) / k
+        a, b, whole = slope(older, half), slope(newer, half), slope(range(i - n + 1, i + 1), n)
+        dimension = math.log2((a + b) / whole) if min(a, b, whole) > 0 else 1.0
+        k = min(1.0, max(0.01, math.exp(-4.6 * (dimension - 1))))
+        y = C[i] if i == n - 1 else k * C[i] + (1 - k) * y
+        out[i] = y
+    return out
+
+
+def batch_jma(n=14, phase=0.0, power=2.0):
+    """Three stages: a smoothed price, its smoothed error in phase, and what is left of the way to both."""
+    ratio = phase / 100 + 1.5
+    beta = 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
+    alpha = beta**power
+    out, smooth, error, left, y = [None] * N, 0.0, 0.0, 0.0, C[0]
+    for i, x in enumerate(C):
+        smooth = (1 - alpha) * x + alpha * smooth
+        error = (1 - beta) * (x - smooth) + beta * error
+        left = (smooth + ratio * error - y) * (1 - alpha) ** 2 + alpha**2 * left
+        y += left
+        out[i] = y if i >= n - 1 else None
+    return out
+
+
 BATCH = {
+    "t3": {"t3": batch_t3()}, "alma": {"alma": batch_alma()}, "vidya": {"vidya": batch_vidya()}, "frama": {"frama": batch_frama()}, "jma": {"jma": batch_jma()},
     "sma": {"sma": over(fmean, C, 20)}, "wma": {"wma": wma(C, 20)}, "rma": {"rma": rma(C, 14)}, "dema": {"dema": zip_with(lambda a, b: 2 * a - b, ema(C, 21), ema(zeros(ema(C, 21)), 21))}, "atr": {"atr": rma(TR, 14)}, "tr": {"tr": TR},
     "lsma": {"lsma": over(lambda w: linreg(w)[1] + linreg(w)[0] * 24, C, 25)}, "linreg": {"slope": over(lambda w: linreg(w)[0], C, 14), "intercept": over(lambda w: linreg(w)[1], C, 14)}, "momentum": {"mom": zip_with(lambda a, b: a - b, C, back(C, 10))},
     "roc": {"roc": zip_with(lambda a, b: (a - b) / b * 100, C, back(C, 9))}, "rvi": batch_rvi(), "tsi": batch_tsi(), "chande_mo": {"cmo": zip_with(lambda a, b: a / b * 100, over(sum, CHANGE, 9), over(sum, [x if x is None else abs(x) for x in CHANGE], 9))},
