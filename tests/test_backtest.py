@@ -138,3 +138,26 @@ def test_targets_against_a_walk_over_bars(spark):
     found = {(x["symbol"], x["ts"]): (x["position"], x["traded"], x["cash"], x["equity"]) for x in got.collect()}
     assert found.keys() == expected.keys() and all(abs(a - b) < 1e-8 for k in found for a, b in zip(found[k], expected[k]))
     assert got.where(F.col("position") < 0).count() and got.where(F.col("position") == 5).count()
+
+
+def test_a_thousand_pairs_in_one_plan(spark):
+    """The sweep equals the rule run pair by pair, and exchanges bars once however many pairs there are."""
+    import random
+    from datetime import datetime, timedelta
+
+    from tidebar.operators.research import sma_cross_trades, sweep, trade_metrics
+
+    r, price, rows = random.Random(31), 100.0, []
+    for k in range(400):
+        o, price = price, price + r.choice([-1.0, 1.0, 0.5, -0.5])
+        rows.append(("AB"[k % 2], datetime(2024, 1, 1) + timedelta(hours=k // 2), o, max(o, price), min(o, price), price, 1.0, 1))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, o double, h double, l double, c double, v double, n long")
+    pairs = tuple((a, z) for a in range(3, 28) for z in range(28, 68))
+    found = {(x["symbol"], x["fast"], x["slow"]): x for x in sweep(bars, pairs).collect()}
+    assert len(pairs) == 1000 and {k[1:] for k in found} <= set(pairs)
+    for a, z in ((3, 28), (9, 41), (27, 67)):
+        for x in trade_metrics(sma_cross_trades(bars, a, z)).collect():
+            assert all(abs(x[n] - found[x["symbol"], a, z][n]) < 1e-9 for n in x.asDict() if n != "symbol")
+        assert {k[0] for k in found if k[1:] == (a, z)} == {x["symbol"] for x in sma_cross_trades(bars, a, z).select("symbol").distinct().collect()}
+    plan = sweep(bars, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") <= 3

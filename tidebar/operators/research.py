@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,15 +172,24 @@ def sma_cross_trades(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFram
     rows = rows.withColumn("d", F.sign(F.col("a") - F.col("b"))).withColumn("was", F.lag("d").over(w))
     side = F.when((F.col("d") > 0) & (F.col("was") <= 0), 1).when((F.col("d") < 0) & (F.col("was") >= 0), -1)
     rows = rows.select("symbol", "ts", side.alias("side"), F.lead("o", 2).over(w).alias("price"), F.lead("ts", 2).over(w).alias("at"), F.last("c").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("end"), F.last("ts").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("end_at"))
-    fills = rows.where("side is not null and price is not null").withColumn("before", F.lag("side").over(w))
+    return paired(rows.where("side is not null"))
+
+
+def paired(signals: DataFrame, *keys: str) -> DataFrame:
+    """Signals (symbol, ts, side, price, at; end, end_at of the symbol; and keys) -> trades of each symbol and key.
+
+    The first signal to buy opens, the next to sell closes; others of the same side are nothing.
+    """
+    w = W.partitionBy("symbol", *keys).orderBy("ts")
+    fills = signals.where("price is not null").withColumn("before", F.lag("side").over(w))
     fills = fills.where((F.col("side") != F.coalesce("before", F.lit(-1))))
-    trades = fills.select("symbol", "side", F.col("at").alias("entry_at"), F.col("price").alias("entry"), F.coalesce(F.lead("at").over(w), "end_at").alias("exit_at"), F.coalesce(F.lead("price").over(w), "end").alias("exit"), F.lead("price").over(w).isNull().alias("is_open"))
+    trades = fills.select("symbol", *keys, "side", F.col("at").alias("entry_at"), F.col("price").alias("entry"), F.coalesce(F.lead("at").over(w), "end_at").alias("exit_at"), F.coalesce(F.lead("price").over(w), "end").alias("exit"), F.lead("price").over(w).isNull().alias("is_open"))
     return trades.where("side = 1").drop("side").withColumn("pnl", F.col("exit") - F.col("entry")).withColumn("ret", F.col("pnl") / F.nullif("entry", F.lit(0.0)))
 
 
-def trade_metrics(trades: DataFrame) -> DataFrame:
+def trade_metrics(trades: DataFrame, *keys: str) -> DataFrame:
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")).otherwise(0.0))
-    return trades.groupBy("symbol").agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("pnl"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.coalesce(gain / F.nullif(loss, F.lit(0.0)), F.lit(0.0)).alias("profit_factor"), F.max("pnl").alias("largest_win"), F.min("pnl").alias("largest_loss"), F.avg("ret").alias("avg_return"))
+    return trades.groupBy("symbol", *keys).agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("pnl"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.coalesce(gain / F.nullif(loss, F.lit(0.0)), F.lit(0.0)).alias("profit_factor"), F.max("pnl").alias("largest_win"), F.min("pnl").alias("largest_loss"), F.avg("ret").alias("avg_return"))
 
 
 def streaks(trades: DataFrame) -> DataFrame:
@@ -199,9 +210,22 @@ def equity(trades: DataFrame, capital: float = 10_000.0) -> DataFrame:
 
 
 def sweep(bars: DataFrame, pairs: tuple[tuple[int, int], ...] = ((5, 20), (9, 21), (12, 26))) -> DataFrame:
-    """Metrics of each (fast, slow): independent plans over the same bars, which Spark runs as one job."""
-    parts = [trade_metrics(sma_cross_trades(bars, a, b)).withColumn("fast", F.lit(a)).withColumn("slow", F.lit(b)) for a, b in pairs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Trade metrics of the crossing rule for each symbol and pair of lengths, of any number of pairs in one plan.
+
+    Bars are exchanged once: each length's mean and the one before it are windows over the same order, and a bar gives rows
+    only for the pairs that cross at it. From there on rows are signals, a small part of bars times pairs.
+    """
+    w = by_time()
+    lengths = sorted({n for p in pairs for n in p})
+    mean = lambda n: F.when(F.count("c").over(w.rowsBetween(1 - n, 0)) == n, F.avg("c").over(w.rowsBetween(1 - n, 0)))
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = bars.select("symbol", "ts", F.lead("o", 2).over(w).alias("price"), F.lead("ts", 2).over(w).alias("at"), F.last("c").over(whole).alias("end"), F.last("ts").over(whole).alias("end_at"), *(mean(n).alias(f"m{n}") for n in lengths))
+    rows = rows.select("*", *(F.lag(f"m{n}").over(w).alias(f"was{n}") for n in lengths))
+    rows = rows.select("symbol", "ts", "price", "at", "end", "end_at", F.array(*(f"m{n}" for n in lengths)).alias("now"), F.array(*(f"was{n}" for n in lengths)).alias("was"))
+    places = F.from_json(F.lit(json.dumps([[a, z, lengths.index(a), lengths.index(z)] for a, z in pairs])), "array<array<int>>")
+    sign = lambda of, p: F.sign(F.get(of, p[2]) - F.get(of, p[3]))
+    side = lambda p: F.when((sign("now", p) > 0) & (sign("was", p) <= 0), 1).when((sign("now", p) < 0) & (sign("was", p) >= 0), -1)
+    crossing = F.filter(F.transform(places, lambda p: F.struct(p[0].alias("fast"), p[1].alias("slow"), side(p).alias("side"))), lambda x: x["side"].isNotNull())
+    signals = rows.select("symbol", "ts", "price", "at", "end", "end_at", F.explode(crossing).alias("x")).select("*", "x.*").drop("x")
+    return trade_metrics(paired(signals, "fast", "slow"), "fast", "slow")
+
