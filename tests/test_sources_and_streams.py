@@ -72,6 +72,19 @@ def test_streamed_ema_is_the_batch_ema(spark, tmp_path):
         assert (x is None or math.isnan(x)) == (y is None) and (y is None or math.isclose(x, y, rel_tol=1e-9))
 
 
+def test_a_late_bar_stops_the_streamed_ema(spark, tmp_path):
+    path, b = str(tmp_path / "late"), candles.bars(trades(spark), volume="size").where("symbol = 'a'")
+    first, last = b.agg(F.min("ts"), F.max("ts")).first()
+    b.where(F.col("ts") == last).coalesce(1).write.parquet(path)
+    stream = streaming.stream_ema(spark.readStream.schema(b.schema).parquet(path), 5)
+    q = stream.writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable()
+    b.where(F.col("ts") == first).coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(Exception, match="came late"):
+        q.processAllAvailable()
+    q.stop()
+
+
 def test_streamed_gaps_and_upsert(spark, tmp_path):
     path = str(tmp_path / "g")
     b = candles.bars(trades(spark), volume="size")

@@ -65,21 +65,27 @@ def unique(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def stream_ema(bars: DataFrame, length: int = 21) -> DataFrame:
-    """EMA over a stream of final bars: the state of a symbol is three numbers. Equal to the batch `ema` on the same bars."""
+    """EMA over a stream of final bars: the state of a symbol is four numbers. Equal to the batch `ema` on the same bars.
+
+    A bar that comes in a later batch than a newer one stops the stream, as its place has gone by; `indicator_sink` takes such bars.
+    """
     k = 2 / (length + 1)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, total, y = state.get if state.exists else (0, 0.0, 0.0)
+        seen, total, y, last = state.get if state.exists else (0, 0.0, 0.0, None)
         out = []
         for row in pd.concat(list(parts)).sort_values("ts").itertuples():
+            if last is not None and row.ts <= pd.Timestamp(last):
+                raise ValueError(f"a bar of {key[0]} came late: {row.ts} after {last}")
+            last = row.ts
             seen += 1
             total += row.c if seen <= length else 0.0
             y = total / length if seen == length else k * row.c + (1 - k) * y if seen > length else 0.0
             out.append((key[0], row.ts, row.c, y if seen >= length else None))
-        state.update((seen, total, y))
+        state.update((seen, total, y, last))
         yield pd.DataFrame(out, columns=["symbol", "ts", "c", "ema"])
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, c double, ema double", "seen long, total double, y double", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, c double, ema double", "seen long, total double, y double, last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_gaps(bars: DataFrame, seconds: int = 3600) -> DataFrame:
