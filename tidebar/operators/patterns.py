@@ -158,7 +158,7 @@ def slope(c: Chain, n: int = 5) -> Out:
 
 def _price_and_rsi(c: Chain, lookback: int) -> dict[str, str]:
     """The lowest and highest close of the bars before, and the index there (of equals at the nearest bar)."""
-    r = c.col(rsi(c)["rsi"])
+    r = c.col(rsi(c, exact=True)["rsi"])
     low, high = frame("min(c)", lookback + 1, "1 preceding"), frame("max(c)", lookback + 1, "1 preceding")
     at = lambda extreme: "case " + " ".join(f"when {lag('c', j)} = {extreme} then {lag(r, j)}" for j in range(1, lookback + 1)) + " end"
     return {"r": r, "low": c.col(low), "high": c.col(high), "at_low": c.col(at(low)), "at_high": c.col(at(high))}
@@ -185,7 +185,7 @@ def crossed(c: Chain, x: str, level: float) -> tuple[str, str]:
 
 
 def conditions(c: Chain) -> Out:
-    r = c.col(rsi(c)["rsi"])
+    r = c.col(rsi(c, exact=True)["rsi"])
     up, down = crossed(c, r, 50)
     return {"is_above": f"coalesce({r} > 70e0, false)", "is_below": f"coalesce({r} < 30e0, false)", "is_between": f"coalesce({r} between 40e0 and 60e0, false)", "crossed_above": up, "crossed_below": down, "rising": f"coalesce({r} > {lag(r)}, false)", "falling": f"coalesce({r} < {lag(r)}, false)"}
 
@@ -202,7 +202,7 @@ def vote(c: Chain, rules: list[tuple[str, str, float]], confirmations: int = 1,
 
 
 def presets(c: Chain) -> dict[str, tuple[str, str, float]]:
-    r = crossed(c, rsi(c)["rsi"], 30)[0], crossed(c, rsi(c)["rsi"], 70)[1]
+    r = crossed(c, rsi(c, exact=True)["rsi"], 30)[0], crossed(c, rsi(c, exact=True)["rsi"], 70)[1]
     a, b = mean("c", 9), mean("c", 21)
     ma = crossed(c, f"{a} - {b}", 0)
     hist = crossed(c, macd(c)["histogram"], 0)

@@ -33,8 +33,8 @@ def _ema(c: Chain, source: str, n: int) -> str:
     return c.ema(source, 2 / (n + 1), n)
 
 
-def _rma(c: Chain, source: str, n: int) -> str:
-    return c.ema(source, 1 / n, n)
+def _rma(c: Chain, source: str, n: int, exact: bool = False) -> str:
+    return c.ema(source, 1 / n, n, exact)
 
 
 @ta
@@ -179,9 +179,10 @@ ORDER = "partition by symbol order by ts"
 
 
 @ta
-def rsi(c: Chain, source: str = "c", length: int = 14) -> Out:
-    gain = _rma(c, f"coalesce(greatest({source} - {lag(source)}, 0e0), 0e0)", length)
-    loss = _rma(c, f"coalesce(greatest({lag(source)} - {source}, 0e0), 0e0)", length)
+def rsi(c: Chain, source: str = "c", length: int = 14, exact: bool = False) -> Out:
+    """exact: for comparisons; where the close stays as it was, so does the index but for its last bits."""
+    gain = _rma(c, f"coalesce(greatest({source} - {lag(source)}, 0e0), 0e0)", length, exact)
+    loss = _rma(c, f"coalesce(greatest({lag(source)} - {source}, 0e0), 0e0)", length, exact)
     return {"rsi": f"100e0 - 100e0 / (1e0 + case when {loss} = 0 then 100e0 else {gain} / nullif({loss}, 0e0) end)"}
 
 
