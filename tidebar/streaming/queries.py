@@ -61,23 +61,26 @@ def streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Parts that a stream arrives in; a fifth of the trades comes a part late.
 PARTS = 3
+#: Rows of a file, about; a part is as many files as that makes.
+ROWS = 1 << 19
 
 
-def _arriving(spark: SparkSession, sf_dir: str, rows: DataFrame, id: str) -> str:
-    """Rows (ts, ...) as a folder of files that arrive one by one: by time, but every fifth row one file late."""
+def _arriving(spark: SparkSession, sf_dir: str, rows: DataFrame, id: str) -> tuple[str, int]:
+    """Rows (ts, ...) as a folder of files that arrive part by part: by time, but every fifth row one part late; and the files of a part."""
     path = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
-    low, high = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    low, high, n = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).first()
+    files = -(-n // (PARTS * ROWS)) or 1
     share = F.floor((F.unix_seconds("ts") - low) * PARTS / ((high or 0) - (low or 0) + 1))
     at = F.least(share + F.when(F.col(id) % 5 == 0, 1).otherwise(0), F.lit(PARTS - 1)).cast("int")
     rows = rows.withColumn("__part", at)
     for k in range(PARTS):
-        rows.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
-    return path
+        rows.where(F.col("__part") == k).drop("__part").repartition(files, id).write.mode("append").parquet(path)
+    return path, files
 
 
-def _arrivals(spark: SparkSession, path: str) -> DataFrame:
+def _arrivals(spark: SparkSession, path: str, files: int) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(path)
 
 
 def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], path: str, mode: str = "update") -> None:
@@ -98,7 +101,7 @@ def streamed(name: str) -> Callable[[SparkSession, str], DataFrame]:
         chain = _chain(name)
         # As the hourly bars of the batch do, volume adds up prices.
         trades = ticks(spark, sf_dir).withColumn("size", F.col("price"))
-        arriving = _arrivals(spark, _arriving(spark, sf_dir, trades, "id"))
+        arriving = _arrivals(spark, *_arriving(spark, sf_dir, trades, "id"))
         _run(stream_bars(arriving, late="3650 days"), incremental.indicator_sink(chain, f"{path}-bars", path), path)
         return incremental.values(spark, path, chain).select("symbol", wall("ts").alias("ts"), *chain.out)
 
@@ -117,7 +120,7 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/reconciled-{uuid.uuid4().hex}"
     chain, history = _chain("ema"), hourly(spark, sf_dir)
     live = _holes(history).withColumn("__id", F.xxhash64("symbol", "ts"))
-    stream = _arrivals(spark, _arriving(spark, sf_dir, live, "__id")).drop("__id")
+    stream = _arrivals(spark, *_arriving(spark, sf_dir, live, "__id")).drop("__id")
     _run(stream, incremental.indicator_sink(chain, f"{path}-bars", path, incremental.from_history(history)), path, "append")
     out = incremental.values(spark, path, chain).join(current(spark, f"{path}-bars"), ["symbol", "ts"])
     return out.select("symbol", wall("ts").alias("ts"), "c", "ema")
@@ -164,7 +167,7 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arriving = _arrivals(spark, _arriving(spark, sf_dir, ticks(spark, sf_dir), "id"))
+    arriving = _arrivals(spark, *_arriving(spark, sf_dir, ticks(spark, sf_dir), "id"))
     return _window_columns(drained(sliding_bars(arriving, late="3650 days")))
 
 
