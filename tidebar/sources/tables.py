@@ -1,6 +1,6 @@
 """Stored tables that only grow by appended versions, of which a reader takes the latest row of each key.
 
-An upsert appends its rows under a version (a folder of its own, by day inside, sorted by symbol); nothing that is there is
+An upsert appends its rows under a version (a folder of its own, by month inside, sorted by symbol); nothing that is there is
 rewritten, so a batch that runs again, or fails half-way, does no harm. Readers of changes keep the number of the version they
 have seen and read later folders only. `compact` writes the latest rows up to a version into one base, with the version that each
 came from, so feeds stay whole across it; older folders can then be deleted by `vacuum`.
@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that a task is worth where their number is known.
+ROWS = 1 << 19
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors both write: spark.checkpoint.dir, in local mode the warehouse if it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,10 +46,15 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return max([*found["version"], *found["base"]], default=None)
 
 
-def _written(rows: DataFrame, path: str) -> None:
-    """By day and symbol: as many files as tasks and days, each of few symbols, so that filters on both skip files or row groups."""
-    dealt = rows.withColumn("day", F.to_date("ts")).repartitionByRange("day", "symbol").sortWithinPartitions("day", "symbol", "ts")
-    dealt.write.mode("overwrite").partitionBy("day").parquet(path)
+def _written(rows: DataFrame, path: str, tasks: int | None = None) -> None:
+    """By month (`day` is its first), symbol and time: as many files as tasks and months, so that filters on month and symbol skip files or row groups.
+
+    Folders by day would make more files than bars are worth: of hourly bars a day has 24 rows a symbol.
+    """
+    keys = ("day", "symbol", "ts")
+    dealt = rows.withColumn("day", F.trunc("ts", "month"))
+    dealt = dealt.repartitionByRange(tasks, *keys) if tasks else dealt.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def append(rows: DataFrame, path: str, version: int) -> None:
@@ -53,6 +62,19 @@ def append(rows: DataFrame, path: str, version: int) -> None:
     _written(rows, f"{path}/version={version}")
 
 
+def append_once(rows: DataFrame, path: str, version: int, name: str = "batch") -> DataFrame:
+    """As append, for rows whose plan should run once, as a stream's batch (its state runs again with each use); gives the rows as read back.
+
+    An append by ranges runs a plan twice, and in a stream's session small partitions aren't merged. So rows are written beside the
+    versions first (the next call with that name replaces them) and appended from there by as many tasks as they are worth.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+    _written(rows, f"{path}/version={version}", -(-rows.count() // ROWS) or 1)
+    return rows
+
+
 def _rows(spark: SparkSession, path: str, since: int | None = None, upto: int | None = None) -> DataFrame:
     """All rows of versions after since (None: all) up to upto: of the newest base that helps, and of folders after it.
 
@@ -95,8 +117,11 @@ def merged(had: DataFrame, feed: DataFrame, key: tuple[str, ...] = ("symbol", "t
 
 
 def scan(spark: SparkSession, path: str, symbol: str, start: Column, end: Column) -> DataFrame:
-    """A symbol's rows of a closed range of time: only folders of those days and row groups of the symbol are read."""
-    rows = _rows(spark, path).where((F.col("symbol") == symbol) & F.col("day").between(F.to_date(start), F.to_date(end)) & F.col("ts").between(start, end))
+    """A symbol's rows of a closed range of time: only folders of those months and row groups of the symbol are read.
+
+    Tables of earlier releases have a folder a day; their days lie between the same bounds.
+    """
+    rows = _rows(spark, path).where((F.col("symbol") == symbol) & F.col("day").between(F.trunc(start, "month"), F.to_date(end)) & F.col("ts").between(start, end))
     return _latest(rows, ("symbol", "ts")).drop("version", "day")
 
 

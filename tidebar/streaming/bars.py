@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidebar.sources.tables import append
+from tidebar.sources.tables import append_once
 
 
 def _moment() -> Column:
@@ -118,6 +118,6 @@ def upsert_sink(path: str):
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append(batch, path, epoch)
+        append_once(batch, path, epoch)
 
     return write

@@ -107,13 +107,14 @@ def indicator_sink(chain: Chain, bars: str, path: str, fill: Callable[[DataFrame
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select(*BARS)
-        # Two versions a batch: what was filled, and over it what the stream brought.
+        # Two versions a batch: over what was filled, what the stream brought.
+        upto = 2 * epoch + 1
+        batch = tables.append_once(batch.select(*BARS), bars, upto)
+        if batch.isEmpty():
+            return
         if fill is not None:
             filled = fill(gaps(batch, tables.current(spark, bars, upto=2 * epoch - 1) if _before(spark, bars, 2 * epoch) else None))
-            tables.append(filled.select(*BARS), bars, 2 * epoch)
-        tables.append(batch, bars, 2 * epoch + 1)
-        upto = 2 * epoch + 1
+            tables.append_once(filled.select(*BARS), bars, 2 * epoch, "filled")
         done = max((v for v in tables._folders(spark, f"{path}/heads")["version"] if v < 2 * epoch), default=None)
         fresh = tables.current(spark, bars, upto=upto) if done is None else tables.changes(spark, bars, done, upto)
         advance(chain, fresh, path, upto, lambda: tables.current(spark, bars, upto=upto))
